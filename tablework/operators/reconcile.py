@@ -61,11 +61,11 @@ def reconcile(
     blank = F.translate("__k0", "\x1f", "") == ""
     pending = rows.filter(~blank)
     steps = _Stages(left, right, compare, tolerance, order, two_keys=normal != "trim")
-    cold, hot = scale.split_by_heat(pending, ["__nk"])
+    cold, warm, hot = scale.split_by_heat(pending, ["__nk"])
     paired = steps.run(cold.repartition("__nk"), scale.rank_in_group)
-    if hot is not None:
-        split = lambda df, group, by, out: scale.rank_in_hot_group(df, group, ["__nk"], by, out)
-        paired = paired.unionByName(steps.run(hot, split))
+    if warm is not None:
+        chunked = scale.with_chunk(warm, ["__nk"], ["__k0", *order], hot)
+        paired = paired.unionByName(steps.run(chunked, _rank_hot).drop("__chunk"))
     if mode == "date_window":
         paired = _window_stage(paired, left, right, keys, normal, left_date, right_date, window_days, order)
     audit = mode != "exact" if audit_columns is None else audit_columns
@@ -73,6 +73,11 @@ def reconcile(
     return _result(paired, loose, left, right, compare, tolerance, window_days, audit)
 
 
+def _rank_hot(df, group, order, out):
+    # The ranked frame is read twice (counts and rows), so its lineage is cut first.
+    return scale.rank_in_hot_group(checkpointed(df), group, order, out)
+
+
 def _check(left, right, keys, mode, window_days, left_date, right_date):
     require_columns(left.columns, keys, "left table")
     require_columns(right.columns, keys, "right table")
@@ -183,7 +188,7 @@ def cells_equal(left: DataFrame, right: DataFrame, name: str, tolerance: float)
 
 def _window_stage(paired, left, right, keys, normal, left_date, right_date, days, order):
     """Leftovers of the key stages, paired by nearest date inside the window."""
-    if scale.is_large(left) or scale.is_large(right):
+    if scale.is_large(paired):
         paired = checkpointed(paired)
     rest = paired.filter(F.col("__state").isNull())
 

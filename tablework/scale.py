@@ -4,16 +4,17 @@ Spark already spreads ordinary aggregates (they combine before the shuffle) and
 ``row_number`` (the limit is applied before the shuffle).  What it does not spread is a window over
 one huge group.  The helpers here split such groups by order-preserving chunks:
 
-* ``heat`` counts rows per hash bucket of the key.  There are at most ``BUCKETS`` buckets, so the
-  count table has a fixed size bound and can be broadcast.
+* ``hot_buckets`` counts rows per hash bucket of the key.  Only buckets with at least ``hotShare``
+  of all rows come back, so the answer has a fixed size bound (1,024 by default).  The job reads
+  the key columns only and sends at most ``BUCKETS`` counts per task.
 * rows of a hot bucket get a chunk number that never decreases along the requested order.  Chunk
   borders come from a hash-selected sample of the order values, which is the same set on every
-  evaluation, so the plan may evaluate it twice.
+  evaluation.
 * ranks, previous values and fills are computed inside (group, chunk) and completed with a small
   per-chunk table (counts, last values).
 
-All of this is planned only for inputs whose estimated size is above ``spark.tablework.splitBytes``.
-Below it one group cannot outgrow a task that spills, and the plain window is cheaper.
+Inputs whose estimated size is below ``spark.tablework.splitBytes`` skip all of this: there a group
+cannot outgrow a task that spills.  Without a hot bucket the plan is the plain window as well.
 """
 
 from __future__ import annotations
@@ -77,35 +78,32 @@ def bucket_of(keys: Sequence[str]) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS)).cast("int")
 
 
-def heat(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hot hash buckets ``(__bucket, __n, __limit)``: at most ``1 / hotShare`` rows."""
-    counts = df.groupBy(bucket_of(keys).alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
-    total = F.sum("__n").over(Window.partitionBy())
-    limit = F.greatest(F.lit(setting(df, "hotMinRows")), total * F.lit(setting(df, "hotShare")))
-    return counts.withColumn("__limit", limit).filter("__n >= __limit")
-
-
-def split_by_heat(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
-    """(cold rows, hot rows).  Hot is None when the input is too small for a group to matter."""
+def hot_buckets(df: DataFrame, keys: Sequence[str]) -> dict[int, int]:
+    """Row counts of the hash buckets that hold at least ``hotShare`` of the rows ({} when small)."""
     if not is_large(df):
-        return df, None
-    hot = F.broadcast(heat(df, keys).select("__bucket"))
-    tagged = df.withColumn("__bucket", bucket_of(keys))
-    cold = tagged.join(hot, "__bucket", "left_anti").drop("__bucket")
-    warm = tagged.join(hot, "__bucket", "left_semi").drop("__bucket")
-    return cold, warm
-
-
-def with_chunk(df: DataFrame, bucket_keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:
-    """Add ``__chunk``: 0 for cold buckets, 0..CHUNKS-1 along ``order_by`` for hot ones."""
-    key = F.struct(*[F.col(c) for c in order_by])
-    tagged = df.withColumn("__bucket", bucket_of(bucket_keys)).withColumn("__o", key)
-    hot = heat(df, bucket_keys)
-    every = F.greatest(F.lit(1), F.floor(F.col("__n") / (CHUNKS * 16))).cast("long")
+        return {}
+    counts = df.groupBy(bucket_of(keys).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
+    limit = F.greatest(F.lit(setting(df, "hotMinRows")), F.col("total") * F.lit(setting(df, "hotShare")))
+    return {r["b"]: r["n"] for r in counts.filter(F.col("n") >= limit).collect()}
+
+
+def split_by_heat(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None, dict[int, int]]:
+    """(cold rows, hot rows or None, hot buckets)."""
+    hot = hot_buckets(df, keys)
+    if not hot:
+        return df, None, hot
+    inside = bucket_of(keys).isin(*hot)
+    return df.filter(~inside), df.filter(inside), hot
+
+
+def with_chunk(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], hot: dict[int, int]) -> DataFrame:
+    """Add ``__chunk`` 0..CHUNKS-1 along ``order_by`` to the rows of hot buckets."""
+    tagged = df.withColumns({"__bucket": bucket_of(keys), "__o": F.struct(*[F.col(c) for c in order_by])})
+    every = F.create_map(*[F.lit(x) for b, n in hot.items() for x in (b, max(1, n // (CHUNKS * 16)))])
     picked = (
         tagged.select("__bucket", "__o")
-        .join(F.broadcast(hot), "__bucket")
-        .filter(F.pmod(F.xxhash64("__o"), every) == 0)
+        .filter(F.pmod(F.xxhash64("__o"), every[F.col("__bucket")]) == 0)
         .groupBy("__bucket")
         .agg(F.sort_array(F.collect_set("__o")).alias("__s"))
     )
@@ -116,17 +114,16 @@ def with_chunk(df: DataFrame, bucket_keys: Sequence[str], order_by: Sequence[str
             F.sequence(F.lit(1), F.lit(CHUNKS - 1)),
             lambda i: F.get(F.col("__s"), F.floor(i * step).cast("int")),
         ).alias("__borders"),
-    ).withColumn(
-        "__coarse",
-        F.transform(F.sequence(F.lit(1), F.lit(CHUNKS // COARSE - 1)), lambda i: F.get(F.col("__borders"), i * COARSE - 1)),
     )
-    joined = tagged.join(F.broadcast(borders), "__bucket", "left")
-    coarse = F.size(F.filter("__coarse", lambda b: b <= F.col("__o")))
-    joined = joined.withColumn("__c", F.when(F.col("__borders").isNotNull(), coarse))
-    fine = F.size(
-        F.filter(F.slice("__borders", F.col("__c") * COARSE + 1, F.lit(COARSE - 1)), lambda b: b <= F.col("__o"))
+    coarse_borders = F.transform(
+        F.sequence(F.lit(1), F.lit(CHUNKS // COARSE - 1)), lambda i: F.get(F.col("__borders"), i * COARSE - 1)
     )
-    chunk = F.coalesce(F.col("__c") * COARSE + fine, F.lit(0))
+    # len(hot) rows of CHUNKS - 1 borders each: a fixed size.
+    joined = tagged.join(F.broadcast(borders.withColumn("__coarse", coarse_borders)), "__bucket", "left")
+    joined = joined.withColumn("__c", F.size(F.filter("__coarse", lambda b: b <= F.col("__o"))))
+    part = F.slice("__borders", F.col("__c") * COARSE + 1, F.lit(COARSE - 1))
+    fine = F.size(F.filter(part, lambda b: b <= F.col("__o")))
+    chunk = F.when(F.col("__borders").isNull(), 0).otherwise(F.col("__c") * COARSE + fine)
     return joined.withColumn("__chunk", chunk.cast("int")).drop("__bucket", "__o", "__borders", "__coarse", "__c")
 
 
@@ -144,54 +141,55 @@ def rank_in_group(df: DataFrame, group: Sequence[str], order_by: Sequence[str],
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order_by)).cast("long"))
 
 
-def rank_in_hot_group(df: DataFrame, group: Sequence[str], bucket_keys: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
-    """Same result as ``rank_in_group``; a hot group is ranked in chunks on many tasks."""
+def rank_in_hot_group(df: DataFrame, group: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
+    """Same result as ``rank_in_group`` on rows that carry ``__chunk``, spread over many tasks."""
     parts = [*group, "__chunk"]
-    chunked = with_chunk(df, bucket_keys, order_by)
-    counts = chunked.groupBy(*parts).agg(F.count(F.lit(1)).alias("__cn"))
+    counts = df.groupBy(*parts).agg(F.count(F.lit(1)).alias("__cn"))
     before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.sum("__cn").over(before)).filter(F.col("__off") > 0).drop("__cn")
     local = F.row_number().over(Window.partitionBy(*parts).orderBy(*order_by)).cast("long")
-    return (
-        match_parts(chunked.withColumn(out, local), offsets, parts)
-        .withColumn(out, F.col(out) + F.coalesce(F.col("__off"), F.lit(0)))
-        .drop("__off", "__chunk")
-    )
+    joined = match_parts(df.withColumn(out, local), offsets, parts)
+    return joined.withColumn(out, F.col(out) + F.coalesce(F.col("__off"), F.lit(0))).drop("__off")
 
 
 def rank(df: DataFrame, group: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
-    """Position inside the group, choosing the split form for large inputs."""
-    cold, hot = split_by_heat(df, group)
+    """Position inside the group, split where a group is hot."""
+    cold, warm, hot = split_by_heat(df, group)
     ranked = rank_in_group(cold, group, order_by, out)
-    return ranked if hot is None else ranked.unionByName(rank_in_hot_group(hot, group, group, order_by, out))
+    if warm is None:
+        return ranked
+    chunked = with_chunk(warm, group, order_by, hot)
+    return ranked.unionByName(rank_in_hot_group(chunked, group, order_by, out).drop("__chunk"))
 
 
 def previous(df: DataFrame, group: Sequence[str], order_by: Sequence[str], value: Column, out: str) -> DataFrame:
     """``value`` of the previous row of the group in order (NULL on the first row).
 
-    Large inputs: lag inside (group, chunk) plus the last value of the chunk before it."""
-    if not is_large(df):
-        return df.withColumn(out, F.lag(value).over(Window.partitionBy(*group).orderBy(*order_by)))
-    chunked = with_chunk(df.withColumn("__v", F.struct(value.alias("v"))), group, order_by)
+    Hot groups: lag inside (group, chunk) plus the last value of the chunk before it."""
+    cold, warm, hot = split_by_heat(df, group)
+    plain = cold.withColumn(out, F.lag(value).over(Window.partitionBy(*group).orderBy(*order_by)))
+    if warm is None:
+        return plain
+    chunked = with_chunk(warm.withColumn("__v", F.struct(value.alias("v"))), group, order_by, hot)
     parts = [*group, "__chunk"]
     last = chunked.groupBy(*parts).agg(F.max_by("__v", F.struct(*order_by)).alias("__last"))
     carry = last.withColumn("__carry", F.lag("__last").over(Window.partitionBy(*group).orderBy("__chunk")))
     carry = carry.filter("__carry is not null").drop("__last")
     inside = F.lag("__v").over(Window.partitionBy(*parts).orderBy(*order_by))
-    return (
-        match_parts(chunked.withColumn("__in", inside), carry, parts)
-        .withColumn(out, F.coalesce("__in", "__carry")["v"])
-        .drop("__v", "__in", "__carry", "__chunk")
-    )
+    joined = match_parts(chunked.withColumn("__in", inside), carry, parts)
+    joined = joined.withColumn(out, F.coalesce("__in", "__carry")["v"])
+    return plain.unionByName(joined.drop("__v", "__in", "__carry", "__chunk"))
 
 
 def fill_down(df: DataFrame, group: Sequence[str], order_by: Sequence[str], values: dict[str, Column]) -> DataFrame:
     """Last non-null value at or before the row, per output name."""
-    if not is_large(df):
-        w = Window.partitionBy(*group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumns({n: F.last(c, ignorenulls=True).over(w) for n, c in values.items()})
+    cold, warm, hot = split_by_heat(df, group)
+    w = Window.partitionBy(*group).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    plain = cold.withColumns({n: F.last(c, ignorenulls=True).over(w) for n, c in values.items()})
+    if warm is None:
+        return plain
     tmp = {n: f"__f_{i}" for i, n in enumerate(values)}
-    chunked = with_chunk(df.withColumns({tmp[n]: c for n, c in values.items()}), group, order_by)
+    chunked = with_chunk(warm.withColumns({tmp[n]: c for n, c in values.items()}), group, order_by, hot)
     parts = [*group, "__chunk"]
     last = chunked.groupBy(*parts).agg(
         *[F.max_by(t, F.when(F.col(t).isNotNull(), F.struct(*order_by))).alias(t) for t in tmp.values()]
@@ -200,22 +198,8 @@ def fill_down(df: DataFrame, group: Sequence[str], order_by: Sequence[str], valu
     carry = last.select(*parts, *[F.last(t, ignorenulls=True).over(before).alias(t + "c") for t in tmp.values()])
     inside = Window.partitionBy(*parts).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     filled = chunked.withColumns({t: F.last(t, ignorenulls=True).over(inside) for t in tmp.values()})
-    joined = match_parts(filled, carry, parts)
-    joined = joined.withColumns({n: F.coalesce(t, t + "c") for n, t in tmp.items()})
-    return joined.drop("__chunk", *tmp.values(), *[t + "c" for t in tmp.values()])
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Keys holding at least ``hotShare`` of the rows: at most ``1 / hotShare`` of them."""
-    limit = heat(df, keys).agg(F.min("__limit").alias("__limit"))
-    counts = (
-        df.filter(all_set(keys))
-        .withColumn("__bucket", bucket_of(keys))
-        .join(F.broadcast(heat(df, keys).select("__bucket")), "__bucket", "left_semi")
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    return counts.join(F.broadcast(limit), F.col("__n") >= F.col("__limit")).select(*keys)
+    joined = match_parts(filled, carry, parts).withColumns({n: F.coalesce(t, t + "c") for n, t in tmp.items()})
+    return plain.unionByName(joined.drop("__chunk", *tmp.values(), *[t + "c" for t in tmp.values()]))
 
 
 def all_set(keys: Sequence[str]) -> Column:
@@ -234,13 +218,18 @@ def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     keys = list(keys)
     if fits_broadcast(right):
         return left.join(F.broadcast(right), keys, how)
-    if not is_large(left):
+    hot = hot_buckets(left, keys)
+    if not hot:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot_keys(left, keys))
     keyed = left.filter(all_set(keys))
-    warm = keyed.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
-    cold = keyed.join(hot, keys, "left_anti").join(right, keys, how)
-    out = warm.unionByName(cold)
+    limit = min(hot.values())
+    warm_keys = (
+        keyed.filter(bucket_of(keys).isin(*hot)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") >= limit / 2).drop("__n")
+    )
+    few = F.broadcast(warm_keys)
+    warm = keyed.join(few, keys, "left_semi").join(F.broadcast(right.join(few, keys, "left_semi")), keys, how)
+    out = warm.unionByName(keyed.join(few, keys, "left_anti").join(right, keys, how))
     if how == "left":
         out = out.unionByName(left.filter(~all_set(keys)), allowMissingColumns=True)
     return out

@@ -22,7 +22,8 @@ def test_rank_split_equals_plain(spark, split_groups):
     assert scale.is_large(df)
     plain = scale.rank_in_group(df, ["k"], ["o", "id"], "r")
     assert rows(scale.rank(df, ["k"], ["o", "id"], "r")) == rows(plain)
-    assert scale.with_chunk(df, ["k"], ["o", "id"]).filter("k = 'hot'").select("__chunk").distinct().count() > 50
+    hot = scale.hot_buckets(df, ["k"])
+    assert scale.with_chunk(df, ["k"], ["o", "id"], hot).filter("k = 'hot'").select("__chunk").distinct().count() > 50
 
 
 def test_previous_and_fill_split_equal_plain(spark, split_groups):
