@@ -15,7 +15,8 @@ from tablework.operators.infer import infer_kinds
 
 # Error texts a spreadsheet can hold, and the text form of an input number.
 ERROR_TOKENS = (
-    "#REF!", "#DIV/0!", "#N/A", "#NAME?", "#NULL!", "#NUM!", "#VALUE!", "#SPILL!", "#CALC!", "#GETTING_DATA", "#FIELD!", "#BLOCKED!",
+    "#DIV/0!", "#N/A", "#NAME?", "#NULL!", "#NUM!", "#REF!", "#VALUE!", "#GETTING_DATA", "#SPILL!", "#CALC!", "#FIELD!",
+    "#BLOCKED!", "#CONNECT!", "#UNKNOWN!",
 )
 INPUT_CELL = r"^[-+]?\d+(\.\d+)?([eE][-+]?\d+)?$"
 # Accepted rule and operator names.
@@ -31,7 +32,8 @@ RULE_OPERATORS = {
 
 
 def is_error(c: Column) -> Column:
-    return F.upper(trim_ws(c.cast("string"))).isin(*ERROR_TOKENS)
+    """The cell starts with an error text, in any letter case."""
+    return trim_ws(c.cast("string")).rlike("(?i)^(" + "|".join(re.escape(t) for t in ERROR_TOKENS) + ")")
 
 
 def cell_class(c: Column, dtype: T.DataType) -> Column:
