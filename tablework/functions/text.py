@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablework.functions.columns import WS_CLASS
 
@@ -89,7 +90,7 @@ def embed_batch(owners: np.ndarray, grams: np.ndarray, count: int) -> np.ndarray
     return vec / np.where(norm == 0, 1.0, norm)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embed(text: pd.Series) -> pd.Series:
     """384 slots of hashed 2- and 3-grams, as a unit vector (zeros for empty text)."""
     texts = [clean(t) for t in text]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablework.functions import columns as C
 from tablework.operators.reshape import drop_blank_rows
@@ -103,7 +104,7 @@ def conform(df: DataFrame, feed: str) -> DataFrame:
     )
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _decodes_as_gbk(line: pd.Series) -> pd.Series:
     def ok(raw) -> bool:
         try:

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TEXT_LIMIT = 4000
 # Elements whose content is not text, and table roles used by script-built grids.
@@ -159,7 +160,7 @@ def html_tables(pages: DataFrame, page: str = "page_id", html: str = "html") ->
     return pages.select(page, html).mapInPandas(run, f"source_id {kind}, table_idx int, row_idx int, cells array<string>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def html_text_udf(html: pd.Series) -> pd.Series:
     return html.map(text_of)
 
