@@ -25,21 +25,26 @@ def squeezed(c: Column | str) -> Column:
 def char_ngrams(c: Column | str) -> Column:
     """Distinct 2- and 3-grams of the lower-cased text with single spaces."""
     t = F.coalesce(squeezed(c), F.lit(""))
+    chars = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
 
-    def grams(n: int) -> Column:
-        count = F.length(t) - (n - 1)
-        return F.when(
-            count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substr(t, i, F.lit(n)))
-        ).otherwise(F.array().cast("array<string>"))
+    def grams(ch: Column) -> Column:
+        # Neighbours are zipped, so the text is cut into characters once and walked in one direction.
+        rest = lambda x, n: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
+        head = lambda x, n: F.slice(x, 1, F.greatest(F.size(x) - n, F.lit(0)))
+        two = F.zip_with(head(ch, 1), rest(ch, 1), lambda x, y: F.concat(x, y))
+        three = F.zip_with(head(F.zip_with(head(ch, 1), rest(ch, 1), lambda x, y: F.concat(x, y)), 1), rest(ch, 2), lambda x, y: F.concat(x, y))
+        return F.array_distinct(F.concat(two, three))
 
-    return F.array_distinct(F.concat(grams(2), grams(3)))
+    return F.get(F.transform(F.array(chars), grams), F.lit(0))
 
 
 def lexical_overlap(query: Column | str, text: Column | str) -> Column:
     """Share of the query's n-grams found in the text."""
-    q = char_ngrams(query)
-    hits = F.size(F.array_intersect(q, char_ngrams(text))).cast("double")
-    return F.coalesce(F.try_divide(hits, F.size(q).cast("double")), F.lit(0.0))
+    both = F.array(F.struct(char_ngrams(query).alias("q"), char_ngrams(text).alias("t")))
+    share = F.transform(
+        both, lambda b: F.try_divide(F.size(F.array_intersect(b["q"], b["t"])).cast("double"), F.size(b["q"]).cast("double"))
+    )
+    return F.coalesce(F.get(share, F.lit(0)), F.lit(0.0))
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

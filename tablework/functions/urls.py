@@ -29,12 +29,10 @@ def url_host(c: Column | str) -> Column:
 
 
 def host_key(c: Column | str) -> Column:
-    host = F.replace(url_host(c), F.lit("www."), F.lit(""))
-    host = F.when(host == "", "unknown").otherwise(host)
     aliases = F.create_map(*[F.lit(x) for kv in HOST_ALIASES.items() for x in kv])
-    host = F.coalesce(aliases[host], host)
+    host = _let(F.replace(url_host(c), F.lit("www."), F.lit("")), lambda h: F.coalesce(aliases[h], h))
     key = F.btrim(F.regexp_replace(host, r"[^a-z0-9._-]+", "_"), F.lit("._"))
-    return F.substring(F.when(key == "", "unknown").otherwise(key), 1, 64)
+    return F.substring(_let(key, lambda k: F.when(k == "", "unknown").otherwise(k)), 1, 64)
 
 
 def sheet_name_from_url(c: Column | str) -> Column:
@@ -53,13 +51,18 @@ def _ipv4_number(host: Column) -> Column:
     return F.when(host.rlike(rf"^{octet}(\.{octet}){{3}}$"), dotted).when(plain <= (1 << 32) - 1, plain.cast("long"))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, which keeps the expression tree small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _ipv4_blocked(n: Column) -> Column:
-    hit = F.lit(False)
+    ranges = []
     for block in BLOCKED_IPV4:
         base, bits = block.split("/")
         low = sum(int(p) << s for p, s in zip(base.split("."), (24, 16, 8, 0)))
-        hit = hit | n.between(low, low + (1 << (32 - int(bits))) - 1)
-    return hit
+        ranges.append(F.struct(F.lit(low).cast("long").alias("a"), F.lit(low + (1 << (32 - int(bits))) - 1).cast("long").alias("b")))
+    return _let(n, lambda v: F.exists(F.array(*ranges), lambda r: (v >= r["a"]) & (v <= r["b"])))
 
 
 def _ipv6_blocked(host: Column) -> Column:
@@ -78,10 +81,12 @@ def url_is_safe(c: Column | str) -> Column:
     raw = F.btrim(F.coalesce(_col(c), F.lit("")))
     authority = F.regexp_extract(raw, r"^https?://([^/?#]*)", 1)
     shaped = raw.rlike(r"(?i)^https?://[^\s<>\"')]+$") & raw.rlike(r"(?i)^https?://[^/?#]")
-    host = F.btrim(url_host(raw), F.lit("."))
-    n = _ipv4_number(host)
-    named = host.isin(*BLOCKED_HOSTS)
-    for suffix in BLOCKED_SUFFIXES:
-        named = named | host.endswith(suffix)
-    address = F.when(host.contains(":"), _ipv6_blocked(host)).when(n.isNotNull(), _ipv4_blocked(n)).otherwise(False)
-    return shaped & ~authority.contains("@") & (host != "") & ~named & ~address
+    public = _let(F.btrim(url_host(raw), F.lit(".")), _public_host)
+    return F.coalesce(shaped & ~authority.contains("@") & public, F.lit(False))
+
+
+def _public_host(host: Column) -> Column:
+    named = host.isin(*BLOCKED_HOSTS) | host.rlike("(" + "|".join(s.replace(".", "\\.") for s in BLOCKED_SUFFIXES) + ")$")
+    v4 = F.coalesce(_ipv4_blocked(_ipv4_number(host)), F.lit(False))
+    blocked = F.when(host.contains(":"), _ipv6_blocked(host)).otherwise(v4)
+    return (host != "") & ~named & ~blocked

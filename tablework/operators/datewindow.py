@@ -78,22 +78,20 @@ def _islands(runs: DataFrame, days: int) -> DataFrame:
 
 
 def _segments(runs: DataFrame, days: int) -> DataFrame:
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = list(greedy_runs(pdf, days))
-        names = [c.split()[0] for c in SEGMENTS.split(", ")]
-        return pd.DataFrame(out, columns=names)
+    def walk(key: tuple, pdf: pd.DataFrame) -> Iterator[tuple]:
+        return greedy_runs(pdf, days)
 
     cols = ["__grp", "__island", "__nk", "__day", "__side", "__n"]
-    return runs.select(*cols).groupBy("__grp", "__island").applyInPandas(walk, SEGMENTS)
+    return scale.walk_groups(runs.select(*cols), ["__grp", "__island"], ["__nk", "__day"], walk, SEGMENTS)
 
 
 def greedy_runs(pdf: pd.DataFrame, days: int) -> Iterator[tuple]:
-    """Walk left runs in key order; yield ranges of ranks paired with ranges of right ranks."""
-    ordered = pdf.sort_values(["__nk", "__day"], kind="stable")
-    lefts = ordered[ordered["__side"] == 0]
-    rights = ordered[ordered["__side"] == 1].reset_index(drop=True)
-    r_key, r_day = rights["__nk"].tolist(), [int(d) for d in rights["__day"]]
-    left_over = [int(n) for n in rights["__n"]]
+    """Walk left runs (sorted by key) in order; yield ranges of ranks paired with ranges of right ranks."""
+    runs = list(zip(pdf["__side"].tolist(), pdf["__nk"].tolist(), pdf["__day"].tolist(), pdf["__n"].tolist()))
+    lefts = [r[1:] for r in runs if r[0] == 0]
+    rights = [r[1:] for r in runs if r[0] == 1]
+    r_key, r_day = [r[0] for r in rights], [r[1] for r in rights]
+    left_over = [r[2] for r in rights]
     next_rank = [1] * len(r_key)
     axis = sorted(set(r_day))
     queue: dict[int, list[int]] = {d: [] for d in axis}
@@ -109,8 +107,8 @@ def greedy_runs(pdf: pd.DataFrame, days: int) -> Iterator[tuple]:
             i = parent[i]
         return i
 
-    for key, day, count in zip(lefts["__nk"], lefts["__day"], lefts["__n"]):
-        day, count, done = int(day), int(count), 1
+    for key, day, count in lefts:
+        done = 1
         at = bisect_left(axis, day)
         while count > 0:
             hi = find(up, at)

@@ -96,15 +96,13 @@ def _cut(df: DataFrame, group, cell: Column, tolerance: float, i: int) -> tuple[
 def _walk(rows: DataFrame, part, width: int, tolerance: float) -> DataFrame:
     fields = ", ".join(f"`{p}` string" for p in part) + ", `__side` int, `__pos` long, `__pair` long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = [pdf[p].iloc[0] for p in part]
+    def walk(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
         out = []
         for n, (a, b) in enumerate(greedy_tolerance(pdf, width, tolerance)):
-            out.append([*head, 0, a, n])
-            out.append([*head, 1, b, n])
-        return pd.DataFrame(out, columns=[*part, "__side", "__pos", "__pair"])
+            out += [(*key, 0, a, n), (*key, 1, b, n)]
+        return out
 
-    return rows.groupBy(*part).applyInPandas(run, fields)
+    return scale.walk_groups(rows, part, ["__pos"], walk, fields)
 
 
 def _number(text: str) -> float | None:
@@ -112,11 +110,11 @@ def _number(text: str) -> float | None:
 
 
 def greedy_tolerance(pdf: pd.DataFrame, width: int, tolerance: float) -> list[tuple[int, int]]:
-    """Each left row, in order, takes the first free right row whose cells all agree.
+    """Rows sorted by position.  Each left row, in order, takes the first free right row whose cells all agree.
 
     Right rows with the same cells form one queue, so a left row looks at the queues whose first
     cell lies inside the tolerance and takes the one with the earliest head."""
-    pdf = pdf.sort_values("__pos", kind="stable")
+    rows = list(zip(pdf["__side"].tolist(), pdf["__pos"].tolist(), pdf["__sig"].tolist()))
     parsed: dict[str, tuple] = {}
 
     def cells(sig: str) -> tuple:
@@ -135,8 +133,9 @@ def greedy_tolerance(pdf: pd.DataFrame, width: int, tolerance: float) -> list[tu
         return True
 
     queues: dict[str, list[int]] = {}
-    for sig, pos in zip(pdf["__sig"][pdf["__side"] == 1], pdf["__pos"][pdf["__side"] == 1]):
-        queues.setdefault(sig, []).append(int(pos))
+    for side, pos, sig in rows:
+        if side == 1:
+            queues.setdefault(sig, []).append(pos)
     heads = {s: 0 for s in queues}
     # Queues whose first cell is a number are looked up by value, the others by their text.
     numeric = sorted((cells(s)[0][0], s) for s in queues if cells(s)[0][0] is not None)
@@ -160,13 +159,14 @@ def greedy_tolerance(pdf: pd.DataFrame, width: int, tolerance: float) -> list[tu
         return memo[sig]
 
     pairs = []
-    lefts = pdf[pdf["__side"] == 0]
-    for sig, pos in zip(lefts["__sig"], lefts["__pos"]):
+    for side, pos, sig in rows:
+        if side == 1:
+            continue
         best = None
         for s in partners(sig):
             if heads[s] < len(queues[s]) and (best is None or queues[s][heads[s]] < queues[best][heads[best]]):
                 best = s
         if best is not None:
-            pairs.append((int(pos), queues[best][heads[best]]))
+            pairs.append((pos, queues[best][heads[best]]))
             heads[best] += 1
     return pairs

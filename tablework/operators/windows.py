@@ -36,5 +36,5 @@ def flag_snapshot_anomaly(df: DataFrame, item: Sequence[str], at: Sequence[str],
 def flag_repeat_fetch(log: DataFrame, host: str, ts: str, hours: float = 24, tie: Sequence[str] = ()) -> DataFrame:
     """Mark a fetch when the fetch of the same host before it was less than ``hours`` ago."""
     out = scale.previous(log, [host], [ts, *tie], F.col(ts), "previous_fetch")
-    age = (F.unix_micros(ts) - F.unix_micros("previous_fetch")) / F.lit(3.6e9)
+    age = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("previous_fetch").cast("timestamp"))) / F.lit(3.6e9)
     return out.withColumn("repeat_fetch", F.coalesce(age < hours, F.lit(False)))

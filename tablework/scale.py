@@ -19,8 +19,9 @@ cannot outgrow a task that spills.  Without a hot bucket the plan is the plain w
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,3 +234,42 @@ def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     if how == "left":
         out = out.unionByName(left.filter(~all_set(keys)), allowMissingColumns=True)
     return out
+
+
+def walk_groups(df: DataFrame, group: Sequence[str], order_by: Sequence[str], walk: Callable[[tuple, pd.DataFrame], Iterable[tuple]], schema: str) -> DataFrame:
+    """``walk(key, rows)`` for every group, with the groups of a task streamed in key order.
+
+    One sort per partition replaces one pandas call per group, and a task holds a single group at a
+    time.  Only for inputs whose groups are bounded (counts per date, near values of one key)."""
+    group = list(group)
+    names = [c.strip().split()[0].strip("`") for c in schema.split(",")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        held_key: tuple | None = None
+
+        def close() -> list[tuple]:
+            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
+            return list(walk(held_key, rows))
+
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            keys = pdf[group]
+            starts = keys.ne(keys.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+            out: list[tuple] = []
+            for a, b in zip(starts, [*starts[1:], len(pdf)]):
+                key = tuple(keys.iloc[a])
+                if held and key != held_key:
+                    out += close()
+                    held = []
+                held_key = key
+                held.append(pdf.iloc[a:b])
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if held:
+            out = close()
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order_by).mapInPandas(run, schema)
