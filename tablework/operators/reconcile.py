@@ -188,8 +188,8 @@ def cells_equal(left: DataFrame, right: DataFrame, name: str, tolerance: float)
 
 def _window_stage(paired, left, right, keys, normal, left_date, right_date, days, order):
     """Leftovers of the key stages, paired by nearest date inside the window."""
-    if scale.is_large(paired):
-        paired = checkpointed(paired)
+    # Read by the pairs found so far, the counts per date and the rows of the window stage.
+    paired = checkpointed(paired)
     rest = paired.filter(F.col("__state").isNull())
 
     def group_text(side, df, date):

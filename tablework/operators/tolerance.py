@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tablework import scale
 from tablework.functions.columns import NUMBER_RE
+from tablework.session import checkpointed
 
 
 def match_within_tolerance(df: DataFrame, key: str, order: Sequence[str], rank, compare: Sequence[str], tolerance: float, equal: Column, pair) -> DataFrame:
@@ -48,6 +49,8 @@ def _many(df, group, key, order, rank, compare, tolerance, pair):
         df, name = _cut(df, group, F.get(cells, F.lit(i)), tolerance, i)
         parts.append(name)
     part = [*group, *parts]
+    # Read by every branch below; holds the rows of keys with several rows only.
+    df = checkpointed(df)
     kinds = (
         df.groupBy(*part)
         .agg(F.min("__side").alias("a"), F.max("__side").alias("b"), F.min("__sig").alias("s"), F.max("__sig").alias("t"))
