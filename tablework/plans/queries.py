@@ -18,6 +18,7 @@ from tablework.functions.registry import FunctionRegistry
 from tablework.operators import aggregate as A
 from tablework.operators import filters as L
 from tablework.operators import finance as P
+from tablework.operators import headers as H
 from tablework.operators import infer as I
 from tablework.operators import lookup as J
 from tablework.operators import project as PR
@@ -35,7 +36,7 @@ from tablework.sources import html as HT
 from tablework.sources import ingest as N
 from tablework.sources import json_tables as JT
 from tablework.sources import sinks as K
-from tablework.streaming.streams import dedupe_stream
+from tablework.streaming.streams import dedupe_stream, flag_repeat_fetch_stream, ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -938,7 +939,7 @@ def host_keys(spark, sf):
 
 @query("""SELECT page_id, true AS public, NOT (n BETWEEN 0 AND 16777215 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183
  OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3221225472 AND 3221225727 OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3323068416 AND 3323199487
- OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n BETWEEN 3758096384 AND 4294967295) AS number_form, page_id > 255 OR page_id NOT IN (10, 127, 0) AND page_id < 224 AS dotted,
+ OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n BETWEEN 3758096384 AND 4294967295) AS number_form, page_id > 255 OR page_id NOT IN (10, 127, 0, 172) AND page_id < 224 AS dotted,
  false AS user_info, false AS suffix, false AS scheme FROM (SELECT page_id, page_id * 17179869 AS n FROM pages)""")
 def url_safety(spark, sf):
     i = F.col("page_id")
@@ -1027,7 +1028,78 @@ def upsert_documents(spark, sf):
     return T.upsert_documents(cur, inc, "name", "doc_id").select("name", "doc_id", F.md5("text").alias("digest"))
 
 
+@query("SELECT doc_id, 'new' AS version, round(1.0::double, 6) AS norm FROM documents WHERE lang <> 'fr' UNION ALL SELECT doc_id, 'kept', 0.0 FROM documents WHERE lang = 'fr'")
+def reembed_stale_documents(spark, sf):
+    """Vectors of an older version are rebuilt, current ones (here marked by zeros) stay."""
+    old = F.when(F.col("lang") == "fr", X.EMBED_VERSION).otherwise(X.EMBED_VERSION - 1)
+    d = table(spark, sf, "documents").select("doc_id", "text", F.array(F.lit(0.0)).alias("embedding"), old.alias("embed_version"))
+    out = T.reembed_on_version(d)
+    version = F.when(F.size("embedding") == 1, "kept").otherwise("new")
+    return out.select("doc_id", version.alias("version"), F.round(X.cosine("embedding", "embedding"), 6).alias("norm"))
+
+
+# ================================================================== header rows and inferred projections
+def _customer_grid(spark, sf):
+    """Customers as raw rows below a three-row header."""
+    body = table(spark, sf, "customer").select(
+        (F.col("c_custkey") + 3).alias("row_idx"), F.array(F.col("c_custkey").cast("string"), F.col("c_name"), F.col("c_mktsegment")).alias("cells")
+    )
+    head = [(0, ["客户", "", "(市场)"]), (1, ["客户编号", "客户 名称", "Seg.Name"]), (2, ["CUST_ID", "NAME", "SEGMENT"])]
+    return spark.createDataFrame(head, "row_idx long, cells array<string>").unionByName(body)
+
+
+@query("""SELECT c_custkey + 3 AS row_idx, cast(c_custkey AS varchar) AS "客户_编号_CUST_ID", c_name AS "客户_名称_NAME", c_mktsegment AS "Seg_Name_SEGMENT" FROM customer""")
+def flatten_header_customers(spark, sf):
+    return H.flatten_header(_customer_grid(spark, sf), 3)
+
+
+@query("""SELECT c_custkey + 3 AS row_idx, cast(c_custkey AS varchar) AS "CUST_ID", c_name AS "NAME", c_mktsegment AS "SEGMENT" FROM customer""")
+def pick_header_row_customers(spark, sf):
+    return H.pick_header_row(_customer_grid(spark, sf), 3, 3)
+
+
+@query("""SELECT cast(p_size AS int) AS "排名", p_name || ' ' || p_brand || ' ' || p_type AS "标题", cast(floor(p_retailprice) AS bigint)::double + 0.25 AS "售价", 4.5::double AS "评分" FROM part""")
+def project_inferred(spark, sf):
+    """Column roles found from cell patterns over the whole table, then projected."""
+    p = table(spark, sf, "part")
+    shaped = p.select(
+        "p_size", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("b"), F.lit("CNY").alias("c"), F.floor("p_retailprice").cast("string").alias("d"),
+        F.lit(".").alias("e"), F.lit("25").alias("f"), F.lit("4.5").alias("g"),
+    )
+    return PR.project(shaped, PR.infer_projection(PR.profile_columns(shaped, sample=None), ["排名", "标题", "售价", "评分"]))
+
+
 # ================================================================== streams and user functions
+@query("""SELECT event_id, prev AS previous_fetch, coalesce(epoch_us(ts) - epoch_us(prev) < 86400000000, false) AS repeat_fetch
+FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_id ORDER BY ts) prev FROM events) WHERE prev IS NOT NULL
+UNION ALL SELECT user_id, NULL, false FROM events GROUP BY 1""")
+def repeat_fetch_stream(spark, sf):
+    """First fetch of every user as seen by the streaming form."""
+    schema = table(spark, sf, "events").schema
+    log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    flagged = flag_repeat_fetch_stream(log, "user_id", "ts")
+    out = scratch_path(spark, "stream")
+    run = flagged.writeStream.format("parquet").option("checkpointLocation", out + "/state").trigger(availableNow=True).start(out + "/rows")
+    run.awaitTermination()
+    rows = spark.read.schema(flagged.schema).parquet(out + "/rows").filter("previous_fetch is null")
+    return rows.select(F.col("user_id").alias("event_id"), "previous_fetch", "repeat_fetch")
+
+
+@query("""SELECT doc_id AS job_id, least(len(string_split(text, ' ')), 500) AS n FROM documents WHERE lang <> 'fr'""")
+def ingest_stream_rows(spark, sf):
+    """Pushed payloads as a stream, appended batch by batch."""
+    schema = table(spark, sf, "documents").schema
+    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    words = F.transform(F.split("text", " "), lambda w: F.array(w))
+    pushed = docs.select(
+        F.col("doc_id").alias("job_id"), F.concat(F.lit("https://www."), "source", F.lit(".example.com")).alias("url"),
+        F.when(F.col("lang") == "fr", F.array().cast("array<array<string>>")).otherwise(words).alias("rows"),
+    )
+    out = scratch_path(spark, "ingest")
+    ingest_stream(pushed, out + "/rows", out + "/state").awaitTermination()
+    return spark.read.parquet(out + "/rows").groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def dedupe_stream_events(spark, sf):
     """The events file as a stream, deduplicated by a streaming query into a table in the shared folder."""
