@@ -12,7 +12,6 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,18 +77,17 @@ def _islands(runs: DataFrame, days: int) -> DataFrame:
 
 
 def _segments(runs: DataFrame, days: int) -> DataFrame:
-    def walk(key: tuple, pdf: pd.DataFrame) -> Iterator[tuple]:
-        return greedy_runs(pdf, days)
+    def walk(key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        return greedy_runs(rows, days)
 
     cols = ["__grp", "__island", "__nk", "__day", "__side", "__n"]
     return scale.walk_groups(runs.select(*cols), ["__grp", "__island"], ["__nk", "__day"], walk, SEGMENTS)
 
 
-def greedy_runs(pdf: pd.DataFrame, days: int) -> Iterator[tuple]:
+def greedy_runs(runs: list[tuple], days: int) -> Iterator[tuple]:
     """Walk left runs (sorted by key) in order; yield ranges of ranks paired with ranges of right ranks."""
-    runs = list(zip(pdf["__side"].tolist(), pdf["__nk"].tolist(), pdf["__day"].tolist(), pdf["__n"].tolist()))
-    lefts = [r[1:] for r in runs if r[0] == 0]
-    rights = [r[1:] for r in runs if r[0] == 1]
+    lefts = [(key, day, n) for key, day, side, n in runs if side == 0]
+    rights = [(key, day, n) for key, day, side, n in runs if side == 1]
     r_key, r_day = [r[0] for r in rights], [r[1] for r in rights]
     left_over = [r[2] for r in rights]
     next_rank = [1] * len(r_key)

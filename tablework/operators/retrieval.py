@@ -56,11 +56,12 @@ def chunk_text(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: i
     def cut(s: pd.Series) -> pd.Series:
         return s.map(lambda t: chunks_of(t, size, overlap))
 
+    docs = scale.spread(docs.select(doc, text))
     return docs.select(F.col(doc).alias("doc_id"), F.posexplode(cut(F.col(text))).alias("chunk_index", "text"))
 
 
 def embed_chunks(chunks: DataFrame, version: int = EMBED_VERSION) -> DataFrame:
-    return chunks.withColumn("embedding", hash_embed("text")).withColumn("embed_version", F.lit(version))
+    return scale.spread(chunks).withColumn("embedding", hash_embed("text")).withColumn("embed_version", F.lit(version))
 
 
 def reembed_on_version(chunks: DataFrame, version: int = EMBED_VERSION) -> DataFrame:

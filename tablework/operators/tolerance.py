@@ -13,7 +13,6 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +60,7 @@ def _many(df, group, key, order, rank, compare, tolerance, pair):
     alone = df.filter("__kind = 'alone'").select(*columns)
     same = pair(df.filter("__kind = 'same'").select(*columns, *parts), part, order, rank, "matched", key).select(*columns)
     mixed = rank(df.filter("__kind = 'mixed'").drop("__kind"), [*part, "__side"], order, "__pos")
-    ids = _walk(mixed.select(*part, "__side", "__pos", "__sig"), part, len(compare), tolerance)
+    ids = _walk(mixed.select(*part, "__side", "__pos", "__sig"), part, tolerance)
     # The right row of pair p and the left row of pair p get the same pair number.
     numbered = mixed.join(ids, [*part, "__side", "__pos"], "left")
     w = Window.partitionBy(*part, "__pair").orderBy("__side")
@@ -96,12 +95,12 @@ def _cut(df: DataFrame, group, cell: Column, tolerance: float, i: int) -> tuple[
     return df.withColumn(name, label).drop("__first", num, txt), name
 
 
-def _walk(rows: DataFrame, part, width: int, tolerance: float) -> DataFrame:
+def _walk(rows: DataFrame, part, tolerance: float) -> DataFrame:
     fields = ", ".join(f"`{p}` string" for p in part) + ", `__side` int, `__pos` long, `__pair` long"
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> list[tuple]:
+    def walk(key: tuple, found: list[tuple]) -> list[tuple]:
         out = []
-        for n, (a, b) in enumerate(greedy_tolerance(pdf, width, tolerance)):
+        for n, (a, b) in enumerate(greedy_tolerance(found, tolerance)):
             out += [(*key, 0, a, n), (*key, 1, b, n)]
         return out
 
@@ -112,12 +111,11 @@ def _number(text: str) -> float | None:
     return float(text) if re.fullmatch(NUMBER_RE, text) else None
 
 
-def greedy_tolerance(pdf: pd.DataFrame, width: int, tolerance: float) -> list[tuple[int, int]]:
-    """Rows sorted by position.  Each left row, in order, takes the first free right row whose cells all agree.
+def greedy_tolerance(rows: list[tuple], tolerance: float) -> list[tuple[int, int]]:
+    """Rows ``(side, position, cells)`` sorted by position.  Each left row, in order, takes the first free right row whose cells all agree.
 
     Right rows with the same cells form one queue, so a left row looks at the queues whose first
     cell lies inside the tolerance and takes the one with the earliest head."""
-    rows = list(zip(pdf["__side"].tolist(), pdf["__pos"].tolist(), pdf["__sig"].tolist()))
     parsed: dict[str, tuple] = {}
 
     def cells(sig: str) -> tuple:

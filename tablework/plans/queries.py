@@ -216,7 +216,7 @@ def diff_part_snapshots(spark, sf):
   md5(list_aggregate(list_transform(regexp_extract_all(trim(regexp_replace(text, '{SQL_WS}+', ' ', 'g'), ' '), '[A-Za-z]+|[^A-Za-z]+'),
     lambda x: CASE WHEN regexp_matches(x, '^[A-Za-z]') THEN upper(x[1]) || lower(x[2:]) ELSE x END), 'string_agg', '')) AS title FROM documents""")
 def normalize_text_documents(spark, sf):
-    d = table(spark, sf, "documents")
+    d = scale.spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.md5(C.normalize_text("text", "keep")).alias("kept"), F.md5(C.normalize_text("text", "title")).alias("title"))
 
 
@@ -977,7 +977,7 @@ SQL_SQUEEZED = f"trim(regexp_replace(lower(text), '{SQL_WS}+', ' ', 'g'), ' ')"
 @query(f"""SELECT doc_id, len(list_distinct(list_concat(list_transform(range(1, greatest(len(c), 1)), lambda i: c[i] || c[i + 1]),
   list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2])))) AS grams FROM (SELECT doc_id, regexp_split_to_array({SQL_SQUEEZED}, '') AS c FROM documents)""")
 def char_ngrams(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(X.char_ngrams("text")).cast("long").alias("grams"))
+    return scale.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.size(X.char_ngrams("text")).cast("long").alias("grams"))
 
 
 @query(f"""SELECT conv_id, turn, round(cast({' + '.join(f"(CASE WHEN contains({SQL_SQUEEZED}, '{a}') THEN 1 ELSE 0 END)" for a in ('th', 'ha', 'at', 't ', ' i', 'is', 'tha', 'hat', 'at ', 't i', ' is'))} AS double) / 11, 9) AS overlap FROM conversations""")
@@ -999,7 +999,7 @@ def cosine_to_label_centre(spark, sf):
 
 @query()
 def hash_embed_documents(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.hash_embed("text").alias("v"))
+    d = scale.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.hash_embed("text").alias("v"))
     return d.select("doc_id", F.size("v").alias("dims"), F.round(X.cosine("v", "v"), 6).alias("norm"), F.round(F.array_max("v"), 6).alias("peak"))
 
 

@@ -236,40 +236,41 @@ def join_unique(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return out
 
 
-def walk_groups(df: DataFrame, group: Sequence[str], order_by: Sequence[str], walk: Callable[[tuple, pd.DataFrame], Iterable[tuple]], schema: str) -> DataFrame:
-    """``walk(key, rows)`` for every group, with the groups of a task streamed in key order.
+def walk_groups(df: DataFrame, group: Sequence[str], order_by: Sequence[str], walk: Callable[[tuple, list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """``walk(key, rows)`` for every group; ``rows`` are the other columns as tuples, in order.
 
-    One sort per partition replaces one pandas call per group, and a task holds a single group at a
-    time.  Only for inputs whose groups are bounded (counts per date, near values of one key)."""
+    The groups of a task are streamed in key order: one sort per partition replaces one pandas call
+    per group, and a task holds a single group at a time.  Only for inputs whose groups are bounded
+    (counts per date, near values of one key)."""
     group = list(group)
+    rest = [c for c in df.columns if c not in group]
     names = [c.strip().split()[0].strip("`") for c in schema.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        held_key: tuple | None = None
-
-        def close() -> list[tuple]:
-            rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-            return list(walk(held_key, rows))
-
+        key: tuple | None = None
+        rows: list[tuple] = []
         for pdf in frames:
-            if not len(pdf):
-                continue
-            keys = pdf[group]
-            starts = keys.ne(keys.shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
             out: list[tuple] = []
-            for a, b in zip(starts, [*starts[1:], len(pdf)]):
-                key = tuple(keys.iloc[a])
-                if held and key != held_key:
-                    out += close()
-                    held = []
-                held_key = key
-                held.append(pdf.iloc[a:b])
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if held:
-            out = close()
+            keys = zip(*[pdf[g].tolist() for g in group])
+            for k, row in zip(keys, zip(*[pdf[c].tolist() for c in rest])):
+                if k != key:
+                    if rows:
+                        out.extend(walk(key, rows))
+                    key, rows = k, []
+                rows.append(row)
             if out:
                 yield pd.DataFrame(out, columns=names)
+        out = list(walk(key, rows)) if rows else []
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    ordered = df.select(*group, *rest).repartition(*group).sortWithinPartitions(*group, *order_by)
+    return ordered.mapInPandas(run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy work per row when the input is small enough to sit in a few splits.
 
-    return df.repartition(*group).sortWithinPartitions(*group, *order_by).mapInPandas(run, schema)
+    Large inputs have more splits than cores and are left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if estimated_bytes(df) < cores * (64 << 20) else df

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablework import scale
+
 TEXT_LIMIT = 4000
 # Elements whose content is not text, and table roles used by script-built grids.
 SILENT = ("script", "style", "noscript")
@@ -157,7 +159,7 @@ def html_tables(pages: DataFrame, page: str = "page_id", html: str = "html") ->
             yield pd.DataFrame(out, columns=["source_id", "table_idx", "row_idx", "cells"])
 
     kind = pages.schema[page].dataType.simpleString()
-    return pages.select(page, html).mapInPandas(run, f"source_id {kind}, table_idx int, row_idx int, cells array<string>")
+    return scale.spread(pages.select(page, html)).mapInPandas(run, f"source_id {kind}, table_idx int, row_idx int, cells array<string>")
 
 
 @F.pandas_udf(T.StringType())
@@ -168,7 +170,7 @@ def html_text_udf(html: pd.Series) -> pd.Series:
 def html_text(pages: DataFrame, html: str = "html", out: str = "text", max_chars: int | None = TEXT_LIMIT) -> DataFrame:
     """Readable text: one line per text node, cut at ``max_chars`` (None keeps everything)."""
     text = html_text_udf(F.col(html))
-    return pages.withColumn(out, F.substring(text, 1, max_chars) if max_chars else text)
+    return scale.spread(pages).withColumn(out, F.substring(text, 1, max_chars) if max_chars else text)
 
 
 def app_shell(html: Column, text: Column, tables: Column) -> Column:
@@ -185,7 +187,7 @@ def flag_app_shell(pages: DataFrame, html: str = "html") -> DataFrame:
     def read(s: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"text": s.map(text_of), "tables": s.map(lambda h: len(tables_of(h)))})
 
-    out = pages.withColumn("__r", read(F.col(html)))
+    out = scale.spread(pages).withColumn("__r", read(F.col(html)))
     return out.withColumns(
         {
             "text_chars": F.length("__r.text"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablework import scale
 from tablework.functions.columns import trim_ws
 from tablework.functions.urls import host_key, sheet_name_from_url
 
@@ -39,8 +40,12 @@ def summarize_payloads(payloads: DataFrame, cap: int | None = ROW_CAP) -> DataFr
 def ingest_rows(payloads: DataFrame, cap: int | None = ROW_CAP) -> DataFrame:
     """Rows of usable payloads; missing cells become empty text.  ``cap`` None keeps every row."""
     kept = F.slice("rows", 1, cap) if cap else F.col("rows")
+    if not payloads.isStreaming:
+        payloads = scale.spread(payloads)
     good = payloads.filter(payload_status(F.col("rows")) == "ok")
-    out = good.select("job_id", "url", host_key("url").alias("host"), F.posexplode(kept).alias("row_idx", "cells"))
+    # The host is worked out per payload, before the rows are spread out.
+    good = good.withColumn("host", host_key("url"))
+    out = good.select("job_id", "url", "host", F.posexplode(kept).alias("row_idx", "cells"))
     return out.withColumn("cells", F.transform("cells", lambda c: F.coalesce(c, F.lit(""))))
 
 

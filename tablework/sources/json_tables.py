@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablework import scale
+
 # Keys that hold secrets, and keys that usually hold the list of records.
 SECRET_KEY = re.compile(r"(?i)^(password|passwd|pwd|secret|token|access[_-]?token|refresh[_-]?token|cookie|authorization|captcha)$")
 LIST_KEYS = ("list", "records", "rows", "items", "content", "result", "data", "datas", "table", "dataset", "entries")
@@ -87,14 +89,12 @@ def json_payload_to_table(df: DataFrame, source: str, payload: str, key_rows: in
             yield pd.DataFrame(out, columns=["source_id", "table_idx", "row_idx", "cells"])
 
     kind = df.schema[source].dataType.simpleString()
-    return df.select(source, payload).mapInPandas(run, f"source_id {kind}, table_idx int, row_idx int, cells array<string>")
+    return scale.spread(df.select(source, payload)).mapInPandas(run, f"source_id {kind}, table_idx int, row_idx int, cells array<string>")
 
 
 def grid_to_long(grids: DataFrame) -> DataFrame:
     """``(source_id, row_idx, col, value)`` with the first row as column names."""
     heads = grids.filter("row_idx = 0").select("source_id", "table_idx", F.col("cells").alias("__h"))
-    from tablework import scale
-
     body = scale.join_unique(grids.filter("row_idx > 0"), heads, ["source_id", "table_idx"], "inner")
     pairs = F.arrays_zip(F.col("__h").alias("col"), F.col("cells").alias("value"))
     return body.select("source_id", "row_idx", F.explode(pairs).alias("p")).select("source_id", "row_idx", "p.col", "p.value")
