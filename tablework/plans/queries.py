@@ -832,7 +832,7 @@ def html_tables(spark, sf):
 
 @query()
 def html_text(spark, sf):
-    out = HT.html_text(table(spark, sf, "pages"), max_chars=None)
+    out = HT.html_text(table(spark, sf, "pages"))
     return out.select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
@@ -915,9 +915,9 @@ def _payloads(spark, sf):
 
 
 @query("""SELECT doc_id AS job_id, source || '.example.com' AS host, u.i - 1 AS row_idx, u.w AS word FROM (
- SELECT doc_id, source, unnest(range(1, least(len(w), 500) + 1)) AS i, w FROM (SELECT doc_id, source, string_split(text, ' ') AS w FROM documents WHERE lang <> 'fr')) x, LATERAL (SELECT x.i AS i, x.w[x.i] AS w) u""")
+ SELECT doc_id, source, unnest(range(1, len(w) + 1)) AS i, w FROM (SELECT doc_id, source, string_split(text, ' ') AS w FROM documents WHERE lang <> 'fr')) x, LATERAL (SELECT x.i AS i, x.w[x.i] AS w) u""")
 def ingest_payload_rows(spark, sf):
-    out = N.ingest_rows(_payloads(spark, sf), cap=500)
+    out = N.ingest_rows(_payloads(spark, sf))
     return out.select("job_id", "host", "row_idx", F.get("cells", F.lit(0)).alias("word"))
 
 
@@ -1085,7 +1085,7 @@ def repeat_fetch_stream(spark, sf):
     return rows.select(F.col("user_id").alias("event_id"), "previous_fetch", "repeat_fetch")
 
 
-@query("""SELECT doc_id AS job_id, least(len(string_split(text, ' ')), 500) AS n FROM documents WHERE lang <> 'fr'""")
+@query("""SELECT doc_id AS job_id, len(string_split(text, ' ')) AS n FROM documents WHERE lang <> 'fr'""")
 def ingest_stream_rows(spark, sf):
     """Pushed payloads as a stream, appended batch by batch."""
     schema = table(spark, sf, "documents").schema

@@ -30,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is absent (tests, a laptop) a temporary folder is chosen once and remembered
     in the session, so a run on one machine still works.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
         configured = tempfile.mkdtemp(prefix="tablework-")
         spark.conf.set("spark.checkpoint.dir", configured)

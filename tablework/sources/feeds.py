@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,8 +137,8 @@ def route_by_charset(spark: SparkSession, paths: Sequence[str] | str) -> DataFra
     return good.join(bad, "file", "full_outer").select("file", charset.alias("charset"), odd.alias("multiline"))
 
 
-def read_csv_any_charset(spark: SparkSession, paths: Sequence[str] | str, **options) -> DataFrame:
-    """All files as text columns, each read in its own charset; columns are united by name."""
+def read_csv_parts(spark: SparkSession, paths: Sequence[str] | str, **options) -> list[DataFrame]:
+    """One DataFrame of text columns per charset and header among the files."""
     routes = route_by_charset(spark, paths).collect()  # one row per file, like the file listing itself
     if not routes:
         raise ValueError("no lines found")
@@ -146,14 +147,21 @@ def read_csv_any_charset(spark: SparkSession, paths: Sequence[str] | str, **opti
         groups.setdefault((r["charset"], r["multiline"]), []).append(r["file"])
     if any(cs == "GBK" for cs, _ in groups):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    out = None
+    parts = []
     for (charset, multiline), files in sorted(groups.items()):
         reader = spark.read.options(header=True, encoding=charset, multiLine=multiline, escape='"', **options)
         # Files with different headers must not be read under one header.
-        for same in _by_header(spark, files):
-            part = reader.csv(same)
-            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+        parts += [reader.csv(same) for same in _by_header(spark, files)]
+    return parts
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def read_csv_any_charset(spark: SparkSession, paths: Sequence[str] | str, **options) -> DataFrame:
+    """All files as text columns, each read in its own charset; columns are united by name."""
+    return _united(read_csv_parts(spark, paths, **options))
 
 
 def _by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
@@ -172,8 +180,8 @@ def _by_header(spark: SparkSession, files: list[str]) -> list[list[str]]:
 
 def load_feed(spark: SparkSession, path: Sequence[str] | str, feed: str, on_clash: str = "raise") -> DataFrame:
     """Files of a feed as its canonical table; rows without any text are dropped."""
-    raw = drop_blank_rows(read_csv_any_charset(spark, path))
-    return conform(canonicalize_feed(map_header_aliases(raw, feed, on_clash), feed), feed)
+    raw = [map_header_aliases(drop_blank_rows(p), feed, on_clash) for p in read_csv_parts(spark, path)]
+    return _united([conform(canonicalize_feed(p, feed), feed) for p in raw])
 
 
 def source_fingerprint(spark: SparkSession, path: Sequence[str] | str) -> DataFrame:

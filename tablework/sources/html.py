@@ -167,8 +167,8 @@ def html_text_udf(html: pd.Series) -> pd.Series:
     return html.map(text_of)
 
 
-def html_text(pages: DataFrame, html: str = "html", out: str = "text", max_chars: int | None = TEXT_LIMIT) -> DataFrame:
-    """Readable text: one line per text node, cut at ``max_chars`` (None keeps everything)."""
+def html_text(pages: DataFrame, html: str = "html", out: str = "text", max_chars: int | None = None) -> DataFrame:
+    """Readable text: one line per text node; whole unless ``max_chars`` (say ``TEXT_LIMIT``) is given."""
     text = html_text_udf(F.col(html))
     return scale.spread(pages).withColumn(out, F.substring(text, 1, max_chars) if max_chars else text)
 

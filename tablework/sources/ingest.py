@@ -37,8 +37,8 @@ def summarize_payloads(payloads: DataFrame, cap: int | None = ROW_CAP) -> DataFr
     )
 
 
-def ingest_rows(payloads: DataFrame, cap: int | None = ROW_CAP) -> DataFrame:
-    """Rows of usable payloads; missing cells become empty text.  ``cap`` None keeps every row."""
+def ingest_rows(payloads: DataFrame, cap: int | None = None) -> DataFrame:
+    """Rows of usable payloads; missing cells become empty text.  Every row is kept unless ``cap`` (say ``ROW_CAP``) is given."""
     kept = F.slice("rows", 1, cap) if cap else F.col("rows")
     if not payloads.isStreaming:
         payloads = scale.spread(payloads)

@@ -74,8 +74,10 @@ def best_table(data, key_rows=None, max_keys=None, max_rows=None) -> list[list[s
     return best
 
 
-def json_payload_to_table(df: DataFrame, source: str, payload: str, key_rows: int | None = 80, max_keys: int | None = 40, max_rows: int | None = 500) -> DataFrame:
-    """Grid rows ``(source_id, table_idx, row_idx, cells)`` per payload; caps of None are off."""
+def json_payload_to_table(df: DataFrame, source: str, payload: str, key_rows: int | None = None, max_keys: int | None = None, max_rows: int | None = None) -> DataFrame:
+    """Grid rows ``(source_id, table_idx, row_idx, cells)`` per payload.
+
+    Nothing is capped unless asked for (80 rows scanned for keys, 40 keys and 500 rows are usual caps)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablework.functions.columns import normalize_key
-from tablework.sources.ingest import ROW_CAP, ingest_rows
+from tablework.sources.ingest import ingest_rows
 
 
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], event_time: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def dedupe_stream(stream: DataFrame, keys: Sequence[str], event_time: str | None
     return out.drop(*made)
 
 
-def ingest_stream(payloads: DataFrame, target: str, checkpoint: str, cap: int | None = ROW_CAP):
+def ingest_stream(payloads: DataFrame, target: str, checkpoint: str, cap: int | None = None):
     """Append the rows of pushed payloads to ``target``.  A replayed batch overwrites its own folder, so
     rows are written once.  Returns the started query."""
 

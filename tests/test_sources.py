@@ -128,7 +128,7 @@ def test_ingest(spark):
     assert (got["d"]["row_count"], got["d"]["source_rows"], got["d"]["truncated"]) == (500, 600, True)
     assert got["a"]["sheet_name"] == "取数_x.com" and got["b"]["sheet_name"] == "取数_网页"
     out = N.ingest_rows(df)
-    assert out.count() == 502 and N.ingest_rows(df, None).count() == 602
+    assert out.count() == 602 and N.ingest_rows(df, N.ROW_CAP).count() == 502
     assert out.filter("job_id = 'a' and row_idx = 0").first()["cells"] == ["h", ""]
 
 
