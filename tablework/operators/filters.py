@@ -104,8 +104,6 @@ def flag_rule(df: DataFrame, column: str, op: str = "gt", value=0, value2=None,
 
 def scale_min_max(df: DataFrame, column: str, out: str = "position") -> DataFrame:
     """Position of the value between the column's minimum and maximum (0..1)."""
-    # One row of two numbers: always small enough to send everywhere.
-    ends = df.agg(F.min(column).alias("__lo"), F.max(column).alias("__hi")).withColumn("__one", F.lit(1))
-    joined = df.withColumn("__one", F.lit(1)).join(F.broadcast(ends), "__one")
-    pos = F.try_divide((F.col(column) - F.col("__lo")).cast("double"), (F.col("__hi") - F.col("__lo")).cast("double"))
-    return joined.withColumn(out, pos).drop("__one", "__lo", "__hi")
+    ends = df.agg(F.struct(F.min(column).alias("lo"), F.max(column).alias("hi"))).scalar()
+    pos = F.try_divide((F.col(column) - ends["lo"]).cast("double"), (ends["hi"] - ends["lo"]).cast("double"))
+    return df.withColumn(out, pos)
