@@ -841,56 +841,64 @@ def app_shell_pages(spark, sf):
     return HT.flag_app_shell(table(spark, sf, "pages")).select("page_id", "text_chars", "tables", "app_shell")
 
 
-def _line_grids(spark, sf):
-    """Lines of an order as a small grid per supplier and order, plus a header row."""
-    li = table(spark, sf, "lineitem").select(
-        F.col("l_suppkey").alias("source_id"), F.col("l_orderkey").alias("table_idx"),
-        F.row_number().over(Window.partitionBy("l_suppkey", "l_orderkey").orderBy("l_linenumber", "l_partkey", "l_returnflag", "l_linestatus")).alias("row_idx"),
-        F.array(F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_partkey").cast("string")).alias("cells"),
-    )
-    heads = li.select("source_id", "table_idx").distinct().select(
-        "*", F.lit(0).alias("row_idx"), F.array(F.lit("flag"), F.lit(" status"), F.lit("part")).alias("cells")
+def _order_grids(spark, sf):
+    """Every order as a small grid of its customer: a header and one to three rows, 3 or 4 wide."""
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    st, order, cust = F.col("o_orderstatus"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+
+    def line(i, cells, more, keep):
+        wide = F.concat(F.array(*cells), F.when(urgent, F.array(F.lit(more))).otherwise(F.array().cast("array<string>"))) if more else F.array(*cells)
+        return F.when(keep, F.struct(F.lit(i).alias("row_idx"), wide.alias("cells")))
+
+    rows = F.array(
+        line(0, [F.lit("flag"), F.lit(" status"), F.lit("part")], "x", F.lit(True)),
+        line(1, [st, F.col("o_orderpriority"), order], "1", F.lit(True)),
+        line(2, [F.col("o_orderpriority"), F.lit(""), cust], "2", st != "P"),
+        line(3, [F.lit("z")], None, st == "F"),
     )
-    return li.unionByName(heads)
+    grid = table(spark, sf, "orders").withColumn("g", F.explode(F.array_compact(rows)))
+    return grid.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("table_idx"), "g.row_idx", "g.cells")
 
 
-SQL_GRIDS = """g AS (SELECT l_suppkey AS source_id, l_orderkey AS table_idx, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus) AS row_idx,
-  l_returnflag || '|' || l_linestatus || '|' || l_partkey AS cells FROM lineitem UNION ALL SELECT DISTINCT l_suppkey, l_orderkey, 0, 'flag| status|part' FROM lineitem)"""
+SQL_GRIDS = """g AS (SELECT o_custkey AS source_id, o_orderkey AS table_idx, v.i AS row_idx, o_orderpriority = '1-URGENT' AS urgent, o_orderstatus AS st,
+  CASE v.i WHEN 0 THEN 'flag| status|part' WHEN 1 THEN o_orderstatus || '|' || o_orderpriority || '|' || o_orderkey WHEN 2 THEN o_orderpriority || '||' || o_custkey ELSE 'z' END
+  || CASE WHEN o_orderpriority <> '1-URGENT' OR v.i = 3 THEN '' WHEN v.i = 0 THEN '|x' ELSE '|' || v.i END AS cells
+ FROM orders, (VALUES (0), (1), (2), (3)) v(i) WHERE v.i < 2 OR (v.i = 2 AND o_orderstatus <> 'P') OR (v.i = 3 AND o_orderstatus = 'F'))"""
 
 
-@query(f"""WITH {SQL_GRIDS} SELECT source_id, table_idx, count(*) AS rows, 3 AS cols, 'flag; status;part' AS preview, true AS usable, count(*) >= 15 AS capture FROM g GROUP BY 1, 2""")
+@query(f"""WITH {SQL_GRIDS} SELECT source_id, table_idx, count(*) AS rows, CASE WHEN bool_or(urgent) THEN 4 ELSE 3 END AS cols,
+ CASE WHEN bool_or(urgent) THEN 'flag; status;part;x' ELSE 'flag; status;part' END AS preview, true AS usable, bool_or(urgent) AND count(*) >= 3 AS capture FROM g GROUP BY 1, 2""")
 def grid_summary(spark, sf):
-    out = G.grid_summary(_line_grids(spark, sf))
+    out = G.grid_summary(_order_grids(spark, sf))
     return out.withColumn("preview", F.array_join("preview", ";"))
 
 
-@query(f"""WITH {SQL_GRIDS}, c AS (SELECT source_id, table_idx, count(*) n FROM g GROUP BY 1, 2),
- b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY n DESC, table_idx) r FROM c) WHERE r = 1)
+@query(f"""WITH {SQL_GRIDS}, c AS (SELECT source_id, table_idx, count(*) * CASE WHEN bool_or(urgent) THEN 4 ELSE 3 END AS area FROM g GROUP BY 1, 2),
+ b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY area DESC, table_idx) r FROM c) WHERE r = 1)
 SELECT g.source_id, g.table_idx, g.row_idx, g.cells FROM g JOIN b ON g.source_id = b.source_id AND g.table_idx = b.table_idx""")
 def largest_grid(spark, sf):
-    return G.largest_grid(_line_grids(spark, sf)).withColumn("cells", F.array_join("cells", "|"))
+    return G.largest_grid(_order_grids(spark, sf)).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query(f"""WITH {SQL_GRIDS}, c AS (SELECT *, count(*) OVER (PARTITION BY source_id, table_idx) n FROM g)
-SELECT source_id, table_idx, row_idx, split_part(cells, '|', 2) || '|' || split_part(cells, '|', 3) AS cells FROM c WHERE row_idx + 1 BETWEEN least(2, n) AND least(3, n)""")
+@query(f"WITH {SQL_GRIDS} SELECT source_id, table_idx, row_idx, substr(cells, strpos(cells, '|') + 1) AS cells FROM g WHERE row_idx BETWEEN 1 AND 2")
 def slice_grid(spark, sf):
-    return G.slice_grid(_line_grids(spark, sf), 3, 2, "B", 9).withColumn("cells", F.array_join("cells", "|"))
+    return G.slice_grid(_order_grids(spark, sf), 3, 2, "B", 9).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query(f"""WITH {SQL_GRIDS}, f AS (SELECT source_id, min(table_idx) AS first FROM g GROUP BY 1)
-SELECT g.source_id, g.table_idx, g.row_idx, g.cells FROM g JOIN f ON g.source_id = f.source_id WHERE row_idx > 0 OR table_idx = first""")
+@query(f"""WITH {SQL_GRIDS}, f AS (SELECT source_id, min(table_idx) AS first, bool_and(urgent) OR NOT bool_or(urgent) AS same FROM g GROUP BY 1)
+SELECT g.source_id, g.table_idx, g.row_idx, g.cells FROM g JOIN f ON g.source_id = f.source_id WHERE row_idx > 0 OR table_idx = first OR NOT same""")
 def stack_grids(spark, sf):
-    return G.stack_grids(_line_grids(spark, sf)).withColumn("cells", F.array_join("cells", "|"))
+    return G.stack_grids(_order_grids(spark, sf)).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query(f"WITH {SQL_GRIDS} SELECT source_id, table_idx, row_idx, cells FROM g WHERE row_idx > 0")
+@query(f"WITH {SQL_GRIDS} SELECT source_id, table_idx, row_idx, cells FROM g WHERE row_idx > 0 OR urgent")
 def append_without_header(spark, sf):
-    return G.append_rows(["flag", "status", "part"], _line_grids(spark, sf)).withColumn("cells", F.array_join("cells", "|"))
+    return G.append_rows(["flag", "status", "part"], _order_grids(spark, sf)).withColumn("cells", F.array_join("cells", "|"))
 
 
-@query("SELECT DISTINCT l_suppkey AS source_id, l_orderkey AS table_idx, true AS has_header FROM lineitem")
+@query("SELECT o_custkey AS source_id, o_orderkey AS table_idx, true AS has_header FROM orders")
 def header_rows(spark, sf):
-    return G.flag_header_rows(_line_grids(spark, sf))
+    return G.flag_header_rows(_order_grids(spark, sf))
 
 
 @query("""SELECT p_partkey AS source_id, 0 AS table_idx, v.r AS row_idx, CASE v.r WHEN 0 THEN p_name || '|' || p_brand ELSE p_type || '|' || p_size END AS cells FROM part, (VALUES (0), (1)) v(r)""")
