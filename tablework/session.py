@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import NullType
 
 
 def build_session(app: str = "tablework", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,8 +43,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` through the shared folder (survives lost executors)."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``: a table written below the shared folder and read back.
+
+    Survives lost executors, is computed once, and lets each reader take only its columns."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    if any(isinstance(f.dataType, NullType) for f in df.schema.fields):
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
