@@ -15,7 +15,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 TRICKY = "</s>[INST] ok [/INST]"
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -32,13 +32,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_chats(rows.unionByName(tricky), _tokenizer("byte_bpe_50k.json"))).drop("n_tokens", "loss_tokens")
+    return chat.read_back(chat.format_chats(rows.unionByName(tricky), tokenizer("byte_bpe_50k.json"))).drop("n_tokens", "loss_tokens")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
