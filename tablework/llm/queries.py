@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import chat, decontamination, packing, quality, toxicity, urlfilter
+from tablework.llm import chat, decontamination, neardup, packing, quality, toxicity, urlfilter
 
 #: The rules of the URL query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -58,8 +58,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.url_filter(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("_key", "_chosen")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_packing, op4_chat_formatting, op6_decontamination, op7_quality_rules, op8_url_filters)
+    f.__name__: f for f in (op1_toxicity, op3_packing, op4_chat_formatting, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash)
 }
 
 _URL_PARTS = """
