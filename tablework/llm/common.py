@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -66,12 +65,10 @@ def per_row(df: DataFrame, schema: StructType, keep: int, make: Callable[[], Cal
     return map_arrow(df, schema, rows)
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
+def join_checked(big: DataFrame, small: DataFrame, on: list[str] | Column, how: str = "inner", rows: int = BROADCAST_ROWS, counted: int | None = None) -> DataFrame:
     """Join with a side that is counted first: broadcast if it has at most ``rows`` rows, else shuffled with skew handling.
 
-    Hand in a side that was written already; counting it reads no column."""
-    return big.join(F.broadcast(small) if small.count() <= rows else small, on, how)
-
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)
+    Hand in a side that was written already, as counting it then reads no column; where its rows hold lists, hand in the number of their
+    elements as ``counted``."""
+    n = small.count() if counted is None else counted
+    return big.join(F.broadcast(small) if n <= rows else small, on, how)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import chat, decontamination, neardup, packing, quality, toxicity, urlfilter
+from tablework.llm import chat, decontamination, lm, neardup, packing, quality, substrings, toxicity, urlfilter
+from tablework.llm.common import text_bytes
 
 #: The rules of the URL query.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -31,6 +32,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_substrings(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -41,6 +46,12 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(rows.unionByName(tricky), tokenizer("byte_bpe_50k.json"))).drop("n_tokens", "loss_tokens")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = lm.learn(docs.where(~lm.held_out()).select(text_bytes("text")))
+    return lm.score(docs, model).withColumn("held_out", lm.held_out())
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -63,7 +74,7 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op3_packing, op4_chat_formatting, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_packing, op4_chat_formatting, op5_lm_scoring, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash)
 }
 
 _URL_PARTS = """
