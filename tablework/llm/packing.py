@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,14 @@ from tablework.llm.common import field, map_arrow, row_key, stage, text_bytes
 
 SEQUENCE = 4096
 END_ID = 2
-#: Words whose ids a task remembers, and the longest word that it remembers.
-CACHED_WORDS = 400_000
+#: Words and pieces of words whose ids a task remembers, the longest one that it remembers, and how many it encodes at once.
+CACHED = 600_000
 CACHED_BYTES = 64
+ENCODED = 8192
+#: What stands for each byte in the vocabulary: itself if it can be seen, else the next character from 256 on.
+SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_SIGNS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in SEEN)}
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Rows of one length are numbered in so many parts.
 PARTS = 64
 #: Bound on the combinations that the solver sees, and its steps.
@@ -28,19 +34,50 @@ STEPS = 400
 
 
 class WordIds:
-    """Token ids of texts as little-endian 32-bit numbers, word by word.
+    """Token ids of texts as little-endian 32-bit numbers, word by word; ids of words and of words without a last ``.,!?`` are remembered.
 
-    Right for tokenizers whose pieces never cross ASCII white space and whose normalisation does not look beyond it."""
+    Right for byte-level BPE that lower-cases, whose pieces never cross ASCII white space or go from a letter or digit to such a sign, and whose
+    normalisation does not look beyond these."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+
+    def _letters(self, word: bytes) -> str | None:
+        """The word as the model's merges see it, if it is Latin letters only: one piece then, without the steps before the merges."""
+        if word.isalpha():
+            return word.lower().decode()
+        text = unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()
+        return text.encode().decode("latin-1").translate(BYTE_SIGNS) if text.isalpha() and max(text) < "\u0250" else None
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(words, encoded, strict=True)}
+        parts = []
+        for w in words:
+            core = w.rstrip(b".,!?")
+            parts.append((core, w[len(core) :]) if core[-1:].isalnum() else (w, b""))
+        if len(self.pieces) > CACHED:
+            self.pieces.clear()
+        new = [x for x in {y for p in parts for y in p} if x and x not in self.pieces]
+        made = {b"": b""}
+        rest = []
+        tokenize = self.model.tokenize
+        for x in new:
+            signs = self._letters(x)
+            if signs is None:
+                rest.append(x)
+            else:
+                made[x] = array("I", [t.id for t in tokenize(signs)]).tobytes()
+        for k in range(0, len(rest), ENCODED):
+            some = rest[k : k + ENCODED]
+            encoded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
+            made.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, encoded, strict=True))
+        self.pieces.update((k, v) for k, v in made.items() if len(k) <= CACHED_BYTES)
+        found = self.pieces if len(made) == sum(len(k) <= CACHED_BYTES for k in made) else self.pieces | made
+        return {w: found[a] + found[b] for w, (a, b) in zip(words, parts, strict=True)}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Texts are gone through in portions of some megabytes."""
@@ -49,15 +86,14 @@ class WordIds:
             end, size = at, 0
             while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
                 size, end = size + len(texts[end]), end + 1
-            portion = [t.split() for t in texts[at:end]]
-            new = set(chain.from_iterable(portion)).difference(self.known)
+            # special tokens are told by their case
+            portion = [t.split() if b"<|" in t else t.translate(LOWER).split() for t in texts[at:end]]
+            if len(self.known) > CACHED:
+                self.known.clear()
+            new = set().union(*portion).difference(self.known)
             learnt = self._learn(list(new)) if new else {}
-            if len(self.known) + len(learnt) > CACHED_WORDS:
-                here = set(chain.from_iterable(portion))
-                self.known = {k: v for k, v in self.known.items() if k in here}
-            short = {k: v for k, v in learnt.items() if len(k) <= CACHED_BYTES}
-            self.known.update(short)
-            find = self.known.__getitem__ if len(short) == len(learnt) else (self.known | learnt).__getitem__
+            self.known.update((k, v) for k, v in learnt.items() if len(k) <= CACHED_BYTES)
+            find = (self.known if all(len(k) <= CACHED_BYTES for k in learnt) else self.known | learnt).__getitem__
             for words in portion:
                 yield b"".join(map(find, words))
             at = end
