@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import chat, decontamination, lm, neardup, packing, quality, substrings, toxicity, urlfilter
+from tablework.llm import chat, decontamination, lm, neardup, packing, passages, quality, substrings, toxicity, urlfilter
 from tablework.llm.common import text_bytes
 
 #: The rules of the URL query.
@@ -73,8 +73,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents")).drop("_key", "_chosen")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup_passages(_table(spark, sf_dir, "documents")).drop("kept_text", "_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_packing, op4_chat_formatting, op5_lm_scoring, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_packing, op4_chat_formatting, op5_lm_scoring, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash, op10_substring_dedup)
 }
 
 _URL_PARTS = """
