@@ -63,8 +63,9 @@ class FunctionRegistry:
         return f
 
     def apply_rows(self, name: str, df: DataFrame, **args) -> DataFrame:
-        """Row-set function over a DataFrame.  The function maps one pandas batch to another; a batch
-        that fails gives one row with ``status`` = error and the message instead of failing the job."""
+        """Row-set function over a DataFrame.  The function maps one pandas batch to another.  A batch that fails is
+        halved until the rows that fail stand alone; each gives one row with ``status`` = error, the message and
+        those of its own cells that the result has columns for."""
         f = self._checked(name, args)
         if f.kind != "rows":
             raise ValueError(f"{name} is not a row-set function")
@@ -74,11 +75,19 @@ class FunctionRegistry:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             params = json.loads(payload)
             for pdf in batches:
-                try:
-                    out = fn(pdf, **params)[names].copy()
-                    out["status"], out["error"] = "ok", None
-                except Exception as exc:  # noqa: BLE001 - reported as data
-                    out = pd.DataFrame([{**dict.fromkeys(names), "status": "error", "error": str(exc)}])
-                yield out
+                todo = [pdf]
+                while todo:
+                    part = todo.pop()
+                    try:
+                        out = fn(part, **params)[names].copy()
+                        out["status"], out["error"] = "ok", None
+                    except Exception as exc:  # noqa: BLE001 - reported as data
+                        if len(part) > 1:
+                            half = len(part) // 2
+                            todo += [part.iloc[half:], part.iloc[:half]]
+                            continue
+                        own = {n: part[n].iloc[0] if n in part and len(part) else None for n in names}
+                        out = pd.DataFrame([{**own, "status": "error", "error": str(exc)}])
+                    yield out
 
         return df.mapInPandas(run, f"{f.schema}, status string, error string")

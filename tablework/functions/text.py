@@ -57,11 +57,12 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 
 # ------------------------------------------------------------------ batch arithmetic inside tasks
-_SPACE = re.compile(r"\s+")
+# Java reads \s as ASCII white space; so must the tasks, or both forms cut texts differently.
+_SPACE = re.compile(WS_CLASS + "+", re.ASCII)
 
 
 def clean(text: str | None) -> str:
-    return _SPACE.sub(" ", str(text or "").lower()).strip()
+    return _SPACE.sub(" ", str(text or "").lower()).strip(" ")
 
 
 def packed_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -28,18 +28,24 @@ def url_host(c: Column | str) -> Column:
     return F.lower(F.when(v6 != "", v6).otherwise(F.regexp_replace(host, r":\d*$", "")))
 
 
-def host_key(c: Column | str) -> Column:
+def _cut(c: Column, limit: int | None) -> Column:
+    return F.substring(c, 1, limit) if limit else c
+
+
+def host_key(c: Column | str, limit: int | None = None) -> Column:
+    """Folder name of a host.  With ``limit`` long names are cut, and hosts that begin alike may share one."""
     aliases = F.create_map(*[F.lit(x) for kv in HOST_ALIASES.items() for x in kv])
     host = _let(F.replace(url_host(c), F.lit("www."), F.lit("")), lambda h: F.coalesce(aliases[h], h))
     key = F.btrim(F.regexp_replace(host, r"[^a-z0-9._-]+", "_"), F.lit("._"))
-    return F.substring(_let(key, lambda k: F.when(k == "", "unknown").otherwise(k)), 1, 64)
+    return _cut(_let(key, lambda k: F.when(k == "", "unknown").otherwise(k)), limit)
 
 
-def sheet_name_from_url(c: Column | str) -> Column:
+def sheet_name_from_url(c: Column | str, limit: int | None = None) -> Column:
+    """Name for a sheet; spreadsheet programs want a ``limit`` (28 leaves room for a number)."""
     host = F.replace(url_host(c), F.lit("www."), F.lit(""))
     host = F.btrim(F.regexp_replace(host, r"[^A-Za-z0-9一-鿿._-]+", "_"), F.lit("._"))
     host = F.when(host == "", _SHEET_PREFIX).otherwise(host)
-    return F.substring(F.concat(F.lit(_SHEET_PREFIX + "_"), host), 1, 28)
+    return _cut(F.concat(F.lit(_SHEET_PREFIX + "_"), host), limit)
 
 
 def _ipv4_number(host: Column) -> Column:
@@ -79,7 +85,7 @@ def _ipv6_blocked(host: Column) -> Column:
 def url_is_safe(c: Column | str) -> Column:
     """http(s) URL without user info whose host is no local, private or reserved address."""
     raw = F.btrim(F.coalesce(_col(c), F.lit("")))
-    authority = F.regexp_extract(raw, r"^https?://([^/?#]*)", 1)
+    authority = F.regexp_extract(raw, r"(?i)^https?://([^/?#]*)", 1)
     shaped = raw.rlike(r"(?i)^https?://[^\s<>\"')]+$") & raw.rlike(r"(?i)^https?://[^/?#]")
     public = _let(F.btrim(url_host(raw), F.lit(".")), _public_host)
     return F.coalesce(shaped & ~authority.contains("@") & public, F.lit(False))

@@ -13,7 +13,6 @@ from tablework.functions.columns import normalize_key
 from tablework.functions.names import aggregation, match_field, require_columns
 from tablework.operators.filters import filter_rows, predicate
 
-PIVOT_LIMIT = 10000
 
 
 def sum_by(df: DataFrame, group: str, value: str, total: str = "合计", order_by: Sequence[str] | None = None, ignore_case: bool = False) -> DataFrame:
@@ -59,6 +58,9 @@ def pivot_table(
 ) -> DataFrame:
     """Row fields down, column values across.  ``values`` = ``{field, aggregation}``.
 
+    Column values are told apart field by field, NULL from blank text too; values that read alike get numbered names.
+    They are names of columns of the result, so all of them pass through the driver.
+
     With ``totals`` every prefix of the row fields gets a subtotal row (``__level`` counts the
     rolled-up fields) and every value a total over all columns."""
     rows = [match_field(r, df.columns) for r in rows]
@@ -70,18 +72,23 @@ def pivot_table(
     if filters:
         df = filter_rows(df, filters)
     specs = [(match_field(v["field"], df.columns), aggregation(v.get("aggregation"))) for v in values]
-    key = F.concat_ws("_", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]) if columns else None
+    fields = [F.col(f"`{c}`").cast("string") for c in columns]
     if columns and column_values is None:
-        found = df.select(key.alias("v")).distinct().limit(PIVOT_LIMIT + 1).collect()
-        if len(found) > PIVOT_LIMIT:
-            raise ValueError(f"more than {PIVOT_LIMIT} column values")
-        column_values = sorted(r["v"] for r in found)
-    need = {*rows, *[f for f, _ in specs]}
-    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c in need], *([key.alias("__key")] if columns else []))
+        found = {tuple(r) for r in df.select(*fields).distinct().collect()}
+    else:
+        found = {tuple(v) if isinstance(v, tuple | list) else (v,) for v in column_values or ()}
+    wanted = sorted((tuple(None if x is None else str(x) for x in v) for v in found), key=lambda v: [(x is not None, x or "") for x in v])
+    need = {*rows, *columns, *[f for f, _ in specs]}
+    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c in need])
     aggs = []
-    for v in column_values or []:
-        at = F.col("__key") == F.lit(str(v))
-        aggs += [getattr(F, a)(F.when(at, F.col(f"`{f}`"))).alias(f"{v}_{a}_{f}") for f, a in specs]
+    labels: list[str] = []
+    for v in wanted:
+        label, n = "_".join(x or "" for x in v), 2
+        while label in labels:
+            label, n = f"{'_'.join(x or '' for x in v)}_{n}", n + 1
+        labels.append(label)
+        at = reduce(lambda a, b: a & b, [f.eqNullSafe(F.lit(x)) for f, x in zip(fields, v, strict=True)])
+        aggs += [getattr(F, a)(F.when(at, F.col(f"`{f}`"))).alias(f"{label}_{a}_{f}") for f, a in specs]
     if totals or not columns:
         prefix = "total_" if columns else ""
         aggs += [getattr(F, a)(F.col(f"`{f}`")).alias(f"{prefix}{a}_{f}") for f, a in specs]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import zip_longest
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,55 +15,48 @@ from tablework.operators.infer import ID_HEADER, NOT_ID_HEADER
 
 # Header texts that are data.
 NOISY_HEADER = r"(?i)CNY|¥|\$\s?\d|颗星|选项:|^\+?\d+(\.\d+)?$"
-_BRACKETS = re.compile(r"[()（）]")
 
 
-def _squeeze(text: str | None) -> str:
-    return re.sub(r"\s+", " ", str(text or "")).strip()
+class _Part:
+    """One cell of a header path, taken apart once: the text, a bare form to compare and start names with, and a form that stands alone."""
 
+    def __init__(self, cell: str | None) -> None:
+        self.text = " ".join(str(cell or "").split())
+        plain = self.text.translate({ord(c): None for c in "()（）"})
+        self.bare = plain.translate({ord(c): None for c in ". \t"})
+        self.alone = "_".join(filter(None, plain.replace(".", "_").split("_")))
+        self.qualified = any(c in self.text for c in ".(（")
 
-def _label(text: str | None) -> str:
-    """A stable name part: no brackets, dots or spaces."""
-    return re.sub(r"[.\s]+", "", _BRACKETS.sub("", str(text or "")))
 
+def _tail(name: str, part: _Part) -> str:
+    """What a cell says beyond the name it starts with."""
+    return _Part(part.text[len(name) :].lstrip(" ._-:：")).bare
 
-def _alone(text: str) -> str:
-    """A child label that stands for itself: dots become single underscores."""
-    return re.sub(r"_+", "_", _BRACKETS.sub("", text).replace(".", "_")).strip("_")
 
-
-def _join(parent: str, child: str, sep: str) -> str:
-    top = _label(parent)
-    if not top or child == top:
-        return _alone(child) or top
-    if child.startswith(top):
-        tail = re.sub(r"^[\s._\-:：]+", "", child[len(top):])
-        tail = _label(re.sub(r"\)$", "", re.sub(r"^\(", "", tail)))
-        return top + sep + tail if tail else top
-    flat = _alone(child)
-    if re.search(r"[.(（]", child) or not flat:
-        return flat or top
-    return top + sep + flat
+# What a cell below a name makes of it: the first rule that fits.
+_BELOW = (
+    (lambda name, part: not name or part.text == name, lambda name, part, sep: part.alone or name),
+    (lambda name, part: part.text.startswith(name), lambda name, part, sep: sep.join(filter(None, (name, _tail(name, part))))),
+    (lambda name, part: part.qualified or not part.alone, lambda name, part, sep: part.alone or name),
+    (lambda name, part: True, lambda name, part, sep: name + sep + part.alone),
+)
 
 
 def flatten_names(rows: Sequence[Sequence[str | None]], sep: str = "_") -> list[str]:
-    """One unique name per column from several header rows; parent cells reach to the right."""
-    width = max((len(r) for r in rows), default=0)
-    grid = [[_squeeze(r[i]) if i < len(r) else "" for i in range(width)] for r in rows]
-    carried = []
-    for row in grid:
-        last, line = "", []
-        for cell in row:
-            last = cell or last
-            line.append(last)
-        carried.append(line)
+    """One unique name per column from several header rows; the cells of the first row reach to the right, and where nothing stands above
+    a cell, so does the last cell of its own row."""
+    paths = list(zip_longest(*rows)) if rows else []
+    reach = [""] * len(rows)
     names = []
-    for i in range(width):
-        name = _label(carried[0][i])
-        for level in range(1, len(grid)):
-            if grid[level][i]:
-                name = _join(name or _label(carried[level][i]), grid[level][i], sep)
-        names.append(name or f"列{i + 1}")
+    for path in paths:
+        parts = [_Part(cell) for cell in path]
+        reach = [part.bare or last for part, last in zip(parts, reach, strict=True)]
+        name = reach[0]
+        for part, above in list(zip(parts, reach, strict=True))[1:]:
+            if part.text:
+                name = name or above
+                name = next(make for fits, make in _BELOW if fits(name, part))(name, part, sep)
+        names.append(name or None)
     return unique_headers(names)
 
 

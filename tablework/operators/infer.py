@@ -26,10 +26,10 @@ def _cells(df: DataFrame, name: str) -> Column:
     return F.when(text != "", text)
 
 
-def kind_rates(df: DataFrame, sample: int | None = 12) -> DataFrame:
+def kind_rates(df: DataFrame, sample: int | None = None) -> DataFrame:
     """Share of non-empty cells per pattern, one row per column, in one pass.
 
-    ``sample`` limits the rows looked at; None reads the whole table."""
+    The whole table counts unless ``sample`` limits the rows looked at."""
     src = df.limit(sample) if sample else df
     tests = {
         "id_rate": lambda s: s.rlike(ID_CELL),
@@ -55,7 +55,7 @@ def kind_rates(df: DataFrame, sample: int | None = 12) -> DataFrame:
     return wide.select(F.explode(F.array(*[entry(i, n) for i, n in enumerate(df.columns)])).alias("e")).select("e.*")
 
 
-def infer_kinds(df: DataFrame, sample: int | None = 12) -> DataFrame:
+def infer_kinds(df: DataFrame, sample: int | None = None) -> DataFrame:
     """``kind_rates`` plus the kind: id_text, datetime, plain_text, amount, percent or number."""
     h = F.trim("column")
     id_head = (h != "") & ~h.rlike(NOT_ID_HEADER) & h.rlike(ID_HEADER)

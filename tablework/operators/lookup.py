@@ -11,7 +11,8 @@ from tablework import scale
 from tablework.functions.columns import normalize_key
 from tablework.functions.names import require_columns
 
-SMALL_TIERS = 4096
+#: Tiers that are sent everywhere as lists; longer tables are merged in value order.  Both give the same rows.
+SMALL_TIERS = 512
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str | Sequence[str], bring: Sequence[str] | None = None, order_by: Sequence[str] | None = None, case_sensitive: bool = False) -> DataFrame:
@@ -46,10 +47,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str | Sequence[str], bring: S
 
 def tier_lookup(df: DataFrame, tiers: DataFrame, value: str, tier: str, bring: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Columns of the largest tier at or below the value (per ``by``); none found gives NULL and
-    ``tier_found`` = false."""
+    ``tier_found`` = false.
+
+    Tiers without a breakpoint or a ``by`` value fit nothing; of tiers with one breakpoint the one with the largest columns counts."""
     by = list(by)
     require_columns(df.columns, [value, *by], "table")
     require_columns(tiers.columns, [tier, *bring, *by], "tier table")
+    known = tiers.withColumn("__tier", F.col(f"`{tier}`").cast("double")).dropna(subset=["__tier", *by])
+    tiers = known.groupBy(*[F.col(f"`{b}`") for b in by], F.col("__tier")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in bring])).alias("__best"))
+    tiers = tiers.select(*[F.col(f"`{b}`") for b in by], F.col("__tier").alias(tier), "__best.*")
     if scale.fits_broadcast(tiers) and tiers.limit(SMALL_TIERS + 1).count() <= SMALL_TIERS:
         out = _tiers_from_list(df, tiers, value, tier, bring, by)
     else:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +13,13 @@ from tablework.functions.columns import cell_text, collapse_ws, to_date, to_numb
 from tablework.functions.names import letter, resolve_column
 
 COERCIONS = ("number", "text", "date")
-NAME_LIMIT = 24
 
 
 def normalize_specs(raw: Sequence[dict]) -> list[dict]:
     """Usable specs only: an output name, a source, and a known coercion."""
     out = []
     for spec in raw or []:
-        name = str((spec or {}).get("as") or "").strip()[:NAME_LIMIT]
+        name = str((spec or {}).get("as") or "").strip()
         if not name:
             continue
         merge = [int(m) if str(m).isdigit() else m for m in spec.get("merge") or []]
@@ -130,10 +130,10 @@ PATTERNS = {
 }
 
 
-def profile_columns(df: DataFrame, sample: int | None = 12, has_header: bool = True) -> DataFrame:
+def profile_columns(df: DataFrame, sample: int | None = None, has_header: bool = True) -> DataFrame:
     """Mean cell length and the share of cells matching each pattern, one row per column.
 
-    Looks at the first ``sample`` rows, or at the whole table with None; one pass either way."""
+    Looks at the whole table, or at ``sample`` rows of it if given; one pass either way."""
     src = df if has_header else headerless(df)
     names = src.columns
     if sample:
@@ -159,88 +159,104 @@ def profile_columns(df: DataFrame, sample: int | None = 12, has_header: bool = T
     return src.select(*cells).agg(*aggs).select(F.explode(F.array(*entry)).alias("e")).select("e.*")
 
 
+def _over(x: float) -> float:
+    return math.nextafter(x, math.inf)
+
+
+ANY = math.inf
+# How much each measure of a column counts for a role, what a measure in [low, high) adds, what rules a column out,
+# and the least score.  ``left`` and ``right`` are a column's places from either end, ``tail`` its place from the right in wide tables.
+ROLES: dict[str, dict] = {
+    "排名": {"weights": {"rank": 2}, "adds": [("left", 0, 1, 0.3)]},
+    "标题": {
+        "weights": {"mean_length": 0.08},
+        "adds": [("price", -ANY, 0.3, 0.2), ("left", 1, 2, 0.6), ("left", 2, 4, 0.1), ("left", 4, ANY, -0.2)],
+        "never": [("bought", _over(0.2), ANY), ("rank", _over(0.5), ANY), ("left", 0, 1)],
+    },
+    "售价": {"merged": True, "coerce": "number"},
+    "评分": {"weights": {"star": 3}, "coerce": "number"},
+    "尺码数": {
+        "weights": {"size_count": 2.5},
+        "adds": [("left", 0, 7, 0.35)],
+        "never": [("kinds", _over(0), ANY), ("left", 0, 2), ("left", 13, ANY), ("price", _over(0.4), ANY), ("size_count", -ANY, 0.4)],
+    },
+    "评论数": {
+        "weights": {"review": 3, "rank": -1},
+        "adds": [("mean_length", 5, ANY, 0.15)],
+        "never": [("price", _over(0.5), ANY), ("short_digits", 1, ANY)],
+        "coerce": "number", "as_text": ("bracket", _over(0), ANY),
+    },
+    "月购买": {"weights": {"bought": 3}, "never": [("bought", -ANY, 0.3)]},
+    "市场价": {
+        "weights": {"list_price": 3, "price": 0.3},
+        "adds": [("tail", 0, 10, 0.4)],
+        "never": [("bought", _over(0.2), ANY), ("review", _over(0.3), ANY)],
+        "coerce": "number",
+    },
+    "配送费": {"weights": {"shipping": 3}, "adds": [("tail", 0, 4, 0.5), ("right", 0, 1, 0.3)], "coerce": "number"},
+}
+LEAST_SCORE = 0.05
+WIDE = 18
+# What the neighbouring columns of one price hold, and how many of them are no part of the number.
+PRICE_RUNS = (("cny digits dot cents", 1), ("digits dot cents", 0), ("cny digits dot|cents", 1))
+
+
+def _measures(profile: DataFrame) -> list[dict]:
+    """The profile's rows in column order with the places and marks that roles look at."""
+    made = sorted((r.asDict() for r in profile.collect()), key=lambda r: r["idx"])
+    width = len(made)
+    for c in made:
+        c["left"], c["right"] = c["idx"], width - 1 - c["idx"]
+        c["tail"] = c["right"] if width >= WIDE else ANY
+        c["short_digits"] = float(c["filled"] > 0 and c["digits"] == 1 and c["mean_length"] <= 4)
+    return made
+
+
+def _suits(column: dict, role: dict) -> float:
+    """Weighted sum of a column's measures and additions; minus infinity where something rules it out."""
+    if any(low <= column[m] < high for m, low, high in role.get("never", ())):
+        return -ANY
+    return sum(w * column[m] for m, w in role["weights"].items()) + sum(x for m, low, high, x in role.get("adds", ()) if low <= column[m] < high)
+
+
+def _price_run(columns: list[dict]) -> list[int]:
+    """Numbers of free neighbouring columns that spell a price, the first kind of run found anywhere."""
+    for run, skipped in PRICE_RUNS:
+        wanted = [w.split("|") for w in run.split()]
+        for line in zip(*(columns[k:] for k in range(len(wanted))), strict=False):
+            if not any(c["taken"] or not c["filled"] for c in line) and all(any(c[w] == 1 for w in ws) for c, ws in zip(line, wanted, strict=True)):
+                return [c["idx"] for c in line][skipped:]
+    return []
+
+
 def infer_projection(profile: DataFrame, targets: Sequence[str]) -> list[dict]:
-    """Assign the requested targets to columns, best score first come; a spec list for ``project``.
+    """A spec list for ``project``: roles take the free column that suits them best, in the order of ROLES.
 
     Works on the profile table only (one row per column).  Too few hits raise."""
     if not targets:
         raise ValueError("name the target columns")
-    cols = sorted((r.asDict() for r in profile.collect()), key=lambda r: r["idx"])
-    if len(cols) < 2:
+    columns = [c | {"taken": False} for c in _measures(profile)]
+    if len(columns) < 2:
         raise ValueError("the table is too narrow to infer a projection")
-    width, used, specs = len(cols), set(), {}
-
-    def best(score: Callable[[dict], float | None]) -> int | None:
-        ranked = [(score(c), -c["idx"]) for c in cols if c["idx"] not in used]
-        ranked = [r for r in ranked if r[0] is not None]
-        top = max(ranked, default=(0.0, 0))
-        return -top[1] if top[0] > 0.05 else None
-
-    def assign(target: str, at: int | None, coerce: str | None = None):
-        if target in targets and at is not None:
-            specs[target] = {"as": target, "from": at} | ({"coerce": coerce} if coerce else {})
-            used.add(at)
-
-    def bonus(test: bool, amount: float) -> float:
-        return amount if test else 0.0
-
-    def title(c):
-        if c["bought"] > 0.2 or c["rank"] > 0.5 or c["idx"] == 0:
-            return None
-        place = 0.6 if c["idx"] == 1 else 0.1 if c["idx"] <= 3 else -0.2
-        return c["mean_length"] * 0.08 + bonus(c["price"] < 0.3, 0.2) + place
-
-    def sizes(c):
-        if c["kinds"] > 0 or not 2 <= c["idx"] <= 12 or c["price"] > 0.4 or c["size_count"] < 0.4:
-            return None
-        return c["size_count"] * 2.5 + bonus(c["idx"] <= 6, 0.35)
-
-    def reviews(c):
-        if c["price"] > 0.5 or (c["filled"] and c["digits"] == 1 and c["mean_length"] <= 4):
-            return None
-        return c["review"] * 3 + bonus(c["mean_length"] >= 5, 0.15) - c["rank"]
-
-    def list_price(c):
-        if c["bought"] > 0.2 or c["review"] > 0.3:
-            return None
-        return c["list_price"] * 3 + bonus(width >= 18 and c["idx"] >= width - 10, 0.4) + c["price"] * 0.3
-
-    def shipping(c):
-        last = bonus(width >= 18 and c["idx"] >= width - 4, 0.5) + bonus(c["idx"] == width - 1, 0.3)
-        return c["shipping"] * 3 + last
-
-    assign("排名", best(lambda c: c["rank"] * 2 + bonus(c["idx"] == 0, 0.3)))
-    assign("标题", best(title))
-    merge = _price_fragments(cols, used)
-    if "售价" in targets and merge:
-        specs["售价"] = {"as": "售价", "merge": merge, "separator": "", "coerce": "number"}
-        used.update(merge)
-    assign("评分", best(lambda c: c["star"] * 3), "number")
-    assign("尺码数", best(sizes))
-    at = best(reviews)
-    assign("评论数", at, None if at is not None and cols[at]["bracket"] > 0 else "number")
-    assign("月购买", best(lambda c: c["bought"] * 3 if c["bought"] >= 0.3 else None))
-    assign("市场价", best(list_price), "number")
-    assign("配送费", best(shipping), "number")
+    specs = {}
+    for name, role in ROLES.items():
+        if name not in targets:
+            continue
+        if role.get("merged"):
+            chosen = _price_run(columns)
+            spec: dict = {"as": name, "merge": chosen, "separator": ""}
+        else:
+            best = max((c for c in columns if not c["taken"]), key=lambda c: _suits(c, role), default=None)
+            chosen = [best["idx"]] if best is not None and _suits(best, role) > LEAST_SCORE else []
+            spec = {"as": name, "from": chosen[0] if chosen else None}
+        if not chosen:
+            continue
+        mark, low, high = role.get("as_text", ("idx", ANY, ANY))
+        if "coerce" in role and not any(low <= columns[k][mark] < high for k in chosen):
+            spec["coerce"] = role["coerce"]
+        specs[name] = spec
+        for k in chosen:
+            columns[k]["taken"] = True
     if len(specs) < min(3, len(targets)):
         raise ValueError(f"only {len(specs)} of {len(targets)} targets found; give the projection explicitly")
     return [specs[t] for t in targets if t in specs]
-
-
-def _price_fragments(cols: list[dict], used: set[int]) -> list[int] | None:
-    """Adjacent columns that spell one price: [CNY] digits . cents, or CNY digits and one more."""
-    shapes = (
-        (("cny", "digits", "dot", "cents"), 1),
-        (("digits", "dot", "cents"), 0),
-        (("cny", "digits", ("dot", "cents")), 1),
-    )
-    for shape, skip in shapes:
-        for at in range(len(cols) - len(shape) + 1):
-            window = cols[at : at + len(shape)]
-            fits = all(
-                c["idx"] not in used and c["filled"] and max(c[k] for k in ((want,) if isinstance(want, str) else want)) == 1
-                for c, want in zip(window, shape)
-            )
-            if fits:
-                return [c["idx"] for c in window[skip:]]
-    return None

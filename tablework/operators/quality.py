@@ -79,7 +79,7 @@ def profile_tables(spark: SparkSession, tables: dict[str, DataFrame] | None = No
     return out
 
 
-def profile_table(df: DataFrame, samples: int = 5, kind_rows: int | None = 12) -> DataFrame:
+def profile_table(df: DataFrame, samples: int = 5, kind_rows: int | None = None) -> DataFrame:
     """Index, letter, header, kind and up to ``samples`` sample cells per column."""
     head = df.limit(samples)
     cells = head.agg(*[F.collect_list(cell_text(F.col(f"`{n}`"), df.schema[n].dataType)).alias(f"s{i}") for i, n in enumerate(df.columns)])

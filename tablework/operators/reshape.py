@@ -115,8 +115,8 @@ def coerce_counts(df: DataFrame, column: str, to: str = "number") -> DataFrame:
     return df.select(kind.alias("k")).agg(*[F.count_if(F.col("k") == k).alias(k) for k in kinds])
 
 
-def coerce_columns(df: DataFrame, kinds: dict[str, str] | None = None, sample: int | None = 12) -> DataFrame:
-    """Apply one semantic kind per column (inferred from ``sample`` rows, or all rows with None)."""
+def coerce_columns(df: DataFrame, kinds: dict[str, str] | None = None, sample: int | None = None) -> DataFrame:
+    """Apply one semantic kind per column (inferred from all rows, or from ``sample`` rows if given)."""
     if kinds is None:
         from tablework.operators.infer import infer_kinds
 

@@ -16,7 +16,6 @@ from tablework.functions.text import EMBED_VERSION, clean, embed_batch, hash_emb
 
 CHUNK_SIZE = 900
 CHUNK_OVERLAP = 120
-MAX_HITS = 12
 QUERY_BATCH = 1024
 VECTOR_WEIGHT = 0.6
 LEXICAL_WEIGHT = 0.4
@@ -81,12 +80,14 @@ def upsert_documents(current: DataFrame, incoming: DataFrame, name: str = "name"
 
 
 def hybrid_search(chunks: DataFrame, queries: Sequence[str] | str | DataFrame, k: int = 5, doc_ids: Sequence | None = None, with_text: bool = True) -> DataFrame:
-    """Top ``k`` chunks (1..12) per query by 0.6 x cosine + 0.4 x share of query n-grams found.
+    """Top ``k`` chunks per query by 0.6 x cosine + 0.4 x share of query n-grams found.
 
     Chunks stay where they are: every task scores its chunks against all queries of a batch and
     passes on its own best ``k`` per query, so the shuffle carries k rows per task and query.  Queries
     come as a list, or as a DataFrame ``(query_id, query)`` which is worked off in batches."""
-    k = max(1, min(int(k or 5), MAX_HITS))
+    k = int(k)
+    if k < 1:
+        raise ValueError("k must be at least 1")
     if doc_ids is not None:
         chunks = chunks.filter(F.col("doc_id").isin(*doc_ids))
     if isinstance(queries, DataFrame):
@@ -96,15 +97,16 @@ def hybrid_search(chunks: DataFrame, queries: Sequence[str] | str | DataFrame, k
         if not given or any(not str(q or "").strip() for q in given):
             raise ValueError("query required")
         batches = [list(enumerate(given))]
+    id_type = queries.schema["query_id"].dataType.simpleString() if isinstance(queries, DataFrame) else "long"
     out = None
     for batch in batches:
-        part = _search(chunks, batch, k, with_text)
+        part = _search(chunks, batch, k, with_text, id_type)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _query_batches(queries: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    batch: list[tuple[int, str]] = []
+def _query_batches(queries: DataFrame) -> Iterator[list[tuple]]:
+    batch: list[tuple] = []
     for row in queries.filter(trim_ws("query") != "").select("query_id", "query").toLocalIterator():
         batch.append((row[0], row[1]))
         if len(batch) == QUERY_BATCH:
@@ -114,7 +116,7 @@ def _query_batches(queries: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield batch
 
 
-def _search(chunks: DataFrame, batch: list[tuple[int, str]], k: int, with_text: bool) -> DataFrame:
+def _search(chunks: DataFrame, batch: list[tuple], k: int, with_text: bool, id_type: str) -> DataFrame:
     ids = [q for q, _ in batch]
     texts = [clean(t) for _, t in batch]
 
@@ -141,7 +143,7 @@ def _search(chunks: DataFrame, batch: list[tuple[int, str]], k: int, with_text:
             yield _best(pdf, score, ids, k, with_text)
 
     kind = chunks.schema["doc_id"].dataType.simpleString()
-    schema = f"query_id long, doc_id {kind}, chunk_index int, raw_score double" + (", text string" if with_text else "")
+    schema = f"query_id {id_type}, doc_id {kind}, chunk_index int, raw_score double" + (", text string" if with_text else "")
     best = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text").mapInPandas(run, schema)
     order = [F.col("raw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
     position = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))

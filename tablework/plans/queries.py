@@ -929,9 +929,9 @@ def ingest_payload_rows(spark, sf):
     return out.select("job_id", "host", "row_idx", F.get("cells", F.lit(0)).alias("word"))
 
 
-@query("""SELECT doc_id AS job_id, CASE WHEN lang = 'fr' THEN 'no_table' ELSE 'ok' END AS status, substr('取数_' || source || '.example.com', 1, 28) AS sheet_name,
- CASE WHEN lang = 'fr' THEN 0 ELSE least(len(string_split(text, ' ')), 500) END AS row_count, CASE WHEN lang = 'fr' THEN 0 ELSE len(string_split(text, ' ')) END AS source_rows,
- lang <> 'fr' AND len(string_split(text, ' ')) > 500 AS truncated, CASE WHEN lang = 'fr' THEN 0 ELSE 2 END AS col_count FROM documents""")
+@query("""SELECT doc_id AS job_id, CASE WHEN lang = 'fr' THEN 'no_table' ELSE 'ok' END AS status, '取数_' || source || '.example.com' AS sheet_name,
+ CASE WHEN lang = 'fr' THEN 0 ELSE len(string_split(text, ' ')) END AS row_count, CASE WHEN lang = 'fr' THEN 0 ELSE len(string_split(text, ' ')) END AS source_rows,
+ false AS truncated, CASE WHEN lang = 'fr' THEN 0 ELSE 2 END AS col_count FROM documents""")
 def ingest_payload_summary(spark, sf):
     return N.summarize_payloads(_payloads(spark, sf)).drop("url", "sample_head")
 
@@ -939,7 +939,7 @@ def ingest_payload_summary(spark, sf):
 SQL_HOST = r"replace(regexp_extract(url, '^https?://([^/?#]+)', 1), 'www.', '')"
 
 
-@query(f"SELECT page_id, {SQL_HOST} AS host_key, substr('取数_' || {SQL_HOST}, 1, 28) AS sheet FROM pages")
+@query(f"SELECT page_id, {SQL_HOST} AS host_key, '取数_' || {SQL_HOST} AS sheet FROM pages")
 def host_keys(spark, sf):
     shouted = F.regexp_replace("url", "^(https?://)", "$1www.")
     return table(spark, sf, "pages").select("page_id", U.host_key(shouted).alias("host_key"), U.sheet_name_from_url("url").alias("sheet"))
@@ -948,7 +948,7 @@ def host_keys(spark, sf):
 @query("""SELECT page_id, true AS public, NOT (n BETWEEN 0 AND 16777215 OR n BETWEEN 167772160 AND 184549375 OR n BETWEEN 2130706432 AND 2147483647 OR n BETWEEN 2851995648 AND 2852061183
  OR n BETWEEN 2886729728 AND 2887778303 OR n BETWEEN 3221225472 AND 3221225727 OR n BETWEEN 3221225984 AND 3221226239 OR n BETWEEN 3232235520 AND 3232301055 OR n BETWEEN 3323068416 AND 3323199487
  OR n BETWEEN 3325256704 AND 3325256959 OR n BETWEEN 3405803776 AND 3405804031 OR n BETWEEN 3758096384 AND 4294967295) AS number_form, page_id > 255 OR page_id NOT IN (10, 127, 0, 172) AND page_id < 224 AS dotted,
- false AS user_info, false AS suffix, false AS scheme FROM (SELECT page_id, page_id * 17179869 AS n FROM pages)""")
+ false AS user_info, false AS shouted_user_info, true AS shouted, false AS suffix, false AS scheme FROM (SELECT page_id, page_id * 17179869 AS n FROM pages)""")
 def url_safety(spark, sf):
     i = F.col("page_id")
     return table(spark, sf, "pages").select(
@@ -956,6 +956,8 @@ def url_safety(spark, sf):
         U.url_is_safe(F.concat(F.lit("http://"), (i * 17179869).cast("string"), F.lit("/x"))).alias("number_form"),
         U.url_is_safe(F.concat(F.lit("http://"), i.cast("string"), F.lit(".20.30.40:8080"))).alias("dotted"),
         U.url_is_safe(F.regexp_replace("url", "://", "://me:pw@")).alias("user_info"),
+        U.url_is_safe(F.upper(F.regexp_replace("url", "://", "://me:pw@"))).alias("shouted_user_info"),
+        U.url_is_safe(F.upper("url")).alias("shouted"),
         U.url_is_safe(F.concat(F.lit("https://a"), i.cast("string"), F.lit(".lan/x"))).alias("suffix"),
         U.url_is_safe(F.regexp_replace("url", "^https?", "file")).alias("scheme"),
     )
@@ -1078,19 +1080,17 @@ def project_inferred(spark, sf):
 
 
 # ================================================================== streams and user functions
-@query("""SELECT event_id, prev AS previous_fetch, coalesce(epoch_us(ts) - epoch_us(prev) < 86400000000, false) AS repeat_fetch
-FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_id ORDER BY ts) prev FROM events) WHERE prev IS NOT NULL
-UNION ALL SELECT user_id, NULL, false FROM events GROUP BY 1""")
+@query("""SELECT user_id, ts, lag(ts) OVER w AS previous_fetch, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) < 86400000000, false) AS repeat_fetch
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
 def repeat_fetch_stream(spark, sf):
-    """First fetch of every user as seen by the streaming form."""
+    """Every event of a user as seen by the streaming form."""
     schema = table(spark, sf, "events").schema
     log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     flagged = flag_repeat_fetch_stream(log, "user_id", "ts")
     out = scratch_path(spark, "stream")
     run = flagged.writeStream.format("parquet").option("checkpointLocation", out + "/state").trigger(availableNow=True).start(out + "/rows")
     run.awaitTermination()
-    rows = spark.read.schema(flagged.schema).parquet(out + "/rows").filter("previous_fetch is null")
-    return rows.select(F.col("user_id").alias("event_id"), "previous_fetch", "repeat_fetch")
+    return spark.read.schema(flagged.schema).parquet(out + "/rows")
 
 
 @query("""SELECT doc_id AS job_id, len(string_split(text, ' ')) AS n FROM documents WHERE lang <> 'fr'""")

@@ -18,7 +18,7 @@ def payload_status(rows: Column) -> Column:
     return F.when(rows.isNull() | (F.size(rows) == 0), "no_table").when(F.coalesce(filled, F.lit(False)), "ok").otherwise("blank")
 
 
-def summarize_payloads(payloads: DataFrame, cap: int | None = ROW_CAP) -> DataFrame:
+def summarize_payloads(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     """One row per payload: status, sheet name, rows kept and pushed, truncation, width, sample head."""
     kept = F.slice("rows", 1, cap) if cap else F.col("rows")
     shown = F.transform(F.slice(F.coalesce(F.get(F.col("rows"), F.lit(0)), F.array()), 1, 8), lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 24))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,24 +36,34 @@ def ingest_stream(payloads: DataFrame, target: str, checkpoint: str, cap: int |
     return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def flag_repeat_fetch_stream(log: DataFrame, host: str = "host", ts: str = "ts", hours: float = 24) -> DataFrame:
-    """Per host the time since its last fetch; state is one timestamp per host.
+def flag_repeat_fetch_stream(log: DataFrame, host: str = "host", ts: str = "ts", hours: float = 24, forget_hours: float | None = None) -> DataFrame:
+    """Per host the time since its last fetch; state is one timestamp per host, the latest seen.
 
-    A micro-batch is walked in time order per Arrow batch, so a busy host is never held whole."""
+    A host's fetches of a micro-batch are put in time order as one array of numbers.  Fetches older than the latest one
+    of an earlier micro-batch come too late to be placed: they have no previous fetch and are no repeats.  With
+    ``forget_hours`` a host's state is dropped when it sends nothing for that time."""
     kind = log.schema[host].dataType.simpleString()
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        for pdf in frames:
-            stamps = pdf[ts].sort_values()
-            before = stamps.shift(1)
-            if last is not None:
-                before.iloc[0] = pd.Timestamp(last, unit="us")
-            last = int(stamps.iloc[-1].value // 1000)
-            age = (stamps - before).dt.total_seconds() / 3600
-            yield pd.DataFrame({host: key[0], ts: stamps, "previous_fetch": before, "repeat_fetch": (age < hours).fillna(False)})
+        stamps = np.sort(np.concatenate([pdf[ts].to_numpy("datetime64[us]").astype(np.int64) for pdf in frames]))
+        before = np.concatenate([stamps[:1], stamps[:-1]])
+        known = np.arange(len(stamps)) > 0
         if last is not None:
-            state.update((last,))
+            first = np.searchsorted(stamps, last, side="left")
+            known[: first + 1] = False
+            if first < len(stamps):
+                before[first], known[first] = last, True
+        repeat = known & (stamps - before < hours * 3.6e9)
+        previous = pd.Series(before.astype("datetime64[us]")).where(pd.Series(known))
+        state.update((int(max(stamps[-1], stamps[-1] if last is None else last)),))
+        if forget_hours is not None:
+            state.setTimeoutDuration(int(forget_hours * 3.6e6))
+        yield pd.DataFrame({host: key[0], ts: stamps.astype("datetime64[us]"), "previous_fetch": previous, "repeat_fetch": repeat})
 
     out = f"{host} {kind}, {ts} timestamp, previous_fetch timestamp, repeat_fetch boolean"
-    return log.select(host, ts).groupBy(host).applyInPandasWithState(step, out, "last long", "append", "NoTimeout")
+    timeout = "NoTimeout" if forget_hours is None else "ProcessingTimeTimeout"
+    return log.select(host, ts).groupBy(host).applyInPandasWithState(step, out, "last long", "append", timeout)

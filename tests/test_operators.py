@@ -8,10 +8,12 @@ from conftest import rows
 from tablework.operators import aggregate as A
 from tablework.operators import finance as P
 from tablework.operators import headers as H
+from tablework.operators import infer as I
 from tablework.operators import lookup as J
 from tablework.operators import project as PR
 from tablework.operators import quality as Q
 from tablework.operators import rating as RT
+from tablework.operators import reshape as S
 from tablework.operators import windows as W
 from tablework.plans.flows import calculate_flow, project_flow, reconcile_flow, reshape_flow, run_flow
 
@@ -102,11 +104,11 @@ def test_quality(spark):
 
 
 def test_flatten_header():
-    two = [["首次扫描时间", None, "扫描时区", "扫描时区兜底", "头表"], ["首次扫描时间文本", "首次扫描时间(UTC0)", "扫描时区.名称", "名称", "头表.创建时间(UTC+8)"]]
-    assert H.flatten_names(two)[:2] == ["首次扫描时间_文本", "首次扫描时间_UTC0"]
-    assert H.flatten_names(two)[3:] == ["扫描时区兜底_名称", "头表_创建时间UTC+8"]
-    assert H.flatten_names([["同", "同"], ["列", "列"]]) == ["同_列", "同_列_2"]
-    assert H.flatten_names([["a (b)", None]]) == ["ab", "ab_2"]
+    three = [["Harvest", None, None, "Site", ""], ["Harvest weight", "Harvest (gross)", "crates", "Site", None], [None, "kg", "", "geo.lat", "Remark"]]
+    assert H.flatten_names(three) == ["Harvest_weight", "Harvest_gross_kg", "Harvest_crates", "geo_lat", "Site_Remark"]
+    assert H.flatten_names([["Net", "Net", None], ["", "", ""]]) == ["Net", "Net_2", "Net_3"]
+    assert H.flatten_names([["v. 2 (beta)"], ["v2beta"]]) == ["v2beta"]
+    assert H.flatten_names([[None, "x"], [None]]) == ["列1", "x"] and H.flatten_names([]) == []
 
 
 def test_flatten_and_pick_on_grid(spark):
@@ -167,3 +169,27 @@ def test_flows(spark):
         reshape_flow(left, "nope")
     with pytest.raises(ValueError):
         run_flow("nope")
+
+
+def test_kinds_are_told_from_all_rows(spark):
+    """Numbers first, texts later: nothing may be blanked on account of the first rows."""
+    df = table(spark, v=[str(i) if i < 20 else f"word {i}" for i in range(300)], w=[str(i) for i in range(300)])
+    out = S.coerce_columns(df)
+    assert out.filter("v IS NOT NULL").count() == 300
+    kinds = {r["column"]: r["kind"] for r in I.infer_kinds(df).collect()}
+    assert kinds == {"v": "plain_text", "w": "amount"}
+
+
+@pytest.mark.parametrize("small", [0, 512])
+def test_tiers_without_breakpoint_fit_nothing(spark, small, monkeypatch):
+    monkeypatch.setattr(J, "SMALL_TIERS", small)
+    df = spark.createDataFrame([(1, 5.0, "a"), (2, None, "a"), (3, 5.0, None), (4, 0.5, "a"), (5, 9.0, "a")], "id int, w double, z string")
+    tiers = spark.createDataFrame([(None, "a", "pnull"), (1.0, None, "pn"), (1.0, "a", "p1"), (8.0, "a", "p8"), (8.0, "a", "p9"), (8.0, "a", "p7")], "t double, z string, p string")
+    got = {r["id"]: (r["p"], r["tier_found"]) for r in J.tier_lookup(df, tiers, "w", "t", ["p"], ["z"]).collect()}
+    assert got == {1: ("p1", True), 2: (None, False), 3: (None, False), 4: (None, False), 5: ("p9", True)}
+
+
+def test_pivot_tells_fields_apart(spark):
+    df = spark.createDataFrame([("a_b", "c", 1), ("a", "b_c", 10), (None, "x", 5), ("", "x", 7)], "f string, g string, v int")
+    out = A.pivot_table(df, columns=["f", "g"], values=[{"field": "v", "aggregation": "sum"}]).first().asDict()
+    assert sorted(out.values()) == [1, 5, 7, 10] and len(out) == 4

@@ -1,7 +1,9 @@
 """Feeds, JSON, HTML, grids, ingest, sinks, retrieval, streams and user functions."""
 
+import datetime
 import json
 import math
+import random
 import zlib
 
 import pyarrow as pa
@@ -13,13 +15,14 @@ from tablework.functions import text as X
 from tablework.functions import urls as U
 from tablework.functions.registry import FunctionRegistry
 from tablework.operators import retrieval as T
+from tablework.operators import windows as W
 from tablework.sources import feeds as FD
 from tablework.sources import grids as G
 from tablework.sources import html as HT
 from tablework.sources import ingest as N
 from tablework.sources import json_tables as JT
 from tablework.sources import sinks as K
-from tablework.streaming.streams import dedupe_stream
+from tablework.streaming.streams import dedupe_stream, flag_repeat_fetch_stream
 
 
 def table(spark, **cols):
@@ -54,14 +57,18 @@ def test_feed_aliases(spark):
 
 
 def test_json_tables(spark):
-    records = {"code": 0, "data": {"records": [{"店铺": "A", "金额": 1, "password": "x"}, {"店铺": "B", "金额": 2.5}]}}
-    assert JT.best_table(records) == [["店铺", "金额"], ["A", "1"], ["B", "2.5"]]
-    assert JT.best_table({"user": "u", "token": "t"}) == []
-    assert JT.best_table([["a", "b"], [1, None]]) == [["a", "b"], ["1", ""]]
+    records = {"meta": {"page": 3}, "payload": {"items": [{"buoy": "N4", "temp": 11, "token": "q"}, {"temp": 9.5, "buoy": "S1"}, {"buoy": "S2"}]}}
+    assert JT.best_table(records) == [["buoy", "temp"], ["N4", "11"], ["S1", "9.5"], ["S2", ""]]
+    assert JT.best_table({"when": "now", "tags": ["one"]}) == []
+    assert JT.best_table([["depth", "salt"], [40, None], [60, 3.5]]) == [["depth", "salt"], ["40", ""], ["60", "3.5"]]
+    deep = {"a": {"b": {"c": {"d": {"e": {"f": {"g": {"h": records}}}}}}}}
+    assert JT.best_table(deep) == JT.best_table(records) and JT.best_table(deep, max_depth=6) == []
+    wide = {f"k{i}": i for i in range(9)}
+    assert JT.flat_text(wide) == " / ".join(map(str, range(9))) and JT.flat_text(wide, 6) == " / ".join(map(str, range(6)))
     assert JT.flat_text({"a": [1, None, "x"], "pwd": "s", "b": True}) == "1; x / true"
     df = table(spark, id=[1, 2], payload=[json.dumps(records), "not json"])
     long = JT.grid_to_long(JT.json_payload_to_table(df, "id", "payload"))
-    assert rows(long) == [(1, 1, "店铺", "A"), (1, 1, "金额", "1"), (1, 2, "店铺", "B"), (1, 2, "金额", "2.5")]
+    assert rows(long.filter("row_idx < 3")) == [(1, 1, "buoy", "N4"), (1, 1, "temp", "11"), (1, 2, "buoy", "S1"), (1, 2, "temp", "9.5")]
     many = [{"k": i} for i in range(700)]
     assert len(JT.best_table(many, max_rows=500)) == 501 and len(JT.best_table(many)) == 701
 
@@ -97,9 +104,11 @@ def test_slice_and_stack(spark):
 
 
 def test_boxes_and_headers(spark):
-    boxes = [dict(x=10, y=10, w=50, h=20, t="a"), dict(x=100, y=12, w=50, h=20, t="b"), dict(x=10, y=50, w=50, h=20, t="c"), dict(x=101, y=50, w=50, h=20, t=" d  e ")]
-    assert G.boxes_to_grid([*boxes, dict(x=0, y=0, w=300, h=100, t="wrap all of it")]) == [["a", "b"], ["c", "d e"]]
-    assert G.boxes_to_grid([]) == []
+    kind = "page_id int, boxes array<struct<x: double, y: double, w: double, h: double, t: string>>"
+    shelf = [(12.0, 8.0, 60.0, 18.0, "pear"), (140.0, 11.0, 55.0, 18.0, "3 kg"), (14.0, 44.0, 60.0, 18.0, " red   plum "), (143.0, 44.0, 20.0, 18.0, "1"), (139.0, 46.0, 30.0, 18.0, "12 kg"), (12.0, 80.0, 50.0, 18.0, "fig")]
+    pages = [(1, [*shelf, (0.0, 0.0, 400.0, 200.0, "all of the shelf"), (200.0, 300.0, 5.0, 5.0, "  ")]), (2, []), (3, None), (1, [(None, None, None, None, "alone")])]
+    got = G.cells_to_grid(spark.createDataFrame(pages, kind).coalesce(1)).collect()
+    assert [(r["source_id"], r["row_idx"], r["cells"]) for r in got] == [(1, 0, ["pear", "3 kg"]), (1, 1, ["red plum", "12 kg"]), (1, 2, ["fig", ""]), (1, 0, ["alone"])]
     df = spark.createDataFrame(
         [(1, 0, 0, ["店铺", "金额", "日期"]), (1, 0, 1, ["A", "1", "2"]), (2, 0, 0, ["CNY 12", "4.5 颗星", "title"]), (2, 0, 1, ["x", "y", "z"]), (3, 0, 0, ["a", "b"]), (3, 0, 1, ["a", "b"])],
         "source_id int, table_idx int, row_idx int, cells array<string>",
@@ -125,7 +134,9 @@ def test_ingest(spark):
     df = spark.createDataFrame(data, "job_id string, url string, rows array<array<string>>")
     got = {r["job_id"]: r for r in N.summarize_payloads(df).collect()}
     assert {k: r["status"] for k, r in got.items()} == {"a": "ok", "b": "no_table", "c": "blank", "d": "ok"}
-    assert (got["d"]["row_count"], got["d"]["source_rows"], got["d"]["truncated"]) == (500, 600, True)
+    assert (got["d"]["row_count"], got["d"]["source_rows"], got["d"]["truncated"]) == (600, 600, False)
+    capped = N.summarize_payloads(df, N.ROW_CAP).filter("job_id = 'd'").first()
+    assert (capped["row_count"], capped["source_rows"], capped["truncated"]) == (500, 600, True)
     assert got["a"]["sheet_name"] == "取数_x.com" and got["b"]["sheet_name"] == "取数_网页"
     out = N.ingest_rows(df)
     assert out.count() == 602 and N.ingest_rows(df, N.ROW_CAP).count() == 502
@@ -199,7 +210,9 @@ def test_hybrid_search_equals_brute_force(spark):
     assert [r["doc_id"] for r in got.filter("query_id = 0 and position = 1").collect()] == [7]
     frame = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
     assert rows(T.hybrid_search(chunks, frame, 4).select("query_id", "position", "score")) == rows(got.select("query_id", "position", "score"))
-    assert T.hybrid_search(chunks, "refund", 99).count() == 12
+    assert T.hybrid_search(chunks, "refund", 99).count() == min(99, chunks.count())
+    named = spark.createDataFrame([("first", "refund"), ("second", "ship")], "query_id string, query string")
+    assert {r["query_id"] for r in T.hybrid_search(chunks, named, 2).collect()} == {"first", "second"}
     with pytest.raises(ValueError):
         T.hybrid_search(chunks, " ")
 
@@ -240,10 +253,33 @@ def test_user_functions(spark):
 
     reg.register("user.bad", bad, "id long", "rows", {"limit": "integer"}, ("limit",))
     out = reg.apply_rows("user.bad", spark.range(3).coalesce(1), limit=1).collect()
-    assert [(r["status"], r["error"]) for r in out] == [("error", "no good")]
+    assert [(r["id"], r["status"], r["error"]) for r in out] == [(i, "error", "no good") for i in range(3)]
+    reg.register("user.invert", lambda pdf: pdf.assign(v=[100 // i for i in pdf["id"]]), "id long, v long", "rows")
+    out = reg.apply_rows("user.invert", spark.range(-50, 50).coalesce(1)).collect()
+    assert sorted((r["id"], r["status"]) for r in out) == [(i, "ok" if i else "error") for i in range(-50, 50)]
     with pytest.raises(ValueError, match="must be integer"):
         reg.apply_rows("user.bad", spark.range(1), limit="x")
     with pytest.raises(ValueError, match="needs parameter"):
         reg.apply_rows("user.bad", spark.range(1))
     with pytest.raises(ValueError, match="unknown function"):
         reg.apply_rows("user.none", spark.range(1))
+
+
+def test_repeat_fetch_stream_equals_the_batch_form(spark, tmp_path):
+    """Busy hosts over several Arrow batches and micro-batches; late rows have no previous fetch."""
+    rng = random.Random(3)
+    start = datetime.datetime(2026, 1, 1)
+    log = [(f"h{h}", start + datetime.timedelta(hours=(30 if h else 1) * i)) for h in range(3) for i in range(1500)]
+    rng.shuffle(log)
+    spark.createDataFrame(log, "host string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        stream = spark.readStream.schema("host string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        run = flag_repeat_fetch_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        run.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = W.flag_repeat_fetch(spark.read.parquet(str(tmp_path / "in")), "host", "ts").select("host", "ts", "previous_fetch", "repeat_fetch")
+    assert rows(got.select(*want.columns)) == rows(want)
+    assert got.filter("previous_fetch >= ts").count() == 0
