@@ -200,6 +200,31 @@ def reconcile_ship_window(spark, sf):
     return out.select("status", "key", "left_seq", "right_seq", "conflict_columns", F.col("__match_mode").alias("match_mode"), F.col("__match_score").alias("score"))
 
 
+@query("""WITH d AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderkey % 40 AS late,
+  cast(DATE '2000-01-01' + cast(100 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS int) AS date) AS day FROM orders)
+SELECT CASE WHEN o_orderpriority = '5-LOW' THEN 'conflict' ELSE 'matched' END AS status, o_orderkey AS left_seq, o_orderkey AS right_seq,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 'prio' ELSE '' END AS conflict_columns FROM d WHERE late <= 30
+UNION ALL SELECT 'left_only', o_orderkey, NULL, '' FROM d WHERE late > 30 UNION ALL SELECT 'right_only', NULL, o_orderkey, '' FROM d WHERE late > 30""")
+def reconcile_window_spaced(spark, sf):
+    """A customer's orders 100 days apart and their shipments 0 to 39 days later: the nearest partner is known."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    day = F.date_add(F.lit("2000-01-01").cast("date"), 100 * rank)
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("cust"), day.alias("day"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("prio"))
+    prio = F.when(F.col("prio") == "5-LOW", "0-NONE").otherwise(F.col("prio"))
+    s = o.select("cust", F.date_add("day", (F.col("seq") % 40).cast("int")).alias("day"), "seq", prio.alias("prio"))
+    out = reconcile(o, s, ["cust", "day"], ["prio"], "date_window", window_days=30, left_date="day", right_date="day", order_by=["seq"])
+    return out.select("status", "left_seq", "right_seq", "conflict_columns")
+
+
+@query("""SELECT cast(o_custkey AS varchar) AS key, o_orderkey AS left_seq, o_orderkey AS right_seq,
+  CASE WHEN o_orderkey % 7 < 4 THEN 'matched' ELSE 'conflict' END AS status, CASE WHEN o_orderkey % 7 < 4 THEN '' ELSE 'amount' END AS conflict_columns FROM orders""")
+def reconcile_tolerance_spaced(spark, sf):
+    """Several orders per customer with amounts 1,000 apart: those off by 90 pair within 100, those off by 120 are left over in order."""
+    left = table(spark, sf, "orders").select(F.col("o_custkey").alias("ref"), (F.col("o_orderkey") * 1000.0).alias("amount"), F.col("o_orderkey").alias("seq"))
+    right = left.withColumn("amount", F.col("amount") + F.when(F.col("seq") % 7 < 4, 90.0).otherwise(-120.0))
+    return reconcile(left, right, ["ref"], ["amount"], tolerance=100.0, order_by=["seq"]).select("key", "left_seq", "right_seq", "status", "conflict_columns")
+
+
 @query("""SELECT CASE WHEN p_type = 'ECONOMY' THEN 'removed' WHEN p_brand = 'Brand#2' THEN 'changed' ELSE 'unchanged' END AS change,
   cast(p_partkey AS varchar) AS key, CASE WHEN p_type <> 'ECONOMY' AND p_brand = 'Brand#2' THEN 'p_retailprice' ELSE '' END AS changed_columns FROM part
 UNION ALL SELECT 'added', '-' || cast(p_partkey AS varchar), '' FROM part WHERE p_type = 'ECONOMY'""")
@@ -841,6 +866,27 @@ def app_shell_pages(spark, sf):
     return HT.flag_app_shell(table(spark, sf, "pages")).select("page_id", "text_chars", "tables", "app_shell")
 
 
+@query("""SELECT page_id, 'Page ' || page_id || chr(10) || url || chr(10) || '<b> & end' AS text FROM pages""")
+def html_text_wrapped(spark, sf):
+    """Known markup around the address of every page."""
+    shown = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    html = F.concat(
+        F.lit("<html><head><style>p{color:red}</style><script>var p='<p>no</p>';</script></head><body><!-- left <p>out</p> --><h1>Page "), F.col("page_id").cast("string"),
+        F.lit("</h1>\n<div>  "), shown, F.lit(" </div><p>&lt;b&gt; &amp; end</p><p> </p></body></html>"),
+    )
+    return HT.html_text(table(spark, sf, "pages").select("page_id", html.alias("html"))).select("page_id", "text")
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN 1 ELSE 0 END AS text_chars, CASE WHEN page_id % 4 = 2 THEN 1 ELSE 0 END AS tables,
+ page_id % 4 IN (0, 3) AS app_shell FROM pages""")
+def app_shell_wrapped(spark, sf):
+    """Short pages with and without scripts, a page with a table and an empty one."""
+    scripts = "<script>a()</script><SCRIPT src='b'></SCRIPT>"
+    kind = F.col("page_id") % 4
+    html = F.when(kind == 0, scripts + "<p>short</p>").when(kind == 1, "<p>short</p>").when(kind == 2, scripts + "<table><tr><td>x</td></tr></table>").otherwise("<div id='root'> </div>")
+    return HT.flag_app_shell(table(spark, sf, "pages").select("page_id", html.alias("html"))).select("page_id", "text_chars", "tables", "app_shell")
+
+
 def _order_grids(spark, sf):
     """Every order as a small grid of its customer: a header and one to three rows, 3 or 4 wide."""
     urgent = F.col("o_orderpriority") == "1-URGENT"
@@ -1013,7 +1059,10 @@ def hash_embed_documents(spark, sf):
     return d.select("doc_id", F.size("v").alias("dims"), F.round(X.cosine("v", "v"), 6).alias("norm"), F.round(F.array_max("v"), 6).alias("peak"))
 
 
-@query()
+# No document holds a blank line, so each is one paragraph.
+@query(r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id, i AS chunk_index, length(substr(t, i * 780 + 1, 900)) AS chars, md5(substr(t, i * 780 + 1, 900)) AS digest
+FROM (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 900 THEN 1 ELSE cast(ceil(length(t) / 780.0) AS bigint) END)) AS i FROM b WHERE t <> '')""")
 def chunk_documents(spark, sf):
     out = T.chunk_text(table(spark, sf, "documents"))
     return out.select("doc_id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("digest"))
