@@ -1178,3 +1178,43 @@ def user_row_function(spark, sf):
     )
     out = registry.apply_rows("user.mark_up", table(spark, sf, "part").select("p_partkey", "p_retailprice"), factor=1.5)
     return out.select("p_partkey", "marked_up", "status")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size <> 10 THEN 100 / (p_size - 10) END AS share, CASE WHEN p_size = 10 THEN 'error' ELSE 'ok' END AS status FROM part")
+def user_row_errors(spark, sf):
+    """A function that fails on some rows: the others keep their results."""
+    registry = FunctionRegistry(spark)
+
+    def share(pdf):
+        if (pdf["p_size"] == 10).any():
+            raise ZeroDivisionError("size 10")
+        return pdf.assign(share=100 / (pdf["p_size"] - 10))
+
+    registry.register("user.share", share, "p_partkey long, share double", "rows")
+    return registry.apply_rows("user.share", table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", "share", "status")
+
+
+@query("""SELECT CASE WHEN p_partkey <= 20 THEN cast(p_partkey AS varchar) ELSE 'word ' || p_partkey END AS mixed, cast(p_partkey AS double) AS whole FROM part""")
+def coerce_columns_inferred(spark, sf):
+    """Kinds are told from all rows: a column that starts with numbers and goes on with words stays text."""
+    key = F.col("p_partkey").cast("string")
+    mixed = F.when(F.col("p_partkey") <= 20, key).otherwise(F.concat(F.lit("word "), key))
+    return S.coerce_columns(table(spark, sf, "part").orderBy("p_partkey").select(mixed.alias("mixed"), key.alias("whole")))
+
+
+@query("""SELECT o_orderstatus, sum(CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END) AS "a_b_c_sum_o_custkey", sum(CASE WHEN o_orderkey % 2 = 1 THEN o_custkey END) AS "a_b_c_2_sum_o_custkey"
+FROM orders GROUP BY 1""")
+def pivot_two_columns(spark, sf):
+    """Two column fields whose values read alike when joined."""
+    even = F.col("o_orderkey") % 2 == 0
+    o = table(spark, sf, "orders").select("o_orderstatus", "o_custkey", F.when(even, "a").otherwise("a_b").alias("f"), F.when(even, "b_c").otherwise("c").alias("g"))
+    return A.pivot_table(o, ["o_orderstatus"], ["f", "g"], [{"field": "o_custkey", "aggregation": "sum"}])
+
+
+@query("""SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN CASE WHEN p_size >= 20 THEN 'e20' WHEN p_size >= 5 THEN 'e5' END WHEN p_type = 'PROMO' AND p_size >= 10 THEN 'p10' END AS price,
+ coalesce(p_type = 'ECONOMY' AND p_size >= 5 OR p_type = 'PROMO' AND p_size >= 10, false) AS tier_found FROM part""")
+def tier_price_nulls(spark, sf):
+    """Tiers without a breakpoint or a zone fit nothing."""
+    tiers = [(None, "ECONOMY", "none"), (5.0, "ECONOMY", "e5"), (20.0, "ECONOMY", "e20"), (20.0, "ECONOMY", "e2"), (1.0, None, "nowhere"), (10.0, "PROMO", "p10"), (None, "PROMO", "none")]
+    p = table(spark, sf, "part").select("p_partkey", "p_size", F.when(F.col("p_type").isin("ECONOMY", "PROMO"), F.col("p_type")).alias("zone"))
+    return J.tier_lookup(p, spark.createDataFrame(tiers, "at double, zone string, price string"), "p_size", "at", ["price"], ["zone"]).select("p_partkey", "price", "tier_found")
