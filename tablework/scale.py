@@ -4,12 +4,12 @@ Spark already spreads ordinary aggregates (they combine before the shuffle) and
 ``row_number`` (the limit is applied before the shuffle).  What it does not spread is a window over
 one huge group.  The helpers here split such groups by order-preserving chunks:
 
-* ``hot_buckets`` counts rows per hash bucket of the key.  Only buckets with at least ``hotShare``
-  of all rows come back, so the answer has a fixed size bound (1,024 by default).  The job reads
-  the key columns only and sends at most ``BUCKETS`` counts per task.
-* rows of a hot bucket get a chunk number that never decreases along the requested order.  Chunk
-  borders come from a hash-selected sample of the order values, which is the same set on every
-  evaluation.
+* ``hot_buckets`` counts rows per hash bucket of the key.  Buckets with more than ``hotMinRows``
+  rows, what one task should hold whatever the size of the input, come back: at most ``BUCKETS``
+  numbers.  The job reads the key columns only and sends at most ``BUCKETS`` counts per task.
+* rows of a hot bucket get a chunk number that never decreases along the requested order, with as
+  many chunks as its rows need.  Chunk borders come from a hash-selected sample of the order
+  values, which is the same set on every evaluation.
 * ranks, previous values and fills are computed inside (group, chunk) and completed with a small
   per-chunk table (counts, last values).
 
@@ -19,6 +19,7 @@ cannot outgrow a task that spills.  Without a hot bucket the plan is the plain w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
@@ -26,14 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 65536
-CHUNKS = 256
-COARSE = 16
+MAX_CHUNKS = 65536
+SAMPLES = 16
 
 _DEFAULTS = {
-    "spark.tablework.splitBytes": str(8 << 30),
+    "spark.tablework.splitBytes": str(1 << 30),
     "spark.tablework.broadcastBytes": str(64 << 20),
-    "spark.tablework.hotShare": str(1 / 1024),
-    "spark.tablework.hotMinRows": "1000000",
+    "spark.tablework.hotMinRows": "4000000",
 }
 
 
@@ -80,13 +80,11 @@ def bucket_of(keys: Sequence[str]) -> Column:
 
 
 def hot_buckets(df: DataFrame, keys: Sequence[str]) -> dict[int, int]:
-    """Row counts of the hash buckets that hold at least ``hotShare`` of the rows ({} when small)."""
+    """Row counts of the hash buckets with more rows than a task should hold ({} when the input is small)."""
     if not is_large(df):
         return {}
     counts = df.groupBy(bucket_of(keys).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))
-    limit = F.greatest(F.lit(setting(df, "hotMinRows")), F.col("total") * F.lit(setting(df, "hotShare")))
-    return {r["b"]: r["n"] for r in counts.filter(F.col("n") >= limit).collect()}
+    return {r["b"]: r["n"] for r in counts.filter(F.col("n") >= F.lit(setting(df, "hotMinRows"))).collect()}
 
 
 def split_by_heat(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame | None, dict[int, int]]:
@@ -99,33 +97,29 @@ def split_by_heat(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFr
 
 
 def with_chunk(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], hot: dict[int, int]) -> DataFrame:
-    """Add ``__chunk`` 0..CHUNKS-1 along ``order_by`` to the rows of hot buckets."""
+    """Add ``__chunk`` along ``order_by`` to the rows of hot buckets; a chunk holds about half of ``hotMinRows`` rows."""
+    half = max(1.0, setting(df, "hotMinRows") / 2)
+    chunks = {b: int(min(MAX_CHUNKS, max(2, -(-n // half)))) for b, n in hot.items()}
+    sizes = df.sparkSession.createDataFrame([(b, c, max(1, hot[b] // (c * SAMPLES)), math.isqrt(c - 1) + 1) for b, c in chunks.items()], "__bucket int, __n int, __every long, __step int")
     tagged = df.withColumns({"__bucket": bucket_of(keys), "__o": F.struct(*[F.col(c) for c in order_by])})
-    every = F.create_map(*[F.lit(x) for b, n in hot.items() for x in (b, max(1, n // (CHUNKS * 16)))])
     picked = (
-        tagged.select("__bucket", "__o")
-        .filter(F.pmod(F.xxhash64("__o"), every[F.col("__bucket")]) == 0)
-        .groupBy("__bucket")
+        tagged.select("__bucket", "__o").join(F.broadcast(sizes), "__bucket")
+        .filter(F.pmod(F.xxhash64("__o"), F.col("__every")) == 0)
+        .groupBy("__bucket", "__n", "__step")
         .agg(F.sort_array(F.collect_set("__o")).alias("__s"))
     )
-    step = F.size("__s") / CHUNKS
-    borders = picked.select(
-        "__bucket",
-        F.transform(
-            F.sequence(F.lit(1), F.lit(CHUNKS - 1)),
-            lambda i: F.get(F.col("__s"), F.floor(i * step).cast("int")),
-        ).alias("__borders"),
-    )
-    coarse_borders = F.transform(
-        F.sequence(F.lit(1), F.lit(CHUNKS // COARSE - 1)), lambda i: F.get(F.col("__borders"), i * COARSE - 1)
-    )
-    # len(hot) rows of CHUNKS - 1 borders each: a fixed size.
-    joined = tagged.join(F.broadcast(borders.withColumn("__coarse", coarse_borders)), "__bucket", "left")
+    at = lambda i: F.get(F.col("__s"), F.floor(i * F.size("__s") / F.col("__n")).cast("int"))
+    borders = picked.select("__bucket", "__step", "__n", F.transform(F.sequence(F.lit(1), F.col("__n") - 1), at).alias("__borders"))
+    strides = F.floor((F.col("__n") - 1) / F.col("__step")).cast("int")
+    coarse = F.transform(F.sequence(F.lit(1), F.greatest(strides, F.lit(1))), lambda i: F.get(F.col("__borders"), i * F.col("__step") - 1))
+    borders = borders.withColumn("__coarse", F.slice(coarse, F.lit(1), strides)).drop("__n")
+    # One row for each hot bucket, with a border for each of its chunks; a row looks at two short stretches of them.
+    joined = tagged.join(F.broadcast(borders), "__bucket", "left")
     joined = joined.withColumn("__c", F.size(F.filter("__coarse", lambda b: b <= F.col("__o"))))
-    part = F.slice("__borders", F.col("__c") * COARSE + 1, F.lit(COARSE - 1))
+    part = F.slice("__borders", F.col("__c") * F.col("__step") + 1, F.col("__step") - 1)
     fine = F.size(F.filter(part, lambda b: b <= F.col("__o")))
-    chunk = F.when(F.col("__borders").isNull(), 0).otherwise(F.col("__c") * COARSE + fine)
-    return joined.withColumn("__chunk", chunk.cast("int")).drop("__bucket", "__o", "__borders", "__coarse", "__c")
+    chunk = F.when(F.col("__borders").isNull(), 0).otherwise(F.col("__c") * F.col("__step") + fine)
+    return joined.withColumn("__chunk", chunk.cast("int")).drop("__bucket", "__o", "__borders", "__coarse", "__c", "__step")
 
 
 def match_parts(left: DataFrame, right: DataFrame, parts: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,14 @@ def build_session(app: str = "tablework", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a laptop) a temporary folder is chosen once and remembered
-    in the session, so a run on one machine still works.
+    Where the setting is absent on one machine (tests, a laptop) a temporary folder is chosen once and remembered in the
+    session; on a cluster, whose executors would not see it, the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that driver and executors share (master is {master})")
         configured = tempfile.mkdtemp(prefix="tablework-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured

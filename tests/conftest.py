@@ -41,7 +41,6 @@ def split_groups(spark):
     conf = {
         "spark.tablework.splitBytes": "0",
         "spark.tablework.broadcastBytes": "0",
-        "spark.tablework.hotShare": "0.01",
         "spark.tablework.hotMinRows": "1",
     }
     for k, v in conf.items():

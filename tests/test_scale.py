@@ -48,3 +48,18 @@ def test_first_per_group_limits_before_shuffle(spark):
     df = scale.first_per_group(_frame(spark), ["k"], ["o", "id"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_no_chunk_outgrows_the_bound(spark, split_groups):
+    """Nine tenths of the rows on one key: every (key, chunk) holds at most the rows that a task should."""
+    df = spark.range(6000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("k"), (F.hash("id") % 1000).alias("o"), "id", F.lit(None).cast("long").alias("v"))
+    want = rows(scale.rank_in_group(df, ["k"], ["o", "id"], "r"))
+    for bound in (100, 700, 3000):
+        spark.conf.set("spark.tablework.hotMinRows", str(bound))
+        hot = scale.hot_buckets(df, ["k"])
+        assert list(hot.values()) == [5400]
+        sizes = scale.with_chunk(df.filter("k = 'hot'"), ["k"], ["o", "id"], hot).groupBy("k", "__chunk").count()
+        assert sizes.agg(F.max("count")).first()[0] <= bound
+        assert rows(scale.rank(df, ["k"], ["o", "id"], "r")) == want
+    spark.conf.set("spark.tablework.hotMinRows", "10000")
+    assert scale.hot_buckets(df, ["k"]) == {}
