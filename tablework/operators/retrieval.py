@@ -84,7 +84,8 @@ def hybrid_search(chunks: DataFrame, queries: Sequence[str] | str | DataFrame, k
 
     Chunks stay where they are: every task scores its chunks against all queries of a batch and
     passes on its own best ``k`` per query, so the shuffle carries k rows per task and query.  Queries
-    come as a list, or as a DataFrame ``(query_id, query)`` which is worked off in batches."""
+    come as a list, or as a DataFrame ``(query_id, query)`` which is worked off in batches.  Vectors stored with the chunks
+    (``embed_chunks``, kept current by ``reembed_on_version``) are used as they are; chunks without the column are embedded."""
     k = int(k)
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -120,31 +121,35 @@ def _search(chunks: DataFrame, batch: list[tuple], k: int, with_text: bool, id_t
     ids = [q for q, _ in batch]
     texts = [clean(t) for _, t in batch]
 
+    stored = "embedding" in chunks.columns
+    width = len(texts)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owners, grams = packed_grams(texts)
-        vectors = embed_batch(owners, grams, len(texts))
-        sets = [np.unique(grams[owners == i]) for i in range(len(texts))]
-        wanted = np.unique(grams)
-        # membership[g, q]: gram g of the vocabulary belongs to query q
-        membership = np.zeros((len(wanted), len(texts)))
-        for i, own in enumerate(sets):
-            membership[np.searchsorted(wanted, own), i] = 1.0
-        sizes = np.maximum(membership.sum(axis=0), 1.0)
+        vectors = embed_batch(owners, grams, width)
+        # postings: for each gram of any query the queries that have it, one after the other
+        pairs = np.unique(np.stack([grams, owners], axis=1), axis=0) if len(grams) else np.empty((0, 2), dtype=np.int64)
+        wanted, first, holders = np.unique(pairs[:, 0], return_index=True, return_counts=True)
+        sizes = np.maximum(np.bincount(pairs[:, 1], minlength=width), 1)
         for pdf in frames:
             body = [clean(t) for t in pdf["text"]]
             own, found = packed_grams(body)
-            score = VECTOR_WEIGHT * (embed_batch(own, found, len(body)) @ vectors.T)
+            known = np.stack(pdf["embedding"].to_list()) if stored and len(pdf) else embed_batch(own, found, len(body))
+            score = VECTOR_WEIGHT * (known @ vectors.T)
             if len(wanted) and len(found):
                 at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                hit = wanted[at] == found
-                present = np.zeros((len(body), len(wanted)), dtype=bool)
-                present[own[hit], at[hit]] = True
-                score = score + LEXICAL_WEIGHT * ((present @ membership) / sizes)
+                hit = np.unique(np.stack([own, at], axis=1)[wanted[at] == found], axis=0)
+                count = holders[hit[:, 1]]
+                before = np.cumsum(count) - count
+                query = pairs[np.repeat(first[hit[:, 1]] - before, count) + np.arange(count.sum()), 1]
+                shared = np.bincount(np.repeat(hit[:, 0], count) * width + query, minlength=len(body) * width).reshape(len(body), width)
+                score = score + LEXICAL_WEIGHT * (shared / sizes)
             yield _best(pdf, score, ids, k, with_text)
 
     kind = chunks.schema["doc_id"].dataType.simpleString()
     schema = f"query_id {id_type}, doc_id {kind}, chunk_index int, raw_score double" + (", text string" if with_text else "")
-    best = chunks.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text").mapInPandas(run, schema)
+    columns = ["doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", *(["embedding"] if stored else [])]
+    best = chunks.select(*columns).mapInPandas(run, schema)
     order = [F.col("raw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
     position = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     out = best.withColumn("position", position).filter(F.col("position") <= k)

@@ -1075,6 +1075,13 @@ def hybrid_search(spark, sf):
     return T.hybrid_search(T.chunk_text(table(spark, sf, "documents")), q, 5, with_text=False)
 
 
+@query()
+def hybrid_search_stored(spark, sf):
+    """The same search over chunks that carry their vectors."""
+    q = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
+    return T.hybrid_search(T.embed_chunks(T.chunk_text(table(spark, sf, "documents"))), q, 5, with_text=False)
+
+
 @query("""WITH inc AS (SELECT source || '/' || lang AS name, doc_id, text FROM documents WHERE lang = 'fr' AND trim(text) <> ''),
  latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY doc_id DESC) n FROM inc) WHERE n = 1),
  cur AS (SELECT source || '/' || CASE WHEN lang = 'en' THEN 'fr' ELSE lang END AS name, doc_id, text FROM documents WHERE lang <> 'fr')

@@ -211,6 +211,8 @@ def test_hybrid_search_equals_brute_force(spark):
     frame = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
     assert rows(T.hybrid_search(chunks, frame, 4).select("query_id", "position", "score")) == rows(got.select("query_id", "position", "score"))
     assert T.hybrid_search(chunks, "refund", 99).count() == min(99, chunks.count())
+    stored = T.hybrid_search(T.embed_chunks(chunks), queries, 4).select("query_id", "doc_id", "position", "score")
+    assert rows(stored) == rows(got)
     named = spark.createDataFrame([("first", "refund"), ("second", "ship")], "query_id string, query string")
     assert {r["query_id"] for r in T.hybrid_search(chunks, named, 2).collect()} == {"first", "second"}
     with pytest.raises(ValueError):
