@@ -28,7 +28,7 @@ from tablework.operators import reshape as S
 from tablework.operators import retrieval as T
 from tablework.operators import windows as W
 from tablework.operators.reconcile import diff_snapshots, reconcile, reconcile_counts
-from tablework.plans.flows import finance_closed_loop
+from tablework.plans.flows import finance_closed_loop, run_flow
 from tablework.session import scratch_path
 from tablework.sources import feeds as FD
 from tablework.sources import grids as G
@@ -1225,3 +1225,76 @@ def tier_price_nulls(spark, sf):
     tiers = [(None, "ECONOMY", "none"), (5.0, "ECONOMY", "e5"), (20.0, "ECONOMY", "e20"), (20.0, "ECONOMY", "e2"), (1.0, None, "nowhere"), (10.0, "PROMO", "p10"), (None, "PROMO", "none")]
     p = table(spark, sf, "part").select("p_partkey", "p_size", F.when(F.col("p_type").isin("ECONOMY", "PROMO"), F.col("p_type")).alias("zone"))
     return J.tier_lookup(p, spark.createDataFrame(tiers, "at double, zone string, price string"), "p_size", "at", ["price"], ["zone"]).select("p_partkey", "price", "tier_found")
+
+
+# ================================================================== flows and sinks
+@query(f"WITH {SQL_LEDGERS} SELECT status, key, left_seq, right_seq FROM result")
+def flow_reconcile(spark, sf):
+    left, right = ledgers(spark, sf)
+    out = run_flow("reconcile", left, right, "ref", compare=["o_totalprice", "o_orderpriority"], order_by=["seq"])
+    return out.select(*RESULT[:4])
+
+
+@query("SELECT DISTINCT trim(c_mktsegment) AS c_mktsegment FROM customer WHERE trim(c_mktsegment) <> ''")
+def flow_extract(spark, sf):
+    return run_flow("extract", table(spark, sf, "customer"), ["c_mktsegment"], "keep", True)
+
+
+@query("""SELECT cast(p_size AS int) AS "排名", p_name || ' ' || p_brand || ' ' || p_type AS "标题", 4.5::double AS "评分" FROM part""")
+def flow_project(spark, sf):
+    shaped = table(spark, sf, "part").select("p_size", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("b"), F.lit("4.5").alias("c"))
+    return run_flow("project", shaped, ["排名", "标题", "评分"], "列表", has_header=True)
+
+
+@query("SELECT c_custkey + 2 AS row_idx, c_name AS \"customer_name\", c_mktsegment AS \"customer_segment\" FROM customer")
+def flow_flatten_header(spark, sf):
+    heads = spark.createDataFrame([(0, ["customer", ""]), (1, ["name", "segment"])], "row_idx long, cells array<string>")
+    body = table(spark, sf, "customer").select((F.col("c_custkey") + 2).alias("row_idx"), F.array("c_name", "c_mktsegment").alias("cells"))
+    return run_flow("flatten_header", heads.unionByName(body))
+
+
+@query("""SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) n FROM events) WHERE n = 1""")
+def flow_reshape(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    return run_flow("reshape", e, "dedupe", keys=["user_id", "event_type"], order_by=["event_id"])
+
+
+@query("SELECT c_custkey, c_nationkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def flow_calculate(spark, sf):
+    nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    return run_flow("calculate", table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "lookup", nation, "c_nationkey", ["n_name"], order_by=["n_name"])
+
+
+@query("""SELECT source || '.example.com' AS host, count(*) AS n, sum(len(string_split(text, ' '))) AS cells FROM documents WHERE lang <> 'fr' GROUP BY 1""")
+def archive_rows(spark, sf):
+    """Rows of pushed payloads written below their hosts' folders and read back."""
+    out = scratch_path(spark, "archive")
+    N.archive_by_host(N.ingest_rows(_payloads(spark, sf)), out)
+    back = spark.read.parquet(out)
+    return back.groupBy("host").agg(F.count_distinct("job_id").alias("n"), F.count(F.lit(1)).alias("cells"))
+
+
+@query("""SELECT count(*) AS files, count(*) AS fingerprints, true AS sized FROM (SELECT DISTINCT n_regionkey FROM nation)""")
+def fingerprint_files(spark, sf):
+    """Every file written has a fingerprint of its own: one file for each region's nations."""
+    out = scratch_path(spark, "files")
+    n = table(spark, sf, "nation").select("n_regionkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
+    n.repartition(1).write.partitionBy("n_regionkey").text(out)
+    prints = FD.source_fingerprint(spark, out + "/*/*.txt")
+    return prints.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("source_hash").alias("fingerprints"), (F.min("length") > 0).alias("sized"))
+
+
+@query(f"""WITH {SQL_LEDGERS}, c AS (SELECT count(*) FILTER (status = 'matched') m, count(*) FILTER (status = 'conflict') x FROM result)
+SELECT v.r AS "runType", m AS matched, x AS conflict FROM c, (VALUES ('first'), ('second')) v(r)""")
+def audit_log(spark, sf):
+    """Two runs appended to the audit log and read back."""
+    out = scratch_path(spark, "audit")
+    counts = reconcile_counts(_ledger_result(spark, sf))
+    for run in ("first", "second"):
+        K.append_audit(K.audit_row(counts, "finance", "1", run), out)
+    return K.read_audit(spark, out).select("runType", "matched", "conflict")
+
+
+@query("""SELECT * FROM (VALUES (0, 'A', 'p_partkey', 'amount'), (1, 'B', 'p_name', 'plain_text'), (2, 'C', 'p_size', 'amount')) v(idx, letter, "column", kind)""")
+def profile_one_table(spark, sf):
+    return Q.profile_table(table(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("idx", "letter", "column", "kind")
