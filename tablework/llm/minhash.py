@@ -8,9 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tablework.llm.common import join_checked, map_arrow, stage
+from tablework.llm.common import BROADCAST_ROWS, join_checked, map_arrow, stage
 from tablework.llm.hashing import Rolling, mix, shingles, word_hashes
 
 U64 = np.uint64
@@ -19,6 +19,8 @@ PLACES = 1 << 20
 #: Shingles whose rows of the second permutation are held at once.
 CHUNK = 1024
 WORD_SEED = 11
+#: A shingle that at most so many of the compared sets have is rare.
+RARE = 8
 
 
 class Circulant:
@@ -97,11 +99,12 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(edges)
     while before[0]:
+        few = F.broadcast if before[0] <= BROADCAST_ROWS else lambda df: df  # at most two rows for each edge
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(few(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(small, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        moved = large.join(few(small), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stage(small.select("a", F.col("m").alias("b")).unionByName(moved).distinct())
         after = state(edges)
         if after == before:
@@ -110,48 +113,82 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 
+def shingle_rows(texts: DataFrame, width: int) -> DataFrame:
+    """(id, h): the distinct shingles of texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        rolling = Rolling(WORD_SEED)
+        for batch in batches:
+            yield [batch.column(0), [shingles(word_hashes(rolling, t), width).view(np.int64) for t in batch.column(1).to_pylist()]]
+
+    schema = StructType([StructField("id", BinaryType()), StructField("hashes", ArrayType(LongType()))])
+    return map_arrow(texts.select("id", "text"), schema, rows).select("id", F.explode("hashes").alias("h"))
+
+
 def link_sets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], width: int, percent: int) -> DataFrame:
     """(id, root) of the classes linked with others: Jaccard similarity of the whole sets of at least ``percent``.
 
-    ``classes`` is a written table of distinct sets: id, n, bands. ``texts_of`` turns a table with ids into (id, text).
+    ``classes`` is a written table of distinct sets: id, n, copies, bands. ``texts_of`` turns a table with ids into (id, text).
 
-    1. In every band each set is compared with the band's least id only, so a band of m sets gives m - 1 comparisons.
-    2. Bands whose sets then lie in one component are done. In the others, sets of different components are compared with each other if
-       their distances from the band's first set allow it: Jaccard distance obeys the triangle inequality, so |d(x,p) - d(y,p)| > 1 - percent
-       rules a link out without a look at the texts.
+    1. In every band each set is compared with one of them only, the one with the most copies, so a band of m sets gives m - 1 comparisons.
+    2. Bands whose sets then lie in one component are done. In the others, sets of different components still have to be compared, unless
+       shingles that few sets have rule a link out: two sets share at most the rare shingles that both have and what the smaller rest allows.
+       Pairs with a rare shingle in common are found by that shingle (RARE sets at most, so their number is linear); pairs without one by
+       their bands, and then both sets must consist of common shingles so far that a link is possible.
     """
-    rows = classes.where("n > 0").select("id", "n", F.explode("bands").alias("band"))
+    rows = classes.where("n > 0").select("id", "n", "copies", F.explode("bands").alias("band"))
     often = stage(rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("band"))
-    shared = stage(join_checked(rows, often, ["band"]))
-    first = shared.groupBy("band").agg(F.min(F.struct("id", "n")).alias("p"))
+    shared = stage(join_checked(rows, often, ["band"], rows=4 * BROADCAST_ROWS))  # a row is one number
+    first = shared.groupBy("band").agg(F.max(F.struct("copies", "id", "n")).alias("p"))
     members = stage(shared.join(first, "band").select("band", "id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n")))
 
-    def near(n: str, m: str) -> Column:
-        return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    def possible(n: str, m: str, most: Column | None = None) -> Column:
+        """Whether sets of these sizes, with at most so many shingles in common, can be linked."""
+        most = F.least(n, m) if most is None else most
+        return most * (100 + percent) >= percent * (F.col(n) + F.col(m))
 
     def compared(pairs: DataFrame) -> DataFrame:
         written = stage(pairs.distinct())
         needed = written.select(F.col("a").alias("id")).unionByName(written.select(F.col("b").alias("id"))).distinct()
         return stage(verified(written, stage(texts_of(needed)), width))
 
-    stars = compared(members.where(F.col("id") != F.col("pivot")).where(near("n", "pivot_n")).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     is_link = 100 * F.col("shared") >= percent * F.col("either")
+    stars = compared(members.where(F.col("id") != F.col("pivot")).where(possible("n", "pivot_n")).select(F.col("id").alias("a"), F.col("pivot").alias("b")))
     found = stage(components(stars.where(is_link)))
 
-    placed = members.join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    placed = join_checked(members, found, ["id"], "left").withColumn("root", F.coalesce("root", "id"))
     mixed = stage(placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi AND size > 2").select("band"))
     if mixed.isEmpty():
         return found
-    distance = stars.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("shared") / F.col("either")).alias("d"))
-    open_rows = join_checked(placed, mixed, ["band"]).where(F.col("id") != F.col("pivot"))
-    # a set not compared with the first one, because of their sizes, is at least as far as the sizes say
-    far = 1 - F.least("n", "pivot_n") / F.greatest("n", "pivot_n")
-    known = stage(open_rows.join(distance, ["id", "pivot"], "left").select("band", "id", "n", "root", F.coalesce("d", far).alias("lo"), F.coalesce("d", F.lit(1.0)).alias("hi")))
-    x, y = known.alias("x"), known.alias("y")
-    reach = 1 - percent / 100 + 1e-9
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & (F.col("x.lo") - F.col("y.hi") <= reach) & (F.col("y.lo") - F.col("x.hi") <= reach) & near("x.n", "y.n"))
-    rest = compared(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+    known = stage(join_checked(placed, mixed, ["band"]).select("band", "id", "n", "root", "pivot"))
+    sets = stage(known.groupBy("id").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.array_sort(F.collect_set("band")).alias("bands")))
+    content = stage(shingle_rows(texts_of(sets.select("id")), width))
+    rare = stage(content.join(content.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= RARE), "h").select("h", "id", "df"))
+    sized = stage(sets.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("few")), "id", "left").withColumn("common", F.col("n") - F.coalesce("few", F.lit(0))).drop("few"))
+
+    holders = rare.where("df > 1").groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    couples = holders.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both"))
+    ends = [sized.select(*(F.col(c).alias(f"{side}_{c}" if c != "id" else side) for c in ("id", "n", "root", "common"))) for side in ("a", "b")]
+    by_rare = join_checked(join_checked(couples, ends[0], ["a"]), ends[1], ["b"]).where("a_root != b_root").where(possible("a_n", "b_n", F.col("both") + F.least("a_common", "b_common"))).select("a", "b")
+
+    # sets outside of the component of the band's pivot, with every set of the band; each pair in the first band that it shares
+    able = sized.where(100 * F.col("common") >= percent * F.col("n")).select("id", "common", "bands")
+    mains = found.select(F.col("id").alias("pivot"), F.col("root").alias("main"))
+    full = stage(join_checked(join_checked(known, able, ["id"]), mains, ["pivot"], "left").withColumn("main", F.coalesce("main", "pivot")))
+    x = full.where("root != main").select(*(F.col(c).alias(f"x_{c}" if c != "band" else c) for c in ("band", "id", "n", "root", "common", "bands")))
+    y = full.select(*(F.col(c).alias(f"y_{c}" if c != "band" else c) for c in ("band", "id", "n", "root", "common", "bands", "main")))
+    once = (F.col("y_root") == F.col("y_main")) | (F.col("x_id") < F.col("y_id"))
+    fits = possible("x_n", "y_n", F.least("x_common", "y_common")) & (F.col("x_root") != F.col("y_root")) & once
+    lowest = F.array_min(F.array_intersect("x_bands", "y_bands")) == x["band"]
+    by_band = x.join(y, (x["band"] == y["band"]) & fits & lowest).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b"))
+
+    rest = compared(by_rare.unionByName(by_band))
     more = rest.where(is_link)
     if more.isEmpty():
         return found
-    return components(stars.where(is_link).unionByName(more))
+    # components of what is linked so far: the old roots take the place of the sets
+    old = [found.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root")) for side in ("a", "b")]
+    ends = join_checked(join_checked(more, old[0], ["a"], "left"), old[1], ["b"], "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    merged = stage(components(ends)).select(F.col("id").alias("root"), F.col("root").alias("new"))
+    single = merged.select(F.col("root").alias("id"), F.col("new").alias("root")).join(found.select("id"), "id", "left_anti")
+    return join_checked(found, merged, ["root"], "left").select("id", F.coalesce("new", "root").alias("root")).unionByName(single)

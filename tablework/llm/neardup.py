@@ -41,7 +41,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     never the least unless all are null; an empty table gives no rows; other columns are ignored.
     """
     found = stage(signatures(docs, id_col, text_col, width))
-    classes = stage(found.where("n > 0").groupBy("id").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    classes = stage(found.where("n > 0").groupBy("id").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         keys = stage(classes.select("id", "_key").join(ids, "id"))
@@ -50,7 +50,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     roots = stage(link_sets(classes, texts_of, width, percent))
     narrow = found.select("_id", "_key", "id", "n")
-    placed = stage(narrow.join(roots, "id", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "id"))).drop("id"))
+    placed = stage(join_checked(narrow, roots, ["id"], "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "id"))).drop("id"))
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_key"))
     joined = placed.join(placed.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("_first")), "root", "left")
     alone = F.col("root").isNull()
