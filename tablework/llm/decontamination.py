@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -91,10 +90,11 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int =
 
 
 def scan_documents(docs: DataFrame, items: DataFrame, columns: dict[str, str], text_col: str, item_id: str, item_text: str, window: int) -> DataFrame:
-    """``columns`` (source name -> result name), n_words, ranges (merged word ranges that are hit) and names (of the items) of every document."""
+    """``columns`` (source name -> result name), n_words, ranges (merged word ranges that are hit), spans (their bytes in the text) and names (of the
+    items) of every document."""
     spark = docs.sparkSession
     hits = ArrayType(ArrayType(LongType()))
-    results = [StructField("n_words", LongType()), StructField("ranges", hits), StructField("names", ArrayType(StringType()))]
+    results = [StructField("n_words", LongType()), StructField("ranges", hits), StructField("spans", hits), StructField("names", ArrayType(StringType()))]
 
     def scanned(block: list[tuple[str, bytes]], kept: dict[str, str], keyed: bool) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
@@ -104,7 +104,8 @@ def scan_documents(docs: DataFrame, items: DataFrame, columns: dict[str, str], t
 
             def one(text: bytes) -> tuple:
                 n, ranges, names = scanner.scan(text)
-                return n, merged(ranges), sorted(names)
+                found = merged(ranges)
+                return n, found, word_spans(text, found), sorted(names)
 
             return one
 
@@ -118,21 +119,24 @@ def scan_documents(docs: DataFrame, items: DataFrame, columns: dict[str, str], t
     if more is None:
         return scanned(first, columns, False)
     base = stage(scanned(first, columns, True))
-    parts = [base.select("_key", "ranges", "names").dropDuplicates(["_key"])]
+    found = ("_key", "ranges", "spans", "names")
+    parts = [base.select(*found).dropDuplicates(["_key"])]
     while more is not None:
-        parts.append(stage(scanned(more, {}, True).where(F.size("names") > 0).select("_key", "ranges", "names").dropDuplicates(["_key"])))
+        parts.append(stage(scanned(more, {}, True).where(F.size("names") > 0).select(*found).dropDuplicates(["_key"])))
         more = next(blocks, None)
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    together = union.groupBy("_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
-    joined = base.drop("ranges", "names").join(together, "_key")
-    fields = [base.schema[n] for n in columns.values()] + [base.schema["n_words"]]
-    return per_row(joined.select(*columns.values(), "n_words", "names", "ranges"), StructType(fields + [results[2], results[1]]), len(fields) + 1, lambda: lambda r: (merged([tuple(x) for x in r]),))
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("ranges", "spans")]
+    together = union.groupBy("_key").agg(*lists, F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"))
+    joined = base.drop("ranges", "spans", "names").join(together, "_key")
+    fields = [*(base.schema[n] for n in columns.values()), results[0], results[3], results[1], results[2]]
+    ready = joined.select(*(f.name for f in fields))
+    return per_row(ready, StructType(fields), len(fields) - 2, lambda: lambda *both: tuple(merged([tuple(x) for x in r]) for r in both))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: id, n_words, n_hit (words inside occurrences), item_ids (sorted), contaminated.
+    """One row per document: id, n_words, n_hit (words inside occurrences), item_ids (sorted), contaminated, spans (bytes of the text that are hit).
 
     A window is ``window`` consecutive words of an item; a shorter item is one window, an item without words has none. Null text has no
     words, a null item id counts as the empty string; repeated rows are judged alike; an empty table gives no rows; without items nothing
@@ -140,11 +144,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     found = scan_documents(docs, items, {id_col: "_id"}, text_col, item_id, item_text, window)
     hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
-    return found.select(F.col("_id").alias(id_col), "n_words", hit.alias("n_hit"), F.col("names").alias("item_ids"), (hit > 0).alias("contaminated"))
-
-
-def digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
+    return found.select(F.col("_id").alias(id_col), "n_words", hit.alias("n_hit"), F.col("names").alias("item_ids"), (hit > 0).alias("contaminated"), "spans")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tablework.llm.common import crc_of, field, map_arrow, per_row, stage, text_bytes
+from tablework.llm.common import crc_of, field, join_checked, map_arrow, per_row, stage, text_bytes
 
 #: Word starts of so many letters are candidates for the lexicon.
 SHORTEST, LONGEST = 4, 12
@@ -165,11 +165,13 @@ class Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn from documents with a label of 0 or 1: the lexicon from all of them, the calibration from at most FIT_ROWS of them.
+    """Learn from documents with a label of 0 or 1 (of several labels of one id the larger): the lexicon from all of them, the calibration from at most FIT_ROWS of them.
 
     Without both labels the lexicon is empty."""
-    known = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1)").dropDuplicates(["_label_id"])
-    training = stage(docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text")).join(known, F.col("_id") == F.col("_label_id")).select("_id", "toxic", "_text"))
+    known = labels.select(F.col(id_col).alias("_label_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic IN (0, 1)")
+    known = stage(known.groupBy("_label_id").agg(F.max("toxic").alias("toxic")))
+    texts = docs.select(F.col(id_col).alias("_id"), text_bytes(text_col).alias("_text"))
+    training = stage(join_checked(texts, known, texts["_id"] == known["_label_id"]).select("_id", "toxic", "_text"))
     sizes = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model({}, (0.0, 0.0, math.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 4.5))))
