@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tablework.llm.common import BROADCAST_ROWS, field, join_checked, map_arrow, per_row, row_key, stage, text_bytes
 from tablework.llm.hashing import Rolling
@@ -29,6 +29,8 @@ WIDTH = 400
 GRAM = 200
 BLOCK = 16
 SEED = 3
+#: Rows that a task hands on at once.
+FLUSH = 20_000
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -80,35 +82,71 @@ def run_table(docs: DataFrame, id_col: str, text_col: str, width: int, gram: int
     return map_arrow(docs.select(row_key(id_col, text_col), text_bytes(text_col)), RUN, rows)
 
 
-def _split(runs: DataFrame, width: int, single: bool) -> DataFrame:
-    """The blocks of open runs (digit, content, weight, start, n, place, text): digit, at, inner, whole, first (window in the run), n, content, weight.
+def _gathered(parts: Iterator[tuple], kinds: list[str]) -> Iterator[list]:
+    """Batches of about FLUSH rows made of tuples of equally long arrays and numbers that hold for all of them."""
+    held: list[tuple] = []
+    n = 0
+    for part in parts:
+        m = len(part[-1])
+        held.append(tuple(x if isinstance(x, np.ndarray) else np.full(m, x) for x in part))
+        n += m
+        if n >= FLUSH:
+            yield [np.concatenate(c).astype(t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(c).astype(t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)]
+
+
+def _blocks(runs: DataFrame, width: int) -> DataFrame:
+    """The blocks of runs (digit, content, weight, place, n, text): digit, content, weight, at (of the block, from the least string on), inner and
+    whole (what all its windows share, and all of it), first (window in the run), n."""
+    fields = [("digit", LongType()), ("content", LongType()), ("weight", LongType()), ("at", IntegerType()), ("inner", LongType()), ("whole", LongType()), ("first", IntegerType()), ("n", IntegerType())]
+    kinds = ["i8", "i8", "i8", "i4", "i8", "i8", "i4", "i4"]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        rolling = Rolling(SEED)
+        for batch in batches:
+            for digit, content, weight, place, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums = rolling.sums(np.frombuffer(text, dtype=np.uint8))
+                at = np.arange(-place // BLOCK, (n - 1 - place) // BLOCK + 1)
+                lo = np.maximum(place + BLOCK * at, 0)
+                hi = np.minimum(place + BLOCK * at + BLOCK, n) - 1
+                inner = rolling.ranges(sums, place + BLOCK * (at + 1) - 1, place + BLOCK * at + width)
+                whole = rolling.ranges(sums, lo, hi + width) ^ (lo - place - BLOCK * at).astype(np.uint64)
+                yield digit, content, weight, at, inner.view(np.int64), whole.view(np.int64), lo, hi - lo + 1
 
-    With ``single``, blocks of one window."""
-    size = 1 if single else BLOCK
-    schema = StructType([
-        StructField("digit", LongType()), StructField("content", LongType()), StructField("weight", LongType()), StructField("at", IntegerType()),
-        StructField("inner", LongType()), StructField("whole", LongType()), StructField("first", IntegerType()), StructField("n", IntegerType()),
-    ])
+    schema = StructType([StructField(*f) for f in fields])
+    return map_arrow(runs.select("digit", "content", "weight", "place", "n", "text"), schema, lambda batches: _gathered(parts(batches), kinds))
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+
+def _windows(runs: DataFrame, width: int) -> DataFrame:
+    """The windows of parts of runs (digit, content, weight, place, first, n, text): digit, at (the window, from the least string on), hash, weight,
+    content, first, n.
+
+    Where ``place`` is null, ``at`` is 0, windows that recur in the part are one row with the weight of all, and rows with at = 1 and hash 0 tell
+    their places (first, n) and do not count."""
+    fields = [("digit", LongType()), ("content", LongType()), ("weight", LongType()), ("at", IntegerType()), ("hash", LongType()), ("first", IntegerType()), ("n", IntegerType())]
+    kinds = ["i8", "i8", "i8", "i4", "i8", "i4", "i4"]
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         rolling = Rolling(SEED)
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for digit, content, weight, place, windows, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for digit, content, weight, place, first, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sums = rolling.sums(np.frombuffer(text, dtype=np.uint8))
-                number = np.floor_divide(np.array(windows) - place, size)  # windows: those to look at, in order
-                first = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1]) if len(windows) else np.zeros(0, dtype=np.int64)
-                last = np.concatenate([first[1:], [len(windows)]]) - 1
-                at, lo, hi = number[first], np.array(windows)[first], np.array(windows)[last]
-                inner = rolling.ranges(sums, place + size * (at + 1) - 1, place + size * at + width)
-                whole = rolling.ranges(sums, lo, hi + width) ^ (lo - place - size * at).astype(np.uint64)
-                m = len(first)
-                for c, x in zip(out, ([digit] * m, [content] * m, [weight] * m, at.tolist(), inner.view(np.int64).tolist(), whole.view(np.int64).tolist(), lo.tolist(), (hi - lo + 1).tolist()), strict=True):
-                    c += x
-            yield out
-
-    windows = F.sequence(F.lit(0), F.col("n") - 1) if "windows" not in runs.columns else F.col("windows")
-    return map_arrow(runs.select("digit", "content", "weight", "place", windows, "text"), schema, rows)
+                lo = np.arange(first, first + n)
+                hashes = rolling.ranges(sums, lo, lo + width).view(np.int64)
+                if place is not None:
+                    yield digit, content, weight, lo - place, hashes, lo, np.ones(n, dtype=np.int64)
+                    continue
+                values, index, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                yield digit, content, weight * counts, 0, values, lo[index], np.ones(len(values), dtype=np.int64)
+                again = np.concatenate([[0], counts[inverse] > 1, [0]])
+                edges = np.flatnonzero(np.diff(again))
+                if len(edges):
+                    yield digit, content, weight, 1, 0, first + edges[::2], edges[1::2] - edges[::2]
+
+    schema = StructType([StructField(*f) for f in fields])
+    return map_arrow(runs.select("digit", "content", "weight", "place", "first", "n", "text"), schema, lambda batches: _gathered(parts(batches), kinds))
 
 
 def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
@@ -132,22 +170,21 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, width: int = WID
         texts = stage(texts.dropDuplicates(["digit", "content"]))
 
     # third digit: what all windows of a block share, and the whole of it
-    blocks = stage(_split(texts.where("NOT flat"), width, single=False))
+    blocks = stage(_blocks(texts.where("NOT flat"), width))
     wholes = stage(blocks.groupBy("digit", "at", "inner", "whole").agg(F.sum("weight").alias("weight"), F.min(F.struct("content", "first", "n")).alias("one")))
     inners = wholes.groupBy("digit", "at", "inner").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("digit", "at", "inner")
     open_blocks = wholes.join(inners, ["digit", "at", "inner"])
     sure = blocks.where("weight = 1").join(wholes.where("weight > 1").select("digit", "at", "inner", "whole"), ["digit", "at", "inner", "whole"]).select("digit", "content", "first", "n")
 
-    # last digit: the windows themselves
+    # last digit: the windows themselves; where the least string stands twice in a run, a window's place relative to it says nothing
     look = open_blocks.select("digit", F.col("one.content").alias("content"), "weight", F.col("one.first").alias("first"), F.col("one.n").alias("n"))
-    per_run = look.groupBy("digit", "content").agg(F.collect_list(F.struct("first", "n", "weight")).alias("parts"))
-    picked = texts.drop("weight", "n").join(per_run, ["digit", "content"])
-    some = picked.select("digit", "content", "place", "text", F.explode("parts").alias("p")).select("digit", "content", F.col("p.weight").alias("weight"), "place", "text", F.sequence("p.first", F.col("p.first") + F.col("p.n") - 1).alias("windows"))
-    every = texts.where("flat").select("digit", "content", "weight", "place", "text", F.sequence(F.lit(0), F.col("n") - 1).alias("windows"))
-    # where the least string stands twice, a window's place relative to it says nothing, so its number does not count
-    windows = stage(_split(some, width, single=True).unionByName(_split(every, width, single=True).withColumn("at", F.lit(0)).withColumn("inner", F.col("whole"))))
-    again = windows.groupBy("digit", "at", "inner").agg(F.sum("weight").alias("weight")).where("weight > 1").select("digit", "at", "inner")
-    found = windows.where("weight = 1").join(again, ["digit", "at", "inner"]).select("digit", "content", "first", "n")
+    some = texts.select("digit", "content", "place", "text").join(look, ["digit", "content"])
+    every = texts.where("flat").select("digit", "content", F.lit(None).cast("int").alias("place"), "text", "weight", F.lit(0).alias("first"), "n")
+    windows = stage(_windows(some.unionByName(every), width))
+    counted = windows.where("at != 1 OR hash != 0")
+    again = counted.groupBy("digit", "at", "hash").agg(F.sum("weight").alias("all")).where("all > 1")
+    found = counted.where("weight = 1").join(again, ["digit", "at", "hash"]).select("digit", "content", "first", "n")
+    found = found.unionByName(windows.where("at = 1 AND hash = 0").select("digit", "content", "first", "n"))
 
     # the windows found stand in runs whose content occurs once; blocks found are placed in every run that has them
     once = chosen.where("weight = 1").select("digit", "content", "key", "start")
