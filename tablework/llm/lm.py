@@ -29,6 +29,8 @@ DISCOUNT = 0.75
 DIMENSION, BATCH, NOISE, STEPS, RATE = 32, 2048, 256, 1500, 0.15
 #: Distinct words that a task counts before it passes them on.
 COUNTED = 400_000
+#: Texts that a task scores before it hands them on.
+ROWS = 1000
 END = b""
 
 
@@ -210,7 +212,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         inside = np.where(number < len(own), 0.0, np.log10(np.where(number < len(own), 1.0, np.maximum(count - DISCOUNT, 1e-9)) / sizes))
         end, end_class = place.get(END, -1), class_of(END, own)
         known: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             out: list[list] = [[] for _ in range(5)]
             for text in batch.column(2).to_pylist():
                 words = text.translate(LOWER).split()

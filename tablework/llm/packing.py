@@ -19,7 +19,7 @@ from tablework.llm.common import field, map_arrow, row_key, stage, text_bytes
 SEQUENCE = 4096
 END_ID = 2
 #: Words and pieces of words whose ids a task remembers, the longest one that it remembers, and how many it encodes at once.
-CACHED = 600_000
+CACHED = 400_000
 CACHED_BYTES = 64
 ENCODED = 8192
 #: What stands for each byte in the vocabulary: itself if it can be seen, else the next character from 256 on.

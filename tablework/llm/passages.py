@@ -26,6 +26,8 @@ SHINGLE = 5
 PERCENT = 80
 #: A pair of similarity 0.8 meets in none of the bands with probability 3e-4, one of 0.9 with 2e-6.
 ROWS, BANDS = 2, 8
+#: Units that a task hands on at once.
+FLUSH = 20_000
 U64 = np.uint64
 
 UNIT = StructType([
@@ -103,13 +105,15 @@ def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, text in enumerate(batch.column(1).to_pylist()):
                 lines, windows = cutter.units(text)
                 index += [i] * (len(lines) + len(windows))
-                for c, x in zip(out, (*zip(*lines, strict=True), *([None] * len(lines) for _ in range(2))) if lines else (), strict=False):
-                    c += x
-                if windows:
-                    lo, hi, h1, h2 = zip(*windows, strict=True)
-                    nothing = [None] * len(windows)
-                    for c, x in zip(out, (lo, hi, nothing, nothing, nothing, h1, h2), strict=True):
-                        c += x
+                for x in lines:
+                    for c, v in zip(out, (*x, None, None), strict=True):
+                        c.append(v)
+                for lo, hi, h1, h2 in windows:
+                    for c, v in zip(out, (lo, hi, None, None, None, h1, h2), strict=True):
+                        c.append(v)
+                if len(index) > FLUSH:
+                    yield [batch.column(0).take(pa.array(index)), *out]
+                    index, out = [], [[] for _ in range(7)]
             if index:
                 yield [batch.column(0).take(pa.array(index)), *out]
 
@@ -131,7 +135,7 @@ def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         held = join_checked(source.select("key", "text"), wanted, ["key"], counted=total).select("text", F.explode("parts").alias("p"))
         return held.select("p.id", F.substring("text", F.col("p.lo") + 1, F.col("p.hi") - F.col("p.lo")).alias("text")).dropDuplicates(["id"])
 
-    roots = link_sets(classes.select("id", "n", "bands"), texts_of, SHINGLE, PERCENT)
+    roots = link_sets(classes.select("id", "n", "copies", "bands"), texts_of, SHINGLE, PERCENT)
     groups = stage(classes.where("copies > 1").select("id").join(roots, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
     similar = join_checked(lines.select("key", "lo", "hi", "id"), groups, ["id"]).select("key", "lo", "hi", "root", F.lit(False).alias("window"))
 
