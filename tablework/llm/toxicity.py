@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tablework.llm.common import crc_of, field, join_checked, map_arrow, per_row, stage, text_bytes
 
@@ -23,6 +23,11 @@ FIT_ROWS = 20_000
 #: Word starts that a task counts before it passes them on.
 COUNTED = 300_000
 THRESHOLD = 0.3
+#: Least odds ratio of a word start, and entries of the lexicon at most, the most surprising ones.
+LEAST_ODDS = 20
+MAX_ENTRIES = 2000
+#: A word start goes if so large a share of its texts has one that so many times more texts have: words of copied texts, not of toxic ones.
+COVERED, TIMES = 0.8, 4
 #: Letters of other scripts that look like Latin ones, and digits and signs written for letters.
 HOMOGLYPHS = dict(zip("авекмнорстухіјѕԁɡαβεικνορτυχℓı", "abekmhopctyxijsdgabeikvoptuxli", strict=True))
 DIGITS = dict(zip("013457@$", "oieastas", strict=True))
@@ -93,7 +98,7 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
     def weight(t: int, c: int) -> float:
         return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
 
-    strong = {p for p, (t, c) in known.items() if surprise(t, c) > needed and weight(t, c) > math.log(3)}
+    strong = {p for p, (t, c) in known.items() if surprise(t, c) > needed and weight(t, c) > math.log(LEAST_ODDS)}
     longer: dict[str, int] = {}
     for p in strong:
         longer[p[:-1]] = max(longer.get(p[:-1], 0), known[p][0])
@@ -103,6 +108,19 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[s
         w = weight(*known[p])
         if not any(p[:k] in kept and kept[p[:k]] > w - 0.7 for k in range(SHORTEST, len(p))):
             kept[p] = w
+    best = sorted(kept, key=lambda p: (-surprise(*known[p]), p))[:MAX_ENTRIES]
+    return {p: kept[p] for p in best}
+
+
+def without_companions(weights: dict[str, float], texts: list[list[str]]) -> dict[str, float]:
+    """The lexicon without word starts that come along with much more frequent ones; ``texts`` lists those found in each toxic text."""
+    support = Counter(p for found in texts for p in found)
+    kept: dict[str, float] = {}
+    for p in sorted(weights, key=lambda p: (-support[p], p)):
+        own = [found for found in texts if p in found] if support[p] * TIMES <= max(support.values(), default=0) else []
+        covered = sum(any(q in kept and support[q] >= TIMES * support[p] for q in found) for found in own)
+        if covered < COVERED * len(own) or not own:
+            kept[p] = weights[p]
     return kept
 
 
@@ -115,14 +133,19 @@ class Lexicon:
         self.table = folding()
         self.automaton = ahocorasick.Automaton()
         for p, w in weights.items():
-            self.automaton.add_word(f" {p}", (len(p), w))
+            self.automaton.add_word(f" {p}", (len(p), w, p))
         for p in exceptions:
             words = fold(p, self.table)[:-1]
-            self.automaton.add_word(words + " ", (len(words) - 1, None))
+            self.automaton.add_word(words + " ", (len(words) - 1, None, p))
         self.empty = not len(self.automaton)
         if not self.empty:
             self.automaton.make_automaton()
 
+    def found(self, text: bytes) -> list[str]:
+        """The word starts that a text has."""
+        folded = fold(text.decode("utf-8", "replace"), self.table)
+        return sorted({p for _, (_, w, p) in self.automaton.iter(folded) if w is not None}) if not self.empty else []
+
     def features(self, text: bytes) -> tuple[float, float, int, int]:
         """Log of the summed weights, log of the weight for a thousand words, hits, words. Of word starts at one place the heaviest counts."""
         folded = fold(text.decode("utf-8", "replace"), self.table)
@@ -131,7 +154,7 @@ class Lexicon:
             return 0.0, 0.0, 0, n
         best: dict[int, float] = {}
         excused: list[tuple[int, int]] = []
-        for end, (size, w) in self.automaton.iter(folded):
+        for end, (size, w, _) in self.automaton.iter(folded):
             if w is None:
                 excused.append((end - size, end))
             else:
@@ -180,6 +203,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     wanted = frozenset(r["pattern"] for r in frequent.orderBy(F.desc("toxic"), "pattern").limit(MAX_CANDIDATES).collect())
     shared = _counted(training.select("toxic", "_text"), wanted)
     weights = choose([(r["pattern"], r["toxic"], r["clean"]) for r in shared.collect()], sizes[1], sizes[0])
+    candidates = weights
+
+    def finder() -> Callable[[bytes], tuple]:
+        lexicon = Lexicon(candidates)
+        return lambda text: (lexicon.found(text),)
+
+    bad = training.where("toxic = 1")
+    if sizes[1] > FIT_ROWS:
+        bad = bad.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(FIT_ROWS / sizes[1] * 1_000_000))
+    lists = per_row(bad.select("_text"), StructType([StructField("found", ArrayType(StringType()))]), 0, finder)
+    weights = without_companions(weights, [r["found"] for r in lists.collect()])
     share = FIT_ROWS / sum(sizes.values())
     drawn = training.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else training
     scored = features(drawn, ["toxic"], "_text", weights).collect()
