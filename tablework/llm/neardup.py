@@ -52,7 +52,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = found.select("_id", "_key", "id", "n")
     placed = stage(join_checked(narrow, roots, ["id"], "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "id"))).drop("id"))
     first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_key"))
-    joined = placed.join(placed.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("_first")), "root", "left")
+    firsts = stage(placed.where(F.col("root").isNotNull()).groupBy("root").agg(first.alias("_first")))
+    joined = join_checked(placed, firsts, ["root"], "left")
     alone = F.col("root").isNull()
     component = F.when(alone, F.col("_id")).otherwise(F.col("_first._id"))
     return joined.select(

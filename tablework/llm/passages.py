@@ -146,8 +146,8 @@ def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key")).distinct()
     found = stage(similar.unionByName(equal).join(ids, "key"))
     place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "key", "lo")
-    firsts = found.groupBy("root", "window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return found.join(firsts, ["root", "window"]).select("key", "lo", "hi", "window", ((F.col("key") == F.col("first.key")) & (F.col("lo") == F.col("first.lo"))).alias("kept"), F.col("first._id").alias("first_id"))
+    firsts = stage(found.groupBy("root", "window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    return join_checked(found, firsts, ["root", "window"]).select("key", "lo", "hi", "window", ((F.col("key") == F.col("first.key")) & (F.col("lo") == F.col("first.lo"))).alias("kept"), F.col("first._id").alias("first_id"))
 
 
 def cut(text: bytes, units: list[dict] | None) -> tuple[bytes, int]:
