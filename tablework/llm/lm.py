@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from tablework.llm.common import crc_of, field, map_arrow, row_key, stage, text_bytes
+from tablework.llm.common import crc_of, field, map_arrow, most_frequent, row_key, stage, text_bytes
 from tablework.llm.hashing import LOWER
 
-#: Words with a class of their own, shared classes, and words that every task holds with their counts; counts of others are joined.
+#: Words with a class of their own, shared classes, and words at most that every task holds with their counts; counts of others are joined.
 OWN, SHARED, HEAD = 768, 256, 200_000
 #: Last bytes of a word that choose its shared class.
 TAIL = 3
@@ -175,7 +175,7 @@ def learn(texts: DataFrame) -> Model:
     """Learn from all rows of one column of bytes. Passes HEAD words, SHARED class sizes and a square of class pairs through the driver."""
     counts = stage(word_counts(texts))
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    head = sorted(((bytes(r["word"]), r["n"]) for r in most_frequent(counts, "n", HEAD).collect()), key=lambda x: (-x[1], x[0]))
     own = {w: i for i, w in enumerate([END, *(w for w, _ in head if w != END)][:OWN])}
     spark = texts.sparkSession
     named = spark.createDataFrame([(bytearray(w),) for w in own], "word binary")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tablework.llm.common import crc_of, field, join_checked, map_arrow, per_row, stage, text_bytes
+from tablework.llm.common import crc_of, field, join_checked, map_arrow, most_frequent, per_row, stage, text_bytes
 
 #: Word starts of so many letters are candidates for the lexicon.
 SHORTEST, LONGEST = 4, 12
@@ -199,8 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(sizes) < 2:
         return Model({}, (0.0, 0.0, math.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 4.5))))
     least = max(3, sizes[1] // 1000)
-    frequent = _counted(training.where("toxic = 1").select("toxic", "_text"), None).where(F.col("toxic") >= least)
-    wanted = frozenset(r["pattern"] for r in frequent.orderBy(F.desc("toxic"), "pattern").limit(MAX_CANDIDATES).collect())
+    frequent = stage(_counted(training.where("toxic = 1").select("toxic", "_text"), None).where(F.col("toxic") >= least))
+    wanted = frozenset(r["pattern"] for r in most_frequent(frequent, "toxic", MAX_CANDIDATES).collect())
     shared = _counted(training.select("toxic", "_text"), wanted)
     weights = choose([(r["pattern"], r["toxic"], r["clean"]) for r in shared.collect()], sizes[1], sizes[0])
     candidates = weights

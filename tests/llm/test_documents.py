@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablework.llm import decontamination, lm, minhash, neardup, packing, passages, quality, substrings, toxicity
-from tablework.llm.common import join_checked, stage, text_bytes
+from tablework.llm.common import join_checked, most_frequent, stage, text_bytes
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, n long, n_words string, kept string, root int"
@@ -450,3 +450,11 @@ def test_stage_and_checked_join(spark, docs):
     for rows in (0, 100):
         assert join_checked(docs, small, ["doc_id"], rows=rows).count() == 5
     assert docs.where(F.col("doc_id").isNull()).count() == 1
+
+
+def test_most_frequent(spark):
+    df = spark.createDataFrame([(f"w{i}", 1 + i // 10) for i in range(200)], "w string, n long")
+    for rows in (0, 9, 10, 55, 1000):
+        got = [r["n"] for r in most_frequent(df, "n", rows).collect()]
+        assert len(got) <= rows and (not got or sorted(got) == sorted(1 + i // 10 for i in range(200))[-len(got) :])
+    assert most_frequent(df, "n", 1000).count() == 200 and most_frequent(df.where("false"), "n", 5).count() == 0
