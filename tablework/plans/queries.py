@@ -1298,3 +1298,14 @@ def audit_log(spark, sf):
 @query("""SELECT * FROM (VALUES (0, 'A', 'p_partkey', 'amount'), (1, 'B', 'p_name', 'plain_text'), (2, 'C', 'p_size', 'amount')) v(idx, letter, "column", kind)""")
 def profile_one_table(spark, sf):
     return Q.profile_table(table(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("idx", "letter", "column", "kind")
+
+
+@query("SELECT o_custkey AS source_id, o_orderkey AS table_idx, o_orderkey % 3 = 0 AS has_header FROM orders")
+def header_rows_mixed(spark, sf):
+    """First rows that are headers, that hold data, and that repeat the row below."""
+    kind = F.col("o_orderkey") % 3
+    line = lambda *cells: F.array(*[F.lit(c) for c in cells])
+    first = F.when(kind == 0, line("name", "amount", "day")).when(kind == 1, line("CNY 12", "4.5 颗星", "17")).otherwise(line("x", "y", "z"))
+    second = F.when(kind == 2, line("x", "y", "z")).otherwise(line("pear", "3", "4"))
+    grids = table(spark, sf, "orders").select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("table_idx"), F.posexplode(F.array(first, second)).alias("row_idx", "cells"))
+    return G.flag_header_rows(grids)
