@@ -15,6 +15,9 @@ from tablework.session import checkpointed
 #: A side of a join with at most so many rows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Rows that a Python task turns into objects at once.
+SLICE = 1000
+
 stage = checkpointed
 
 
@@ -42,11 +45,11 @@ def crc_of(id_col: str) -> Column:
 
 
 def map_arrow(df: DataFrame, schema: StructType, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[list[list]]]) -> DataFrame:
-    """``rows`` turns Arrow batches into lists of column values; every list of columns becomes one batch."""
+    """``rows`` turns Arrow batches of at most SLICE rows into lists of column values; every list of columns becomes one batch."""
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in rows(batches):
+        for columns in rows(b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
     return df.mapInArrow(run, schema)
