@@ -151,7 +151,7 @@ def _combinations(counts: dict[int, int], window: int) -> list[tuple[int, ...]]:
             for c in lengths[max(0, near - 2) : near]:
                 if left - c in present:
                     found.add(tuple(sorted((a, b, c, left - c))))
-        if not any(rest - b in present or rest == b for b in fitting[::step]):
+        if rest not in present and rest - fitting[-1] <= window // 64:
             found.add(tuple(sorted((a, fitting[-1]))))
     return sorted(found)
 
