@@ -16,28 +16,43 @@ from tablework.llm.queries import tokenizer
 cloudpickle.register_pickle_by_value(tablework)
 
 
+#: Whole texts travel to Python tasks in batches of so many rows, which bounds the memory outside of the executors' heaps.
+BATCH_ROWS = 1000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the rules or whose host is rejected."""
+    _small_batches(spark)
     return quality.keep_good(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group linked by five-word shingles and a similarity of 0.8 or more."""
+    _small_batches(spark)
     return neardup.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages that stand elsewhere already; documents left without a word go."""
+    _small_batches(spark)
     return passages.drop_passages(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a window of a benchmark item."""
+    _small_batches(spark)
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places the tokens of all documents in sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    _small_batches(spark)
     return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
