@@ -1,8 +1,10 @@
 """Substring dedup of passages: paragraph MinHash banding, exact Jaccard similarity, removals by components.
 
-Two kinds of passages are units: lines of at least MIN_WORDS words, and, as a passage may stand inside a longer paragraph, windows of
-MIN_WORDS words whose hash is the least among REACH neighbouring windows, so that a passage of MIN_WORDS + REACH - 1 words has some of the same
-windows wherever it stands. Lines are linked by similarity, windows by equality. Of every component the first unit stays.
+Two kinds of passages are units: lines of at least MIN_WORDS words, and, as a passage may stand inside a longer paragraph, runs of words that
+stand elsewhere too. Windows of MIN_WORDS words whose hash is the least among REACH neighbouring windows are the anchors of such runs: a shared
+passage of MIN_WORDS + REACH - 1 words has one wherever it stands, and another within REACH - 1 places as long as it goes on. Where anchors that
+go leave words between them or at their ends, all windows up to there are compared in every text with such an anchor, and a run is what equal
+windows cover. Lines are linked by similarity, windows by equality. Of every component the first unit stays.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -53,13 +55,13 @@ class Cutter:
         self.rolling, self.circulant = Rolling(WORD_SEED), Circulant(ROWS * BANDS)
 
     def units(self, text: bytes) -> tuple[list[tuple], list[tuple]]:
-        """Lines (lo, hi, n, id, bands) and windows (lo, hi, h1, h2); lo and hi are bytes."""
+        """Lines (lo, hi, n, id, bands) and anchors (lo, hi, number of the first word, h1, h2); lo and hi are bytes."""
         data = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
         start, end = word_bounds(data)
         if len(start) < MIN_WORDS:
             return [], []
         words = self.rolling.ranges(self.rolling.sums(data), start, end)
-        return self._lines(data, start, end, words), self._windows(start, end, words)
+        return self._lines(data, start, end, words), self._anchors(start, end, words)
 
     def _lines(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> list[tuple]:
         line = np.searchsorted(np.flatnonzero(data == 10), start)
@@ -84,18 +86,39 @@ class Cutter:
             out.append((int(start[f]), int(end[f + s - 1]), len(found), set_id(found), bands[i]))
         return out
 
-    def _windows(self, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> list[tuple]:
+    def _anchors(self, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> list[tuple]:
         one = grams(words, MIN_WORDS)
         view = np.lib.stride_tricks.sliding_window_view(one, min(REACH, len(one)))
         at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
         other = np.full(len(at), U64(7), dtype=U64)
         for k in range(MIN_WORDS):
             other = other * U64(0xA24BAED4963EE407) + words[at + k]
-        return list(zip(start[at].tolist(), end[at + MIN_WORDS - 1].tolist(), one[at].view(np.int64).tolist(), mix(other).view(np.int64).tolist(), strict=True))
+        return list(zip(start[at].tolist(), end[at + MIN_WORDS - 1].tolist(), at.tolist(), one[at].view(np.int64).tolist(), mix(other).view(np.int64).tolist(), strict=True))
+
+
+def around(rolling: Rolling, text: bytes, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All windows less than REACH places before or after the anchors that ask for it, without the anchors: lo, hi, h1, h2.
+
+    An anchor is four times the number of its first word, plus 2 if windows before and 1 if windows after it are asked for."""
+    data = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
+    start, end = word_bounds(data)
+    words = rolling.ranges(rolling.sums(data), start, end)
+    one = grams(words, MIN_WORDS)
+    near = np.zeros(len(one) + 1, dtype=np.int64)
+    before, after = anchors[anchors & 2 > 0] >> 2, anchors[anchors & 1 > 0] >> 2
+    np.add.at(near, np.concatenate([np.maximum(before - REACH + 1, 0), after]), 1)
+    np.add.at(near, np.concatenate([before, np.minimum(after + REACH, len(one))]), -1)
+    asked = np.cumsum(near[:-1]) > 0
+    asked[anchors >> 2] = False
+    at = np.flatnonzero(asked)
+    other = np.full(len(at), U64(7), dtype=U64)
+    for k in range(MIN_WORDS):
+        other = other * U64(0xA24BAED4963EE407) + words[at + k]
+    return start[at], end[at + MIN_WORDS - 1], one[at].view(np.int64), mix(other).view(np.int64)
 
 
 def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """All units: key (of the row), lo, hi, and for lines n, id and bands, for windows h1 and h2."""
+    """Lines and anchors: key (of the row), lo, hi, n (of an anchor the number of its first word), for lines id and bands, for anchors h1 and h2."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         cutter = Cutter()
@@ -103,13 +126,13 @@ def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             index: list[int] = []
             out: list[list] = [[] for _ in range(7)]
             for i, text in enumerate(batch.column(1).to_pylist()):
-                lines, windows = cutter.units(text)
-                index += [i] * (len(lines) + len(windows))
+                lines, anchors = cutter.units(text)
+                index += [i] * (len(lines) + len(anchors))
                 for x in lines:
                     for c, v in zip(out, (*x, None, None), strict=True):
                         c.append(v)
-                for lo, hi, h1, h2 in windows:
-                    for c, v in zip(out, (lo, hi, None, None, None, h1, h2), strict=True):
+                for lo, hi, n, h1, h2 in anchors:
+                    for c, v in zip(out, (lo, hi, n, None, None, h1, h2), strict=True):
                         c.append(v)
                 if len(index) > FLUSH:
                     yield [batch.column(0).take(pa.array(index)), *out]
@@ -120,10 +143,65 @@ def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(docs.select(row_key(id_col, text_col), text_bytes(text_col)), UNIT, rows)
 
 
+def near_windows(source: DataFrame, anchors: DataFrame) -> DataFrame:
+    """_id, key, lo, hi, h1 and h2 of the windows around anchors, wherever an anchor that is not the first of its kind leaves words near it uncovered.
+
+    ``source``: _id, key, text; ``anchors``: those with copies: _id, key, lo, hi, n, h1, h2, first."""
+    order = Window.partitionBy("key").orderBy("n")
+    going = anchors.where((F.col("key") != F.col("first.key")) | (F.col("lo") != F.col("first.lo"))).select("key", "n", "h1").distinct()
+    begins = F.coalesce(F.col("n") > F.lag("n").over(order) + MIN_WORDS, F.lit(True)).cast("int")
+    chain = Window.partitionBy("key", "chain")
+    placed = going.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order))
+    sides = placed.select("h1", (F.col("n") - F.min("n").over(chain) < REACH - 1).alias("before"), (F.max("n").over(chain) - F.col("n") < REACH - 1).alias("after"))
+    asked = stage(sides.where("before OR after").groupBy("h1").agg((F.max(F.col("before").cast("int")) * 2 + F.max(F.col("after").cast("int"))).alias("sides")))
+    marked = join_checked(anchors.select("key", "n", "h1"), asked, ["h1"], "left", rows=4 * BROADCAST_ROWS)  # a row is one number and two bits
+    lists = marked.groupBy("key").agg(F.collect_set(F.col("n") * 4 + F.coalesce("sides", F.lit(0))).alias("anchors"), F.max("sides").alias("sides"))
+    lists = stage(lists.where("sides IS NOT NULL").select("key", "anchors"))
+    total = lists.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    held = join_checked(source, lists, ["key"], counted=total).select("_id", "key", "text", "anchors")
+    schema = StructType([
+        field(held, "_id"), StructField("key", BinaryType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()),
+        StructField("h1", LongType()), StructField("h2", LongType()),
+    ])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        rolling = Rolling(WORD_SEED)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = around(rolling, batch.column(2)[i].as_py(), batch.column(3)[i].values.to_numpy())
+                for k in range(0, len(found[0]), FLUSH):
+                    part = [x[k : k + FLUSH] for x in found]
+                    index = pa.array(np.full(len(part[0]), i))
+                    yield [batch.column(0).take(index), batch.column(1).take(index), *part]
+
+    return map_arrow(held, schema, rows)
+
+
+def with_first(units: DataFrame, *on: str) -> DataFrame:
+    """The units that are alike in some columns, with the place of the first of them."""
+    place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "key", "lo")
+    firsts = stage(units.groupBy(*on).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
+    return join_checked(units, firsts, list(on))
+
+
+def shared_runs(windows: DataFrame) -> DataFrame:
+    """The runs that are covered by equal windows, of those that have their first copies in one document: columns as of linked_units."""
+    found = with_first(windows, "h1", "h2").select(
+        "key", "lo", "hi", ((F.col("key") == F.col("first.key")) & (F.col("lo") == F.col("first.lo"))).alias("kept"), F.col("first._id").alias("first_id"), F.col("first.key").alias("first_key")
+    )
+    order = Window.partitionBy("key", "kept", "first_key").orderBy("lo")
+    begins = F.coalesce(F.col("lo") > F.lag("hi").over(order), F.lit(True)).cast("int")
+    runs = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).groupBy("key", "kept", "first_key", "run")
+    return runs.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("first_id").alias("first_id")).select(
+        "key", "lo", "hi", F.lit(True).alias("window"), "kept", (F.col("key") == F.col("first_key")).alias("own"), "first_id"
+    )
+
+
 def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, lo, hi, window (else a line), kept (the first of its component) and first_id (the id of the document that has that one) of every unit that has a copy."""
+    """key, lo, hi, window (a run of windows, else a line), kept (the first of its component), own (the first is in the same row) and first_id
+    (the id of the document that has that one) of every unit that has a copy."""
     units = stage(unit_tables(docs, id_col, text_col))
-    lines, windows = units.where("id IS NOT NULL"), units.where("h1 IS NOT NULL").select("key", "lo", "hi", "h1", "h2")
+    lines, windows = units.where("id IS NOT NULL"), units.where("h1 IS NOT NULL").select("key", "lo", "hi", "n", "h1", "h2")
     source = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
 
     classes = stage(lines.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("key", "lo", "hi")).alias("one")))
@@ -137,32 +215,34 @@ def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     roots = link_sets(classes.select("id", "n", "copies", "bands"), texts_of, SHINGLE, PERCENT)
     groups = stage(classes.where("copies > 1").select("id").join(roots, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
-    similar = join_checked(lines.select("key", "lo", "hi", "id"), groups, ["id"]).select("key", "lo", "hi", "root", F.lit(False).alias("window"))
+    similar = join_checked(lines.select("key", "lo", "hi", "id"), groups, ["id"]).select("key", "lo", "hi", "root")
 
     often = stage(windows.groupBy("h1").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h1"))
-    equal = join_checked(windows, often, ["h1"], rows=4 * BROADCAST_ROWS)  # a row is one number
-    equal = equal.select("key", "lo", "hi", F.unhex(F.concat(F.lpad(F.hex("h1"), 16, "0"), F.lpad(F.hex("h2"), 16, "0"))).alias("root"), F.lit(True).alias("window"))
-
     ids = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key")).distinct()
-    found = stage(similar.unionByName(equal).join(ids, "key"))
-    place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "key", "lo")
-    firsts = stage(found.groupBy("root", "window").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    return join_checked(found, firsts, ["root", "window"]).select("key", "lo", "hi", "window", ((F.col("key") == F.col("first.key")) & (F.col("lo") == F.col("first.lo"))).alias("kept"), F.col("first._id").alias("first_id"))
+    repeated = stage(join_checked(windows, often, ["h1"], rows=4 * BROADCAST_ROWS).join(ids, "key"))  # a row is one number
+    columns = ["_id", "key", "lo", "hi", "h1", "h2"]
+    near = near_windows(source, with_first(repeated, "h1", "h2"))
+    runs = shared_runs(stage(repeated.select(*columns).unionByName(near.select(*columns))))
+
+    own = F.col("key") == F.col("first.key")
+    lines = with_first(stage(similar.join(ids, "key")), "root").select("key", "lo", "hi", F.lit(False).alias("window"), (own & (F.col("lo") == F.col("first.lo"))).alias("kept"), own.alias("own"), F.col("first._id").alias("first_id"))
+    return lines.unionByName(runs)
 
 
 def cut(text: bytes, units: list[dict] | None) -> tuple[bytes, int]:
-    """The text without repeated units, and the number of bytes that went. A window that stays protects its words from windows that go."""
+    """The text without repeated units, and the number of bytes that went. A run that stays protects its words from copies in the same text
+    (they may overlap), not from those that an earlier document has."""
     if not units:
         return text, 0
     gone = np.zeros(len(text), dtype=bool)
     for u in units:
-        if u["window"] and not u["kept"]:
+        if u["window"] and u["own"] and not u["kept"]:
             gone[u["lo"] : u["hi"]] = True
     for u in units:
         if u["window"] and u["kept"]:
             gone[u["lo"] : u["hi"]] = False
     for u in units:
-        if not u["window"] and not u["kept"]:
+        if not u["kept"] and not (u["window"] and u["own"]):
             gone[u["lo"] : u["hi"]] = True
     return np.frombuffer(text, dtype=np.uint8)[~gone].tobytes(), int(gone.sum())
 
@@ -176,7 +256,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other columns are ignored.
     """
     units = stage(linked_units(docs, id_col, text_col))
-    listed = F.collect_set(F.struct("lo", "hi", "window", "kept"))
+    listed = F.collect_set(F.struct("lo", "hi", "window", "kept", "own"))
     sources = F.collect_set(F.when(~F.col("kept"), F.col("first_id")))
     lists = stage(units.groupBy("key").agg(listed.alias("units"), F.array_sort(sources).alias("first_ids")))
     source = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("_text"))
@@ -198,7 +278,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """The documents with their columns, texts (and their sizes in characters) without repeated passages; those left without a word go."""
     units = stage(linked_units(docs, id_col, text_col))
-    lists = stage(units.where("NOT kept OR window").groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "window", "kept")).alias("_units")).withColumnRenamed("key", "_key"))
+    lists = stage(units.where("NOT kept OR window").groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "window", "kept", "own")).alias("_units")).withColumnRenamed("key", "_key"))
     keyed = docs.withColumn("_key", row_key(id_col, text_col))
     hit = join_checked(keyed, lists, ["_key"], "left", counted=units.count())
     place = docs.columns.index(text_col)

@@ -362,6 +362,22 @@ def test_passages(docs, texts, nothing):
     assert passages.drop_passages(nothing).columns == nothing.columns
 
 
+def test_whole_passages_go(spark):
+    """Passages of 60 to 400 words between other words, also where their ends stand elsewhere too, leave nothing; text without copies stays."""
+    rng = random.Random(11)
+    passage = [prose(rng, n, 10**6) for n in (60, 51, 100, 200, 400)]
+    ends = " ".join(passage[2].split()[-55:])
+    texts = [prose(rng, 40, 10**6) + " " + ends + " " + prose(rng, 40, 10**6)]
+    texts += [prose(rng, 40, 10**6) + "\n" + prose(rng, 5, 10**6) + " " + p + " " + prose(rng, 40, 10**6) for p in passage]
+    around = [(prose(rng, 40, 10**6), prose(rng, 40, 10**6)) for _ in range(3 * len(passage))]
+    texts += [a + " " + passage[k % len(passage)] + " " + b for k, (a, b) in enumerate(around)]
+    got = {r["doc_id"]: r for r in passages.dedup_passages(frame(spark, texts)).collect()}
+    for d, (a, b) in enumerate(around, 1 + len(passage)):
+        assert bytes(got[d]["kept_text"]).decode().split() == [*a.split(), *b.split()], d
+    assert all(got[d]["n_removed"] == 0 for d in (0, 1, 2, 4, 5))
+    assert len(bytes(got[3]["kept_text"]).split()) == len(texts[3].split()) - 55
+
+
 # -- toxicity
 
 
