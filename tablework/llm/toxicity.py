@@ -13,19 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from tablework.llm.common import crc_of, field, join_checked, map_arrow, most_frequent, per_row, stage, text_bytes
+from tablework.llm.common import crc_of, field, join_checked, map_arrow, per_row, stage, text_bytes
 
-#: Word starts of so many letters are candidates for the lexicon.
+#: Word starts of so many letters are candidates for the lexicon, and whole words from so few letters on (with a space at the end).
 SHORTEST, LONGEST = 4, 12
-#: Bounds on what the driver gets: candidates by frequency in toxic texts, and rows that the calibration is fitted on.
-MAX_CANDIDATES = 50_000
+SHORT_WORD = 2
+#: A word start is tested if so many toxic texts have it.
+LEAST_TEXTS = 3
+#: So many word starts that stand out are too many for a lexicon in memory; that is an error.
+MAX_STARTS = 500_000
+#: Rows that the calibration is fitted on.
 FIT_ROWS = 20_000
 #: Word starts that a task counts before it passes them on.
 COUNTED = 300_000
 THRESHOLD = 0.3
-#: Least odds ratio of a word start, and entries of the lexicon at most, the most surprising ones.
+#: Least odds ratio of a word start.
 LEAST_ODDS = 20
-MAX_ENTRIES = 2000
 #: A word start goes if so large a share of its texts has one that so many times more texts have: words of copied texts, not of toxic ones.
 COVERED, TIMES = 0.8, 4
 #: Letters of other scripts that look like Latin ones, and digits and signs written for letters.
@@ -53,10 +56,11 @@ def fold(text: str, table: dict[int, str]) -> str:
 
 
 def _starts(words: Iterable[str]) -> set[str]:
-    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)}
+    words = set(words)
+    return {w[:k] for w in words for k in range(SHORTEST, min(len(w), LONGEST) + 1)} | {f"{w} " for w in words if SHORT_WORD <= len(w) < SHORTEST}
 
 
-def _counted(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
+def _counted(texts: DataFrame) -> DataFrame:
     """Texts of either label that have a word start: pattern, toxic, clean. ``texts`` has toxic and the bytes of the text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
@@ -73,7 +77,7 @@ def _counted(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
         for batch in batches:
             for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = _starts(set(fold(text.decode("utf-8", "replace"), table).split()))
-                counts[toxic].update(found if wanted is None else found & wanted)
+                counts[toxic].update(found)
                 if len(counts[toxic]) > COUNTED:
                     yield out()
         yield out()
@@ -82,34 +86,34 @@ def _counted(texts: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return map_arrow(texts, schema, rows).groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Weights (log odds ratios) of the word starts that stand out beyond chance.
+def standing_out(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
+    """The word starts (pattern, toxic, clean) that stand out beyond chance, with their surprise and weight (log odds ratio).
 
-    Of nested starts the longest one with about the texts of the shorter stays, and those it covers go."""
-    known = {p: (t, c) for p, t, c in counts}
+    ``counts`` is a written table of all word starts; every one that LEAST_TEXTS toxic texts have is tested."""
+    tested = counts.where(F.col("toxic") >= LEAST_TEXTS)
+    needed = math.log(tested.count() + 1) + 7
     rate = (toxic + 1) / (toxic + clean + 2)
-    needed = math.log(len(known) + 1) + 7
+    t, c, p = F.col("toxic"), F.col("clean"), (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)
+    surprise = F.when(p > rate, t * F.log(p / rate) + c * F.log((1 - p) / (1 - rate))).otherwise(0.0)
+    weight = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    return tested.withColumn("weight", weight).where((surprise > needed) & (F.col("weight") > math.log(LEAST_ODDS)))
 
-    def surprise(t: int, c: int) -> float:
-        n = t + c
-        p = (t + 0.5) / (n + 1)
-        return t * math.log(p / rate) + c * math.log((1 - p) / (1 - rate)) if p > rate else 0.0
 
-    def weight(t: int, c: int) -> float:
-        return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+def choose(strong: list[tuple[str, int, float]]) -> dict[str, float]:
+    """Weights of the lexicon's entries out of word starts that stand out (pattern, toxic texts, weight).
 
-    strong = {p for p, (t, c) in known.items() if surprise(t, c) > needed and weight(t, c) > math.log(LEAST_ODDS)}
+    Of nested starts the longest one with about the texts of the shorter stays, and those it covers go."""
+    known = {p: (t, w) for p, t, w in strong}
     longer: dict[str, int] = {}
-    for p in strong:
+    for p in known:
         longer[p[:-1]] = max(longer.get(p[:-1], 0), known[p][0])
-    ends = {p for p in strong if longer.get(p, 0) < 0.98 * known[p][0]}
+    ends = {p for p in known if longer.get(p, 0) < 0.98 * known[p][0]}
     kept: dict[str, float] = {}
     for p in sorted(ends, key=len):
-        w = weight(*known[p])
+        w = known[p][1]
         if not any(p[:k] in kept and kept[p[:k]] > w - 0.7 for k in range(SHORTEST, len(p))):
             kept[p] = w
-    best = sorted(kept, key=lambda p: (-surprise(*known[p]), p))[:MAX_ENTRIES]
-    return {p: kept[p] for p in best}
+    return kept
 
 
 def without_companions(weights: dict[str, float], texts: list[list[str]]) -> dict[str, float]:
@@ -198,11 +202,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["toxic"]: r["count"] for r in training.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model({}, (0.0, 0.0, math.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 4.5))))
-    least = max(3, sizes[1] // 1000)
-    frequent = stage(_counted(training.where("toxic = 1").select("toxic", "_text"), None).where(F.col("toxic") >= least))
-    wanted = frozenset(r["pattern"] for r in most_frequent(frequent, "toxic", MAX_CANDIDATES).collect())
-    shared = _counted(training.select("toxic", "_text"), wanted)
-    weights = choose([(r["pattern"], r["toxic"], r["clean"]) for r in shared.collect()], sizes[1], sizes[0])
+    strong = stage(standing_out(stage(_counted(training.select("toxic", "_text")).where(F.col("toxic") >= LEAST_TEXTS)), sizes[1], sizes[0]))
+    if strong.count() > MAX_STARTS:
+        raise ValueError(f"more than {MAX_STARTS} word starts stand out in toxic texts")
+    weights = choose([(r["pattern"], r["toxic"], r["weight"]) for r in strong.collect()])
     candidates = weights
 
     def finder() -> Callable[[bytes], tuple]:

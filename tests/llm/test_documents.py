@@ -411,6 +411,21 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(odd, plain).where("score >= 0.3").count() == 0
 
 
+def test_rare_and_short_words_enter_the_lexicon(spark):
+    """Toxic words far rarer than ordinary ones, and short ones, whatever the number of toxic texts."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(24_000):
+        toxic = d % 2
+        word = "zug" if d % 4 == 1 else "grobnix" if d % 400 == 3 else "snorkface" if toxic else "fine"
+        rows.append((d, f"so{rng.randrange(40)} {word} then", toxic))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    one = toxicity.Lexicon(model.weights)
+    assert one.found(b"a zug") == ["zug "] and one.found(b"a zugspitz") == [] and one.features(b"a z\xc3\xbcg, b")[2] == 1
+    assert "grobnix".startswith(tuple(model.weights))  # 60 of 12,000 toxic texts
+
+
 def test_exceptions_excuse_a_word():
     lexicon = toxicity.Lexicon({"trash": 5.0}, ["trash can"])
     assert lexicon.features(b"Put it in the tr4sh can.")[2] == 0
