@@ -116,16 +116,40 @@ def choose(strong: list[tuple[str, int, float]]) -> dict[str, float]:
     return kept
 
 
-def without_companions(weights: dict[str, float], texts: list[list[str]]) -> dict[str, float]:
-    """The lexicon without word starts that come along with much more frequent ones; ``texts`` lists those found in each toxic text."""
-    support = Counter(p for found in texts for p in found)
-    kept: dict[str, float] = {}
-    for p in sorted(weights, key=lambda p: (-support[p], p)):
-        own = [found for found in texts if p in found] if support[p] * TIMES <= max(support.values(), default=0) else []
-        covered = sum(any(q in kept and support[q] >= TIMES * support[p] for q in found) for found in own)
-        if covered < COVERED * len(own) or not own:
-            kept[p] = weights[p]
-    return kept
+def without_companions(weights: dict[str, float], texts: DataFrame) -> dict[str, float]:
+    """The lexicon without word starts that come along with much more frequent ones; ``texts`` is a written table of those found in each toxic text.
+
+    Every text counts. What a word start depends on has TIMES as many texts, so they are settled in steps of TIMES, one pass for each."""
+    names = sorted(weights)
+    support = {r["p"]: r["n"] for r in texts.select(F.explode("found").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    top = max(support.values(), default=1)
+    steps: dict[int, list[str]] = {}
+    for p in names:
+        k = 0
+        while support.get(p, 0) * TIMES ** (k + 1) <= top and p in support:
+            k += 1
+        steps.setdefault(k, []).append(p)
+    kept = set(steps.pop(0, ()))
+    schema = StructType([StructField("p", StringType()), StructField("n", LongType())])
+    for k in sorted(steps):
+        covered = map_arrow(texts, schema, _covered({p: support[p] for p in kept if p in support}, {p: TIMES * support[p] for p in steps[k]}))
+        counts = {r["p"]: r["n"] for r in covered.groupBy("p").agg(F.sum("n").alias("n")).collect()}
+        kept |= {p for p in steps[k] if counts.get(p, 0) < COVERED * support[p]}
+    return {p: weights[p] for p in weights if p in kept}
+
+
+def _covered(kept: dict[str, int], asked: dict[str, int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[list]]:
+    """Counts the texts in which a word start comes along with a kept one of at least so many texts as asked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for found in batch.column(0).to_pylist():
+                most = max((kept.get(q, 0) for q in found), default=0)
+                counts.update(p for p in found if asked.get(p, most + 1) <= most)
+        yield [list(counts.keys()), list(counts.values())]
+
+    return rows
 
 
 class Lexicon:
@@ -213,10 +237,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return lambda text: (lexicon.found(text),)
 
     bad = training.where("toxic = 1")
-    if sizes[1] > FIT_ROWS:
-        bad = bad.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(FIT_ROWS / sizes[1] * 1_000_000))
     lists = per_row(bad.select("_text"), StructType([StructField("found", ArrayType(StringType()))]), 0, finder)
-    weights = without_companions(weights, [r["found"] for r in lists.collect()])
+    weights = without_companions(weights, stage(lists))
     share = FIT_ROWS / sum(sizes.values())
     drawn = training.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else training
     scored = features(drawn, ["toxic"], "_text", weights).collect()

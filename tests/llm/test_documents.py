@@ -426,6 +426,13 @@ def test_rare_and_short_words_enter_the_lexicon(spark):
     assert "grobnix".startswith(tuple(model.weights))  # 60 of 12,000 toxic texts
 
 
+def test_companions_are_counted_in_all_texts(spark):
+    """41,000 texts: a word with 1,000 of which 790 hold a more frequent one stays, one with 810 goes; the more frequent one has to stay itself."""
+    found = [["many"]] * 39_000 + [["many", "most"]] * 810 + [["most"]] * 190 + [["many", "less"]] * 790 + [["less"]] * 210 + [["most", "last"]] * 9 + [["last"]]
+    texts = stage(spark.createDataFrame([(x,) for x in found], "found array<string>").repartition(7))
+    assert sorted(toxicity.without_companions({"many": 5.0, "most": 5.0, "less": 5.0, "last": 5.0, "none": 5.0}, texts)) == ["last", "less", "many", "none"]
+
+
 def test_exceptions_excuse_a_word():
     lexicon = toxicity.Lexicon({"trash": 5.0}, ["trash can"])
     assert lexicon.features(b"Put it in the tr4sh can.")[2] == 0
