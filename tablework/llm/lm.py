@@ -173,7 +173,9 @@ def learn(texts: DataFrame) -> Model:
     """Learn from all rows of one column of bytes. Passes HEAD words, SHARED class sizes and a square of class pairs through the driver."""
     counts = stage(word_counts(texts))
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = sorted(((bytes(r["word"]), r["n"]) for r in most_frequent(counts, "n", HEAD).collect()), key=lambda x: (-x[1], x[0]))
+    # the end always comes along, as scoring joins counts of words only
+    frequent = most_frequent(counts, "n", HEAD).unionByName(counts.where("length(word) = 0 AND n > 0"))
+    head = sorted({(bytes(r["word"]), r["n"]) for r in frequent.collect()}, key=lambda x: (-x[1], x[0]))
     own = {w: i for i, w in enumerate([END, *(w for w, _ in head if w != END)][:OWN])}
     spark = texts.sparkSession
     named = spark.createDataFrame([(bytearray(w),) for w in own], "word binary")

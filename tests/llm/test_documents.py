@@ -472,6 +472,20 @@ def test_tail_words_are_scored_alike(docs, monkeypatch):
     assert a == b
 
 
+@pytest.mark.parametrize("head", [60, 10])
+def test_the_end_is_known_if_all_words_are_more_frequent(spark, monkeypatch, head):
+    monkeypatch.setattr(lm, "HEAD", head)
+    monkeypatch.setattr(lm, "OWN", 8)
+    words = [f"a{k}" for k in range(50)] * 4 + [f"b{k}" for k in range(100)] * 2
+    docs = frame(spark, [" ".join(words), "a1 b2 never", ""])
+    model = lm.learn(docs.where("doc_id = 0").select(text_bytes("text")))
+    got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
+    p = lambda *counts: sum(math.log10((c + 1) / (401 + 151 + 1)) for c in counts)
+    assert [got[d]["n_known"] for d in range(3)] == [401, 3, 1]
+    assert got[0]["base_score"] == pytest.approx(p(*[4] * 200, *[2] * 200, 1))
+    assert got[1]["base_score"] == pytest.approx(p(4, 2, 0, 1)) and got[2]["base_score"] == pytest.approx(p(1))
+
+
 def test_model_is_normalised_and_learns():
     rng = np.random.default_rng(0)
     pairs = rng.integers(1, 5, (40, 40)).astype(float)
