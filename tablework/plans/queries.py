@@ -1284,6 +1284,18 @@ def fingerprint_files(spark, sf):
     return prints.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("source_hash").alias("fingerprints"), (F.min("length") > 0).alias("sized"))
 
 
+@query("""SELECT doc_id // 5000 AS block, sum(strlen(line) + 1)::BIGINT AS length, substr(sha256(string_agg(line || chr(10), '' ORDER BY doc_id, line)), 1, 16) AS source_hash
+FROM (SELECT doc_id, doc_id || ',' || n_chars || ',' || source AS line FROM documents) GROUP BY 1""")
+def fingerprint_document_files(spark, sf):
+    """One file for each 5,000 documents, so files grow in number with the table; the hashes are those of the same lines."""
+    out = scratch_path(spark, "document_files")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), "source")
+    d = table(spark, sf, "documents").select(F.expr("doc_id div 5000").alias("block"), "doc_id", line.alias("value"))
+    d.repartition("block").sortWithinPartitions("block", "doc_id", "value").select("block", "value").write.partitionBy("block").text(out)
+    prints = FD.source_fingerprint(spark, out + "/*/*.txt")
+    return prints.select(F.regexp_extract("path", r"block=(\d+)", 1).cast("long").alias("block"), "length", "source_hash")
+
+
 @query(f"""WITH {SQL_LEDGERS}, c AS (SELECT count(*) FILTER (status = 'matched') m, count(*) FILTER (status = 'conflict') x FROM result)
 SELECT v.r AS "runType", m AS matched, x AS conflict FROM c, (VALUES ('first'), ('second')) v(r)""")
 def audit_log(spark, sf):

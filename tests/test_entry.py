@@ -32,3 +32,7 @@ def test_equals_sql(spark, sf, name):
     df = queries()[name](spark, sf)
     cur = db.execute(oracle_sql()[name])
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_fingerprints_of_a_growing_table_equal_sql(spark, sf):
+    test_equals_sql(spark, sf, "fingerprint_document_files")
