@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import chat, decontamination, lm, neardup, packing, passages, quality, substrings, toxicity, urlfilter
+from tablework.llm import chat, decontamination, lm, neardup, negatives, packing, passages, quality, spelling, substrings, toxicity, urlfilter
 from tablework.llm.common import text_bytes
 
 #: The rules of the URL query.
@@ -77,8 +77,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.dedup_passages(_table(spark, sf_dir, "documents")).drop("kept_text", "_key")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents; an occurrence whose hash 199 divides loses a letter first."""
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), every=199)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id 100 divides; labels of rows whose id 7 divides are moved by one."""
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_packing, op4_chat_formatting, op5_lm_scoring, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash, op10_substring_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_packing, op4_chat_formatting, op5_lm_scoring, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash, op10_substring_dedup,
+                               op11_spelling_variants, op12_hard_negatives)
 }
 
 _URL_PARTS = """
@@ -90,7 +103,45 @@ _URL_PARTS = """
 #: A text with a backslash in each control string.
 _SHIELD = r"regexp_replace({}, '([\[<])(\\*(?:/?INST\]|/?TURN\]|TEXT\]|/?s>|<SYS>>|</SYS>>))', '\1\\\2', 'g')"
 
+#: CRC-32 of a list of bytes: eight shifts make an entry of the table, one look-up for each byte the number.
+_CRC = """
+    crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS entries
+            FROM (SELECT unnest(range(256)) AS i))
+"""
+#: UTF-8 bytes of a list of code points below 256.
+_BYTES = "flatten(list_transform({}, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c >> 6), 128 + (c & 63)] END))"
+
 SQL: dict[str, str] = {
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE {_CRC},
+        runs AS (SELECT doc_id, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+                 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1, 2),
+        hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, {_BYTES.format("list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w, ''), lambda x: CAST(ord(x) AS BIGINT))")}),
+                           lambda a, b: xor(entries[CAST(xor(a, b) & 255 AS INTEGER) + 1], a >> 8)), 4294967295) AS h FROM runs, crc),
+        words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n
+                  FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM hashed)
+                  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        -- words one edit apart have a text in common that is either of them or lacks one of its letters
+        lacking AS (SELECT word, n, left(word, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)
+                    UNION ALL SELECT word, n, word FROM words),
+        near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM lacking a JOIN lacking b ON a.rest = b.rest AND a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+        best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+        judged AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+                   FROM words w LEFT JOIN best b ON w.word = b.word),
+        ways AS (SELECT word, word AS root, 0 AS steps FROM judged
+                 UNION ALL SELECT ways.word, form, steps + 1 FROM ways JOIN judged ON ways.root = judged.word WHERE form IS NOT NULL)
+        SELECT word, n, n_near, form, form_n, root FROM judged JOIN (SELECT word, arg_max(root, steps) AS root FROM ways GROUP BY word) USING (word)
+    """,
+    "op12_hard_negatives": """
+        WITH rows AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+                      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scores AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+                   FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        near AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+        FROM near JOIN scores USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+    """,
     "op4_chat_formatting": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -17,7 +17,7 @@ from tablework.llm import queries  # noqa: E402
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_equals_sql(spark, sf, name):
     db = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf)
     cur = db.execute(queries.SQL[name])
@@ -51,4 +51,4 @@ def test_stages(spark, tmp_path):
 
 def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "minhash_near_dedup", "substring_dedup", "benchmark_decontamination", "sequence_packing"]
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
