@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import chat, decontamination, lm, neardup, negatives, packing, passages, quality, spelling, substrings, toxicity, urlfilter
+from tablework.llm import chat, decontamination, lm, neardup, negatives, packing, passages, personal, quality, spelling, substrings, toxicity, urlfilter
 from tablework.llm.common import text_bytes
 
 #: The rules of the URL query.
@@ -89,9 +89,18 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents, with a tagger that learns from the plain forms in them."""
+    docs = _table(spark, sf_dir, "documents")
+    return personal.find(docs, personal.learn(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_suffix_dedup, op3_packing, op4_chat_formatting, op5_lm_scoring, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash, op10_substring_dedup,
-                               op11_spelling_variants, op12_hard_negatives)
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_suffix_dedup, op3_packing, op4_chat_formatting, op5_lm_scoring, op6_decontamination, op7_quality_rules, op8_url_filters, op9_minhash, op10_substring_dedup,
+        op11_spelling_variants, op12_hard_negatives, op13_personal_data,
+    )
 }
 
 _URL_PARTS = """
