@@ -130,10 +130,10 @@ SQL: dict[str, str] = {
         words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n
                   FROM (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM hashed)
                   WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
-        -- words one edit apart have a text in common that is either of them or lacks one of its letters
-        lacking AS (SELECT word, n, left(word, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)
-                    UNION ALL SELECT word, n, word FROM words),
-        near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM lacking a JOIN lacking b ON a.rest = b.rest AND a.word <> b.word AND levenshtein(a.word, b.word) = 1),
+        -- words one edit apart have a text in common: both lack the letter at one place, or one of them lacks a letter
+        lacking AS (SELECT word, n, i, left(word, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest FROM words, LATERAL (SELECT unnest(range(length(word))) AS i)
+                    UNION ALL SELECT word, n, -1, word FROM words),
+        near AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM lacking a JOIN lacking b ON a.rest = b.rest AND a.word <> b.word AND (a.i = b.i OR a.i = -1 OR b.i = -1)),
         best AS (SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word),
         judged AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
                    FROM words w LEFT JOIN best b ON w.word = b.word),
