@@ -87,9 +87,18 @@ def _slot(packed: int) -> int:
 def embed_batch(owners: np.ndarray, grams: np.ndarray, count: int) -> np.ndarray:
     """log1p gram counts over hashed slots, scaled to unit length; one row per text."""
     distinct, where = np.unique(grams, return_inverse=True)
-    slots = np.fromiter((_slot(int(g)) for g in distinct), dtype=np.int64, count=len(distinct))
+    return embed_counted(owners, distinct, where, count, {})
+
+
+def embed_counted(owners: np.ndarray, distinct: np.ndarray, where: np.ndarray, count: int, known: dict[int, int]) -> np.ndarray:
+    """``embed_batch`` of grams that are numbered already; ``known`` remembers slots by gram."""
+    names = distinct.tolist()
+    for g in names:
+        if g not in known:
+            known[g] = _slot(g)
+    slots = np.fromiter(map(known.__getitem__, names), dtype=np.int64, count=len(names))
     vec = np.zeros((count, DIM))
-    if len(grams):
+    if len(where):
         vec = np.bincount(owners * DIM + slots[where], minlength=count * DIM).reshape(count, DIM).astype(float)
     vec = np.log1p(vec)
     norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))

@@ -7,16 +7,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tablework import scale
 from tablework.functions.columns import trim_ws
-from tablework.functions.text import EMBED_VERSION, clean, embed_batch, hash_embed, packed_grams
+from tablework.functions.text import DIM, EMBED_VERSION, clean, embed_batch, embed_counted, hash_embed, packed_grams
 
 CHUNK_SIZE = 900
 CHUNK_OVERLAP = 120
-QUERY_BATCH = 1024
+#: Chunks and queries of a packed row, and buckets of the upper bound on shared grams.
+BLOCK, QUERY_BLOCK, BUCKETS = 128, 256, 1024
+#: Chunks that a task packs at once.
+PACKED = 2048
 VECTOR_WEIGHT = 0.6
 LEXICAL_WEIGHT = 0.4
 
@@ -79,95 +84,181 @@ def upsert_documents(current: DataFrame, incoming: DataFrame, name: str = "name"
     return kept.unionByName(latest.select(*current.columns), allowMissingColumns=True)
 
 
+# ------------------------------------------------------------------ search
+def search_index(chunks: DataFrame, with_text: bool = True) -> DataFrame:
+    """Chunks packed for search: one row per block of at most BLOCK chunks of like vectors.
+
+    A block has its chunks' places (``doc_ids``, ``indexes``, ordered), vectors, its distinct grams, a bit for each chunk and gram, and the largest
+    value of every slot, from which no chunk of the block can escape. Vectors stored with the chunks (``embed_chunks``, kept current by
+    ``reembed_on_version``) are used as they are; chunks without the column are embedded. Write it once (``checkpointed`` or a table of your
+    own) to search it again and again. Nothing is shuffled: every task packs the chunks that it reads."""
+    stored = "embedding" in chunks.columns
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_ids array<{kind}>, indexes array<int>, texts array<string>, vectors binary, grams binary, bits binary, peak binary"
+    arrow = to_arrow_schema(chunks.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots: dict[int, int] = {}
+        turn = np.random.default_rng(11).normal(size=(DIM, 8))
+        for batch in (b.slice(k, PACKED) for b in batches for k in range(0, b.num_rows, PACKED)):
+            ids, indexes, raw = (batch.column(c).to_pylist() for c in range(3))
+            owners, grams = packed_grams([clean(t) for t in raw])
+            distinct, where = np.unique(grams, return_inverse=True)
+            if len(slots) > 1_000_000:
+                slots.clear()
+            given = np.array(batch.column(3).to_pylist(), dtype=float).reshape(len(raw), -1) if stored else embed_counted(owners, distinct, where, len(raw), slots)
+            # chunks whose vectors lie on the same sides of eight planes come together; inside of a block the order is that of the places
+            side = ((given @ turn[: given.shape[1]]) > 0) @ (1 << np.arange(8)) if given.shape[1] <= DIM else np.zeros(len(raw))
+            order = np.argsort(side, kind="stable")
+            first = np.searchsorted(owners, np.arange(len(raw) + 1))
+            for at in range(0, len(order), BLOCK):
+                rows = sorted(order[at : at + BLOCK].tolist(), key=lambda i: (ids[i] is not None, ids[i], indexes[i]))
+                parts = [where[first[i] : first[i + 1]] for i in rows]
+                found = np.zeros(len(distinct), dtype=bool)
+                for part in parts:
+                    found[part] = True
+                number = np.cumsum(found) - 1
+                there = np.zeros((len(rows), int(found.sum())), dtype=bool)
+                for line, part in zip(there, parts, strict=True):
+                    line[number[part]] = True
+                vectors = given[rows]
+                row = [
+                    [ids[i] for i in rows], [indexes[i] for i in rows], [raw[i] for i in rows] if with_text else None,
+                    vectors.tobytes(), distinct[found].tobytes(), np.packbits(there, axis=1).tobytes(), vectors.max(axis=0).tobytes(),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, arrow.types, strict=True)], schema=arrow)
+
+    columns = ["doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", *(["embedding"] if stored else [])]
+    return chunks.select(*columns).mapInArrow(run, schema)
+
+
+def _query_blocks(queries: DataFrame) -> DataFrame:
+    """Queries packed in rows of at most QUERY_BLOCK: ids, vectors, all their grams, and which query has which of these grams."""
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_ids array<{kind}>, q_vectors binary, wanted binary, q_owners binary, q_places binary"
+    arrow = to_arrow_schema(queries.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_BLOCK):
+                part = batch.slice(at, QUERY_BLOCK)
+                texts = [clean(t) for t in part.column(1).to_pylist()]
+                owners, grams = packed_grams(texts)
+                wanted, where = np.unique(grams, return_inverse=True)
+                pairs = np.unique(owners * max(1, len(wanted)) + where)
+                row = [part.column(0).to_pylist(), embed_batch(owners, grams, len(texts)).tobytes(), wanted.tobytes(), (pairs // max(1, len(wanted))).tobytes(), (pairs % max(1, len(wanted))).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, arrow.types, strict=True)], schema=arrow)
+
+    asked = queries.where(trim_ws("query") != "").select("query_id", "query")
+    return asked.coalesce(max(1, -(-asked.count() // (64 * QUERY_BLOCK)))).mapInArrow(run, schema)
+
+
 def hybrid_search(chunks: DataFrame, queries: Sequence[str] | str | DataFrame, k: int = 5, doc_ids: Sequence | None = None, with_text: bool = True) -> DataFrame:
-    """Top ``k`` chunks per query by 0.6 x cosine + 0.4 x share of query n-grams found.
+    """Top ``k`` chunks per query by 0.6 x cosine + 0.4 x share of query n-grams found; equal scores (to nine digits) by document and chunk.
+
+    ``chunks``: chunk rows, or a ``search_index`` of them. Queries come as a list, or as a DataFrame ``(query_id, query)``, blank ones are left out;
+    no queries give no rows. It is one plan however many queries there are: packed queries meet packed chunks, and every task passes on only what can
+    be among the k best of what it has seen.
 
-    Chunks stay where they are: every task scores its chunks against all queries of a batch and
-    passes on its own best ``k`` per query, so the shuffle carries k rows per task and query.  Queries
-    come as a list, or as a DataFrame ``(query_id, query)`` which is worked off in batches.  Vectors stored with the chunks
-    (``embed_chunks``, kept current by ``reembed_on_version``) are used as they are; chunks without the column are embedded."""
+    What a task leaves out is proven: the block's largest slot values bound the cosine and its grams the share, so whole blocks go; then the
+    exact cosine and the number of the query's grams whose bucket the chunk has bound each single score from above. Grams are compared one by one
+    for the few chunks whose bound reaches the k-th best score so far."""
     k = int(k)
     if k < 1:
         raise ValueError("k must be at least 1")
-    if doc_ids is not None:
-        chunks = chunks.filter(F.col("doc_id").isin(*doc_ids))
-    if isinstance(queries, DataFrame):
-        batches = _query_batches(queries)
-    else:
+    if not isinstance(queries, DataFrame):
         given = [queries] if isinstance(queries, str) else list(queries)
         if not given or any(not str(q or "").strip() for q in given):
             raise ValueError("query required")
-        batches = [list(enumerate(given))]
-    id_type = queries.schema["query_id"].dataType.simpleString() if isinstance(queries, DataFrame) else "long"
-    out = None
-    for batch in batches:
-        part = _search(chunks, batch, k, with_text, id_type)
-        out = part if out is None else out.unionByName(part)
-    return out
+        queries = chunks.sparkSession.createDataFrame([(i, str(q)) for i, q in enumerate(given)], "query_id long, query string")
+    if "peak" not in chunks.columns:
+        if doc_ids is not None:
+            chunks = chunks.filter(F.col("doc_id").isin(*doc_ids))
+        chunks = search_index(chunks, with_text)
+    elif doc_ids is not None:
+        wanted = F.array(*[F.lit(x) for x in doc_ids])
+        chunks = chunks.where(F.arrays_overlap("doc_ids", wanted))
+    best = _search(chunks, _query_blocks(queries), k, with_text, doc_ids)
+    order = [F.col("raw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
+    position = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    out = best.withColumn("position", position).filter(F.col("position") <= k)
+    return out.withColumn("score", F.round("raw_score", 4)).drop("raw_score")
 
 
-def _query_batches(queries: DataFrame) -> Iterator[list[tuple]]:
-    batch: list[tuple] = []
-    for row in queries.filter(trim_ws("query") != "").select("query_id", "query").toLocalIterator():
-        batch.append((row[0], row[1]))
-        if len(batch) == QUERY_BATCH:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+def _search(index: DataFrame, asked: DataFrame, k: int, with_text: bool, doc_ids: Sequence | None) -> DataFrame:
+    id_type = asked.schema["query_ids"].dataType.elementType.simpleString()
+    kind = index.schema["doc_ids"].dataType.elementType.simpleString()
+    schema = f"query_id {id_type}, doc_id {kind}, chunk_index int, raw_score double" + (", text string" if with_text else "")
+    arrow = to_arrow_schema(index.sparkSession.createDataFrame([], schema).schema)
+    inside = None if doc_ids is None else set(doc_ids)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number = batch.column(12)[i].as_py()
+                block = [batch.column(c)[i] for c in range(12)]
+                chunk, query, score = _block_best([x.as_py() for x in block[3:7]], [x.as_py() for x in block[8:12]], k, best, number, None if inside is None else [x in inside for x in block[0].as_py()])
+                if len(chunk):
+                    take = pa.array(chunk)
+                    columns = [block[7].values.take(pa.array(query)), block[0].values.take(take), block[1].values.take(take), pa.array(score)]
+                    yield pa.RecordBatch.from_arrays(columns + ([block[2].values.take(take)] if with_text else []), schema=arrow)
 
-def _search(chunks: DataFrame, batch: list[tuple], k: int, with_text: bool, id_type: str) -> DataFrame:
-    ids = [q for q, _ in batch]
-    texts = [clean(t) for _, t in batch]
+    # packed queries against packed chunks: the stated query set, in blocks, against all rows
+    met = index.crossJoin(asked.withColumn("number", F.monotonically_increasing_id()))
+    return met.mapInArrow(run, schema)
 
-    stored = "embedding" in chunks.columns
-    width = len(texts)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owners, grams = packed_grams(texts)
-        vectors = embed_batch(owners, grams, width)
-        # postings: for each gram of any query the queries that have it, one after the other
-        pairs = np.unique(np.stack([grams, owners], axis=1), axis=0) if len(grams) else np.empty((0, 2), dtype=np.int64)
-        wanted, first, holders = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-        sizes = np.maximum(np.bincount(pairs[:, 1], minlength=width), 1)
-        for pdf in frames:
-            body = [clean(t) for t in pdf["text"]]
-            own, found = packed_grams(body)
-            known = np.stack(pdf["embedding"].to_list()) if stored and len(pdf) else embed_batch(own, found, len(body))
-            score = VECTOR_WEIGHT * (known @ vectors.T)
-            if len(wanted) and len(found):
-                at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                hit = np.unique(np.stack([own, at], axis=1)[wanted[at] == found], axis=0)
-                count = holders[hit[:, 1]]
-                before = np.cumsum(count) - count
-                query = pairs[np.repeat(first[hit[:, 1]] - before, count) + np.arange(count.sum()), 1]
-                shared = np.bincount(np.repeat(hit[:, 0], count) * width + query, minlength=len(body) * width).reshape(len(body), width)
-                score = score + LEXICAL_WEIGHT * (shared / sizes)
-            yield _best(pdf, score, ids, k, with_text)
 
-    kind = chunks.schema["doc_id"].dataType.simpleString()
-    schema = f"query_id {id_type}, doc_id {kind}, chunk_index int, raw_score double" + (", text string" if with_text else "")
-    columns = ["doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", *(["embedding"] if stored else [])]
-    best = chunks.select(*columns).mapInPandas(run, schema)
-    order = [F.col("raw_score").desc(), F.col("doc_id"), F.col("chunk_index")]
-    position = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    out = best.withColumn("position", position).filter(F.col("position") <= k)
-    return out.withColumn("score", F.round("raw_score", 4)).drop("raw_score")
+def _block_best(block: list[bytes], asked: list[bytes], k: int, best: dict[int, np.ndarray], number: int, able: list[bool] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, query, score) of what may be among the k best; ``best`` has the k best scores of each query of a block so far."""
+    peak = np.frombuffer(block[3])
+    vectors, grams = np.frombuffer(block[0]).reshape(-1, len(peak)), np.frombuffer(block[1], dtype=np.int64)
+    asked_for = np.frombuffer(asked[1], dtype=np.int64)
+    owners, places = (np.frombuffer(x, dtype=np.int64) for x in asked[2:4])
+    q_vectors = np.frombuffer(asked[0]).reshape(-1, DIM)
+    if len(peak) != DIM:  # vectors of another length count as unlike
+        vectors, peak = np.zeros((len(vectors), DIM)), np.zeros(DIM)
+    width = len(q_vectors)
+    sizes = np.maximum(np.bincount(owners, minlength=width), 1)
+    top = best.setdefault(number, np.full((width, k), -np.inf))
+    # grams of the block that a query has
+    at = np.minimum(np.searchsorted(grams, asked_for), max(0, len(grams) - 1))
+    here = grams[at] == asked_for if len(grams) else np.zeros(len(asked_for), dtype=bool)
+    held = here[places]
+    edge = VECTOR_WEIGHT * (q_vectors @ peak) + LEXICAL_WEIGHT * (np.bincount(owners[held], minlength=width) / sizes)
+    live = np.flatnonzero(edge + 1e-9 >= top[:, 0])
+    nothing = np.empty(0, dtype=np.int64)
+    if not len(live):
+        return nothing, nothing, np.empty(0)
+    there = np.unpackbits(np.frombuffer(block[2], dtype=np.uint8).reshape(len(vectors), -1), axis=1, count=len(grams))[:, at].astype(bool) & here if len(grams) else np.zeros((len(vectors), len(asked_for)), dtype=bool)
+    cosine = VECTOR_WEIGHT * (vectors @ q_vectors.T)
+    # upper bounds: grams are dealt to buckets, and a query's gram may be there if its bucket is
+    buckets = np.zeros((len(vectors), BUCKETS), dtype=np.float32)
+    row, column = np.nonzero(there)
+    buckets[row, column % BUCKETS] = 1
+    weights = np.bincount((places % BUCKETS) * width + owners, minlength=BUCKETS * width).reshape(BUCKETS, width).astype(np.float32)
+    bound = cosine + LEXICAL_WEIGHT * ((buckets @ weights) / sizes) + 1e-9
+    if able is not None:
+        bound[~np.array(able)] = -np.inf
+    first = np.searchsorted(owners, np.arange(width + 1))
+    flat = there.ravel()
 
+    def exact(rows: np.ndarray, q: int) -> np.ndarray:
+        shared = flat.take(rows[:, None] * len(asked_for) + places[first[q] : first[q + 1]]).sum(axis=1)
+        return np.round(cosine[rows, q] + LEXICAL_WEIGHT * (shared / sizes[q]), 9)
 
-def _best(pdf: pd.DataFrame, score: np.ndarray, ids: list, k: int, with_text: bool) -> pd.DataFrame:
-    """The k best chunks of a batch per query, ties by document and chunk."""
-    parts = []
-    for j, q in enumerate(ids):
-        column = score[:, j]
-        if len(column) > k:
-            edge = np.partition(column, len(column) - k)[len(column) - k]
-            keep = np.flatnonzero(column >= edge)
-        else:
-            keep = np.arange(len(column))
-        part = pdf.iloc[keep][["doc_id", "chunk_index"] + (["text"] if with_text else [])].copy()
-        part.insert(0, "query_id", q)
-        part.insert(3, "raw_score", column[keep])
-        parts.append(part.sort_values(["raw_score", "doc_id", "chunk_index"], ascending=[False, True, True]).head(k))
-    return pd.concat(parts, ignore_index=True)
+    out: list[list[np.ndarray]] = [[], [], []]
+    for q in live.tolist():
+        least = max(top[q, 0], -1e300)
+        rows = np.flatnonzero(bound[:, q] >= least)
+        if len(rows) > 4 * k:  # the most promising first: what they score rules out others
+            some = rows[np.argpartition(-bound[rows, q], 2 * k)[: 2 * k]]
+            least = np.sort(np.concatenate([top[q], exact(some, q)]))[-k]
+            rows = rows[bound[rows, q] >= least]
+        score = exact(rows, q)
+        chosen = np.argsort(-score, kind="stable")[:k]
+        chosen = chosen[score[chosen] >= top[q, 0]]
+        top[q] = np.sort(np.concatenate([top[q], score[chosen]]))[-k:]
+        for c, x in zip(out, (rows[chosen], np.full(len(chosen), q), score[chosen]), strict=True):
+            c.append(x)
+    return tuple(np.concatenate(x) if x else nothing for x in out)

@@ -6,6 +6,7 @@ the tables by fixed column rules."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from tablework.operators import retrieval as T
 from tablework.operators import windows as W
 from tablework.operators.reconcile import diff_snapshots, reconcile, reconcile_counts
 from tablework.plans.flows import finance_closed_loop, run_flow
-from tablework.session import scratch_path
+from tablework.session import checkpointed, scratch_path
 from tablework.sources import feeds as FD
 from tablework.sources import grids as G
 from tablework.sources import html as HT
@@ -1068,18 +1069,43 @@ def chunk_documents(spark, sf):
     return out.select("doc_id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
-@query()
+# Slots are CRC-32 numbers, made byte by byte from a table of 256 entries; documents are cut as in chunk_documents.
+SQL_SLOTS = """crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS entries FROM (SELECT unnest(range(256)) AS i)),
+ letters AS (SELECT side, a, b, string_split(t, '') AS c FROM texts),
+ grams AS (SELECT side, a, b, gram, count(*) AS n FROM (SELECT side, a, b, unnest(list_concat(list_transform(range(1, greatest(len(c), 1)), lambda i: c[i] || c[i + 1]),
+   list_transform(range(1, greatest(len(c) - 1, 1)), lambda i: c[i] || c[i + 1] || c[i + 2]))) AS gram FROM letters) GROUP BY ALL),
+ slots AS (SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex(gram)) // 2), lambda i: cast('0x' || substr(hex(gram), cast(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
+   lambda a, b: xor(entries[cast(xor(a, b) & 255 AS INTEGER) + 1], a >> 8)), 4294967295) % 384 AS slot FROM (SELECT DISTINCT gram FROM grams), crc),
+ cells AS (SELECT side, a, b, slot, ln(1 + sum(n)) AS x FROM grams JOIN slots USING (gram) GROUP BY ALL)"""
+SQL_CHUNKS = f"""chunks AS (SELECT doc_id, i AS chunk_index, substr(t, i * 780 + 1, 900) AS text FROM (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 900 THEN 1 ELSE cast(ceil(length(t) / 780.0) AS bigint) END)) AS i
+   FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE t <> '')),
+ texts AS (SELECT 'c' AS side, doc_id AS a, chunk_index AS b, {SQL_SQUEEZED} AS t FROM chunks UNION ALL SELECT 'q', item_id, 0, {SQL_SQUEEZED} FROM benchmark WHERE {SQL_SQUEEZED} <> '')"""
+SQL_SEARCH = f"""WITH {SQL_CHUNKS}, {SQL_SLOTS},
+ vectors AS (SELECT side, a, b, list(coalesce(x, 0) ORDER BY s) AS v, greatest(sqrt(sum(x * x)), 1e-300) AS r
+   FROM (SELECT side, a, b, s, x FROM texts CROSS JOIN (SELECT unnest(range(384)) AS s) LEFT JOIN cells USING (side, a, b) WHERE slot = s UNION ALL SELECT side, a, b, s, NULL FROM texts CROSS JOIN (SELECT unnest(range(384)) AS s)
+     ANTI JOIN cells ON cells.side = texts.side AND cells.a = texts.a AND cells.b = texts.b AND cells.slot = s) GROUP BY side, a, b),
+ shared AS (SELECT q.a AS query_id, c.a AS doc_id, c.b AS chunk_index, count(*) AS n FROM grams q JOIN grams c USING (gram) WHERE q.side = 'q' AND c.side = 'c' GROUP BY ALL),
+ sizes AS (SELECT a, count(*) AS n FROM grams WHERE side = 'q' GROUP BY a),
+ scores AS (SELECT q.a AS query_id, c.a AS doc_id, c.b AS chunk_index,
+    round(0.6::double * list_inner_product(q.v, c.v) / (q.r * c.r) + 0.4::double * coalesce(shared.n, 0) / coalesce(sizes.n, 1), 9) AS raw
+   FROM vectors q JOIN vectors c ON q.side = 'q' AND c.side = 'c' LEFT JOIN sizes ON sizes.a = q.a LEFT JOIN shared ON query_id = q.a AND doc_id = c.a AND chunk_index = c.b)
+SELECT query_id, doc_id, cast(chunk_index AS INTEGER) AS chunk_index, cast(row_number() OVER w AS INTEGER) AS position, round(raw, 4) AS score FROM scores
+WINDOW w AS (PARTITION BY query_id ORDER BY raw DESC, doc_id, chunk_index) QUALIFY row_number() OVER w <= 5"""
+
+
+@query(SQL_SEARCH)
 def hybrid_search(spark, sf):
     """Every benchmark passage is looked up in all document chunks."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return T.hybrid_search(T.chunk_text(table(spark, sf, "documents")), q, 5, with_text=False)
 
 
-@query()
+@query(f"SELECT * REPLACE (cast(query_id AS varchar) AS query_id) FROM ({SQL_SEARCH})")
 def hybrid_search_stored(spark, sf):
-    """The same search over chunks that carry their vectors."""
+    """The same search over an index that was written before, of chunks that carry their vectors."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    return T.hybrid_search(T.embed_chunks(T.chunk_text(table(spark, sf, "documents"))), q, 5, with_text=False)
+    index = checkpointed(T.search_index(T.embed_chunks(T.chunk_text(table(spark, sf, "documents"))), with_text=False))
+    return T.hybrid_search(index, q, 5, with_text=False)
 
 
 @query("""WITH inc AS (SELECT source || '/' || lang AS name, doc_id, text FROM documents WHERE lang = 'fr' AND trim(text) <> ''),
@@ -1136,31 +1162,40 @@ def project_inferred(spark, sf):
 
 
 # ================================================================== streams and user functions
-@query("""SELECT user_id, ts, lag(ts) OVER w AS previous_fetch, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) < 86400000000, false) AS repeat_fetch
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)""")
+@query("""SELECT user_id, CASE WHEN event_id % 50 <> 0 THEN ts END AS ts, CASE WHEN event_id % 50 <> 0 THEN lag(ts) OVER w END AS previous_fetch,
+ coalesce(event_id % 50 <> 0 AND epoch_us(ts) - epoch_us(lag(ts) OVER w) < 86400000000, false) AS repeat_fetch
+FROM events WINDOW w AS (PARTITION BY user_id, event_id % 50 = 0 ORDER BY ts)""")
 def repeat_fetch_stream(spark, sf):
-    """Every event of a user as seen by the streaming form."""
-    schema = table(spark, sf, "events").schema
-    log = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    flagged = flag_repeat_fetch_stream(log, "user_id", "ts")
+    """Every event of a user as seen by the streaming form: pushed out of order, in several batches, some without a time.
+
+    A last event far ahead moves the watermark past all others; it waits itself and never comes out."""
+    e = table(spark, sf, "events")
+    span = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     out = scratch_path(spark, "stream")
-    run = flagged.writeStream.format("parquet").option("checkpointLocation", out + "/state").trigger(availableNow=True).start(out + "/rows")
-    run.awaitTermination()
+    push = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    fetched = e.select("user_id", F.when(F.col("event_id") % 50 != 0, F.col("ts").cast("timestamp")).alias("ts"), push.alias("push"))
+    ahead = e.limit(1).select("user_id", F.lit(span["hi"] + (span["hi"] - span["lo"]) + timedelta(days=9)).cast("timestamp").alias("ts"))
+    late = f"{int((span['hi'] - span['lo']).total_seconds()) + 1} seconds"
+    for pushed in (fetched.where("push = 0").drop("push"), fetched.where("push = 1").drop("push"), ahead):
+        pushed.write.mode("append").parquet(out + "/log")
+        log = spark.readStream.schema("user_id long, ts timestamp").parquet(out + "/log")
+        flagged = flag_repeat_fetch_stream(log, "user_id", "ts", late=late)
+        flagged.writeStream.format("parquet").option("checkpointLocation", out + "/state").trigger(availableNow=True).start(out + "/rows").awaitTermination()
     return spark.read.schema(flagged.schema).parquet(out + "/rows")
 
 
-@query("""SELECT doc_id AS job_id, len(string_split(text, ' ')) AS n FROM documents WHERE lang <> 'fr'""")
+@query("""SELECT doc_id AS job_id, len(string_split(text, ' ')) AS n FROM documents""")
 def ingest_stream_rows(spark, sf):
-    """Pushed payloads as a stream, appended batch by batch."""
-    schema = table(spark, sf, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
-    words = F.transform(F.split("text", " "), lambda w: F.array(w))
-    pushed = docs.select(
-        F.col("doc_id").alias("job_id"), F.concat(F.lit("https://www."), "source", F.lit(".example.com")).alias("url"),
-        F.when(F.col("lang") == "fr", F.array().cast("array<array<string>>")).otherwise(words).alias("rows"),
-    )
+    """Pushed payloads as a stream in three batches: French documents come empty at first, all jobs are pushed again, and half of them once more."""
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
     out = scratch_path(spark, "ingest")
-    ingest_stream(pushed, out + "/rows", out + "/state").awaitTermination()
+    for push, some in enumerate((d, d, d.where("doc_id % 2 = 0"))):
+        words = F.transform(F.split("text", " "), lambda w: F.array(w))
+        rows = F.when((F.col("lang") == "fr") & F.lit(push == 0), F.array().cast("array<array<string>>")).otherwise(words)
+        pushed = some.select(F.col("doc_id").alias("job_id"), F.concat(F.lit("https://www."), "source", F.lit(".example.com")).alias("url"), rows.alias("rows"))
+        pushed.write.mode("append").parquet(out + "/pushed")
+        stream = spark.readStream.schema(pushed.schema).parquet(out + "/pushed")
+        ingest_stream(stream, out + "/rows", out + "/state").awaitTermination()
     return spark.read.parquet(out + "/rows").groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablework.functions.columns import normalize_key
-from tablework.sources.ingest import ingest_rows
+from tablework.sources.ingest import ingest_rows, payload_status
 
 
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], event_time: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -25,45 +25,56 @@ def dedupe_stream(stream: DataFrame, keys: Sequence[str], event_time: str | None
     return out.drop(*made)
 
 
-def ingest_stream(payloads: DataFrame, target: str, checkpoint: str, cap: int | None = None):
-    """Append the rows of pushed payloads to ``target``.  A replayed batch overwrites its own folder, so
-    rows are written once.  Returns the started query."""
+def ingest_stream(payloads: DataFrame, target: str, checkpoint: str, cap: int | None = None, received: str | None = None, remember: str | None = None):
+    """Append the rows of pushed payloads to ``target``; a job is written once, however often and in whatever batch it is pushed.
+
+    The jobs seen are state of the query, kept in its checkpoint beside the offsets: the first usable payload of a job counts, whole; payloads without
+    rows or text do not use a job up. With ``received`` and ``remember`` (a time column and a duration) a job is forgotten that long after the
+    watermark passed it, which bounds the state. Payloads without a job id are never replays. A batch that is run again after a failure overwrites its
+    own folder. Returns the started query."""
+    usable = payloads.where(payload_status(F.col("rows")) == "ok")
+    named, unnamed = usable.where("job_id IS NOT NULL"), usable.where("job_id IS NULL")
+    if remember:
+        first = named.withWatermark(received, remember).dropDuplicatesWithinWatermark(["job_id"])
+    else:
+        first = named.dropDuplicates(["job_id"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = ingest_rows(batch.dropDuplicates(["job_id"]), cap)
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        ingest_rows(batch, cap).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return payloads.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return first.unionByName(unnamed).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def flag_repeat_fetch_stream(log: DataFrame, host: str = "host", ts: str = "ts", hours: float = 24, forget_hours: float | None = None) -> DataFrame:
-    """Per host the time since its last fetch; state is one timestamp per host, the latest seen.
+def flag_repeat_fetch_stream(log: DataFrame, host: str = "host", ts: str = "ts", hours: float = 24, late: str = "1 hour") -> DataFrame:
+    """Per fetch the one before it of the same host, as the batch form has it, also where fetches come out of order.
 
-    A host's fetches of a micro-batch are put in time order as one array of numbers.  Fetches older than the latest one
-    of an earlier micro-batch come too late to be placed: they have no previous fetch and are no repeats.  With
-    ``forget_hours`` a host's state is dropped when it sends nothing for that time."""
+    A fetch waits in the state of its host until the watermark (the latest time seen less ``late``) has passed it; then no earlier one can come, and it
+    is placed behind the last one that went out. So a row comes out ``late`` after it happened, and what is still waiting when the input ends comes
+    out as soon as the stream goes on. Fetches that come later than ``late`` are left out by the watermark. State of a host: its waiting
+    fetches, in order, and the last time that went out. Fetches without a time pass at once, with no fetch before them; a null host is a host.
+    """
     kind = log.schema[host].dataType.simpleString()
+    window = hours * 3.6e9
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        stamps = np.sort(np.concatenate([pdf[ts].to_numpy("datetime64[us]").astype(np.int64) for pdf in frames]))
-        before = np.concatenate([stamps[:1], stamps[:-1]])
-        known = np.arange(len(stamps)) > 0
-        if last is not None:
-            first = np.searchsorted(stamps, last, side="left")
-            known[: first + 1] = False
-            if first < len(stamps):
-                before[first], known[first] = last, True
-        repeat = known & (stamps - before < hours * 3.6e9)
-        previous = pd.Series(before.astype("datetime64[us]")).where(pd.Series(known))
-        state.update((int(max(stamps[-1], stamps[-1] if last is None else last)),))
-        if forget_hours is not None:
-            state.setTimeoutDuration(int(forget_hours * 3.6e6))
-        yield pd.DataFrame({host: key[0], ts: stamps.astype("datetime64[us]"), "previous_fetch": previous, "repeat_fetch": repeat})
-
-    out = f"{host} {kind}, {ts} timestamp, previous_fetch timestamp, repeat_fetch boolean"
-    timeout = "NoTimeout" if forget_hours is None else "ProcessingTimeTimeout"
-    return log.select(host, ts).groupBy(host).applyInPandasWithState(step, out, "last long", "append", timeout)
+        last, waiting = state.get if state.exists else (None, [])
+        fresh = [pdf["_at"].to_numpy(np.int64) for pdf in frames] if not state.hasTimedOut else []
+        stamps = np.sort(np.concatenate([np.array(waiting, dtype=np.int64), *fresh]), kind="stable")
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready, rest = stamps[stamps < passed], stamps[stamps >= passed]
+        if len(ready):
+            before = np.concatenate([[ready[0] if last is None else last], ready[:-1]])
+            known = np.ones(len(ready), dtype=bool)
+            known[0] = last is not None
+            last = int(ready[-1])
+            previous = pd.Series(before.astype("datetime64[us]")).where(pd.Series(known))
+            yield pd.DataFrame({host: [key[0]] * len(ready), ts: ready.astype("datetime64[us]"), "previous_fetch": previous, "repeat_fetch": known & (ready - before < window)})
+        state.update((last, rest.tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(int(rest[0]) // 1000 + 1)
+
+    out = f"`{host}` {kind}, `{ts}` timestamp, previous_fetch timestamp, repeat_fetch boolean"
+    timed = log.select(host, ts).where(F.col(ts).isNotNull()).withColumn("_at", F.unix_micros(F.col(ts).cast("timestamp"))).withWatermark(ts, late)
+    placed = timed.groupBy(host).applyInPandasWithState(step, out, "last long, waiting array<long>", "append", "EventTimeTimeout")
+    untimed = log.where(F.col(ts).isNull()).select(host, F.col(ts).cast("timestamp").alias(ts), F.lit(None).cast("timestamp").alias("previous_fetch"), F.lit(False).alias("repeat_fetch"))
+    return placed.unionByName(untimed)

@@ -22,7 +22,8 @@ from tablework.sources import html as HT
 from tablework.sources import ingest as N
 from tablework.sources import json_tables as JT
 from tablework.sources import sinks as K
-from tablework.streaming.streams import dedupe_stream, flag_repeat_fetch_stream
+from tablework.session import checkpointed
+from tablework.streaming.streams import dedupe_stream, flag_repeat_fetch_stream, ingest_stream
 
 
 def table(spark, **cols):
@@ -219,6 +220,44 @@ def test_hybrid_search_equals_brute_force(spark):
         T.hybrid_search(chunks, " ")
 
 
+def brute_search(chunks, queries, k):
+    """All chunks scored against all queries, by sets and plain loops."""
+    def grams(t):
+        return {t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)}
+
+    texts = [X.clean(t) for *_, t in chunks]
+    vectors, sets = X.embed_batch(*X.packed_grams(texts), len(texts)), [grams(t) for t in texts]
+    out = []
+    for q, text in queries:
+        own, g = X.embed_batch(*X.packed_grams([X.clean(text)]), 1)[0], grams(X.clean(text))
+        scored = sorted((-round(0.6 * float(v @ own) + 0.4 * len(g & s) / max(1, len(g)), 9), d, i) for (d, i, _), v, s in zip(chunks, vectors, sets))
+        out += [(q, d, i, n + 1, round(-s, 4)) for n, (s, d, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "asked"), [(128, 256), (7, 3)])
+def test_search_in_blocks(spark, block, asked, monkeypatch):
+    """Random texts with copies and ties; small blocks, so that most are ruled out by their bounds."""
+    monkeypatch.setattr(T, "BLOCK", block)
+    monkeypatch.setattr(T, "QUERY_BLOCK", asked)
+    rng = random.Random(block)
+    words = ["".join(rng.choice("abcdefé ") for _ in range(rng.randrange(2, 7))) for _ in range(60)]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    chunks = [(d, i, text(rng.randrange(0, 60))) for d in range(90) for i in range(2)]
+    chunks += [(d + 500, 0, chunks[d][2]) for d in range(30)] + [(900, 0, ""), (901, 0, None), (902, 0, "z" * 3000)]
+    queries = [(f"q{i}", text(rng.randrange(1, 12))) for i in range(40)] + [("copy", chunks[5][2] or "a b"), ("none", "日本"), ("short", "a"), ("blank", "  ")]
+    df = spark.createDataFrame([(d, i, t, "x") for d, i, t in chunks], "doc_id long, chunk_index int, text string, score string").repartition(3)
+    asked_for = spark.createDataFrame(queries, "query_id string, query string").repartition(2)
+    want = brute_search([(d, i, t or "") for d, i, t in chunks], [q for q in queries if q[0] != "blank"], 4)
+    columns = ["query_id", "doc_id", "chunk_index", "position", "score"]
+    assert sorted(map(tuple, T.hybrid_search(df, asked_for, 4).select(*columns).collect())) == want
+    index = checkpointed(T.search_index(T.embed_chunks(df)))
+    assert sorted(map(tuple, T.hybrid_search(index, asked_for, 4).select(*columns).collect())) == want
+    some = T.hybrid_search(index, asked_for, 4, doc_ids=list(range(20)), with_text=False).select(*columns)
+    assert sorted(map(tuple, some.collect())) == brute_search([(d, i, t or "") for d, i, t in chunks if d < 20], [q for q in queries if q[0] != "blank"], 4)
+    assert T.hybrid_search(df, asked_for.where("false")).count() == 0 and T.hybrid_search(df.where("false"), asked_for).count() == 0
+
+
 def test_upsert(spark):
     cur = table(spark, name=["a", "b"], text=["1", "2"])
     new = table(spark, name=["a", "a", "c", "d"], text=["x", "y", "z", " "], saved_at=[1, 2, 1, 1])
@@ -267,21 +306,56 @@ def test_user_functions(spark):
         reg.apply_rows("user.none", spark.range(1))
 
 
+def pushed(spark, folder, batches, schema, start):
+    """Runs a stream once for each batch of rows, as files that come one after the other."""
+    for k, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        start(spark.readStream.schema(schema).parquet(f"{folder}/in")).awaitTermination()
+    return spark.read.parquet(f"{folder}/in")
+
+
 def test_repeat_fetch_stream_equals_the_batch_form(spark, tmp_path):
-    """Busy hosts over several Arrow batches and micro-batches; late rows have no previous fetch."""
+    """Busy hosts over several Arrow batches, rows out of order over several micro-batches, equal times, a null host and null times."""
     rng = random.Random(3)
     start = datetime.datetime(2026, 1, 1)
-    log = [(f"h{h}", start + datetime.timedelta(hours=(30 if h else 1) * i)) for h in range(3) for i in range(1500)]
+    log = [(f"h{h}" if h else None, start + datetime.timedelta(hours=(30 if h else 1) * (i // 2 if h == 2 else i))) for h in range(3) for i in range(700)]
+    log += [("h1", None), ("h1", None), (None, None), ("h9", None)]
     rng.shuffle(log)
-    spark.createDataFrame(log, "host string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    ahead = [("h1", start + datetime.timedelta(days=9000))]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     try:
-        stream = spark.readStream.schema("host string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        run = flag_repeat_fetch_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
-        run.awaitTermination()
+        def run(stream):
+            flagged = flag_repeat_fetch_stream(stream, late="2000 days")
+            return flagged.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+
+        pushed(spark, tmp_path, [log[:800], log[800:1500], log[1500:], ahead], "host string, ts timestamp", run)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = spark.read.parquet(str(tmp_path / "out"))
-    want = W.flag_repeat_fetch(spark.read.parquet(str(tmp_path / "in")), "host", "ts").select("host", "ts", "previous_fetch", "repeat_fetch")
+    want = W.flag_repeat_fetch(spark.createDataFrame(log, "host string, ts timestamp"), "host", "ts").select("host", "ts", "previous_fetch", "repeat_fetch")
     assert rows(got.select(*want.columns)) == rows(want)
-    assert got.filter("previous_fetch >= ts").count() == 0
+
+
+def test_repeat_fetch_stream_waits_for_the_watermark(spark, tmp_path):
+    """A fetch comes out once the watermark is past it, in its place; one beyond the watermark is left out."""
+    at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
+    run = lambda s: flag_repeat_fetch_stream(s, hours=3, late="5 hours").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    pushed(spark, tmp_path, [[("a", at(10))], [("a", at(8)), ("a", at(12))], [("a", at(1)), ("b", at(30))]], "host string, ts timestamp", run)
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()]
+    assert got == [("a", at(8), None, False), ("a", at(10), at(8), True), ("a", at(12), at(10), True)]
+
+
+@pytest.mark.parametrize("remember", [None, "1 day"])
+def test_ingest_stream_writes_a_job_once(spark, tmp_path, remember):
+    at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
+    one, two = [["a", "b"], ["c", None]], [["x"]]
+    batches = [
+        [("j1", "https://a.com/", one, at(0)), ("j1", "https://a.com/", one, at(0)), ("j2", "https://a.com/", [["", " "]], at(0)), (None, "https://a.com/", two, at(0))],
+        [("j1", "https://a.com/", one, at(1)), ("j2", "https://a.com/", two, at(1)), (None, "https://a.com/", two, at(1)), ("j3", None, None, at(1))],
+        [("j1", "https://a.com/", one, at(2)), ("j2", "https://a.com/", two, at(2))],
+    ]
+    schema = "job_id string, url string, rows array<array<string>>, pushed_at timestamp"
+    start = lambda s: ingest_stream(s, str(tmp_path / "out"), str(tmp_path / "state"), received="pushed_at", remember=remember)
+    pushed(spark, tmp_path, batches, schema, start)
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("job_id").count()
+    assert rows(got) == rows(spark.createDataFrame([("j1", 2), ("j2", 1), (None, 2)], "job_id string, count long"))
