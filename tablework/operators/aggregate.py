@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def pivot_table(
     values: Sequence[dict] = (),
     filters: Sequence[dict] = (),
     column_values: Sequence | None = None,
-    totals: bool = False,
+    totals: bool | str = False,
 ) -> DataFrame:
     """Row fields down, column values across.  ``values`` = ``{field, aggregation}``.
 
@@ -62,7 +63,11 @@ def pivot_table(
     They are names of columns of the result, so all of them pass through the driver.
 
     With ``totals`` every prefix of the row fields gets a subtotal row (``__level`` counts the
-    rolled-up fields) and every value a total over all columns."""
+    rolled-up fields) and every value a total over all columns. With ``totals="all"`` every set of row fields is rolled up
+    (``__rolled``: one bit a row field, the first the highest, set where it is rolled up), and columns are totalled over every set of column fields,
+    named ``total`` in the place of what is rolled up."""
+    if totals not in (False, True, "all"):
+        raise ValueError(f"totals: False, True or 'all', not {totals!r}")
     rows = [match_field(r, df.columns) for r in rows]
     columns = [match_field(c, df.columns) for c in columns]
     if not rows and not columns:
@@ -80,37 +85,54 @@ def pivot_table(
     wanted = sorted((tuple(None if x is None else str(x) for x in v) for v in found), key=lambda v: [(x is not None, x or "") for x in v])
     need = {*rows, *columns, *[f for f, _ in specs]}
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c in need])
+    every = object()  # stands for all values of a column field
+    if totals == "all" and columns:
+        some = {tuple(every if i in gone else x for i, x in enumerate(v)) for v in wanted for k in range(1, len(columns)) for gone in combinations(range(len(columns)), k)}
+        wanted += sorted(some, key=lambda v: [(x is not every, x is not None, x if isinstance(x, str) else "") for x in v])
     aggs = []
     labels: list[str] = []
     for v in wanted:
-        label, n = "_".join(x or "" for x in v), 2
+        label, n = "_".join("total" if x is every else x or "" for x in v), 2
         while label in labels:
-            label, n = f"{'_'.join(x or '' for x in v)}_{n}", n + 1
+            label, n = f"{'_'.join('total' if x is every else x or '' for x in v)}_{n}", n + 1
         labels.append(label)
-        at = reduce(lambda a, b: a & b, [f.eqNullSafe(F.lit(x)) for f, x in zip(fields, v, strict=True)])
+        at = reduce(lambda a, b: a & b, [f.eqNullSafe(F.lit(x)) for f, x in zip(fields, v, strict=True) if x is not every], F.lit(True))
         aggs += [getattr(F, a)(F.when(at, F.col(f"`{f}`"))).alias(f"{label}_{a}_{f}") for f, a in specs]
     if totals or not columns:
         prefix = "total_" if columns else ""
         aggs += [getattr(F, a)(F.col(f"`{f}`")).alias(f"{prefix}{a}_{f}") for f, a in specs]
     if totals and rows:
-        level = F.lit(0)
-        for r in rows:
-            level = level + F.grouping(F.col(f"`{r}`")).cast("int")
-        return base.rollup(*rows).agg(*aggs, level.alias("__level"))
+        rolled = [F.grouping(F.col(f"`{r}`")).cast("int") for r in rows]
+        if totals == "all":
+            return base.cube(*[F.col(f"`{r}`") for r in rows]).agg(*aggs, F.grouping_id().cast("int").alias("__rolled"))
+        return base.rollup(*rows).agg(*aggs, reduce(lambda a, b: a + b, rolled).alias("__level"))
     return base.groupBy(*rows).agg(*aggs)
 
 
-def price_distribution(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Count, minimum, quartiles (interpolated) and maximum per group.
+def price_distribution(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """Count, minimum, quartiles (interpolated, exact) and maximum per group.
 
-    Equal values are counted before the shuffle, so a group travels as its distinct values."""
+    Equal values are counted before the shuffle. A group's running counts tell between which of its values a quantile lies, so only those
+    are gathered: values are sorted with spilling to disk, and those of a hot group, or of a table without groups, by many tasks."""
+    asked = quantiles if quantiles is not None else {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    by = list(by)
     counted = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    return counted.groupBy(*by).agg(
-        F.sum("__n").alias("n"),
-        F.min("__v").alias("min_value"),
-        *[F.percentile("__v", F.lit(p), F.col("__n")).alias(a) for p, a in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))],
-        F.max("__v").alias("max_value"),
-    )
+    whole = counted.groupBy(*by).agg(F.sum("__n").alias("n"), F.min("__v").alias("min_value"), F.max("__v").alias("max_value"))
+    upto = scale.running_sum(counted, by, ["__v"], "__n", "__upto")
+    ends = whole.select(*by, F.col("n").alias("__all"))
+    placed = upto.join(F.broadcast(ends) if not by else scale.small_side(ends), reduce(lambda a, b: a & b, [upto[b].eqNullSafe(ends[b]) for b in by], F.lit(True)))
+    placed = placed.select(*[upto[b] for b in by], "__v", "__n", "__upto", "__all")
+
+    def at(place: Column) -> Column:
+        return F.min(F.when((F.col("__upto") > place) & (F.col("__upto") - F.col("__n") <= place), F.col("__v")).cast("double"))
+
+    exact = {name: (F.col("__all") - 1) * F.lit(float(p)) for name, p in asked.items()}
+    near = reduce(lambda a, b: a | b, [(F.col("__upto") > F.floor(x)) & (F.col("__upto") - F.col("__n") <= F.ceil(x)) for x in exact.values()], F.lit(False))
+    found = placed.filter(near).groupBy(*by, "__all").agg(*[f(c).alias(f"__{side}_{name}") for name, x in exact.items() for side, f, c in (("lo", at, F.floor(x)), ("hi", at, F.ceil(x)))])
+    cells = [(F.col(f"__lo_{n}") + (x - F.floor(x)) * (F.col(f"__hi_{n}") - F.col(f"__lo_{n}"))).alias(n) for n, x in exact.items()]
+    found = found.select(*by, *cells)
+    joined = whole.join(found, reduce(lambda a, b: a & b, [whole[b].eqNullSafe(found[b]) for b in by], F.lit(True)))
+    return joined.select(*[whole[b] for b in by], "n", "min_value", *asked, "max_value")
 
 
 def band_distribution(df: DataFrame, by: Sequence[str], value: str, edges: Sequence[float]) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,10 +92,13 @@ def sample_head(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None
 
 
 def top_n(df: DataFrame, column: str, n: int = 10, top: bool = True) -> DataFrame:
-    """The n largest (or smallest) cells with ties.  The rank limit runs before the shuffle."""
-    c = F.col(column)
-    w = Window.orderBy(c.desc_nulls_last() if top else c.asc_nulls_last())
-    return df.filter(c.isNotNull()).withColumn("__rk", F.rank().over(w)).filter(F.col("__rk") <= n).drop("__rk")
+    """The n largest (or smallest) cells with ties.
+
+    The n-th cell is found first, from at most n cells of every task; then rows are kept by comparison, so ties never meet in one task."""
+    c = F.col(f"`{column}`")
+    cells = df.select(c.alias("__c")).filter("__c is not null").orderBy(F.col("__c").desc() if top else F.col("__c")).limit(n)
+    edge = cells.agg((F.min if top else F.max)("__c")).scalar()
+    return df.filter(c >= edge if top else c <= edge)
 
 
 def flag_rule(df: DataFrame, column: str, op: str = "gt", value=0, value2=None, out: str = "flag") -> DataFrame:

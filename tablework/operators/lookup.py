@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablework import scale
 from tablework.functions.columns import normalize_key
 from tablework.functions.names import require_columns
 
-#: Tiers that are sent everywhere as lists; longer tables are merged in value order.  Both give the same rows.
-SMALL_TIERS = 512
+#: Rows of a tile, an ordered run of one key's rows.
+TILE = 256
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str | Sequence[str], bring: Sequence[str] | None = None, order_by: Sequence[str] | None = None, case_sensitive: bool = False) -> DataFrame:
@@ -53,46 +53,39 @@ def tier_lookup(df: DataFrame, tiers: DataFrame, value: str, tier: str, bring: S
     by = list(by)
     require_columns(df.columns, [value, *by], "table")
     require_columns(tiers.columns, [tier, *bring, *by], "tier table")
-    known = tiers.withColumn("__tier", F.col(f"`{tier}`").cast("double")).dropna(subset=["__tier", *by])
-    tiers = known.groupBy(*[F.col(f"`{b}`") for b in by], F.col("__tier")).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in bring])).alias("__best"))
-    tiers = tiers.select(*[F.col(f"`{b}`") for b in by], F.col("__tier").alias(tier), "__best.*")
-    if scale.fits_broadcast(tiers) and tiers.limit(SMALL_TIERS + 1).count() <= SMALL_TIERS:
-        out = _tiers_from_list(df, tiers, value, tier, bring, by)
-    else:
-        out = _tiers_by_order(df, tiers, value, tier, bring, by)
-    return out.withColumn("tier_found", F.col("__t").isNotNull()).withColumns(
-        {c: F.col("__t")[c] for c in bring}
-    ).drop("__t")
-
-
-def _tiers_from_list(df, tiers, value, tier, bring, by):
-    """A short tier table becomes one sorted list per ``by`` and is sent everywhere."""
-    keys = [f"__b{i}" for i in range(len(by))] or ["__one"]
-    on = {k: F.col(f"`{b}`") for k, b in zip(keys, by)} or {"__one": F.lit(1)}
-    entry = F.struct(F.col(f"`{tier}`").cast("double").alias("__from"), *[F.col(f"`{c}`") for c in bring])
-    lists = tiers.withColumns(on).groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("__tiers"))
-    joined = df.withColumns(on).join(F.broadcast(lists), keys, "left")
-    below = F.filter("__tiers", lambda t: t["__from"] <= F.col(value).cast("double"))
-    return joined.withColumn("__t", F.get(below, F.size(below) - 1)).drop("__tiers", *keys)
-
-
-def _tiers_by_order(df, tiers, value, tier, bring, by):
-    """A long tier table is merged into the rows in value order; each row takes the last tier seen."""
-    keys = [f"__b{i}" for i in range(len(by))] or ["__one"]
-    on = lambda: {k: F.col(f"`{b}`") for k, b in zip(keys, by)} or {"__one": F.lit(1)}
-    t = tiers.withColumns(on()).select(
-        *keys,
-        F.col(f"`{tier}`").cast("double").alias("__at"),
-        F.lit(0).alias("__isrow"),
-        F.struct(F.col(f"`{tier}`").cast("double").alias("__from"), *[F.col(f"`{c}`") for c in bring]).alias("__tier"),
-    )
-    rows = df.withColumns(on()).select(
-        *keys, F.col(value).cast("double").alias("__at"), F.lit(1).alias("__isrow"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
-    )
-    merged = t.unionByName(rows, allowMissingColumns=True)
-    filled = scale.fill_down(merged, keys, ["__at", "__isrow"], {"__t": F.col("__tier")})
-    filled = filled.filter("__isrow = 1")
-    return filled.select("__row.*", F.when(F.col("__at").isNotNull(), F.col("__t")).alias("__t"))
+    keys = {f"__b{i}": F.col(f"`{b}`") for i, b in enumerate(by)}
+    known = tiers.withColumn("__at", F.col(f"`{tier}`").cast("double")).dropna(subset=["__at", *by])
+    best = known.groupBy(*[c.alias(k) for k, c in keys.items()], "__at").agg(F.max(F.struct(*[F.col(f"`{c}`") for c in bring])).alias("__best"))
+    out = as_of(df.withColumns(keys), best, F.col(f"`{value}`").cast("double"), list(keys), "__t")
+    return out.drop(*keys).withColumn("tier_found", F.col("__t").isNotNull()).withColumns({c: F.col("__t")["__best"][c] for c in bring}).drop("__t")
+
+
+def as_of(left: DataFrame, right: DataFrame, at: Column, keys: Sequence[str], out: str) -> DataFrame:
+    """Every left row with the right row (a struct) of the same ``keys`` and the largest ``__at`` that is not above ``at``; NULL where there is none.
+
+    ``right`` has one row for each key and ``__at``. Its rows become tiles, ordered runs of at most TILE rows of a key. A left row finds its tile
+    among the starts of its key's tiles, and its row inside of the tile, both by binary search. So left rows are never sorted, a right
+    side that fits is broadcast and moves no left row, and a larger one is joined by key and tile, which spreads a hot key over its tiles."""
+    keys = list(keys)
+    ranked = scale.rank(right, keys, ["__at"], "__rk")
+    entry = F.struct("__at", *[F.col(c) for c in right.columns if c not in (*keys, "__at")])
+    tiles = ranked.groupBy(*keys, F.floor((F.col("__rk") - 1) / TILE).cast("int").alias("__tile")).agg(F.array_sort(F.collect_list(entry)).alias("__rows"))
+    tiles = tiles.withColumn("__ats", F.transform("__rows", lambda r: r["__at"]))
+    start = F.struct("__tile", F.get("__ats", F.lit(0)).alias("at"))
+    starts = tiles.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(start)), lambda s: s["at"]).alias("__starts"))
+    with_at = left.withColumn("__v", at)
+    found = scale.join_unique(with_at, starts, keys) if keys else with_at.join(scale.small_side(starts), F.lit(True), "left")
+    found = found.withColumn("__tile", last_at_or_below(F.col("__starts"), F.col("__v"))).drop("__starts")
+    found = scale.join_unique(found, tiles, [*keys, "__tile"])
+    return found.withColumn(out, F.get("__rows", last_at_or_below(F.col("__ats"), F.col("__v")))).drop("__v", "__tile", "__rows", "__ats")
+
+
+def last_at_or_below(ordered: Column, value: Column) -> Column:
+    """Place of the last element that is not above the value, by binary search; NULL where there is none."""
+    bits = F.floor(F.log2(F.size(ordered))).cast("int")
+    steps = F.transform(F.sequence(bits, F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1), i))
+    at = F.aggregate(steps, F.lit(-1), lambda i, step: F.when(F.get(ordered, i + step) <= value, i + step).otherwise(i))
+    return F.when((F.size(ordered) > 0) & value.isNotNull() & (at >= 0), at)
 
 
 def two_key_rate(df: DataFrame, rates: DataFrame, weight: str, zone: str, tier: str, price: str) -> DataFrame:

@@ -563,6 +563,30 @@ def pivot_totals(spark, sf):
     return out.withColumnRenamed("__level", "lvl")
 
 
+PIVOT_CUBE = [(f, s) for f in ("A", "N", "R", None) for s in ("F", "O", None)]
+
+
+@query("SELECT l_shipmode_, l_tax_, " + ", ".join(
+    f"""{a}(CASE WHEN {' AND '.join(filter(None, (f and f"l_returnflag = '{f}'", s and f"l_linestatus = '{s}'"))) or 'true'} THEN l_linenumber END) AS "{'_'.join((f or 'total', s or 'total')) if f or s else 'total'}_{a}_l_linenumber\""""
+    for f, s in PIVOT_CUBE for a in ("max", "count")
+) + """, cast(grouping(l_shipmode_) * 2 + grouping(l_tax_) AS INTEGER) AS rolled
+ FROM (SELECT *, l_suppkey % 5 AS l_shipmode_, l_partkey % 3 AS l_tax_ FROM lineitem) GROUP BY CUBE (l_shipmode_, l_tax_)""")
+def pivot_cube(spark, sf):
+    """Two row and two column fields with all subtotals."""
+    li = table(spark, sf, "lineitem").withColumns({"l_shipmode_": F.col("l_suppkey") % 5, "l_tax_": F.col("l_partkey") % 3})
+    values = [{"field": "l_linenumber", "aggregation": "max"}, {"field": "l_linenumber", "aggregation": "count"}]
+    pairs = [(f, s) for f in ("A", "N", "R") for s in ("F", "O")]
+    return A.pivot_table(li, ["l_shipmode_", "l_tax_"], ["l_returnflag", "l_linestatus"], values, column_values=pairs, totals="all").withColumnRenamed("__rolled", "rolled")
+
+
+@query("""SELECT count(*) AS n, min(l_extendedprice) AS min_value, round(quantile_cont(l_extendedprice, 0.01), 6) AS p01, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50,
+ round(quantile_cont(l_extendedprice, 0.999), 6) AS p999, max(l_extendedprice) AS max_value FROM lineitem""")
+def price_distribution_whole(spark, sf):
+    """Quantiles of a whole table, without groups."""
+    out = A.price_distribution(table(spark, sf, "lineitem"), [], "l_extendedprice", {"p01": 0.01, "p50": 0.5, "p999": 0.999})
+    return out.withColumns({c: F.round(c, 6) for c in ("p01", "p50", "p999")})
+
+
 @query("""SELECT p_type, count(*) AS n, min(p_retailprice) AS min_value, round(quantile_cont(p_retailprice, 0.25), 6) AS p25, round(quantile_cont(p_retailprice, 0.5), 6) AS p50,
  round(quantile_cont(p_retailprice, 0.75), 6) AS p75, max(p_retailprice) AS max_value FROM part GROUP BY 1""")
 def price_distribution(spark, sf):

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tablework.session import checkpointed
+
 BUCKETS = 65536
 MAX_CHUNKS = 65536
 SAMPLES = 16
@@ -76,7 +78,7 @@ def first_per_group(df: DataFrame, keys: Sequence[str | Column], order_by: Seque
 
 
 def bucket_of(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(BUCKETS)).cast("int") if keys else F.lit(0)
 
 
 def hot_buckets(df: DataFrame, keys: Sequence[str]) -> dict[int, int]:
@@ -148,7 +150,9 @@ def rank_in_hot_group(df: DataFrame, group: Sequence[str], order_by: Sequence[st
 
 
 def rank(df: DataFrame, group: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
-    """Position inside the group, split where a group is hot."""
+    """Position inside the group, split where a group is hot; in a large table without groups by ranges of the order."""
+    if not group and is_large(df):
+        return running_sum(df.withColumn("__one", F.lit(1)), [], order_by, "__one", out).drop("__one")
     cold, warm, hot = split_by_heat(df, group)
     ranked = rank_in_group(cold, group, order_by, out)
     if warm is None:
@@ -157,6 +161,28 @@ def rank(df: DataFrame, group: Sequence[str], order_by: Sequence[str], out: str)
     return ranked.unionByName(rank_in_hot_group(chunked, group, order_by, out).drop("__chunk"))
 
 
+def running_sum(df: DataFrame, group: Sequence[str], order_by: Sequence[str], value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the rows of the group up to this one, as long.
+
+    Without a group, rows are dealt by ranges of their order instead, so that no task gets all of them; their sums are completed per range."""
+    total = lambda w: F.sum(value).over(w).cast("long")
+    upto = lambda *parts: Window.partitionBy(*parts).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+
+    def completed(rows: DataFrame) -> DataFrame:
+        parts = [*group, "__chunk"]
+        sums = rows.groupBy(*parts).agg(F.sum(value).alias("__cs"))
+        before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sums.withColumn("__off", F.sum("__cs").over(before)).filter(F.col("__off") != 0).drop("__cs")
+        joined = match_parts(rows.withColumn(out, total(upto(*parts))), offsets, parts)
+        return joined.withColumn(out, F.col(out) + F.coalesce(F.col("__off"), F.lit(0)).cast("long")).drop("__off", "__chunk")
+
+    if not group:
+        return completed(checkpointed(df.repartitionByRange(*order_by).withColumn("__chunk", F.spark_partition_id())))
+    cold, warm, hot = split_by_heat(df, group)
+    plain = cold.withColumn(out, total(upto(*group)))
+    return plain if warm is None else plain.unionByName(completed(with_chunk(warm, group, order_by, hot)))
+
+
 def previous(df: DataFrame, group: Sequence[str], order_by: Sequence[str], value: Column, out: str) -> DataFrame:
     """``value`` of the previous row of the group in order (NULL on the first row).
 

@@ -131,9 +131,14 @@ def test_filters(spark):
     assert rows(L.top_n(table(spark, v=[5, 5, 4, 1]), "v", 2)) == [(5,), (5,)]
 
 
-def test_top_n_limits_before_the_single_task(spark):
-    plan = L.top_n(spark.range(100), "id", 3)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+def test_top_n_sends_no_row_to_a_single_task(spark):
+    df = spark.range(100).withColumn("v", F.when(F.col("id") > 3, F.col("id") % 7))
+    out = L.top_n(df, "v", 3)
+    assert {r["v"] for r in out.collect()} == {6} and out.count() == 14
+    assert {r["v"] for r in L.top_n(df, "v", 3, top=False).collect()} == {0}
+    assert L.top_n(df.filter("v is null"), "v", 3).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "TakeOrderedAndProject" in plan
 
 
 def test_infer_kinds(spark):

@@ -1,5 +1,7 @@
 """Lookups, pivots, pricing, finance, quality and projections: literal cases."""
 
+import random
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -44,6 +46,64 @@ def test_tier_lookup_list_and_ordered_forms_agree(spark):
         spark.conf.unset("spark.tablework.broadcastBytes")
 
 
+@pytest.mark.parametrize(("by", "tile", "split"), [([], 3, False), (["z"], 3, False), ([], 256, True), (["z"], 2, True)])
+def test_tier_lookup_equals_a_plain_search(spark, by, tile, split, monkeypatch, request):
+    """Random breakpoints, equal ones among them, in tiles of a few rows and with shuffled joins; NaN is above all, null fits nothing."""
+    monkeypatch.setattr(J, "TILE", tile)
+    if split:
+        request.getfixturevalue("split_groups")
+    rng = random.Random(tile)
+    zone = lambda: rng.choice(["a", "b", "c", None])
+    tiers = [(rng.choice([None, -1.0, *(x / 2 for x in range(60))]), zone(), rng.randrange(1000)) for _ in range(70)]
+    values = [(i, rng.choice([None, float("nan"), -5.0, 1e9, *(x / 4 for x in range(140))]), zone()) for i in range(300)]
+    df = spark.createDataFrame(values, "id long, v double, z string")
+    out = J.tier_lookup(df, spark.createDataFrame(tiers, "t double, z string, p int"), "v", "t", ["p"], by)
+    want = {}
+    for i, v, z in values:
+        able = [(t, p) for t, y, p in tiers if t is not None and v is not None and (t <= v or v != v) and (not by or (z is not None and y == z))]
+        want[i] = max(able)[1] if able else None
+    assert {r["id"]: r["p"] for r in out.collect()} == want
+    assert out.filter("tier_found != (p IS NOT NULL)").count() == 0 and out.columns == ["id", "v", "z", "tier_found", "p"]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    none = J.tier_lookup(df, spark.createDataFrame([], "t double, z string, p int"), "v", "t", ["p"], by)
+    assert none.count() == 300 and none.filter("tier_found").count() == 0
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_quantiles_equal_the_plain_form(spark, split, request):
+    if split:
+        request.getfixturevalue("split_groups")
+    rng = random.Random(2)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(30)])) for _ in range(400)] + [("one", 7)]
+    df = spark.createDataFrame(data, "g string, v int")
+    asked = {"lo": 0.0, "q": 0.3, "mid": 0.5, "hi": 1.0}
+    for by in (["g"], []):
+        out = A.price_distribution(df, by, "v", asked)
+        groups = {g for g, v in data if v is not None} if by else {None}
+        want = []
+        for g in groups:
+            x = sorted(v for h, v in data if v is not None and (not by or h == g))
+            cut = lambda p, x=x: x[int((len(x) - 1) * p)] + ((len(x) - 1) * p - int((len(x) - 1) * p)) * (x[min(len(x) - 1, int((len(x) - 1) * p) + 1)] - x[int((len(x) - 1) * p)])
+            want.append((*([g] if by else []), len(x), x[0], *(round(float(cut(p)), 6) for p in asked.values()), x[-1]))
+        got = [tuple(round(c, 6) if isinstance(c, float) else c for c in r) for r in out.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert A.price_distribution(df.filter("false"), ["g"], "v").count() == 0
+
+
+def test_pivot_with_every_subtotal(spark):
+    df = spark.createDataFrame([("a", "x", "p", 1), ("a", "y", "p", 2), ("b", "x", "q", 4), (None, "x", "total", 8)], "r string, s string, c string, v int").withColumn("d", F.col("s"))
+    out = A.pivot_table(df, ["r", "s"], ["c", "d"], [{"field": "v"}], totals="all")
+    got = {(r["r"], r["s"], r["__rolled"]): r for r in out.collect()}
+    assert len(got) == 4 + 3 + 2 + 1
+    whole = got[(None, None, 3)]
+    assert (whole["total_sum_v"], whole["total_x_sum_v"], whole["p_total_sum_v"], whole["p_y_sum_v"]) == (15, 8, 3, 2)
+    assert whole["total_x_2_sum_v"] == 13  # a value that reads like a total keeps its own column
+    assert got[(None, "x", 2)]["total_sum_v"] == 13 and got[("a", None, 1)]["p_total_sum_v"] == 3 and got[(None, None, 1)]["total_sum_v"] == 8
+    with pytest.raises(ValueError, match="totals"):
+        A.pivot_table(df, ["r"], [], [{"field": "v"}], totals="some")
+
+
 def test_sum_by_and_weighted(spark):
     df = table(spark, 类别=["食品", " 食品", "饮料", "", None], 金额=[10, 5, 8, 1, 1], n=[1, 2, 3, 4, 5])
     assert rows(A.sum_by(df, "类别", "金额", order_by=["n"])) == [("食品", 15), ("饮料", 8)]
@@ -180,9 +240,9 @@ def test_kinds_are_told_from_all_rows(spark):
     assert kinds == {"v": "plain_text", "w": "amount"}
 
 
-@pytest.mark.parametrize("small", [0, 512])
-def test_tiers_without_breakpoint_fit_nothing(spark, small, monkeypatch):
-    monkeypatch.setattr(J, "SMALL_TIERS", small)
+@pytest.mark.parametrize("tile", [1, 512])
+def test_tiers_without_breakpoint_fit_nothing(spark, tile, monkeypatch):
+    monkeypatch.setattr(J, "TILE", tile)
     df = spark.createDataFrame([(1, 5.0, "a"), (2, None, "a"), (3, 5.0, None), (4, 0.5, "a"), (5, 9.0, "a")], "id int, w double, z string")
     tiers = spark.createDataFrame([(None, "a", "pnull"), (1.0, None, "pn"), (1.0, "a", "p1"), (8.0, "a", "p8"), (8.0, "a", "p9"), (8.0, "a", "p7")], "t double, z string, p string")
     got = {r["id"]: (r["p"], r["tier_found"]) for r in J.tier_lookup(df, tiers, "w", "t", ["p"], ["z"]).collect()}
