@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from itertools import count, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,12 @@ def field(df: DataFrame, column: str, name: str | None = None) -> StructField:
     return StructField(name or column, df.schema[column].dataType, True)
 
 
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """So many names that are not among the columns of a table, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return list(islice((x for x in (f"_x{k}" for k in count()) if x not in taken), n))
+
+
 def text_bytes(column: str) -> Column:
     """UTF-8 bytes of a text column; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")
@@ -51,10 +59,19 @@ def map_arrow(df: DataFrame, schema: StructType, rows: Callable[[Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in rows(b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Workers wait for their next task; what this one has freed goes back to the machine meanwhile."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def per_row(df: DataFrame, schema: StructType, keep: int, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """One output row per row: the first ``keep`` columns as they are, then what the function of ``make()`` returns for the others."""
 

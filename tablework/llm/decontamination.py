@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from tablework.llm.common import field, per_row, row_key, stage, text_bytes
+from tablework.llm.common import field, free_names, per_row, row_key, stage, text_bytes
 
 #: Words of an item that count when they stand together.
 WINDOW = 10
@@ -148,8 +148,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents without a hit, with all their columns."""
+    """The documents without a hit, with all their columns.
+
+    Null and empty texts have no hit; repeated rows are judged alike; without items all stay; an empty table gives no rows; other columns pass
+    through, whatever their names."""
     spark = docs.sparkSession
+    (clean,) = free_names(docs, 1)
     kept = docs
     for block in item_blocks(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(block)
@@ -158,6 +162,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
             scanner = Scanner(shared.value, window)
             return lambda text: (not scanner.scan(text)[1],)
 
-        schema = StructType([*docs.schema.fields, StructField("_clean", BooleanType())])
-        kept = per_row(kept.select(*docs.columns, text_bytes(text_col)), schema, len(docs.columns), make).where("_clean").drop("_clean")
+        schema = StructType([*docs.schema.fields, StructField(clean, BooleanType())])
+        kept = per_row(kept.select(*(F.col(f"`{c}`") for c in docs.columns), text_bytes(f"`{text_col}`")), schema, len(docs.columns), make).where(clean).drop(clean)
     return kept

@@ -110,6 +110,16 @@ def _pairs(ids: list[int], size: int) -> np.ndarray:
     return np.bincount(at[:-1] * size + at[1:], minlength=size * size)
 
 
+def log10_after(context: np.ndarray, target: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Normalised log probabilities of all classes after each class, a batch of contexts at a time."""
+    out = np.empty((len(context), len(target)))
+    for k in range(0, len(out), BATCH):
+        scores = context[k : k + BATCH] @ target.T + bias
+        top = scores.max(axis=1, keepdims=True)
+        out[k : k + BATCH] = (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / math.log(10)
+    return out
+
+
 class LogBilinear:
     """Score of a class after another: context vector times class vector, plus the class's bias."""
 
@@ -117,13 +127,7 @@ class LogBilinear:
         self.context, self.target, self.bias = context, target, bias
 
     def log10(self) -> np.ndarray:
-        """Normalised log probabilities of all classes after each class, a batch of contexts at a time."""
-        out = np.empty((len(self.context), len(self.target)))
-        for k in range(0, len(out), BATCH):
-            scores = self.context[k : k + BATCH] @ self.target.T + self.bias
-            top = scores.max(axis=1, keepdims=True)
-            out[k : k + BATCH] = (scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / math.log(10)
-        return out
+        return log10_after(self.context, self.target, self.bias)
 
 
 def train(pairs: np.ndarray, seed: int = 1) -> LogBilinear:
@@ -194,7 +198,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     below = math.log10(model.tokens + model.types + 1)
     own = model.own
     size = len(own) + SHARED
-    shared = spark.sparkContext.broadcast((model.head, own, model.classes, model.net))
+    # plain arrays: a broadcast names classes by their module, which executors need not have
+    shared = spark.sparkContext.broadcast((model.head, own, model.classes, (model.net.context, model.net.target, model.net.bias)))
     tails = ArrayType(StructType([StructField("word", BinaryType()), StructField("m", IntegerType())]))
     schema = StructType([
         field(docs, id_col, "_id"), StructField("_key", BinaryType()), StructField("n_tokens", LongType()), StructField("n_known", LongType()),
@@ -203,7 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         head, own, classes, net = shared.value
-        after = net.log10().ravel()
+        after = log10_after(*net).ravel()
         place = {w: i for i, (w, _) in enumerate(head)}
         number = np.array([class_of(w, own) for w, _ in head], dtype=np.int64)
         count = np.array([n for _, n in head], dtype=float)

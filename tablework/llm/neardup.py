@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tablework.llm.common import field, join_checked, per_row, row_key, stage, text_bytes
+from tablework.llm.common import field, free_names, join_checked, per_row, row_key, stage, text_bytes
 from tablework.llm.hashing import Rolling, shingles, word_hashes
 from tablework.llm.minhash import WORD_SEED, Circulant, band_keys, link_sets, set_id
 
@@ -65,10 +65,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents with all their columns, one of each group of near duplicates: the one with the least id, of repeated rows one.
 
-    Texts without words are no duplicates of each other, only of rows with the same id."""
+    Texts without words (null, empty) are no duplicates of each other, only of rows with the same id; ties go to the least id, a null id comes last; an
+    empty table gives no rows; other columns pass through, whatever their names."""
     judged = stage(near_duplicates(docs, id_col, text_col, width, percent))
-    gone = stage(judged.where(~F.col("_chosen")).select("_key").distinct())
-    again = stage(judged.where("_chosen").groupBy("_key").count().where("count > 1").select("_key"))
-    left = join_checked(docs.withColumn("_key", row_key(id_col, text_col)), gone, ["_key"], "left_anti")
-    single = join_checked(left, again, ["_key"], "left_anti")
-    return single.unionByName(join_checked(left, again, ["_key"], "left_semi").dropDuplicates(["_key"])).drop("_key")
+    (key,) = free_names(docs, 1)
+    gone = stage(judged.where(~F.col("_chosen")).select(F.col("_key").alias(key)).distinct())
+    again = stage(judged.where("_chosen").groupBy("_key").count().where("count > 1").select(F.col("_key").alias(key)))
+    left = join_checked(docs.withColumn(key, row_key(id_col, text_col)), gone, [key], "left_anti")
+    single = join_checked(left, again, [key], "left_anti")
+    return single.unionByName(join_checked(left, again, [key], "left_semi").dropDuplicates([key])).drop(key)

@@ -19,7 +19,7 @@ from tablework.llm.common import field, map_arrow, row_key, stage, text_bytes
 SEQUENCE = 4096
 END_ID = 2
 #: Words and pieces of words whose ids a task remembers, the longest one that it remembers, and how many it encodes at once.
-CACHED = 400_000
+CACHED = 250_000
 CACHED_BYTES = 64
 ENCODED = 8192
 #: What stands for each byte in the vocabulary: itself if it can be seen, else the next character from 256 on.
@@ -80,11 +80,11 @@ class WordIds:
         return {w: found[a] + found[b] for w, (a, b) in zip(words, parts, strict=True)}
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text. Texts are gone through in portions of some megabytes."""
+        """The ids of each text. Texts are gone through in portions of about a megabyte."""
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) < 4_000_000):
+            while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
                 size, end = size + len(texts[end]), end + 1
             # special tokens are told by their case
             portion = [t.split() if b"<|" in t else t.translate(LOWER).split() for t in texts[at:end]]

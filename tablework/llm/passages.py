@@ -1,10 +1,10 @@
 """Substring dedup of passages: paragraph MinHash banding, exact Jaccard similarity, removals by components.
 
-Two kinds of passages are units: lines of at least MIN_WORDS words, and, as a passage may stand inside a longer paragraph, runs of words that
-stand elsewhere too. Windows of MIN_WORDS words whose hash is the least among REACH neighbouring windows are the anchors of such runs: a shared
-passage of MIN_WORDS + REACH - 1 words has one wherever it stands, and another within REACH - 1 places as long as it goes on. Where anchors that
-go leave words between them or at their ends, all windows up to there are compared in every text with such an anchor, and a run is what equal
-windows cover. Lines are linked by similarity, windows by equality. Of every component the first unit stays.
+Two kinds of passages are units: lines of at least MIN_WORDS words, and, as a passage may stand inside a longer paragraph or be wrapped into short
+lines, runs of words that stand elsewhere too. Windows of MIN_WORDS words whose hash is the least among REACH neighbouring windows are the anchors
+of such runs: a shared passage of MIN_WORDS + REACH - 1 words has one wherever it stands, and another within REACH - 1 places as long as it goes
+on. From the ends of a chain of shared anchors the words of both texts are aligned outwards: the run goes on over equal words, and over up to GAP
+changed, missing or added words if BRIDGE equal ones follow. Lines are linked by similarity, anchors by equality. Of every component the first unit stays.
 """
 
 from __future__ import annotations
@@ -16,18 +16,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tablework.llm.common import BROADCAST_ROWS, field, join_checked, map_arrow, per_row, row_key, stage, text_bytes
+from tablework.llm.common import BROADCAST_ROWS, field, free_names, join_checked, map_arrow, per_row, row_key, stage, text_bytes
 from tablework.llm.hashing import LOWER, Rolling, mix, word_bounds
 from tablework.llm.minhash import WORD_SEED, Circulant, band_keys, link_sets, set_id
 
 MIN_WORDS = 20
-REACH = 30
+REACH = 24
 SHINGLE = 5
 PERCENT = 80
 #: A pair of similarity 0.8 meets in none of the bands with probability 3e-4, one of 0.9 with 2e-6.
 ROWS, BANDS = 2, 8
+#: Words that are aligned beyond an anchor, words that may differ at one place, and equal words that must follow.
+OUTWARD, GAP, BRIDGE = 96, 3, 5
+EDITS = sorted(((a, b) for a in range(GAP + 1) for b in range(GAP + 1) if a or b), key=lambda e: (max(e), sum(e), e))
 #: Units that a task hands on at once.
 FLUSH = 20_000
 U64 = np.uint64
@@ -96,25 +99,34 @@ class Cutter:
         return list(zip(start[at].tolist(), end[at + MIN_WORDS - 1].tolist(), at.tolist(), one[at].view(np.int64).tolist(), mix(other).view(np.int64).tolist(), strict=True))
 
 
-def around(rolling: Rolling, text: bytes, anchors: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All windows less than REACH places before or after the anchors that ask for it, without the anchors: lo, hi, h1, h2.
-
-    An anchor is four times the number of its first word, plus 2 if windows before and 1 if windows after it are asked for."""
+def context(rolling: Rolling, text: bytes, places: list[tuple[int, int]]) -> Iterator[tuple[bytes, bytes]]:
+    """For each window (its first byte, and 0 for what stands before it or 1 for what follows) up to OUTWARD words from it on outwards: 32-bit hashes, and
+    the bytes at which they end (before: begin)."""
     data = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
     start, end = word_bounds(data)
-    words = rolling.ranges(rolling.sums(data), start, end)
-    one = grams(words, MIN_WORDS)
-    near = np.zeros(len(one) + 1, dtype=np.int64)
-    before, after = anchors[anchors & 2 > 0] >> 2, anchors[anchors & 1 > 0] >> 2
-    np.add.at(near, np.concatenate([np.maximum(before - REACH + 1, 0), after]), 1)
-    np.add.at(near, np.concatenate([before, np.minimum(after + REACH, len(one))]), -1)
-    asked = np.cumsum(near[:-1]) > 0
-    asked[anchors >> 2] = False
-    at = np.flatnonzero(asked)
-    other = np.full(len(at), U64(7), dtype=U64)
-    for k in range(MIN_WORDS):
-        other = other * U64(0xA24BAED4963EE407) + words[at + k]
-    return start[at], end[at + MIN_WORDS - 1], one[at].view(np.int64), mix(other).view(np.int64)
+    words = (rolling.ranges(rolling.sums(data), start, end) >> U64(32)).astype(np.uint32)
+    for lo, after in places:
+        at = int(np.searchsorted(start, lo))
+        if after:
+            part = slice(at + MIN_WORDS, at + MIN_WORDS + OUTWARD)
+            yield words[part].tobytes(), end[part].astype(np.int32).tobytes()
+        else:
+            part = slice(max(0, at - OUTWARD), at)
+            yield words[part][::-1].tobytes(), start[part][::-1].astype(np.int32).tobytes()
+
+
+def aligned(x: list[int], y: list[int]) -> tuple[int, int]:
+    """How many words of each go on alike from their starts: equal ones, and others between them if few and followed by BRIDGE equal ones."""
+    i = j = 0
+    while True:
+        while i < len(x) and j < len(y) and x[i] == y[j]:
+            i, j = i + 1, j + 1
+        for a, b in EDITS:
+            if len(x) >= i + a + BRIDGE and x[i + a : i + a + BRIDGE] == y[j + b : j + b + BRIDGE]:
+                i, j = i + a, j + b
+                break
+        else:
+            return i, j
 
 
 def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,40 +155,6 @@ def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(docs.select(row_key(id_col, text_col), text_bytes(text_col)), UNIT, rows)
 
 
-def near_windows(source: DataFrame, anchors: DataFrame) -> DataFrame:
-    """_id, key, lo, hi, h1 and h2 of the windows around anchors, wherever an anchor that is not the first of its kind leaves words near it uncovered.
-
-    ``source``: _id, key, text; ``anchors``: those with copies: _id, key, lo, hi, n, h1, h2, first."""
-    order = Window.partitionBy("key").orderBy("n")
-    going = anchors.where((F.col("key") != F.col("first.key")) | (F.col("lo") != F.col("first.lo"))).select("key", "n", "h1").distinct()
-    begins = F.coalesce(F.col("n") > F.lag("n").over(order) + MIN_WORDS, F.lit(True)).cast("int")
-    chain = Window.partitionBy("key", "chain")
-    placed = going.withColumn("begins", begins).withColumn("chain", F.sum("begins").over(order))
-    sides = placed.select("h1", (F.col("n") - F.min("n").over(chain) < REACH - 1).alias("before"), (F.max("n").over(chain) - F.col("n") < REACH - 1).alias("after"))
-    asked = stage(sides.where("before OR after").groupBy("h1").agg((F.max(F.col("before").cast("int")) * 2 + F.max(F.col("after").cast("int"))).alias("sides")))
-    marked = join_checked(anchors.select("key", "n", "h1"), asked, ["h1"], "left", rows=4 * BROADCAST_ROWS)  # a row is one number and two bits
-    lists = marked.groupBy("key").agg(F.collect_set(F.col("n") * 4 + F.coalesce("sides", F.lit(0))).alias("anchors"), F.max("sides").alias("sides"))
-    lists = stage(lists.where("sides IS NOT NULL").select("key", "anchors"))
-    total = lists.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    held = join_checked(source, lists, ["key"], counted=total).select("_id", "key", "text", "anchors")
-    schema = StructType([
-        field(held, "_id"), StructField("key", BinaryType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()),
-        StructField("h1", LongType()), StructField("h2", LongType()),
-    ])
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        rolling = Rolling(WORD_SEED)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                found = around(rolling, batch.column(2)[i].as_py(), batch.column(3)[i].values.to_numpy())
-                for k in range(0, len(found[0]), FLUSH):
-                    part = [x[k : k + FLUSH] for x in found]
-                    index = pa.array(np.full(len(part[0]), i))
-                    yield [batch.column(0).take(index), batch.column(1).take(index), *part]
-
-    return map_arrow(held, schema, rows)
-
-
 def with_first(units: DataFrame, *on: str) -> DataFrame:
     """The units that are alike in some columns, with the place of the first of them."""
     place = F.struct(F.col("_id").isNull().alias("no_id"), "_id", "key", "lo")
@@ -184,19 +162,69 @@ def with_first(units: DataFrame, *on: str) -> DataFrame:
     return join_checked(units, firsts, list(on))
 
 
-def shared_runs(windows: DataFrame) -> DataFrame:
-    """The runs that are covered by equal windows, of those that have their first copies in one document: columns as of linked_units."""
-    found = with_first(windows, "h1", "h2").select(
+def shared_runs(found: DataFrame) -> DataFrame:
+    """The runs that are covered by shared anchors, of those that have their first copies in one document: columns as of linked_units."""
+    marked = found.select(
         "key", "lo", "hi", ((F.col("key") == F.col("first.key")) & (F.col("lo") == F.col("first.lo"))).alias("kept"), F.col("first._id").alias("first_id"), F.col("first.key").alias("first_key")
     )
     order = Window.partitionBy("key", "kept", "first_key").orderBy("lo")
     begins = F.coalesce(F.col("lo") > F.lag("hi").over(order), F.lit(True)).cast("int")
-    runs = found.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).groupBy("key", "kept", "first_key", "run")
+    runs = marked.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).groupBy("key", "kept", "first_key", "run")
     return runs.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("first_id").alias("first_id")).select(
         "key", "lo", "hi", F.lit(True).alias("window"), "kept", (F.col("key") == F.col("first_key")).alias("own"), "first_id"
     )
 
 
+def extensions(source: DataFrame, found: DataFrame) -> DataFrame:
+    """How runs go on beyond their anchors: columns as of linked_units. In a text that repeats itself, what the first copy has there is kept.
+
+    ``source``: key, text; ``found``: shared anchors with their first copies. Only the ends of chains of anchors travel, with OUTWARD words each."""
+    own = F.col("key") == F.col("first.key")
+    going = found.where(~own | (F.col("lo") != F.col("first.lo"))).select("key", "lo", "n", F.col("first.key").alias("f_key"), F.col("first.lo").alias("f_lo"), F.col("first._id").alias("f_id"))
+    order = Window.partitionBy("key", "f_key").orderBy("n")
+    begins = F.coalesce(F.col("n") > F.lag("n").over(order) + MIN_WORDS, F.lit(True))
+    ends = F.coalesce(F.lead("n").over(order) > F.col("n") + MIN_WORDS, F.lit(True))
+    sides = F.filter(F.array(F.when(begins, 0), F.when(ends, 1)), lambda x: x.isNotNull())
+    asked = stage(going.withColumn("sides", sides).where(F.size("sides") > 0).select("key", "lo", "f_key", "f_lo", "f_id", F.explode("sides").alias("side")))
+    firsts = asked.select(F.col("f_key").alias("key"), F.col("f_lo").alias("lo"), "side").distinct()
+    same = F.struct("lo", "side", "f_key", "f_lo", "f_id")
+    none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("f_key", "f_lo", "f_id")]
+    lists = stage(asked.select("key", same.alias("e")).unionByName(firsts.select("key", F.struct("lo", "side", *none).alias("e"))).groupBy("key").agg(F.collect_set("e").alias("asked")))
+    held = join_checked(source, lists, ["key"], counted=8 * asked.count()).select("key", "text", "asked").dropDuplicates(["key"])
+    entry = lists.schema["asked"].dataType.elementType
+    schema = StructType([StructField("key", BinaryType()), *entry.fields, StructField("words", BinaryType()), StructField("edges", BinaryType())])
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        rolling = Rolling(WORD_SEED)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                entries = batch.column(2)[i].values
+                columns = entries.flatten()
+                places = list(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True))
+                made = list(context(rolling, batch.column(1)[i].as_py(), places))
+                yield [pa.array([batch.column(0)[i].as_py()] * len(places), type=pa.binary()), *columns, [w for w, _ in made], [e for _, e in made]]
+
+    cut_out = stage(map_arrow(held, schema, contexts))
+    first = cut_out.where("f_key IS NULL").select(F.col("key").alias("f_key"), F.col("lo").alias("f_lo"), "side", F.col("words").alias("f_words"), F.col("edges").alias("f_edges"))
+    both = join_checked(cut_out.where("f_key IS NOT NULL"), first, ["f_key", "f_lo", "side"], rows=BROADCAST_ROWS // 100)  # a row holds OUTWARD words
+    out = StructType([StructField("key", BinaryType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()), StructField("kept", BooleanType()), StructField("own", BooleanType()), field(asked, "f_id", "first_id")])
+
+    def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for batch in batches:
+            made: list[list] = [[] for _ in range(6)]
+            for key, lo, side, f_key, f_lo, f_id, words, edges, f_words, f_edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                i, j = aligned(np.frombuffer(f_words, dtype=np.uint32).tolist(), np.frombuffer(words, dtype=np.uint32).tolist())
+                for n, at, ends, kept in ((j, lo, edges, False), (i if key == f_key else 0, f_lo, f_edges, True)):
+                    if n:
+                        far = int(np.frombuffer(ends, dtype=np.int32)[n - 1])
+                        for c, x in zip(made, (key, *((at, far) if side else (far, at)), kept, key == f_key, f_id), strict=True):
+                            c.append(x)
+            yield made
+
+    found_more = map_arrow(both.select("key", "lo", "side", "f_key", "f_lo", "f_id", "words", "edges", "f_words", "f_edges"), out, longer)
+    return found_more.select("key", "lo", "hi", F.lit(True).alias("window"), "kept", "own", "first_id")
+
+
 def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, lo, hi, window (a run of windows, else a line), kept (the first of its component), own (the first is in the same row) and first_id
     (the id of the document that has that one) of every unit that has a copy."""
@@ -220,9 +248,8 @@ def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     often = stage(windows.groupBy("h1").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h1"))
     ids = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key")).distinct()
     repeated = stage(join_checked(windows, often, ["h1"], rows=4 * BROADCAST_ROWS).join(ids, "key"))  # a row is one number
-    columns = ["_id", "key", "lo", "hi", "h1", "h2"]
-    near = near_windows(source, with_first(repeated, "h1", "h2"))
-    runs = shared_runs(stage(repeated.select(*columns).unionByName(near.select(*columns))))
+    found = stage(with_first(repeated, "h1", "h2"))
+    runs = shared_runs(found).unionByName(extensions(source.select("key", "text"), found))
 
     own = F.col("key") == F.col("first.key")
     lines = with_first(stage(similar.join(ids, "key")), "root").select("key", "lo", "hi", F.lit(False).alias("window"), (own & (F.col("lo") == F.col("first.lo"))).alias("kept"), own.alias("own"), F.col("first._id").alias("first_id"))
@@ -276,22 +303,29 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """The documents with their columns, texts (and their sizes in characters) without repeated passages; those left without a word go."""
+    """The documents with their columns, texts (and their sizes in characters) without repeated passages; those left without a word go.
+
+    A text without repeated passages stays as it is, a null one too; rows that repeat are judged alike; an empty table gives no rows; other columns
+    pass through, whatever their names."""
     units = stage(linked_units(docs, id_col, text_col))
-    lists = stage(units.where("NOT kept OR window").groupBy("key").agg(F.collect_set(F.struct("lo", "hi", "window", "kept", "own")).alias("_units")).withColumnRenamed("key", "_key"))
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
-    hit = join_checked(keyed, lists, ["_key"], "left", counted=units.count())
+    listed = F.collect_set(F.struct("lo", "hi", "window", "kept", "own"))
+    key, spans, new, gone = free_names(docs, 4)
+    lists = stage(units.where("NOT kept OR window").groupBy("key").agg(listed.alias(spans)).withColumnRenamed("key", key))
+    hit = join_checked(docs.withColumn(key, row_key(id_col, text_col)), lists, [key], "left", counted=units.count())
     place = docs.columns.index(text_col)
     others = [c for c in docs.columns if c != text_col]
-    ready = hit.select(*others, text_bytes(text_col).alias("_text"), "_units")
-    schema = StructType([*(docs.schema[c] for c in others), StructField("_new", StringType()), StructField("_gone", LongType())])
+    ready = hit.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text_col}`").cast("string"), spans)
+    schema = StructType([*(docs.schema[c] for c in others), StructField(new, StringType()), StructField(gone, LongType())])
 
-    def one(text: bytes, units: list[dict] | None) -> tuple:
-        kept, gone = cut(text, units)
-        return kept.decode("utf-8", "replace"), gone
+    def one(text: str | None, units: list[dict] | None) -> tuple:
+        if not units or text is None:
+            return text, 0
+        kept, lost = cut(text.encode("utf-8", "surrogatepass"), units)
+        return kept.decode("utf-8", "replace"), lost
 
     made = per_row(ready, schema, len(others), lambda: one)
-    left = made.where((F.col("_gone") == 0) | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
+    left = made.where((F.col(gone) == 0) | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
     if size_col in others:
-        left = left.withColumn(size_col, F.when(F.col("_gone") > 0, F.length("_new").cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
-    return left.select(*others[:place], F.col("_new").alias(text_col), *others[place:])
+        left = left.withColumn(size_col, F.when(F.col(gone) > 0, F.length(new).cast(docs.schema[size_col].dataType)).otherwise(F.col(f"`{size_col}`")))
+    named = [F.col(f"`{c}`") for c in others]
+    return left.select(*named[:place], F.col(new).alias(text_col), *named[place:])

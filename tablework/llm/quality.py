@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from tablework.llm.common import field, join_checked, per_row, stage, text_bytes
+from tablework.llm.common import field, free_names, join_checked, per_row, stage, text_bytes
 from tablework.llm.hashing import mix
 
 WHITE = b" \t\n\r\x0b\x0c"
@@ -110,15 +110,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with all their columns."""
-    schema = StructType([*docs.schema.fields, StructField("_failed", BooleanType())])
+    """The documents that ``quality_rules`` keeps, with all their columns.
+
+    Null and empty texts fail; a null host has no verdict; repeated rows are judged alike and count as often as they stand; an empty table gives
+    no rows; other columns pass through, whatever their names."""
+    failing, host = free_names(docs, 2)
+    schema = StructType([*docs.schema.fields, StructField(failing, BooleanType())])
 
     def failed(text: bytes) -> tuple[bool]:
         words = text.split()
         return (len(words) < MIN_WORDS or 100 * repeated_words(words) > MAX_REPEAT * len(words),)
 
-    flagged = per_row(docs.select(*docs.columns, text_bytes(text_col)), schema, len(docs.columns), lambda: failed)
-    hosts = flagged.select(F.col(host_col).alias("_host"), "_failed")
-    rejected = stage(host_verdicts(hosts, "_host", F.col("_failed")).where("rejected").select("_host"))
-    good = flagged.where(~F.col("_failed")).drop("_failed")
-    return join_checked(good, rejected, good[host_col] == rejected["_host"], "left_anti")
+    flagged = per_row(docs.select(*(F.col(f"`{c}`") for c in docs.columns), text_bytes(f"`{text_col}`")), schema, len(docs.columns), lambda: failed)
+    hosts = flagged.select(F.col(f"`{host_col}`").alias("_host"), F.col(failing).alias("_failed"))
+    rejected = stage(host_verdicts(hosts, "_host", F.col("_failed")).where("rejected").select(F.col("_host").alias(host)))
+    good = flagged.where(~F.col(failing)).drop(failing)
+    return join_checked(good, rejected, good[host_col] == rejected[host], "left_anti")

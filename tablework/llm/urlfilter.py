@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import stage
+from tablework.llm.common import free_names, stage
 
 #: Bits for each key, hash functions, and the largest filter: longer lists are worked off in blocks by hash of the key.
 BITS = 16
@@ -111,17 +111,18 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> Data
     parsed = pages.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
     keys = url_keys(F.col("host"), F.col("path"), size["labels"] or 1, size["segments"] or 1)
     universe = stage(parsed.select("host", "path").select(F.explode(keys).alias("key")).distinct())
-    places = [F.get("_keys", F.lit(i)) for i in range((size["labels"] or 1) * (size["segments"] or 1))]
+    listed, fit, new = free_names(parsed, 3)
+    places = [F.get(listed, F.lit(i)) for i in range((size["labels"] or 1) * (size["segments"] or 1))]
     blocks = max(1, -(-rules.count() * BITS // MAX_BITS))
-    judged = parsed.withColumn("_keys", keys).withColumn("_fits", F.lit(None).cast("struct<n: int, rule: string, verdict: string>"))
+    judged = parsed.withColumn(listed, keys).withColumn(fit, F.lit(None).cast("struct<n: int, rule: string, verdict: string>"))
     for b in range(blocks):
         mine = lambda k, b=b: F.pmod(F.xxhash64(k), F.lit(blocks)) == b
         part = universe.where(mine(F.col("key")))
         cascades = [(a, Cascade(rules.where((F.col("action") == a) & mine(F.col("key"))).select("key"), part)) for a in ("block", "allow")]
         fits = [F.when(mine(k) & cascade.has(k), F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit(a).alias("verdict"))) for k in places for a, cascade in cascades]
-        found = judged.withColumn("_new", F.coalesce(*fits))
-        longer = F.col("_fits").isNull() | (F.col("_new.n") > F.col("_fits.n"))
-        judged = found.withColumn("_fits", F.when(F.col("_new").isNotNull() & longer, F.col("_new")).otherwise(F.col("_fits"))).drop("_new")
+        found = judged.withColumn(new, F.coalesce(*fits))
+        longer = F.col(fit).isNull() | (F.col(new)["n"] > F.col(fit)["n"])
+        judged = found.withColumn(fit, F.when(F.col(new).isNotNull() & longer, F.col(new)).otherwise(F.col(fit))).drop(new)
         if blocks > 1:
             judged = stage(judged)
-    return judged.withColumn("rule", F.col("_fits.rule")).withColumn("verdict", F.coalesce("_fits.verdict", F.lit("allow"))).drop("_keys", "_fits")
+    return judged.withColumn("rule", F.col(fit)["rule"]).withColumn("verdict", F.coalesce(F.col(fit)["verdict"], F.lit("allow"))).drop(listed, fit)

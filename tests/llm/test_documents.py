@@ -378,6 +378,69 @@ def test_whole_passages_go(spark):
     assert len(bytes(got[3]["kept_text"]).split()) == len(texts[3].split()) - 55
 
 
+def planted(rng, kind):
+    """(what the first document says, what the copy says): a passage, changed or wrapped in the copy."""
+    words = prose(rng, {"one change": 80, "two changes": 100, "wrapped": 80, "as it is": 52, "a word less": 70}[kind], 10**6).split()
+    copy = list(words)
+    for k in {"one change": [40], "two changes": [30, 65], "wrapped": [37]}.get(kind, []):
+        copy[k] = prose(rng, 1, 10**6)
+    if kind == "a word less":
+        del copy[35]
+    joined = " ".join(copy)
+    if kind == "wrapped":
+        joined = "\n".join(" ".join(copy[i : i + 11]) for i in range(0, len(copy), 11))
+    return " ".join(words), joined
+
+
+@pytest.mark.parametrize("kind", ["one change", "two changes", "wrapped", "as it is", "a word less"])
+def test_near_copies_inside_of_lines_go(spark, kind):
+    """At least nine of ten near copies inside longer lines are found and go nearly whole; nothing around them goes, and no first copy."""
+    rng = random.Random(len(kind))
+    pairs = [planted(rng, kind) for _ in range(40)]
+    around = [(prose(rng, 40, 10**6), prose(rng, 40, 10**6)) for _ in pairs]
+    texts = [prose(rng, 30, 10**6) + " " + p + " " + prose(rng, 30, 10**6) for p, _ in pairs] + [f"{a} {c} {b}" for (_, c), (a, b) in zip(pairs, around, strict=True)]
+    got = {r["doc_id"]: bytes(r["kept_text"]).decode() for r in passages.dedup_passages(frame(spark, texts)).collect()}
+    assert all(got[d] == texts[d] for d in range(40))
+    left = []
+    for d, ((_, copy), (a, b)) in enumerate(zip(pairs, around, strict=True), 40):
+        kept = got[d].split()
+        assert kept[:40] == a.split() and kept[-40:] == b.split()
+        left.append((len(kept) - 80) / len(copy.split()))
+    assert sum(x < 1 for x in left) >= 36 and sum(x <= 0.1 for x in left) >= 36, left
+
+
+def test_text_that_repeats_itself_keeps_its_first_copy(spark):
+    rng = random.Random(6)
+    part = prose(rng, 90, 10**6)
+    texts = [f"{part} {prose(rng, 30, 10**6)} {part}", "word " * 400, f"{part} {part} {part}"]
+    got = {r["doc_id"]: bytes(r["kept_text"]).decode() for r in passages.dedup_passages(frame(spark, texts)).collect()}
+    assert part in " ".join(got[0].split()) and len(got[0].split()) <= 125
+    assert 0 < len(got[1].split()) < 400
+
+
+NAMES = ["_failed", "_text", "_units", "_new", "_gone", "_key", "_clean", "_keys", "_fits", "_x0", "_X1", "_id", "id", "key", "n", "root", "first_id", "count", "lo", "_chosen"]
+
+
+@pytest.mark.parametrize("apply", [quality.keep_good, neardup.keep_one, passages.drop_passages, "clean"])
+def test_column_names_of_any_kind_pass_through(spark, apply):
+    """Columns named as anything that the stages use inside; a row twice, null texts and null ids."""
+    rng = random.Random(1)
+    passage, item = prose(rng, 60, 10**6), prose(rng, 12, 10**6)
+    texts = [prose(rng, 50, 10**6) for _ in range(5)]
+    texts += [texts[0], texts[1] + " " + passage, passage + " " + texts[2], texts[3] + " " + item, "short", None, None, ""]
+    rows = [(i if i != 4 else None, t, "h", len(t or ""), *(f"{n}{i}" for n in NAMES)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in NAMES))
+    if apply == "clean":
+        out = decontamination.drop_contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    else:
+        out = apply(df)
+    assert out.columns == df.columns
+    given = {r["_key"]: r for r in df.collect()}
+    left = out.collect()
+    assert 3 <= len(left) < len(rows) + 1 or apply is passages.drop_passages and len(left) <= len(rows) + 1
+    assert all(r[n] == given[r["_key"]][n] for r in left for n in ["doc_id", *NAMES])
+
+
 # -- toxicity
 
 
