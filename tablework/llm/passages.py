@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 from tablework.llm.common import BROADCAST_ROWS, field, free_names, join_checked, map_arrow, per_row, row_key, stage, text_bytes
@@ -29,7 +30,7 @@ PERCENT = 80
 #: A pair of similarity 0.8 meets in none of the bands with probability 3e-4, one of 0.9 with 2e-6.
 ROWS, BANDS = 2, 8
 #: Words that are aligned beyond an anchor, words that may differ at one place, and equal words that must follow.
-OUTWARD, GAP, BRIDGE = 96, 3, 5
+OUTWARD, GAP, BRIDGE = 80, 3, 5
 EDITS = sorted(((a, b) for a in range(GAP + 1) for b in range(GAP + 1) if a or b), key=lambda e: (max(e), sum(e), e))
 #: Units that a task hands on at once.
 FLUSH = 20_000
@@ -57,12 +58,12 @@ class Cutter:
     def __init__(self) -> None:
         self.rolling, self.circulant = Rolling(WORD_SEED), Circulant(ROWS * BANDS)
 
-    def units(self, text: bytes) -> tuple[list[tuple], list[tuple]]:
+    def units(self, text: bytes) -> tuple[list[tuple], list[np.ndarray]]:
         """Lines (lo, hi, n, id, bands) and anchors (lo, hi, number of the first word, h1, h2); lo and hi are bytes."""
         data = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
         start, end = word_bounds(data)
         if len(start) < MIN_WORDS:
-            return [], []
+            return [], [np.empty(0, dtype=np.int64)] * 5
         words = self.rolling.ranges(self.rolling.sums(data), start, end)
         return self._lines(data, start, end, words), self._anchors(start, end, words)
 
@@ -89,30 +90,32 @@ class Cutter:
             out.append((int(start[f]), int(end[f + s - 1]), len(found), set_id(found), bands[i]))
         return out
 
-    def _anchors(self, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> list[tuple]:
+    def _anchors(self, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
         one = grams(words, MIN_WORDS)
         view = np.lib.stride_tricks.sliding_window_view(one, min(REACH, len(one)))
         at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
         other = np.full(len(at), U64(7), dtype=U64)
         for k in range(MIN_WORDS):
             other = other * U64(0xA24BAED4963EE407) + words[at + k]
-        return list(zip(start[at].tolist(), end[at + MIN_WORDS - 1].tolist(), at.tolist(), one[at].view(np.int64).tolist(), mix(other).view(np.int64).tolist(), strict=True))
+        return [start[at], end[at + MIN_WORDS - 1], at, one[at].view(np.int64), mix(other).view(np.int64)]
 
 
-def context(rolling: Rolling, text: bytes, places: list[tuple[int, int]]) -> Iterator[tuple[bytes, bytes]]:
-    """For each window (its first byte, and 0 for what stands before it or 1 for what follows) up to OUTWARD words from it on outwards: 32-bit hashes, and
-    the bytes at which they end (before: begin)."""
+def context(rolling: Rolling, text: bytes, places: list[tuple[int, int]]) -> Iterator[bytes]:
+    """For each window (its first byte, and 0 for what stands before it or 1 for what follows) 32-bit hashes of up to OUTWARD words from it on outwards."""
     data = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
     start, end = word_bounds(data)
     words = (rolling.ranges(rolling.sums(data), start, end) >> U64(32)).astype(np.uint32)
-    for lo, after in places:
-        at = int(np.searchsorted(start, lo))
-        if after:
-            part = slice(at + MIN_WORDS, at + MIN_WORDS + OUTWARD)
-            yield words[part].tobytes(), end[part].astype(np.int32).tobytes()
-        else:
-            part = slice(max(0, at - OUTWARD), at)
-            yield words[part][::-1].tobytes(), start[part][::-1].astype(np.int32).tobytes()
+    for at, (_, after) in zip(np.searchsorted(start, [lo for lo, _ in places]).tolist(), places, strict=True):
+        yield (words[at + MIN_WORDS : at + MIN_WORDS + OUTWARD] if after else words[max(0, at - OUTWARD) : at][::-1]).tobytes()
+
+
+def stretched(text: bytes, units: list[dict]) -> None:
+    """Puts the bytes of extensions in the place of their anchor (lo), side and number of words (hi)."""
+    start, end = word_bounds(np.frombuffer(text, dtype=np.uint8))
+    for u in units:
+        if u["side"] is not None:
+            at = int(np.searchsorted(start, u["lo"]))
+            u["lo"], u["hi"] = (u["lo"], int(end[at + MIN_WORDS + u["hi"] - 1])) if u["side"] else (int(start[at - u["hi"]]), u["lo"])
 
 
 def aligned(x: list[int], y: list[int]) -> tuple[int, int]:
@@ -132,25 +135,40 @@ def aligned(x: list[int], y: list[int]) -> tuple[int, int]:
 def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines and anchors: key (of the row), lo, hi, n (of an anchor the number of its first word), for lines id and bands, for anchors h1 and h2."""
 
+    arrow = to_arrow_schema(UNIT)
+
+    def anchors_of(keys: pa.Array, index: list[int], parts: list[list[np.ndarray]]) -> list:
+        lo, hi, n, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
+        where = np.repeat(index, [len(p[0]) for p in parts])
+        none = [pa.nulls(len(lo), arrow.field(c).type) for c in ("id", "bands")]
+        return [keys.take(pa.array(where)), lo.astype(np.int32), hi.astype(np.int32), n, *none, h1, h2]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         cutter = Cutter()
         for batch in batches:
+            keys, held = batch.column(0), 0
             index: list[int] = []
-            out: list[list] = [[] for _ in range(7)]
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                lines, anchors = cutter.units(text)
-                index += [i] * (len(lines) + len(anchors))
+            found: list[list[np.ndarray]] = []
+            at: list[int] = []
+            out: list[list] = [[] for _ in range(5)]
+            for i in range(batch.num_rows):
+                lines, anchors = cutter.units(batch.column(1)[i].as_py())
+                if len(anchors[0]):
+                    index.append(i)
+                    found.append(anchors)
+                    held += len(anchors[0])
                 for x in lines:
-                    for c, v in zip(out, (*x, None, None), strict=True):
+                    at.append(i)
+                    for c, v in zip(out, x, strict=True):
                         c.append(v)
-                for lo, hi, n, h1, h2 in anchors:
-                    for c, v in zip(out, (lo, hi, n, None, None, h1, h2), strict=True):
-                        c.append(v)
-                if len(index) > FLUSH:
-                    yield [batch.column(0).take(pa.array(index)), *out]
-                    index, out = [], [[] for _ in range(7)]
-            if index:
-                yield [batch.column(0).take(pa.array(index)), *out]
+                if held > FLUSH:
+                    yield anchors_of(keys, index, found)
+                    index, found, held = [], [], 0
+            if found:
+                yield anchors_of(keys, index, found)
+            if at:
+                none = pa.nulls(len(at), pa.int64())
+                yield [keys.take(pa.array(at)), *out, none, none]
 
     return map_arrow(docs.select(row_key(id_col, text_col), text_bytes(text_col)), UNIT, rows)
 
@@ -171,7 +189,7 @@ def shared_runs(found: DataFrame) -> DataFrame:
     begins = F.coalesce(F.col("lo") > F.lag("hi").over(order), F.lit(True)).cast("int")
     runs = marked.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order)).groupBy("key", "kept", "first_key", "run")
     return runs.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("first_id").alias("first_id")).select(
-        "key", "lo", "hi", F.lit(True).alias("window"), "kept", (F.col("key") == F.col("first_key")).alias("own"), "first_id"
+        "key", "lo", "hi", F.lit(None).cast("int").alias("side"), F.lit(True).alias("window"), "kept", (F.col("key") == F.col("first_key")).alias("own"), "first_id"
     )
 
 
@@ -192,7 +210,7 @@ def extensions(source: DataFrame, found: DataFrame) -> DataFrame:
     lists = stage(asked.select("key", same.alias("e")).unionByName(firsts.select("key", F.struct("lo", "side", *none).alias("e"))).groupBy("key").agg(F.collect_set("e").alias("asked")))
     held = join_checked(source, lists, ["key"], counted=8 * asked.count()).select("key", "text", "asked").dropDuplicates(["key"])
     entry = lists.schema["asked"].dataType.elementType
-    schema = StructType([StructField("key", BinaryType()), *entry.fields, StructField("words", BinaryType()), StructField("edges", BinaryType())])
+    schema = StructType([StructField("key", BinaryType()), *entry.fields, StructField("words", BinaryType())])
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         rolling = Rolling(WORD_SEED)
@@ -201,32 +219,33 @@ def extensions(source: DataFrame, found: DataFrame) -> DataFrame:
                 entries = batch.column(2)[i].values
                 columns = entries.flatten()
                 places = list(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True))
-                made = list(context(rolling, batch.column(1)[i].as_py(), places))
-                yield [pa.array([batch.column(0)[i].as_py()] * len(places), type=pa.binary()), *columns, [w for w, _ in made], [e for _, e in made]]
+                yield [pa.array([batch.column(0)[i].as_py()] * len(places), type=pa.binary()), *columns, list(context(rolling, batch.column(1)[i].as_py(), places))]
 
     cut_out = stage(map_arrow(held, schema, contexts))
-    first = cut_out.where("f_key IS NULL").select(F.col("key").alias("f_key"), F.col("lo").alias("f_lo"), "side", F.col("words").alias("f_words"), F.col("edges").alias("f_edges"))
+    first = cut_out.where("f_key IS NULL").select(F.col("key").alias("f_key"), F.col("lo").alias("f_lo"), "side", F.col("words").alias("f_words"))
     both = join_checked(cut_out.where("f_key IS NOT NULL"), first, ["f_key", "f_lo", "side"], rows=BROADCAST_ROWS // 100)  # a row holds OUTWARD words
-    out = StructType([StructField("key", BinaryType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()), StructField("kept", BooleanType()), StructField("own", BooleanType()), field(asked, "f_id", "first_id")])
+    out = StructType([
+        StructField("key", BinaryType()), StructField("lo", IntegerType()), StructField("hi", IntegerType()), StructField("side", IntegerType()),
+        StructField("kept", BooleanType()), StructField("own", BooleanType()), field(asked, "f_id", "first_id"),
+    ])
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         for batch in batches:
-            made: list[list] = [[] for _ in range(6)]
-            for key, lo, side, f_key, f_lo, f_id, words, edges, f_words, f_edges in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            made: list[list] = [[] for _ in range(7)]
+            for key, lo, side, f_key, f_lo, f_id, words, f_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 i, j = aligned(np.frombuffer(f_words, dtype=np.uint32).tolist(), np.frombuffer(words, dtype=np.uint32).tolist())
-                for n, at, ends, kept in ((j, lo, edges, False), (i if key == f_key else 0, f_lo, f_edges, True)):
+                for n, at, kept in ((j, lo, False), (i if key == f_key else 0, f_lo, True)):
                     if n:
-                        far = int(np.frombuffer(ends, dtype=np.int32)[n - 1])
-                        for c, x in zip(made, (key, *((at, far) if side else (far, at)), kept, key == f_key, f_id), strict=True):
+                        for c, x in zip(made, (key, at, n, side, kept, key == f_key, f_id), strict=True):
                             c.append(x)
             yield made
 
-    found_more = map_arrow(both.select("key", "lo", "side", "f_key", "f_lo", "f_id", "words", "edges", "f_words", "f_edges"), out, longer)
-    return found_more.select("key", "lo", "hi", F.lit(True).alias("window"), "kept", "own", "first_id")
+    found_more = map_arrow(both.select("key", "lo", "side", "f_key", "f_lo", "f_id", "words", "f_words"), out, longer)
+    return found_more.select("key", "lo", "hi", "side", F.lit(True).alias("window"), "kept", "own", "first_id")
 
 
 def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """key, lo, hi, window (a run of windows, else a line), kept (the first of its component), own (the first is in the same row) and first_id
+    """key, lo, hi, side (null, or where an extension lies of the anchor at lo; hi is its number of words then), window (a run of anchors, else a line), kept (the first of its component), own (the first is in the same row) and first_id
     (the id of the document that has that one) of every unit that has a copy."""
     units = stage(unit_tables(docs, id_col, text_col))
     lines, windows = units.where("id IS NOT NULL"), units.where("h1 IS NOT NULL").select("key", "lo", "hi", "n", "h1", "h2")
@@ -252,7 +271,7 @@ def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     runs = shared_runs(found).unionByName(extensions(source.select("key", "text"), found))
 
     own = F.col("key") == F.col("first.key")
-    lines = with_first(stage(similar.join(ids, "key")), "root").select("key", "lo", "hi", F.lit(False).alias("window"), (own & (F.col("lo") == F.col("first.lo"))).alias("kept"), own.alias("own"), F.col("first._id").alias("first_id"))
+    lines = with_first(stage(similar.join(ids, "key")), "root").select("key", "lo", "hi", F.lit(None).cast("int").alias("side"), F.lit(False).alias("window"), (own & (F.col("lo") == F.col("first.lo"))).alias("kept"), own.alias("own"), F.col("first._id").alias("first_id"))
     return lines.unionByName(runs)
 
 
@@ -261,6 +280,7 @@ def cut(text: bytes, units: list[dict] | None) -> tuple[bytes, int]:
     (they may overlap), not from those that an earlier document has."""
     if not units:
         return text, 0
+    stretched(text, units)
     gone = np.zeros(len(text), dtype=bool)
     for u in units:
         if u["window"] and u["own"] and not u["kept"]:
@@ -283,7 +303,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other columns are ignored.
     """
     units = stage(linked_units(docs, id_col, text_col))
-    listed = F.collect_set(F.struct("lo", "hi", "window", "kept", "own"))
+    listed = F.collect_set(F.struct("lo", "hi", "side", "window", "kept", "own"))
     sources = F.collect_set(F.when(~F.col("kept"), F.col("first_id")))
     lists = stage(units.groupBy("key").agg(listed.alias("units"), F.array_sort(sources).alias("first_ids")))
     source = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("_text"))
@@ -308,7 +328,7 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A text without repeated passages stays as it is, a null one too; rows that repeat are judged alike; an empty table gives no rows; other columns
     pass through, whatever their names."""
     units = stage(linked_units(docs, id_col, text_col))
-    listed = F.collect_set(F.struct("lo", "hi", "window", "kept", "own"))
+    listed = F.collect_set(F.struct("lo", "hi", "side", "window", "kept", "own"))
     key, spans, new, gone = free_names(docs, 4)
     lists = stage(units.where("NOT kept OR window").groupBy("key").agg(listed.alias(spans)).withColumnRenamed("key", key))
     hit = join_checked(docs.withColumn(key, row_key(id_col, text_col)), lists, [key], "left", counted=units.count())
