@@ -4,14 +4,19 @@
 decides.  Keys with at most one row per side (the bulk) are paired natively.  The others are cut
 into parts whose values are too far apart to match (gaps wider than t in any compare column); parts
 of identical rows are paired by rank, and only parts that mix different values run the ordered walk.
-That walk sees row numbers and compare values, never the rows themselves.
+That walk sees row numbers and compare values, never the rows themselves, and no more than
+``spark.tablework.walkRows`` rows of each side at a time: a part is cut into blocks of rows in order, and
+left block i meets right block j once both (i - 1, j) and (i, j - 1) are done.  What is still open
+after one meeting is handed to the next; meetings with the same i + j run together.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,17 +57,21 @@ def _many(df, group, key, order, rank, compare, tolerance, pair):
     df = checkpointed(df)
     kinds = (
         df.groupBy(*part)
-        .agg(F.min("__side").alias("a"), F.max("__side").alias("b"), F.min("__sig").alias("s"), F.max("__sig").alias("t"))
+        .agg(
+            F.min("__side").alias("a"), F.max("__side").alias("b"), F.min("__sig").alias("s"), F.max("__sig").alias("t"),
+            F.greatest(F.count_if(F.col("__side") == 0), F.count_if(F.col("__side") == 1)).alias("__size"),
+        )
         .withColumn("__kind", F.when(F.col("a") == F.col("b"), "alone").when(F.col("s") == F.col("t"), "same").otherwise("mixed"))
         .drop("a", "b", "s", "t")
     )
+    most = kinds.filter("__kind = 'mixed'").agg(F.max("__size")).first()[0] or 0
     df = scale.join_unique(df, kinds, part, "inner")
     alone = df.filter("__kind = 'alone'").select(*columns)
     same = pair(df.filter("__kind = 'same'").select(*columns, *parts), part, order, rank, "matched", key).select(*columns)
     mixed = rank(df.filter("__kind = 'mixed'").drop("__kind"), [*part, "__side"], order, "__pos")
-    ids = _walk(mixed.select(*part, "__side", "__pos", "__sig"), part, tolerance)
-    # The right row of pair p and the left row of pair p get the same pair number.
-    numbered = mixed.join(ids, [*part, "__side", "__pos"], "left")
+    ids = _walk(mixed.select(*part, "__size", "__side", "__pos", "__sig"), part, tolerance, most)
+    # The right row of a pair and the left row of it carry the left row's position.
+    numbered = mixed.drop("__size").join(ids, [*part, "__side", "__pos"], "left")
     w = Window.partitionBy(*part, "__pair").orderBy("__side")
     paired = F.col("__pair").isNotNull()
     # Unpaired rows keep to their own position so that they do not gather in one window.
@@ -95,16 +104,34 @@ def _cut(df: DataFrame, group, cell: Column, tolerance: float, i: int) -> tuple[
     return df.withColumn(name, label).drop("__first", num, txt), name
 
 
-def _walk(rows: DataFrame, part, tolerance: float) -> DataFrame:
+def _walk(rows: DataFrame, part, tolerance: float, most: int) -> DataFrame:
+    """Pairs of all parts as ``(part, side, position, pair)``; no part has more than ``most`` rows on one side.
+
+    An early left row takes a right row of an early block before one of a later block, and only left rows before it may
+    take that one from it, so block by block gives the pairs of the walk over the whole part."""
     fields = ", ".join(f"`{p}` string" for p in part) + ", `__side` int, `__pos` long, `__pair` long"
+    size = int(scale.setting(rows, "walkRows"))
 
     def walk(key: tuple, found: list[tuple]) -> list[tuple]:
         out = []
-        for n, (a, b) in enumerate(greedy_tolerance(found, tolerance)):
-            out += [(*key, 0, a, n), (*key, 1, b, n)]
+        for a, b in greedy_tolerance(found, tolerance):
+            out += [(*key[:-1], 0, a, a), (*key[:-1], 1, b, a)]
         return out
 
-    return scale.walk_groups(rows, part, ["__pos"], walk, fields)
+    spot = [*part, "__side", "__pos"]
+    rows = rows.withColumns({"__block": F.floor((F.col("__pos") - 1) / size), "__blocks": F.ceil(F.col("__size") / size)}).drop("__size")
+    found, meetings = [], 2 * max(1, math.ceil(most / size)) - 1
+    for n in range(meetings):
+        facing = n - F.col("__block")
+        meeting = F.when(F.col("__side") == 0, F.col("__block")).otherwise(facing).alias("__meeting")
+        now = rows.filter((facing >= 0) & (facing < F.col("__blocks"))).select(*part, meeting, "__side", "__pos", "__sig")
+        pairs = scale.walk_groups(now, [*part, "__meeting"], ["__pos"], walk, fields)
+        if meetings > 1:
+            pairs = checkpointed(pairs)
+            # Done are pairs, and blocks that have met all others.
+            rows = checkpointed(rows.filter(facing + 1 < F.col("__blocks")).join(pairs.select(*spot), spot, "left_anti"))
+        found.append(pairs)
+    return reduce(DataFrame.unionByName, found)
 
 
 def _number(text: str) -> float | None:

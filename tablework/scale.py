@@ -36,6 +36,7 @@ _DEFAULTS = {
     "spark.tablework.splitBytes": str(1 << 30),
     "spark.tablework.broadcastBytes": str(64 << 20),
     "spark.tablework.hotMinRows": "4000000",
+    "spark.tablework.walkRows": "500000",
 }
 
 
