@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -18,7 +18,7 @@ _TYPES = {"string": str, "number": (int, float), "integer": int, "boolean": bool
 class UserFunction:
     name: str
     fn: Callable
-    schema: str
+    schema: str | None
     kind: str
     parameters: dict[str, str] = field(default_factory=dict)
     required: tuple[str, ...] = ()
@@ -31,16 +31,19 @@ class FunctionRegistry:
         self.spark = spark
         self._known: dict[str, UserFunction] = {}
 
-    def register(self, name: str, fn: Callable, schema: str, kind: str = "scalar", parameters: dict[str, str] | None = None, required: tuple[str, ...] = ()) -> UserFunction:
+    def register(self, name: str, fn: Callable, schema: str | None, kind: str = "scalar", parameters: dict[str, str] | None = None, required: tuple[str, ...] = ()) -> UserFunction:
+        """``fn`` of kind table is a class with ``eval``; without a schema its ``analyze`` tells the columns from the arguments of a call."""
         if kind not in KINDS:
             raise ValueError(f"kind must be one of {', '.join(KINDS)}")
+        if schema is None and not (kind == "table" and hasattr(fn, "analyze")):
+            raise ValueError(f"{name} needs a schema, or as a table function the method analyze")
         sql_name = name.replace(".", "_")
         if kind == "scalar":
             self.spark.udf.register(sql_name, fn, schema)
         elif kind == "pandas":
             self.spark.udf.register(sql_name, F.pandas_udf(fn, schema))
         elif kind == "table":
-            self.spark.udtf.register(sql_name, F.udtf(fn, returnType=schema))
+            self.spark.udtf.register(sql_name, self._table_function(fn, schema))
         known = UserFunction(name, fn, schema, kind, dict(parameters or {}), tuple(required))
         self._known[name] = known
         return known
@@ -62,6 +65,27 @@ class FunctionRegistry:
                 raise ValueError(f"{name}: parameter {p!r} must be {f.parameters[p]}")
         return f
 
+    @staticmethod
+    def _table_function(fn: type, schema: str | None):
+        return F.udtf(fn) if schema is None else F.udtf(fn, returnType=schema)
+
+    def apply_table(self, name: str, df: DataFrame, partition_by: Sequence[str] = (), order_by: Sequence[str] = (), **args) -> DataFrame:
+        """Table function over a DataFrame, with one instance for each group of ``partition_by`` that sees its rows in order.
+
+        Without groups every partition of ``df`` has an instance of its own.  The same call in SQL is
+        ``SELECT * FROM name(TABLE(t) PARTITION BY k ORDER BY x, arg => value)``."""
+        f = self._checked(name, args)
+        if f.kind != "table":
+            raise ValueError(f"{name} is not a table function")
+        if order_by and not partition_by:
+            raise ValueError("an order needs groups")
+        rows = df.asTable()
+        if partition_by:
+            rows = rows.partitionBy(*partition_by)
+        if order_by:
+            rows = rows.orderBy(*order_by)
+        return self._table_function(f.fn, f.schema)(rows, **{k: F.lit(v) for k, v in args.items()})
+
     def apply_rows(self, name: str, df: DataFrame, **args) -> DataFrame:
         """Row-set function over a DataFrame.  The function maps one pandas batch to another.  A batch that fails is
         halved until the rows that fail stand alone; each gives one row with ``status`` = error, the message and

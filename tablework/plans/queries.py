@@ -5,11 +5,15 @@ the tables by fixed column rules."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tablework import scale
 from tablework.functions import columns as C
@@ -36,6 +40,7 @@ from tablework.sources import grids as G
 from tablework.sources import html as HT
 from tablework.sources import ingest as N
 from tablework.sources import json_tables as JT
+from tablework.sources import quoted
 from tablework.sources import sinks as K
 from tablework.streaming.streams import dedupe_stream, flag_repeat_fetch_stream, ingest_stream
 
@@ -749,6 +754,20 @@ def finance_flow_counts(spark, sf):
     return finance_closed_loop(orders, ads, order_by=["item_price"], right_order_by=["spend"])["audit"].drop("timestamp")
 
 
+@query("""WITH d AS (SELECT o_orderkey % 10 AS late, o_orderpriority = '5-LOW' AS differs FROM orders)
+SELECT 'finance' AS "packId", 'finance-reconciliation' AS "runType", count(*) FILTER (late <= 7 AND NOT differs) AS matched, count(*) FILTER (late > 7) AS left_only,
+  count(*) FILTER (late > 7) AS right_only, count(*) FILTER (late <= 7 AND differs) AS conflict, count(*) FILTER (late <= 7 AND (late > 0 OR differs)) AS review_pending FROM d""")
+def finance_flow_spaced(spark, sf):
+    """The flow by name, over a customer's orders 100 days apart and spendings 0 to 9 days later: every pair is known."""
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    day = F.date_add(F.lit("2000-01-01").cast("date"), 100 * rank)
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("platform_sku"), day.alias("biz_date"), F.col("o_orderpriority").alias("currency"), F.col("o_orderkey").alias("item_price"))
+    other = F.when(F.col("currency") == "5-LOW", "0-NONE").otherwise(F.col("currency"))
+    ads = o.select("platform_sku", F.date_add("biz_date", (F.col("item_price") % 10).cast("int")).alias("biz_date"), other.alias("currency"), F.col("item_price").alias("spend"))
+    audit = run_flow("finance", o, ads, order_by=["item_price"], right_order_by=["spend"])["audit"]
+    return audit.select("packId", "runType", "matched", "left_only", "right_only", "conflict", "review_pending")
+
+
 # ================================================================== quality
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -836,6 +855,16 @@ def load_feed_mixed_charsets(spark, sf):
     return FD.load_feed(spark, [f"{path}/GBK", f"{path}/UTF-8"], "orders").select(*FEED_OUT)
 
 
+@query("SELECT cast(doc_id AS varchar) AS doc_id, md5(coalesce(replace(text, chr(13) || chr(10), chr(10)), '')) AS digest, lang FROM documents")
+def quoted_documents(spark, sf):
+    """Whole texts written as CSV, with their line breaks inside of quotes, and read back split by split."""
+    path = scratch_path(spark, "quoted")
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    d.write.options(header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    back = quoted.read_quoted(spark, [r["f"] for r in spark.read.text(path).select(F.input_file_name().alias("f")).distinct().collect()], "UTF-8")
+    return back.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "lang")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' OR o_orderstatus = 'F'")
 def drop_blank_rows(spark, sf):
     blank = (F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderstatus") != "F")
@@ -985,6 +1014,27 @@ def positioned_boxes(spark, sf):
     return G.cells_to_grid(p).withColumn("cells", F.array_join("cells", "|"))
 
 
+# Rows of a page slant by 0 to 9 points a box, so some run into the next one: the mean of a row decides, box by box from the top.
+@query("""WITH RECURSIVE boxes AS (SELECT p_partkey AS page, r, c, 26 * r + c * (p_size % 10) AS y, 100 * c + r * (p_partkey % 5) AS x,
+    repeat('x', cast((p_partkey + 3 * r + c) % 4 + 1 AS integer)) || r || c AS t FROM part, (SELECT unnest(range(4)) AS r), (SELECT unnest(range(3)) AS c)),
+ ordered AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY y, x) AS k FROM boxes),
+ walk AS (SELECT page, k, 0 AS row_idx, cast(y AS double) AS total, 1 AS n FROM ordered WHERE k = 1
+   UNION ALL SELECT o.page, o.k, CASE WHEN abs(o.y - total / n) <= 11 THEN row_idx ELSE row_idx + 1 END, CASE WHEN abs(o.y - total / n) <= 11 THEN total + o.y ELSE o.y END,
+     CASE WHEN abs(o.y - total / n) <= 11 THEN n + 1 ELSE 1 END FROM walk JOIN ordered o ON o.page = walk.page AND o.k = walk.k + 1),
+ cells AS (SELECT page, row_idx, c, first(t ORDER BY length(t) DESC, x, k) AS t FROM walk JOIN ordered USING (page, k) GROUP BY ALL)
+SELECT page AS source_id, 0 AS table_idx, row_idx, coalesce(max(t) FILTER (c = 0), '') || '|' || coalesce(max(t) FILTER (c = 1), '') || '|' || coalesce(max(t) FILTER (c = 2), '') AS cells
+FROM cells GROUP BY page, row_idx""")
+def positioned_boxes_slanted(spark, sf):
+    at = table(spark, sf, "part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")).withColumns({"r": F.floor(F.col("i") / 3), "c": F.col("i") % 3})
+    text = F.concat(F.repeat(F.lit("x"), ((F.col("p_partkey") + 3 * F.col("r") + F.col("c")) % 4 + 1).cast("int")), F.col("r").cast("string"), F.col("c").cast("string"))
+    box = F.struct(
+        (100 * F.col("c") + F.col("r") * (F.col("p_partkey") % 5)).cast("double").alias("x"), (26 * F.col("r") + F.col("c") * (F.col("p_size") % 10)).cast("double").alias("y"),
+        F.lit(60.0).alias("w"), F.lit(20.0).alias("h"), text.alias("t"),
+    )
+    pages = at.groupBy(F.col("p_partkey").alias("page_id")).agg(F.collect_list(box).alias("boxes"))
+    return G.cells_to_grid(pages).withColumn("cells", F.array_join("cells", "|"))
+
+
 def _payloads(spark, sf):
     rows = F.transform(F.split("text", " "), lambda w: F.array(w, F.lit(None).cast("string")))
     return table(spark, sf, "documents").select(
@@ -1078,12 +1128,6 @@ def cosine_to_label_centre(spark, sf):
     return scale.join_unique(e, centre, ["label"]).select("vec_id", F.round(X.cosine("embedding", "centre"), 5).alias("similarity"))
 
 
-@query()
-def hash_embed_documents(spark, sf):
-    d = scale.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.hash_embed("text").alias("v"))
-    return d.select("doc_id", F.size("v").alias("dims"), F.round(X.cosine("v", "v"), 6).alias("norm"), F.round(F.array_max("v"), 6).alias("peak"))
-
-
 # No document holds a blank line, so each is one paragraph.
 @query(r"""WITH b AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)
 SELECT doc_id, i AS chunk_index, length(substr(t, i * 780 + 1, 900)) AS chars, md5(substr(t, i * 780 + 1, 900)) AS digest
@@ -1093,6 +1137,22 @@ def chunk_documents(spark, sf):
     return out.select("doc_id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
+# One to nine paragraphs of 32 to 1,280 characters: short ones are packed up to 900, longer ones cut every 780.
+@query("""WITH RECURSIVE paras AS (SELECT doc_id, i, repeat(md5(text), cast(1 + (doc_id + 5 * i) % 40 AS integer)) AS p FROM documents, (SELECT unnest(range(9)) AS i) WHERE i <= doc_id % 9 AND text IS NOT NULL),
+ walk AS (SELECT doc_id, -1::BIGINT AS i, 0::BIGINT AS spot, 0::BIGINT AS upcoming, 0::BIGINT AS filled FROM (SELECT DISTINCT doc_id FROM paras)
+   UNION ALL SELECT p.doc_id, p.i, CASE WHEN fits THEN spot ELSE upcoming END, CASE WHEN fits THEN upcoming WHEN n > 900 THEN upcoming + cast(ceil(n / 780.0) AS BIGINT) ELSE upcoming + 1 END,
+     CASE WHEN n > 900 THEN 0 WHEN fits THEN filled + 2 + n ELSE n END
+   FROM (SELECT q.doc_id, q.i, length(q.p) AS n, w.spot, w.upcoming, w.filled, w.filled > 0 AND w.filled + 2 + length(q.p) <= 900 AS fits FROM walk w JOIN paras q ON q.doc_id = w.doc_id AND q.i = w.i + 1) p),
+ chunks AS (SELECT doc_id, spot AS chunk_index, string_agg(p, chr(10) || chr(10) ORDER BY i) AS t FROM walk JOIN paras USING (doc_id, i) WHERE length(p) <= 900 GROUP BY ALL
+   UNION ALL SELECT doc_id, spot + j, substr(p, cast(j * 780 + 1 AS integer), 900) FROM (SELECT doc_id, spot, p, unnest(range(cast(ceil(length(p) / 780.0) AS BIGINT))) AS j FROM walk JOIN paras USING (doc_id, i) WHERE length(p) > 900))
+SELECT doc_id, cast(chunk_index AS INTEGER) AS chunk_index, length(t) AS chars, md5(t) AS digest FROM chunks""")
+def chunk_paragraphs(spark, sf):
+    para = lambda i: F.repeat(F.md5("text"), (1 + (F.col("doc_id") + 5 * i) % 40).cast("int"))
+    texts = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("doc_id") % 9).cast("int")), para), " \n \t\n")
+    out = T.chunk_text(table(spark, sf, "documents").filter("text is not null").select("doc_id", texts.alias("text")))
+    return out.select("doc_id", "chunk_index", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
 # Slots are CRC-32 numbers, made byte by byte from a table of 256 entries; documents are cut as in chunk_documents.
 SQL_SLOTS = """crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS entries FROM (SELECT unnest(range(256)) AS i)),
  letters AS (SELECT side, a, b, string_split(t, '') AS c FROM texts),
@@ -1101,6 +1161,25 @@ SQL_SLOTS = """crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lamb
  slots AS (SELECT gram, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, len(hex(gram)) // 2), lambda i: cast('0x' || substr(hex(gram), cast(2 * i + 1 AS INTEGER), 2) AS BIGINT))),
    lambda a, b: xor(entries[cast(xor(a, b) & 255 AS INTEGER) + 1], a >> 8)), 4294967295) % 384 AS slot FROM (SELECT DISTINCT gram FROM grams), crc),
  cells AS (SELECT side, a, b, slot, ln(1 + sum(n)) AS x FROM grams JOIN slots USING (gram) GROUP BY ALL)"""
+
+
+@query(f"""WITH texts AS (SELECT 'c' AS side, doc_id AS a, 0 AS b, coalesce({SQL_SQUEEZED}, '') AS t FROM documents), {SQL_SLOTS},
+ sized AS (SELECT a, sum(x * x) AS square, max(x) AS peak FROM cells GROUP BY a)
+SELECT doc_id, 384 AS dims, CASE WHEN a IS NULL THEN 0.0 ELSE 1.0 END AS norm, round(coalesce(peak / sqrt(square), 0), 6) AS peak FROM documents LEFT JOIN sized ON a = doc_id""")
+def hash_embed_documents(spark, sf):
+    d = scale.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.hash_embed("text").alias("v"))
+    return d.select("doc_id", F.size("v").alias("dims"), F.round(X.cosine("v", "v"), 6).alias("norm"), F.round(F.array_max("v"), 6).alias("peak"))
+
+
+@query(f"""WITH texts AS (SELECT 'c' AS side, doc_id AS a, 0 AS b, coalesce({SQL_SQUEEZED}, '') AS t FROM documents), {SQL_SLOTS},
+ sized AS (SELECT a, sqrt(sum(x * x)) AS size FROM cells GROUP BY a)
+SELECT cast(slot AS INTEGER) AS slot, count(*) AS documents, round(sum(x / size), 6) AS total, round(max(x / size), 6) AS peak FROM cells JOIN sized USING (a) GROUP BY slot""")
+def hash_embed_slots(spark, sf):
+    """Every slot of a vector that is not zero."""
+    d = scale.spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(X.hash_embed("text")).alias("slot", "x"))
+    return d.filter("x > 0").groupBy("slot").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("x"), 6).alias("total"), F.round(F.max("x"), 6).alias("peak"))
+
+
 SQL_CHUNKS = f"""chunks AS (SELECT doc_id, i AS chunk_index, substr(t, i * 780 + 1, 900) AS text FROM (SELECT doc_id, t, unnest(range(0, CASE WHEN length(t) <= 900 THEN 1 ELSE cast(ceil(length(t) / 780.0) AS bigint) END)) AS i
    FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM documents) WHERE t <> '')),
  texts AS (SELECT 'c' AS side, doc_id AS a, chunk_index AS b, {SQL_SQUEEZED} AS t FROM chunks UNION ALL SELECT 'q', item_id, 0, {SQL_SQUEEZED} FROM benchmark WHERE {SQL_SQUEEZED} <> '')"""
@@ -1246,6 +1325,64 @@ def user_row_function(spark, sf):
     return out.select("p_partkey", "marked_up", "status")
 
 
+@query("""SELECT p_partkey, upper(p_brand) || '/' || p_size AS code, round(p_retailprice * (1 - p_size / 100.0), 4) AS net FROM part""")
+def user_functions_in_sql(spark, sf):
+    """A function of cells and one of whole columns, both called from SQL."""
+    registry = FunctionRegistry(spark)
+    registry.register("user.code", lambda brand, size: f"{brand.upper()}/{size}", "string", "scalar")
+    registry.register("user.net", lambda price, size: price * (1 - size / 100.0), "double", "pandas")
+    table(spark, sf, "part").createOrReplaceTempView("user_parts")
+    return spark.sql("SELECT p_partkey, user_code(p_brand, p_size) AS code, round(user_net(p_retailprice, p_size), 4) AS net FROM user_parts")
+
+
+class Steps:
+    """Table function: per row of a group in order, how much a column has changed; a last row sums up the group."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, column: AnalyzeArgument) -> AnalyzeResult:
+        kind = rows.dataType[key.value].dataType
+        return AnalyzeResult(StructType([StructField(key.value, kind), StructField("position", LongType()), StructField(f"{column.value}_step", DoubleType())]))
+
+    def __init__(self):
+        self.n, self.first, self.last, self.key = 0, None, None, None
+
+    def eval(self, rows, key: str, column: str):
+        value = float(rows[column])
+        if self.n:
+            yield rows[key], self.n, value - self.last
+        else:
+            self.first = value
+        self.n, self.last, self.key = self.n + 1, value, rows[key]
+
+    def terminate(self):
+        if self.n:
+            yield self.key, None, self.last - self.first
+
+
+SQL_STEPS = """WITH s AS (SELECT o_custkey, row_number() OVER w - 1 AS position, round(o_totalprice - lag(o_totalprice) OVER w, 4) AS step,
+  first_value(o_totalprice) OVER w AS a, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back, o_totalprice AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_custkey, position, step AS o_totalprice_step FROM s WHERE position > 0 UNION ALL SELECT o_custkey, NULL, round(b - a, 4) FROM s WHERE back = 1"""
+
+
+@query(SQL_STEPS)
+def user_table_function(spark, sf):
+    """Columns told from the arguments, rows dealt by group and ordered, called on a DataFrame."""
+    registry = FunctionRegistry(spark)
+    registry.register("user.steps", Steps, None, "table", {"key": "string", "column": "string"}, ("key", "column"))
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    out = registry.apply_table("user.steps", orders, ["o_custkey"], ["o_orderkey"], key="o_custkey", column="o_totalprice")
+    return out.withColumn("o_totalprice_step", F.round("o_totalprice_step", 4))
+
+
+@query(SQL_STEPS)
+def user_table_function_in_sql(spark, sf):
+    registry = FunctionRegistry(spark)
+    registry.register("user.steps", Steps, None, "table", {"key": "string", "column": "string"}, ("key", "column"))
+    table(spark, sf, "orders").createOrReplaceTempView("user_orders")
+    return spark.sql("""SELECT o_custkey, position, round(o_totalprice_step, 4) AS o_totalprice_step
+        FROM user_steps(TABLE(SELECT o_custkey, o_orderkey, o_totalprice FROM user_orders) PARTITION BY o_custkey ORDER BY o_orderkey, key => 'o_custkey', column => 'o_totalprice')""")
+
+
 @query("SELECT p_partkey, CASE WHEN p_size <> 10 THEN 100 / (p_size - 10) END AS share, CASE WHEN p_size = 10 THEN 'error' ELSE 'ok' END AS status FROM part")
 def user_row_errors(spark, sf):
     """A function that fails on some rows: the others keep their results."""
@@ -1333,6 +1470,15 @@ def archive_rows(spark, sf):
     return back.groupBy("host").agg(F.count_distinct("job_id").alias("n"), F.count(F.lit(1)).alias("cells"))
 
 
+@query("""SELECT o_custkey, count(*) AS orders, version FROM orders, (VALUES ('1'), ('2')) v(version) GROUP BY ALL""")
+def new_tables(spark, sf):
+    """The same name twice: the second table gets the next free one, and the first stays as it was."""
+    base = f"per_customer_{uuid.uuid4().hex}_"
+    counts = table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
+    names = [K.write_new_table(counts, base) for _ in range(2)]
+    return reduce(DataFrame.unionByName, [spark.table(n).withColumn("version", F.lit(n.removeprefix(base) or "1")) for n in names])
+
+
 @query("""SELECT count(*) AS files, count(*) AS fingerprints, true AS sized FROM (SELECT DISTINCT n_regionkey FROM nation)""")
 def fingerprint_files(spark, sf):
     """Every file written has a fingerprint of its own: one file for each region's nations."""

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tablework.functions import columns as C
 from tablework.operators.reshape import drop_blank_rows
+from tablework.sources import quoted
 
 # Feed columns as (name, type, required) and their known header spellings.
 FEEDS = {
@@ -151,7 +152,11 @@ def read_csv_parts(spark: SparkSession, paths: Sequence[str] | str, **options) -
     for (charset, multiline), files in sorted(groups.items()):
         reader = spark.read.options(header=True, encoding=charset, multiLine=multiline, escape='"', **options)
         # Files with different headers must not be read under one header.
-        parts += [reader.csv(same) for same in _by_header(spark, files)]
+        for same in _by_header(spark, files):
+            if multiline and set(options) <= {"sep"}:
+                parts.append(quoted.read_quoted(spark, same, charset, options.get("sep", ",")))
+            else:
+                parts.append(reader.csv(same))
     return parts
 
 

@@ -4,8 +4,10 @@ import datetime
 import json
 import math
 import random
+import time
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -21,6 +23,7 @@ from tablework.sources import grids as G
 from tablework.sources import html as HT
 from tablework.sources import ingest as N
 from tablework.sources import json_tables as JT
+from tablework.sources import quoted
 from tablework.sources import sinks as K
 from tablework.session import checkpointed
 from tablework.streaming.streams import dedupe_stream, flag_repeat_fetch_stream, ingest_stream
@@ -46,6 +49,35 @@ def test_feed_in_three_charsets(spark, tmp_path):
     assert len(FD.source_fingerprint(spark, files[0]).first()["source_hash"]) == 16
 
 
+@pytest.mark.parametrize("split, charset, end", [(40, "UTF-8", "\n"), (97, "GBK", "\r\n"), (100000, "ISO-8859-1", "\n")])
+def test_quoted_breaks_in_splits(spark, tmp_path, split, charset, end):
+    """Small splits that begin inside and outside of cells give the rows of the reader that takes whole files."""
+    rng = random.Random(split)
+    odd = "中文" if charset == "GBK" else "é"
+    cell = lambda: rng.choice(["", "7", odd, 'inch 5"', '"a, b"', f'"one{end}two"', f'"say ""x""{end}{end},{odd}"', '"" ""'.replace(" ", ""), '"q"z'])
+    for f in range(3):
+        lines = ["id,text,more", *(f"{f}-{i},{cell()},{cell()}" + rng.choice(["", "", ",extra", end]) for i in range(60))]
+        (tmp_path / f"{f}.csv").write_bytes((end.join(lines) + rng.choice(["", end])).encode(charset))
+    files = [str(tmp_path / f"{f}.csv") for f in range(3)]
+    expected = [tuple(r) for r in spark.read.options(header=True, encoding=charset, multiLine=True, escape='"').csv(files).collect()]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        out = quoted.read_quoted(spark, files, charset)
+        assert out.columns == ["id", "text", "more"]
+        key = lambda r: [(x is None, x) for x in r]
+        assert sorted(map(tuple, out.collect()), key=key) == sorted(expected, key=key)
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.set(k, keep[k]) if k in keep else spark.conf.unset(k)
+
+
+def test_open_quotes_at_line_ends():
+    for line, outside, inside in ((b"a,b", False, True), (b'a,"b', True, False), (b'"', True, False), (b'""', False, True), (b'x"y,"z"', False, False), (b'a"', False, False), (b'"a""', True, False)):
+        assert (quoted.ends_inside(line, False, b","), quoted.ends_inside(line, True, b",")) == (outside, inside), line
+
+
 def test_feed_aliases(spark):
     df = table(spark, sku=["a"], SKU_=["b"], seller_sku=["c"])
     with pytest.raises(ValueError, match="both mean"):
@@ -117,6 +149,54 @@ def test_boxes_and_headers(spark):
     assert {r["source_id"]: r["has_header"] for r in G.flag_header_rows(df).collect()} == {1: True, 2: False, 3: False}
 
 
+def plain_boxes(boxes):
+    """Box by box, every box against every other."""
+    inside = lambda a, b: a[0] >= b[0] and a[1] >= b[1] and a[0] + a[2] <= b[0] + b[2] and a[1] + a[3] <= b[1] + b[3] and a[2] * a[3] < b[2] * b[3]
+    kept = [b for b in boxes if not any(inside(a, b) for a in boxes)]
+    middle = lambda v: sorted(v)[len(v) // 2]
+    lines, groups = [], []
+    for b in sorted(kept, key=lambda b: (b[1], b[0])):
+        centre = b[1] + b[3] / 2
+        means = [sum(x[1] + x[3] / 2 for x in line) / len(line) for line in lines[-1:]]
+        if means and abs(centre - means[0]) <= max(8, 0.55 * middle([b[3] for b in kept])):
+            lines[-1].append(b)
+        else:
+            lines.append([b])
+    for x in sorted(b[0] for b in kept):
+        if groups and x - groups[-1][-1] <= max(12, 0.35 * middle([b[2] for b in kept])):
+            groups[-1].append(x)
+        else:
+            groups.append([x])
+    columns = [sum(g) / len(g) for g in groups]
+    grid = []
+    for line in lines:
+        cells = [""] * len(columns)
+        for b in sorted(line, key=lambda b: b[0]):
+            k = min(range(len(columns)), key=lambda j: abs(b[0] - columns[j]))
+            if len(b[4]) > len(cells[k]):
+                cells[k] = b[4]
+        grid.append(cells)
+    return grid
+
+
+def test_boxes_equal_a_plain_walk():
+    rng = random.Random(4)
+    for n in (0, 1, 2, 9, 40, 40, 90):
+        boxes = [(rng.randrange(300), rng.randrange(200), rng.choice([10, 20, 25, 90]), rng.choice([8, 10, 14, 60]), rng.choice("abc") * rng.randrange(1, 5)) for _ in range(n)]
+        x, y, w, h = (np.array([b[i] for b in boxes], dtype=float) for i in range(4))
+        assert G.boxes_to_rows(x, y, w, h, [b[4] for b in boxes]) == plain_boxes(boxes)
+
+
+def test_a_page_of_many_boxes():
+    """100 slanted rows of 50 boxes, with a wrapper around each row and one around the page."""
+    boxes = [(60.0 * c, 40.0 * r + 0.2 * c, 50.0, 20.0, f"{r}.{c}") for r in range(100) for c in range(50)]
+    boxes += [(0.0, 40.0 * r, 3000.0, 39.0, "row") for r in range(100)] + [(0.0, 0.0, 3000.0, 4000.0, "page")]
+    start = time.monotonic()
+    x, y, w, h = (np.array([b[i] for b in boxes]) for i in range(4))
+    assert G.boxes_to_rows(x, y, w, h, [b[4] for b in boxes]) == [[f"{r}.{c}" for c in range(50)] for r in range(100)]
+    assert time.monotonic() - start < 5
+
+
 def test_urls(spark):
     urls = {
         "http://127.0.0.1/": False, "http://10.1.2.3/x": False, "http://169.254.169.254/": False, "http://2130706433/": False, "file:///etc/passwd": False,
@@ -289,6 +369,13 @@ def test_user_functions(spark):
     reg.register("user.words", Words, "word string", "table")
     assert spark.sql("select * from user_words('a b')").count() == 2
 
+    with pytest.raises(ValueError, match="needs a schema"):
+        reg.register("user.words", Words, None, "table")
+    with pytest.raises(ValueError, match="not a table function"):
+        reg.apply_table("user.plus", spark.range(1))
+    with pytest.raises(ValueError, match="an order needs groups"):
+        reg.apply_table("user.words", spark.range(1), order_by=["id"])
+
     def bad(pdf, limit):
         raise RuntimeError("no good")
 
