@@ -909,6 +909,17 @@ def html_tables(spark, sf):
     return HT.html_tables(p).withColumn("cells", F.array_join("cells", "|"))
 
 
+@query("""SELECT page_id AS source_id, v.t AS table_idx, v.r AS row_idx, CASE WHEN v.h THEN 'id|url' ELSE cast(page_id AS varchar) || '|' || url END AS cells
+FROM pages, (VALUES (0, 0, true), (1, 0, false), (2, 0, true), (2, 1, false)) v(t, r, h)""")
+def html_component_grids(spark, sf):
+    """A grid whose header and body are tables of their own: both, and the whole grid after them."""
+    grid = F.concat(
+        F.lit('<div class="el-table big"><table class="el-table__header"><thead><tr><th>id</th><th> url</th></tr></thead></table><table><tr class="el-table__row"><td>'),
+        F.col("page_id").cast("string"), F.lit("<td>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</table></div>"), F.col("html"),
+    )
+    return HT.html_tables(table(spark, sf, "pages").select("page_id", grid.alias("html"))).withColumn("cells", F.array_join("cells", "|"))
+
+
 @query()
 def html_text(spark, sf):
     out = HT.html_text(table(spark, sf, "pages"))
@@ -1479,13 +1490,13 @@ def new_tables(spark, sf):
     return reduce(DataFrame.unionByName, [spark.table(n).withColumn("version", F.lit(n.removeprefix(base) or "1")) for n in names])
 
 
-@query("""SELECT count(*) AS files, count(*) AS fingerprints, true AS sized FROM (SELECT DISTINCT n_regionkey FROM nation)""")
+@query("""SELECT count(*) AS files, count(*) AS fingerprints, true AS sized FROM (SELECT DISTINCT o_orderpriority, o_orderkey // 2000 FROM orders)""")
 def fingerprint_files(spark, sf):
-    """Every file written has a fingerprint of its own: one file for each region's nations."""
+    """Every file written has a fingerprint of its own: one file for each priority and 2,000 order keys."""
     out = scratch_path(spark, "files")
-    n = table(spark, sf, "nation").select("n_regionkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("value"))
-    n.repartition(1).write.partitionBy("n_regionkey").text(out)
-    prints = FD.source_fingerprint(spark, out + "/*/*.txt")
+    o = table(spark, sf, "orders").select("o_orderpriority", F.expr("o_orderkey div 2000").alias("part"), F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority").alias("value"))
+    o.repartition("o_orderpriority", "part").write.partitionBy("o_orderpriority", "part").text(out)
+    prints = FD.source_fingerprint(spark, out + "/*/*/*.txt")
     return prints.agg(F.count(F.lit(1)).alias("files"), F.count_distinct("source_hash").alias("fingerprints"), (F.min("length") > 0).alias("sized"))
 
 

@@ -16,6 +16,12 @@ TEXT_LIMIT = 4000
 # Elements whose content is not text, and table roles used by script-built grids.
 SILENT = ("script", "style", "noscript")
 GRID_ROLES = {"grid": "table", "table": "table", "row": "tr", "gridcell": "td", "cell": "td", "columnheader": "td"}
+# Classes by which component libraries mark grids, header parts, header cells, rows and cells.
+COMPONENTS = frozenset(("ant-table", "el-table", "vxe-table", "kd-table"))
+COMPONENT_HEADS = frozenset(("ant-table-thead", "el-table__header"))
+COMPONENT_TITLES = frozenset(("vxe-header--column",))
+COMPONENT_ROWS = frozenset(("ant-table-row", "el-table__row", "vxe-body--row"))
+COMPONENT_CELLS = frozenset(("vxe-body--column",))
 _VOID = ("br", "img", "input", "hr", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr")
 
 
@@ -51,16 +57,41 @@ class _Reader(HTMLParser):
     def text(self, data): ...
 
 
-class _Tables(_Reader):
+class _Nested(_Reader):
+    """Remembers what the open elements mean, so that an end tag also ends what was left open inside."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.done: list[tuple[int, list[list[str]]]] = []
+        self.open: list[tuple[str, str]] = []  # (tag, meaning)
+
+    def closed(self, tag):
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                for _, meaning in reversed(self.open[i:]):
+                    self.ended(meaning)
+                del self.open[i:]
+                return
+
+    def ended(self, meaning): ...
+
+    def grids(self, html: str) -> list[list[list[str]]]:
+        """The grids of a page in the order in which they begin."""
+        self.feed(html)
+        self.close()
+        while self.open:
+            self.ended(self.open.pop()[1])
+        return [rows for _, rows in sorted(self.done, key=lambda t: t[0])]
+
+
+class _Tables(_Nested):
     """Collects tables; an inner table is kept beside the outer one.
 
     ARIA roles (grid, row, cell) stand in for table elements."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.done: list[tuple[int, list[list[str]]]] = []
         self.stack: list[dict] = []
-        self.open: list[tuple[str, str]] = []  # (tag, meaning)
         self.count = 0
 
     def opened(self, tag, attrs):
@@ -79,15 +110,7 @@ class _Tables(_Reader):
                 self._end_cell(table)
                 table["cell"] = []
 
-    def closed(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for _, meaning in reversed(self.open[i:]):
-                    self._close(meaning)
-                del self.open[i:]
-                return
-
-    def _close(self, meaning):
+    def ended(self, meaning):
         if not self.stack or not meaning:
             return
         table = self.stack[-1]
@@ -118,6 +141,74 @@ class _Tables(_Reader):
             self.stack[-1]["cell"].append(data)
 
 
+class _Components(_Nested):
+    """Collects grids of component libraries, whose header and body are often tables of their own; a row belongs to the innermost grid."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.roots: list[dict] = []
+        self.count = 0
+
+    def opened(self, tag, attrs):
+        classes = set((attrs.get("class") or "").split())
+        meaning = ""
+        if classes & COMPONENTS:
+            meaning = "root"
+            self.roots.append({"no": self.count, "titles": [], "rows": [], "heads": 0, "row": None, "cell": None, "title": False})
+            self.count += 1
+        elif self.roots:
+            root = self.roots[-1]
+            if classes & COMPONENT_TITLES or (tag == "th" and root["heads"]):
+                meaning = "cell"
+                self._end_cell(root)
+                root["cell"], root["title"] = [], True
+            elif tag == "thead" or classes & COMPONENT_HEADS:
+                meaning = "head"
+                root["heads"] += 1
+            elif classes & COMPONENT_ROWS or (tag == "tr" and not root["heads"]):
+                meaning = "row"
+                self._end_row(root)
+                root["row"] = []
+            elif root["row"] is not None and (tag == "td" or classes & COMPONENT_CELLS):
+                meaning = "cell"
+                self._end_cell(root)
+                root["cell"], root["title"] = [], False
+        if tag not in _VOID:
+            self.open.append((tag, meaning))
+
+    def ended(self, meaning):
+        if not self.roots or not meaning:
+            return
+        root = self.roots[-1]
+        self._end_cell(root)
+        if meaning == "head":
+            root["heads"] -= 1
+        elif meaning == "row":
+            self._end_row(root)
+        elif meaning == "root":
+            self._end_row(root)
+            self.roots.pop()
+            rows = [r for r in (root["titles"], *root["rows"]) if any(r)]
+            if rows:
+                self.done.append((root["no"], rows))
+
+    @staticmethod
+    def _end_cell(root):
+        if root["cell"] is not None:
+            (root["titles"] if root["title"] else root["row"]).append(" ".join("".join(root["cell"]).split()))
+        root["cell"] = None
+
+    def _end_row(self, root):
+        self._end_cell(root)
+        if root["row"]:
+            root["rows"].append(root["row"])
+        root["row"] = None
+
+    def text(self, data):
+        if self.roots and self.roots[-1]["cell"] is not None:
+            self.roots[-1]["cell"].append(data)
+
+
 class _Text(_Reader):
     silent = (*SILENT, "svg")
 
@@ -132,12 +223,10 @@ class _Text(_Reader):
 
 
 def tables_of(html: str | None) -> list[list[list[str]]]:
-    reader = _Tables()
-    reader.feed(html or "")
-    reader.close()
-    while reader.open:
-        reader._close(reader.open.pop()[1])
-    return [rows for _, rows in sorted(reader.done, key=lambda t: t[0])]
+    """Tables of a page, then its component-library grids, whose parts are among the tables as well."""
+    body = html or ""
+    grids = _Tables().grids(body)
+    return grids + _Components().grids(body) if any(c in body for c in COMPONENTS) else grids
 
 
 def text_of(html: str | None) -> str:

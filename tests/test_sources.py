@@ -121,6 +121,11 @@ def test_html(spark):
     assert HT.tables_of(nested) == [[["out", "x"]], [["in"]]]
     aria = '<div role="grid"><div role="row"><span role="gridcell">a</span><span role="gridcell">b</span></div></div>'
     assert HT.tables_of(aria) == [[["a", "b"]]]
+    vxe = '<div class="vxe-table"><div><b class="vxe-header--column">A</b><b class="vxe-header--column">B</b></div><div class="vxe-body--row"><i class="vxe-body--column">1</i><i class="vxe-body--column"> 2 </i></div></div>'
+    assert HT.tables_of(vxe) == [[["A", "B"], ["1", "2"]]]
+    ant = '<div class="ant-table"><table><thead><tr><th>A<th>B</tr></thead><tbody><tr><td>1<td>2</tr><tr><td><td></tr></tbody></table></div><p>after</p>'
+    assert HT.tables_of(ant) == [[["A", "B"], ["1", "2"]]] * 2
+    assert HT.tables_of('<div class="kd-table"><table><tr><td>x') == [[["x"]]] * 2 and HT.tables_of('<i class="el-table">') == []
     shells = table(spark, page_id=[1, 2, 3], html=["<script></script><script></script><div>hi</div>", page, ""])
     assert {r["page_id"]: r["app_shell"] for r in HT.flag_app_shell(shells).collect()} == {1: True, 2: False, 3: True}
 
