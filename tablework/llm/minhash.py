@@ -91,26 +91,38 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every linked id; the root is the least id that can be reached.
 
-    Large-star and small-star steps in turn, each a grouped minimum and a join, until nothing changes; every step is a written table."""
-    edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct())
-
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = state(edges)
-    while before[0]:
-        few = F.broadcast if before[0] <= BROADCAST_ROWS else lambda df: df  # at most two rows for each edge
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(few(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(few(small), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stage(small.select("a", F.col("m").alias("b")).unionByName(moved).distinct())
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    In every round each id points to its least smaller neighbour, pointers are followed to their ends, and the ends take the places of the ids
+    in the edges, until no edge is left. An id is settled in one round only, so the rounds' pointers together name the root of each. A round
+    takes two groupings; joins take no shuffle while the pointers are few."""
+
+    def renamed(up: DataFrame, key: str, value: str) -> DataFrame:
+        return up.select(F.col("id").alias(key), F.col("root").alias(value))
+
+    def followed(up: DataFrame) -> DataFrame:
+        while True:
+            further = join_checked(up, renamed(up, "root", "next"), ["root"], "left")
+            jumped = stage(further.select("id", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+            up = jumped.select("id", "root")
+            if not jumped.agg(F.max("moved")).first()[0]:
+                return up
+
+    def edges_of(a: Column, b: Column, df: DataFrame) -> DataFrame:
+        return stage(df.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct())
+
+    edges = edges_of(F.col("a"), F.col("b"), links)
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        up = followed(stage(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")))
+        rounds.append(up)
+        ends = join_checked(join_checked(edges, renamed(up, "a", "a_root"), ["a"]), renamed(up, "b", "b_root"), ["b"], "left")
+        edges = edges_of(F.col("a_root"), F.coalesce("b_root", "b"), ends)
+    if not rounds:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("root"))
+    found = rounds.pop()
+    while rounds:
+        last = join_checked(rounds.pop(), renamed(found, "root", "next"), ["root"], "left")
+        found = stage(last.select("id", F.coalesce("next", "root").alias("root")).unionByName(found))
+    return found.unionByName(found.select(F.col("root").alias("id"), "root").distinct())
 
 
 def shingle_rows(texts: DataFrame, width: int) -> DataFrame:

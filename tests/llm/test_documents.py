@@ -324,6 +324,18 @@ def test_components(spark):
     assert minhash.components(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [minhash.BROADCAST_ROWS, 0])
+def test_components_of_long_chains(spark, rows, monkeypatch):
+    monkeypatch.setattr(join_checked, "__defaults__", ("inner", rows, None))
+    dealt = random.Random(3)
+    names = [dealt.sample(range(k, 10_000, 4), 60) for k in range(3)]
+    chains = [sorted(names[0]), sorted(names[1], reverse=True), names[2]]  # upwards, downwards, in any order
+    pairs = [p for c in chains for p in zip(c, c[1:], strict=False)] + [(9_999, 9_999), (3, 7), (7, 3), (3, 7)]
+    df = spark.createDataFrame([(a.to_bytes(4, "big"), b.to_bytes(4, "big")) for a, b in pairs], "a binary, b binary")
+    got = sorted((int.from_bytes(r["id"], "big"), int.from_bytes(r["root"], "big")) for r in minhash.components(df).collect())
+    assert got == sorted([(x, min(c)) for c in chains for x in c] + [(3, 3), (7, 3)])
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     common, a, b = (np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (600, 200, 200))
