@@ -26,6 +26,7 @@ SEGMENTS = (
 def attach_by_window(rest: DataFrame, order: Sequence[str], days: int) -> DataFrame:
     """``rest`` holds open rows with ``__side, __nk, __grp, __day``; returns ``__state`` = window for
     pairs (with ``__diff`` and ``__tie``) and NULL for rows that stay single."""
+    n = scale.task_count(rest)
     ranked = scale.rank(rest, ["__nk", "__day", "__side"], order, "__rn")
     runs = rest.groupBy("__grp", "__nk", "__day", "__side").agg(F.count(F.lit(1)).alias("__n"))
     segments = _segments(_islands(runs, days), days)
@@ -36,8 +37,9 @@ def attach_by_window(rest: DataFrame, order: Sequence[str], days: int) -> DataFr
     lefts = ranked.filter("__side = 0").withColumn("__block", F.floor((F.col("__rn") - 1) / BLOCK)).drop("__r")
     inside = F.col("__rn").between(F.col("l_from"), F.col("l_from") + F.col("l_count") - 1)
     same = (F.col("__nk") == F.col("l_key")) & (F.col("__day") == F.col("l_day"))
+    lefts = scale.dealt(lefts, n, ["__nk", "__day", "__block"])
     hits = lefts.join(
-        blocks.withColumnRenamed("__block", "__b"), same & (F.col("__block") == F.col("__b")) & inside, "left"
+        scale.dealt(blocks.withColumnRenamed("__block", "__b"), n, ["l_key", "l_day", "__b"]), same & (F.col("__block") == F.col("__b")) & inside, "left"
     ).select(
         F.col("__key").alias("l_out"),
         "__l",
@@ -54,7 +56,8 @@ def attach_by_window(rest: DataFrame, order: Sequence[str], days: int) -> DataFr
         F.col("__nk").alias("jk"), F.col("__day").alias("jd"), F.col("__rn").alias("jr"), "__r", F.col("__key").alias("r_out")
     )
     both = F.col("l_out").isNotNull() & F.col("r_out").isNotNull()
-    return hits.join(rights, ["jk", "jd", "jr"], "full_outer").select(
+    near = ["jk", "jd", "jr"]
+    return scale.dealt(hits, n, near).join(scale.dealt(rights, n, near), near, "full_outer").select(
         F.when(both, "window").alias("__state"),
         F.coalesce("l_out", "r_out").alias("__key"),
         F.when(F.col("l_out").isNull(), 1).otherwise(0).alias("__side"),

@@ -62,7 +62,9 @@ def reconcile(
     pending = rows.filter(~blank)
     steps = _Stages(left, right, compare, tolerance, order, two_keys=normal != "trim")
     cold, warm, hot = scale.split_by_heat(pending, ["__nk"])
-    paired = steps.run(cold.repartition("__nk"), scale.rank_in_group)
+    n = scale.task_count(pending)
+    deal = lambda df: df.repartition(n, "__nk") if n else df.repartition("__nk")
+    paired = steps.run(deal(cold), scale.rank_in_group, deal)
     if warm is not None:
         chunked = scale.with_chunk(warm, ["__nk"], ["__k0", *order], hot)
         paired = paired.unionByName(steps.run(chunked, _rank_hot).drop("__chunk"))
@@ -125,16 +127,19 @@ class _Stages:
         self.left, self.right, self.compare = left, right, compare
         self.tolerance, self.order, self.two_keys = tolerance, order, two_keys
 
-    def run(self, df: DataFrame, rank) -> DataFrame:
+    def run(self, df: DataFrame, rank, deal=None) -> DataFrame:
+        """``deal``, where no key is hot: brings the rows of a key into one partition again."""
         df = df.withColumns({"__state": F.lit(None).cast("string"), "__key": F.col("__nk")})
-        df = self._stage(df, "__k0", self.order, rank)
+        df = self._stage(df, "__k0", self.order, rank, deal)
         if self.two_keys:
-            df = self._stage(df, "__nk", ["__k0", *self.order], rank)
+            if deal and self.tolerance > 0:
+                df = deal(checkpointed(df))  # the next stage counts its keys first
+            df = self._stage(df, "__nk", ["__k0", *self.order], rank, deal)
         return df
 
-    def _stage(self, df, key, order, rank):
+    def _stage(self, df, key, order, rank, deal):
         if self.tolerance > 0:
-            df = match_within_tolerance(df, key, order, rank, self.compare, self.tolerance, self._equal_all(), pair)
+            df = match_within_tolerance(df, key, order, rank, self.compare, self.tolerance, self._equal_all(), pair, deal)
         else:
             df = pair(df, ["__nk", key, "__sig"], order, rank, "matched", key)
         return pair(df, ["__nk", key], order, rank, "conflict", key)

@@ -15,9 +15,10 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,25 +27,122 @@ from tablework.functions.columns import NUMBER_RE
 from tablework.session import checkpointed
 
 
-def match_within_tolerance(df: DataFrame, key: str, order: Sequence[str], rank, compare: Sequence[str], tolerance: float, equal: Column, pair) -> DataFrame:
+def match_within_tolerance(df: DataFrame, key: str, order: Sequence[str], rank, compare: Sequence[str], tolerance: float, equal: Column, pair, deal=None) -> DataFrame:
+    """``deal`` is given where no key is hot and the rows of a key lie in one partition; it brings them there again."""
     group = [*dict.fromkeys(["__nk", key])]
     finished, open_rows = df.filter("__state is not null"), df.filter("__state is null")
     several = (
         open_rows.groupBy(*group)
         .agg(F.count_if(F.col("__side") == 0).alias("a"), F.count_if(F.col("__side") == 1).alias("b"))
         .filter("a > 0 and b > 0 and (a > 1 or b > 1)")
-        .select(*group, F.lit(True).alias("__many"))
     )
-    tagged = scale.join_unique(open_rows, several, group)
+    cols = df.columns
+    if deal is not None:
+        size = int(scale.setting(df, "walkRows"))
+        most = several.agg(F.max(F.greatest("a", "b"))).first()[0] or 0
+        if most <= size:
+            return _together(df, group, key, order, rank, compare, tolerance, equal, deal, most).select(*cols)
+    tagged = scale.join_unique(open_rows, several.select(*group, F.lit(True).alias("__many")), group)
     singles = pair(tagged.filter("__many is null").drop("__many"), group, order, rank, "conflict", key)
     agreed = (F.col("__state") == "conflict") & equal
     singles = singles.withColumn("__state", F.when(agreed, F.lit("matched")).otherwise(F.col("__state")))
     many = tagged.filter("__many").drop("__many")
     rest = _many(many, group, key, order, rank, compare, tolerance, pair)
-    cols = df.columns
     return finished.unionByName(singles.select(*cols)).unionByName(rest.select(*cols))
 
 
+def _together(df, group, key, order, rank, compare, tolerance, equal, deal, most):
+    """All rows in one stream: what the other way finds by joins comes from windows over the partition that holds the key, so rows move once,
+    behind the walk. Keys hold at most ``walkRows`` rows of a side here."""
+    columns = df.columns
+    df = df.withColumn("__open", F.col("__state").isNull())
+    group = [*group, "__open"]
+    of_side = lambda side, parts: F.count_if(F.col("__side") == side).over(Window.partitionBy(*parts))
+    single = (of_side(0, group) <= 1) & (of_side(1, group) <= 1)
+    df = df.withColumn("__single", single)
+    parts = []
+    if most:
+        cells = F.split(F.col("__sig"), "\x1f", -1)
+        for i in range(len(compare)):
+            df, name = _cut_here(df, group, F.get(cells, F.lit(i)), tolerance, i)
+            parts.append(name)
+    part = [*group, *parts]
+    spread = Window.partitionBy(*part)
+    kind = (
+        F.when(~F.col("__open"), "done").when(F.col("__single"), "single")
+        .when(F.min("__side").over(spread) == F.max("__side").over(spread), "alone")
+        .when(F.min("__sig").over(spread) == F.max("__sig").over(spread), "same").otherwise("mixed")
+    )
+    # Single rows keep the whole key as their part: they pair whether or not their values agree.
+    df = df.withColumn("__kind", kind).withColumns({p: F.when(~F.col("__single"), F.col(p)) for p in parts})
+    df = rank(df, [*part, "__side"], order, "__pos")
+    alone = -(F.col("__pos") * 2 + F.col("__side"))
+    df = df.withColumn("__pair", F.when(F.col("__kind").isin("single", "same"), F.col("__pos")).otherwise(alone))
+    if most:
+        df = deal(_walk_here(df, part, tolerance))
+    w = Window.partitionBy(*part, "__pair").orderBy("__side")
+    df = df.withColumns({"__mate": F.lead("__r").over(w), "__paired": F.col("__open") & (F.count(F.lit(1)).over(Window.partitionBy(*part, "__pair")) == 2)})
+    df = df.filter(~F.col("__paired") | (F.col("__side") == 0)).withColumn("__r", F.when(F.col("__paired"), F.col("__mate")).otherwise(F.col("__r")))
+    matched = F.when((F.col("__kind") == "single") & ~F.coalesce(equal, F.lit(False)), "conflict").otherwise("matched")
+    df = df.withColumns({"__state": F.when(F.col("__paired"), matched).otherwise(F.col("__state")), "__key": F.when(F.col("__paired"), F.col(key)).otherwise(F.col("__key"))})
+    return df.select(*columns)
+
+
+def _cut_here(df: DataFrame, group, cell: Column, tolerance: float, i: int) -> tuple[DataFrame, str]:
+    """``_cut`` for rows whose key lies in one partition."""
+    name, num, txt = f"__p{i}", f"__v{i}", f"__t{i}"
+    df = df.withColumn(txt, cell).withColumn(num, F.when(F.col(txt).rlike(NUMBER_RE), F.col(txt).try_cast("double")))
+    w = Window.partitionBy(*group).orderBy(num)
+    df = df.withColumn("__prev", F.lag(num).over(w))
+    first = F.when(F.col("__prev").isNull() | (F.col(num) - F.col("__prev") > tolerance), F.col(num))
+    df = df.withColumn("__first", first).withColumn("__first", F.last("__first", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    label = F.when(F.col(num).isNotNull(), F.concat(F.lit("n"), F.col("__first").cast("string"))).otherwise(F.concat(F.lit("t"), F.col(txt)))
+    return df.withColumn(name, label).drop("__prev", "__first", num, txt), name
+
+
+def _walk_here(df: DataFrame, part, tolerance: float) -> DataFrame:
+    """``__pair`` of mixed parts, set by the walk; a part's rows pass by in order and are held until its last one has come."""
+    schema = df.schema
+    names = [*part, "__side", "__pos", "__sig", "__kind", "__pair"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finish(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            cells = {n: rows.column(n).to_pylist() for n in names}
+            keys = list(zip(*[cells[p] for p in part]))
+            pairs = cells["__pair"]
+            at = 0
+            for i in range(1, len(keys) + 1):
+                if i == len(keys) or keys[i] != keys[at]:
+                    if cells["__kind"][at] == "mixed":
+                        spots = {(cells["__side"][k], cells["__pos"][k]): k for k in range(at, i)}
+                        found = sorted((p, s, cells["__sig"][k]) for (s, p), k in spots.items())
+                        for a, b in greedy_tolerance([(s, p, sig) for p, s, sig in found], tolerance):
+                            pairs[spots[0, a]] = pairs[spots[1, b]] = a
+                    at = i
+            place = rows.schema.get_field_index("__pair")
+            yield from rows.set_column(place, rows.schema.field(place), pa.array(pairs, type=rows.schema.field(place).type)).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # Rows of the last part of a batch wait for the next batch, which may go on with it.
+            last = [batch.column(batch.schema.get_field_index(p)) for p in part]
+            tail = tuple(c[-1].as_py() for c in last)
+            same = lambda k: tuple(c[k].as_py() for c in last) == tail
+            cut = bisect_left(range(batch.num_rows), True, key=same)
+            if cut or held and tuple(held[-1].column(held[-1].schema.get_field_index(p))[-1].as_py() for p in part) != tail:
+                yield from finish(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield from finish(pa.Table.from_batches(held))
+
+    ordered = df.sortWithinPartitions(*part, "__side", "__pos")
+    return ordered.mapInArrow(run, schema)
+
+
 def _many(df, group, key, order, rank, compare, tolerance, pair):
     columns = df.columns
     cells = F.split(F.col("__sig"), "\x1f", -1)
