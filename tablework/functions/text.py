@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 from tablework.functions.columns import WS_CLASS
 
 DIM = 384
+#: Characters whose grams are worked on at once.
+PIECE = 1 << 20
 EMBED_VERSION = 2
 
 
@@ -97,16 +100,51 @@ def embed_counted(owners: np.ndarray, distinct: np.ndarray, where: np.ndarray, c
         if g not in known:
             known[g] = _slot(g)
     slots = np.fromiter(map(known.__getitem__, names), dtype=np.int64, count=len(names))
-    vec = np.zeros((count, DIM))
-    if len(where):
-        vec = np.bincount(owners * DIM + slots[where], minlength=count * DIM).reshape(count, DIM).astype(float)
-    vec = np.log1p(vec)
+    return _unit(_slot_counts(owners, slots[where], count))
+
+
+def _slot_counts(owners: np.ndarray, slots: np.ndarray, count: int) -> np.ndarray:
+    return np.bincount(owners * DIM + slots, minlength=count * DIM).reshape(count, DIM).astype(float) if len(slots) else np.zeros((count, DIM))
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    vec = np.log1p(counts)
     norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
     return vec / np.where(norm == 0, 1.0, norm)
 
 
+def pieces(texts: Iterable[str | None], size: int) -> Iterator[tuple[list[int], list[str], list[bool]]]:
+    """Cleaned texts in turn as (numbers, parts, whether the text goes on), of about ``size`` characters; parts of a longer text share two characters."""
+    found: list[tuple[int, str, bool]] = []
+    length = 0
+    for i, t in enumerate(texts):
+        t = clean(t)
+        for at in range(0, max(1, len(t) - 2), size):
+            part = t[at : at + size + 2]
+            if found and length + len(part) > size:
+                yield tuple(map(list, zip(*found)))
+                found, length = [], 0
+            found.append((i, part, at + size < len(t) - 2))
+            length += len(part)
+    if found:
+        yield tuple(map(list, zip(*found)))
+
+
+def embed_texts(texts: Sequence[str | None], size: int = PIECE) -> np.ndarray:
+    """``embed_batch`` of whole texts, with the grams of about ``size`` characters in memory at a time."""
+    counts = np.zeros((len(texts), DIM))
+    for numbers, parts, goes_on in pieces(texts, size):
+        owners, grams = packed_grams(parts)
+        distinct, where = np.unique(grams, return_inverse=True)
+        slots = np.fromiter(map(_slot, distinct.tolist()), dtype=np.int64, count=len(distinct))[where]
+        np.add.at(counts, numbers, _slot_counts(owners, slots, len(parts)))
+        for number, part, more in zip(numbers, parts, goes_on):
+            if more:  # the next part has this pair as well
+                counts[number, _slot((ord(part[-2]) << 21) | ord(part[-1]))] -= 1
+    return _unit(counts)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embed(text: pd.Series) -> pd.Series:
     """384 slots of hashed 2- and 3-grams, as a unit vector (zeros for empty text)."""
-    texts = [clean(t) for t in text]
-    return pd.Series(list(embed_batch(*packed_grams(texts), len(texts))))
+    return pd.Series(list(embed_texts(text.tolist())))

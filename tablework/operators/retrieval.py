@@ -6,11 +6,11 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tablework import scale
 from tablework.functions.columns import trim_ws
@@ -20,8 +20,8 @@ CHUNK_SIZE = 900
 CHUNK_OVERLAP = 120
 #: Chunks and queries of a packed row, and buckets of the upper bound on shared grams.
 BLOCK, QUERY_BLOCK, BUCKETS = 128, 256, 1024
-#: Chunks that a task packs at once.
-PACKED = 2048
+#: Chunks that a task packs at once, and documents that it cuts at once.
+PACKED, CUT = 2048, 500
 VECTOR_WEIGHT = 0.6
 LEXICAL_WEIGHT = 0.4
 
@@ -56,12 +56,18 @@ def chunks_of(text: str | None, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
 def chunk_text(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """``(doc_id, chunk_index, text)``.  Packing is sequential inside a document only."""
 
-    @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: chunks_of(t, size, overlap))
+    docs = scale.spread(docs.select(F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text")))
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("chunk_index", IntegerType(), False), StructField("text", StringType())])
+    arrow = to_arrow_schema(schema)
 
-    docs = scale.spread(docs.select(doc, text))
-    return docs.select(F.col(doc).alias("doc_id"), F.posexplode(cut(F.col(text))).alias("chunk_index", "text"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(k, CUT) for b in batches for k in range(0, b.num_rows, CUT)):
+            cut = [chunks_of(t.as_py(), size, overlap) for t in batch.column(1)]
+            owner = pa.array([i for i, c in enumerate(cut) for _ in c], type=pa.int64())
+            columns = [batch.column(0).take(owner), pa.array([i for c in cut for i in range(len(c))], type=pa.int32()), pa.array([t for c in cut for t in c], type=pa.string())]
+            yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    return docs.mapInArrow(run, schema)
 
 
 def embed_chunks(chunks: DataFrame, version: int = EMBED_VERSION) -> DataFrame:

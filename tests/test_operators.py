@@ -253,3 +253,22 @@ def test_pivot_tells_fields_apart(spark):
     df = spark.createDataFrame([("a_b", "c", 1), ("a", "b_c", 10), (None, "x", 5), ("", "x", 7)], "f string, g string, v int")
     out = A.pivot_table(df, columns=["f", "g"], values=[{"field": "v", "aggregation": "sum"}]).first().asDict()
     assert sorted(out.values()) == [1, 5, 7, 10] and len(out) == 4
+
+
+def test_embedding_holds_few_grams_at_a_time():
+    """A batch of long texts is embedded piece by piece; pieces of one text give the vector of the whole."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from tablework.functions import text as X
+
+    texts = pd.Series(["Some words é🙂 and more of them. " * 100] * 1000 + [None, "", "a", "ab"])
+    tracemalloc.start()
+    vectors = X.hash_embed.func(texts)
+    assert tracemalloc.get_traced_memory()[1] < 250 << 20
+    tracemalloc.stop()
+    cleaned = [X.clean(t) for t in texts[-8:]]
+    assert np.array_equal(np.stack(vectors[-8:]), X.embed_batch(*X.packed_grams(cleaned), 8))
+    assert np.array_equal(X.embed_texts(cleaned, 7), np.stack(vectors[-8:]))
