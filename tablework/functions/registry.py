@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -99,19 +100,22 @@ class FunctionRegistry:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             params = json.loads(payload)
             for pdf in batches:
-                todo = [pdf]
+                todo, good, bad = [pdf], [], []
                 while todo:
                     part = todo.pop()
                     try:
-                        out = fn(part, **params)[names].copy()
-                        out["status"], out["error"] = "ok", None
+                        good.append(fn(part, **params)[names])
                     except Exception as exc:  # noqa: BLE001 - reported as data
                         if len(part) > 1:
                             half = len(part) // 2
                             todo += [part.iloc[half:], part.iloc[:half]]
                             continue
                         own = {n: part[n].iloc[0] if n in part and len(part) else None for n in names}
-                        out = pd.DataFrame([{**own, "status": "error", "error": str(exc)}])
-                    yield out
+                        bad.append({**own, "status": "error", "error": str(exc)})
+                # The halves go on together, as far as their columns are of the same kinds.
+                for _, alike in groupby(good, key=lambda out: list(out.dtypes)):
+                    yield pd.concat(list(alike), ignore_index=True).assign(status="ok", error=None)
+                if bad:
+                    yield pd.DataFrame(bad)
 
         return df.mapInPandas(run, f"{f.schema}, status string, error string")

@@ -1405,7 +1405,7 @@ def user_row_errors(spark, sf):
         return pdf.assign(share=100 / (pdf["p_size"] - 10))
 
     registry.register("user.share", share, "p_partkey long, share double", "rows")
-    return registry.apply_rows("user.share", table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", "share", "status")
+    return registry.apply_rows("user.share", scale.spread(table(spark, sf, "part").select("p_partkey", "p_size"))).select("p_partkey", "share", "status")
 
 
 @query("""SELECT CASE WHEN p_partkey <= 20 THEN cast(p_partkey AS varchar) ELSE 'word ' || p_partkey END AS mixed, cast(p_partkey AS double) AS whole FROM part""")

@@ -272,3 +272,14 @@ def test_embedding_holds_few_grams_at_a_time():
     cleaned = [X.clean(t) for t in texts[-8:]]
     assert np.array_equal(np.stack(vectors[-8:]), X.embed_batch(*X.packed_grams(cleaned), 8))
     assert np.array_equal(X.embed_texts(cleaned, 7), np.stack(vectors[-8:]))
+
+
+def test_rows_of_a_failing_batch_come_back_together(spark):
+    """One frame of good rows and one of failing ones for a batch, not one for each half."""
+    from tablework.functions.registry import FunctionRegistry
+
+    reg = FunctionRegistry(spark)
+    reg.register("user.check", lambda pdf: pdf.assign(v=[100 / (i % 10) for i in pdf["id"]]), "id long, v double", "rows")
+    out = reg.apply_rows("user.check", spark.range(0, 500, 1, 1)).collect()
+    assert [r["status"] for r in out] == ["ok"] * 450 + ["error"] * 50
+    assert all(r["v"] == 100 / (r["id"] % 10) for r in out[:450]) and all(r["v"] is None and r["error"] for r in out[450:])
