@@ -2,7 +2,7 @@
 
 Plain e-mail addresses, IP addresses, card and telephone numbers are found by their patterns. Their spans in a bounded sample of texts are the
 labels that the tagger learns from: as they stand, rewritten (obscured signs, other separators and groupings), and against look-alikes such as
-dates, versions and order numbers. A text is tagged wherever it has a sign of such data: stretches around digits and at-signs, in windows that
+dates, versions and order numbers; the windows to learn from lie around digits and at-signs. Every text is tagged whole, in windows that
 overlap. What the windows say is reconciled over the whole text, checked exactly (check digits, ranges, lengths), and added to the plain spans.
 """
 
@@ -340,7 +340,7 @@ def trimmed(span: Span, text: str) -> Span:
 
 
 def added_spans(params: tagger.Params, texts: list[str], base: list[list[Span]], parts: list[list[tuple[int, int]]], table: np.ndarray) -> list[list[Span]]:
-    """What the tagger adds to the plain spans of each text in its stretches; only spans are kept of windows that were tagged."""
+    """What the tagger adds to the plain spans of each text in the given parts (``find`` hands in whole texts); only spans are kept of windows that were tagged."""
     found: list[list[tuple]] = [[] for _ in texts]
     every = ((n, lo, hi, a, b) for n, p in enumerate(parts) for lo, hi in p for a, b in windows(lo, hi))
     while some := list(islice(every, 16 * ROWS)):
@@ -381,9 +381,8 @@ def find(docs: DataFrame, params: tagger.Params, id_col: str = "doc_id", text_co
         table = class_table()
         for batch in batches:
             texts = [t.decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
-            parts = [stretches(t) for t in texts]
-            base: list[list[Span]] = [base_spans(t) if p else [] for t, p in zip(texts, parts, strict=True)]
-            more = added_spans(held.value, texts, base, parts, table)
+            base = [base_spans(t) for t in texts]
+            more = added_spans(held.value, texts, base, [[(0, len(t))] if t else [] for t in texts], table)
             counts = [[sum(s[0] == k for s in spans) for spans in base] for k in range(len(KINDS))]
             digest: Callable[[list[Span]], str] = lambda spans: hashlib.sha256(as_text(spans).encode()).hexdigest()
             yield [batch.column(0), *counts, [digest(s) for s in base], [as_text(s + m) for s, m in zip(base, more, strict=True)], [len(m) for m in more]]

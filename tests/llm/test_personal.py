@@ -149,3 +149,12 @@ def test_documents(spark, params):
     assert personal.find(df.where("false"), params).count() == 0
     nothing = personal.learn(df.where("false"))
     assert personal.find(df, nothing).where("n_added > 0").count() == 0
+
+
+def test_every_place_of_a_text_is_tagged(spark):
+    """A tagger that takes every character for an address is asked about every place of a text, also without digits and at-signs."""
+    eager = tagger.start_params(personal.CLASSES, personal.TAGS)
+    eager["emit_bias"][2] = 50
+    texts = ["john.smith at example dot com", "a" * 300 + ".smith at example dot com", "", None]
+    found = personal.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), eager).collect()
+    assert {r["doc_id"]: r["spans"] for r in found} == {0: "email:0:29", 1: "email:0:325", 2: "", 3: ""}
