@@ -41,7 +41,7 @@ def ingest_rows(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows of usable payloads; missing cells become empty text.  Every row is kept unless ``cap`` (say ``ROW_CAP``) is given."""
     kept = F.slice("rows", 1, cap) if cap else F.col("rows")
     if not payloads.isStreaming:
-        payloads = scale.spread(payloads)
+        payloads = scale.spread(payloads, grows=True)
     good = payloads.filter(payload_status(F.col("rows")) == "ok")
     # The host is worked out per payload, before the rows are spread out.
     good = good.withColumn("host", host_key("url"))

@@ -63,3 +63,16 @@ def test_no_chunk_outgrows_the_bound(spark, split_groups):
         assert rows(scale.rank(df, ["k"], ["o", "id"], "r")) == want
     spark.conf.set("spark.tablework.hotMinRows", "10000")
     assert scale.hot_buckets(df, ["k"]) == {}
+
+
+def test_spread_gives_tasks_equal_shares(spark, tmp_path):
+    """More input makes more partitions, not larger ones."""
+    spark.range(20000).selectExpr("id", "uuid() as t").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    assert scale.spread(df).rdd.getNumPartitions() == cores
+    spark.conf.set("spark.tablework.taskBytes", str(scale.source_bytes(df) // (5 * cores)))
+    try:
+        assert scale.spread(df).rdd.getNumPartitions() >= 5 * cores
+    finally:
+        spark.conf.unset("spark.tablework.taskBytes")
