@@ -18,13 +18,15 @@ from tablework.llm.common import field, map_arrow, row_key, stage, text_bytes
 
 SEQUENCE = 4096
 END_ID = 2
-#: Words and pieces of words whose ids a task remembers, the longest one that it remembers, and how many it encodes at once.
-CACHED = 250_000
+#: Words of late that a task remembers, as many before them at most, and the longest word that it remembers.
+CACHED = 100_000
 CACHED_BYTES = 64
-ENCODED = 8192
 #: What stands for each byte in the vocabulary: itself if it can be seen, else the next character from 256 on.
 SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in SEEN)}
+#: ASCII signs, and the first and last of the two-byte characters that may be Latin letters (U+00C0 to U+024F).
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+LATIN = "\u00c0".encode(), "\u024f".encode()
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Rows of one length are numbered in so many parts.
 PARTS = 64
@@ -33,19 +35,22 @@ MAX_COMBINATIONS = 40_000
 STEPS = 400
 
 
-class WordIds:
-    """Token ids of texts as little-endian 32-bit numbers, word by word; ids of words and of words without a last ``.,!?`` are remembered.
+class WordIds(dict[bytes, bytes]):
+    """Token ids of words and texts as little-endian 32-bit numbers; ids of words, and of words without the signs at their end, are remembered.
 
-    Right for byte-level BPE that lower-cases, whose pieces never cross ASCII white space or go from a letter or digit to such a sign, and whose
-    normalisation does not look beyond these."""
+    Right for byte-level BPE that lower-cases, whose pieces never cross ASCII white space or go from a letter or digit to an ASCII sign, that takes
+    digits one by one, and whose normalisation does not look beyond these.
+
+    As a dict it holds the words of late. When it is full, they take the place of those remembered before, which come back when they are met again:
+    frequent words stay and rare ones go."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.before: dict[bytes, bytes] = {}
 
     def _letters(self, word: bytes) -> str | None:
         """The word as the model's merges see it, if it is Latin letters only: one piece then, without the steps before the merges."""
@@ -54,49 +59,35 @@ class WordIds:
         text = unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()
         return text.encode().decode("latin-1").translate(BYTE_SIGNS) if text.isalpha() and max(text) < "\u0250" else None
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        parts = []
-        for w in words:
-            core = w.rstrip(b".,!?")
-            parts.append((core, w[len(core) :]) if core[-1:].isalnum() else (w, b""))
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        new = [x for x in {y for p in parts for y in p} if x and x not in self.pieces]
-        made = {b"": b""}
-        rest = []
-        tokenize = self.model.tokenize
-        for x in new:
-            signs = self._letters(x)
-            if signs is None:
-                rest.append(x)
-            else:
-                made[x] = array("I", [t.id for t in tokenize(signs)]).tobytes()
-        for k in range(0, len(rest), ENCODED):
-            some = rest[k : k + ENCODED]
-            encoded = self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in some], add_special_tokens=False)
-            made.update((x, array("I", e.ids).tobytes()) for x, e in zip(some, encoded, strict=True))
-        self.pieces.update((k, v) for k, v in made.items() if len(k) <= CACHED_BYTES)
-        found = self.pieces if len(made) == sum(len(k) <= CACHED_BYTES for k in made) else self.pieces | made
-        return {w: found[a] + found[b] for w, (a, b) in zip(words, parts, strict=True)}
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self._learn(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHED:
+                self.before = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def _learn(self, word: bytes) -> bytes:
+        signs = self._letters(word)
+        if signs is not None:
+            return array("I", [t.id for t in self.tokenize(signs)]).tobytes()
+        core = word.rstrip(SIGNS)
+        if 0 < len(core) < len(word) and b"<|" not in word:
+            if core[-1:].isalnum() or (LATIN[0] <= core[-2:] <= LATIN[1] and core[-2:].decode("utf-8", "replace").lower().isalpha()):
+                return self[core] + self[word[len(core) :]]
+        if word.isdigit() and len(word) > 1:
+            return b"".join([self[word[k : k + 1]] for k in range(len(word))])
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text. Texts are gone through in portions of about a megabyte."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
-                size, end = size + len(texts[end]), end + 1
+        """The ids of each text."""
+        find = self.__getitem__
+        for t in texts:
             # special tokens are told by their case
-            portion = [t.split() if b"<|" in t else t.translate(LOWER).split() for t in texts[at:end]]
-            if len(self.known) > CACHED:
-                self.known.clear()
-            new = set().union(*portion).difference(self.known)
-            learnt = self._learn(list(new)) if new else {}
-            self.known.update((k, v) for k, v in learnt.items() if len(k) <= CACHED_BYTES)
-            find = (self.known if all(len(k) <= CACHED_BYTES for k in learnt) else self.known | learnt).__getitem__
-            for words in portion:
-                yield b"".join(map(find, words))
-            at = end
+            yield b"".join(map(find, t.split() if b"<|" in t else t.translate(LOWER).split()))
 
 
 def document_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -180,6 +180,18 @@ def test_words_are_encoded_as_texts_are():
     assert [np.array(e.ids, dtype="<u4").tobytes() for e in want] == list(got)
 
 
+def test_words_that_a_task_remembers_are_bounded_inside_of_a_text(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED", 50)
+    ends = ["", ".", "$$$", ",###", "!?\"'s", "...***", "'", "é.", "é$$", "×.", "e\u0301.&", "ß,%%%", "İ.", "42;", "ǽ~"]
+    text = " ".join(f"the {chr(97 + k % 26)}{'xy'[k % 2]}{chr(97 + k // 26 % 26)}{ends[k % len(ends)]} {k * 7919} Of<|endoftext|>, word{ends[k % 9]}" for k in range(700))
+    words = packing.WordIds(WORD_BPE)
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in words.encode([text.encode(), b"", text.lower().encode()])]
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", text.lower())]
+    assert sum(len(d) for d in [words, *vars(words).values()] if isinstance(d, dict)) <= 100
+
+
+
 def test_plan_uses_every_length_with_little_padding():
     rng = random.Random(3)
     counts = Counter(min(4096, int(rng.lognormvariate(6.5, 1.2)) + 1) for _ in range(20_000))
