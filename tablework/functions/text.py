@@ -28,17 +28,12 @@ def squeezed(c: Column | str) -> Column:
 def char_ngrams(c: Column | str) -> Column:
     """Distinct 2- and 3-grams of the lower-cased text with single spaces."""
     t = F.coalesce(squeezed(c), F.lit(""))
-    chars = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
 
-    def grams(ch: Column) -> Column:
-        # Neighbours are zipped, so the text is cut into characters once and walked in one direction.
-        rest = lambda x, n: F.slice(x, n + 1, F.greatest(F.size(x) - n, F.lit(0)))
-        head = lambda x, n: F.slice(x, 1, F.greatest(F.size(x) - n, F.lit(0)))
-        two = F.zip_with(head(ch, 1), rest(ch, 1), lambda x, y: F.concat(x, y))
-        three = F.zip_with(head(F.zip_with(head(ch, 1), rest(ch, 1), lambda x, y: F.concat(x, y)), 1), rest(ch, 2), lambda x, y: F.concat(x, y))
-        return F.array_distinct(F.concat(two, three))
+    def grams(x: Column) -> Column:
+        # One character is passed at a time, and those from it on are taken.
+        return F.array_distinct(F.concat(F.regexp_extract_all(x, F.lit("(?s)(?=(..)).")), F.regexp_extract_all(x, F.lit("(?s)(?=(...))."))))
 
-    return F.get(F.transform(F.array(chars), grams), F.lit(0))
+    return F.get(F.transform(F.array(t), grams), F.lit(0))
 
 
 def lexical_overlap(query: Column | str, text: Column | str) -> Column:

@@ -248,6 +248,15 @@ def test_archive_audit_and_snapshots(spark, tmp_path):
         K.write_new_table(df.filter("a > 9"), "t")
 
 
+def test_grams_are_taken_without_a_step_for_each(spark):
+    texts = ["a", "", None, "ab", "a\nb c", "😀😀x 😀😀", "  Aa  b\r\nC", "x y\x85z\u2028", "aaaa"]
+    df = table(spark, s=texts).select("s", X.char_ngrams("s").alias("g"))
+    for text, got in df.collect():
+        t = X.clean(text)
+        assert got == list(dict.fromkeys(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)))
+    assert "zip_with" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def test_text_measures(spark):
     sample = "Hello  WORLD 中文"
     squeezed = X.clean(sample)
