@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tablework import scale
 from tablework.functions.columns import trim_ws
 from tablework.functions.urls import host_key, sheet_name_from_url
 
 ROW_CAP = 500
+#: The column that holds packed rows, and their type.
+PACKED, GRID = "__packed_rows", ArrayType(ArrayType(StringType()))
 
 
 def payload_status(rows: Column) -> Column:
@@ -37,11 +40,29 @@ def summarize_payloads(payloads: DataFrame, cap: int | None = None) -> DataFrame
     )
 
 
+def packed_rows(payloads: DataFrame) -> DataFrame:
+    """Rows as JSON text where they are to be shuffled: as arrays of arrays, each cell takes several times its text.
+
+    Cells that are no valid UTF-8 would not come back as they were; their payloads stay as they are."""
+    if payloads.schema["rows"].dataType.simpleString() != GRID.simpleString():
+        return payloads
+    exact = F.forall("rows", lambda r: r.isNull() | F.forall(r, lambda c: c.isNull() | F.is_valid_utf8(c)))
+    return payloads.withColumn(PACKED, F.when(exact, F.to_json("rows"))).withColumn("rows", F.when(F.col(PACKED).isNull(), F.col("rows")))
+
+
+def unpacked_rows(payloads: DataFrame) -> DataFrame:
+    """What ``packed_rows`` was given."""
+    if PACKED not in payloads.columns:
+        return payloads
+    given = F.from_json(PACKED, GRID, {"maxStringLen": str((1 << 31) - 1)})
+    return payloads.withColumn("rows", F.when(F.col(PACKED).isNull(), F.col("rows")).otherwise(given)).drop(PACKED)
+
+
 def ingest_rows(payloads: DataFrame, cap: int | None = None) -> DataFrame:
     """Rows of usable payloads; missing cells become empty text.  Every row is kept unless ``cap`` (say ``ROW_CAP``) is given."""
     kept = F.slice("rows", 1, cap) if cap else F.col("rows")
     if not payloads.isStreaming:
-        payloads = scale.spread(payloads, grows=True)
+        payloads = unpacked_rows(scale.spread(payloads, grows=True))
     good = payloads.filter(payload_status(F.col("rows")) == "ok")
     # The host is worked out per payload, before the rows are spread out.
     good = good.withColumn("host", host_key("url"))

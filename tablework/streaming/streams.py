@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablework.functions.columns import normalize_key
-from tablework.sources.ingest import ingest_rows, payload_status
+from tablework.sources.ingest import ingest_rows, packed_rows, payload_status
 
 
 def dedupe_stream(stream: DataFrame, keys: Sequence[str], event_time: str | None = None, watermark: str | None = None) -> DataFrame:
@@ -33,6 +33,7 @@ def ingest_stream(payloads: DataFrame, target: str, checkpoint: str, cap: int |
     watermark passed it, which bounds the state. Payloads without a job id are never replays. A batch that is run again after a failure overwrites its
     own folder. Returns the started query."""
     usable = payloads.where(payload_status(F.col("rows")) == "ok")
+    usable = packed_rows(usable)
     named, unnamed = usable.where("job_id IS NOT NULL"), usable.where("job_id IS NULL")
     if remember:
         first = named.withWatermark(received, remember).dropDuplicatesWithinWatermark(["job_id"])

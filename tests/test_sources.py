@@ -446,6 +446,22 @@ def test_repeat_fetch_stream_waits_for_the_watermark(spark, tmp_path):
     assert got == [("a", at(8), None, False), ("a", at(10), at(8), True), ("a", at(12), at(10), True)]
 
 
+def test_streamed_rows_are_shuffled_as_text_and_come_back(spark):
+    cells = ["", " ", "7", "null", 'say "x"', "back\\slash", "one\ntwo\r\t", "\x00\x1f", "\u2028é中🙂", None]
+    grids = [[cells], [[c] for c in cells], [None, [], ["a", None]], [], None, [[None]], [["word"] * 400] * 3]
+    made = spark.createDataFrame([(i, g) for i, g in enumerate(grids)], "job_id long, rows array<array<string>>")
+    broken = spark.range(1).select(F.lit(99).cast("long").alias("job_id"), F.array(F.array(F.unhex(F.lit("61FF62")).cast("string"))).alias("rows"))
+    payloads = made.unionByName(broken)
+    packed = N.packed_rows(payloads)
+    assert {r["job_id"] for r in packed.where("rows IS NOT NULL").collect()} == {99}
+    back = N.unpacked_rows(packed)
+    assert back.columns == payloads.columns
+    assert {r["job_id"]: r["rows"] for r in back.where("job_id < 99").collect()} == dict(enumerate(grids))
+    assert back.where("job_id = 99").select(F.hex(F.col("rows")[0][0].cast("binary"))).first()[0] == "61FF62"
+    numbers = spark.createDataFrame([(1, [[1, 2]])], "job_id long, rows array<array<int>>")
+    assert N.unpacked_rows(N.packed_rows(numbers)).first()["rows"] == [[1, 2]]
+
+
 @pytest.mark.parametrize("remember", [None, "1 day"])
 def test_ingest_stream_writes_a_job_once(spark, tmp_path, remember):
     at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
