@@ -1,6 +1,7 @@
 """Feeds, JSON, HTML, grids, ingest, sinks, retrieval, streams and user functions."""
 
 import datetime
+import glob
 import json
 import math
 import random
@@ -462,6 +463,24 @@ def test_streamed_rows_are_shuffled_as_text_and_come_back(spark):
     assert N.unpacked_rows(N.packed_rows(numbers)).first()["rows"] == [[1, 2]]
 
 
+def test_stages_leave_no_shuffle_files(spark):
+    from tablework.session import shared_dir
+
+    shared_dir(spark)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = [f.getAbsolutePath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+    before = held()
+    table(spark, k=list(range(1000))).repartition(3, "k").write.format("noop").mode("overwrite").save()
+    assert held() - before  # an action of its own keeps them until the driver collects garbage
+    before = held()
+    made = checkpointed(table(spark, k=list(range(1000))).repartition(3, "k"))
+    limit = time.time() + 10
+    while held() - before and time.time() < limit:
+        time.sleep(0.1)
+    assert not held() - before and spark.conf.get(key, "false") == "false" and made.count() == 1000
+
+
 @pytest.mark.parametrize("remember", [None, "1 day"])
 def test_ingest_stream_writes_a_job_once(spark, tmp_path, remember):
     at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
