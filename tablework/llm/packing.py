@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 import unicodedata
 import zlib
 from array import array
@@ -24,10 +26,14 @@ CACHED_BYTES = 64
 #: What stands for each byte in the vocabulary: itself if it can be seen, else the next character from 256 on.
 SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_SIGNS = {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in SEEN)}
+SIGN_TABLE = "".join(chr(BYTE_SIGNS.get(b, b)) for b in range(256))
 #: ASCII signs, and the first and last of the two-byte characters that may be Latin letters (U+00C0 to U+024F).
 SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 LATIN = "\u00c0".encode(), "\u024f".encode()
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: ASCII signs at the end of a word, after a lower-case letter, a digit or a two-byte Latin letter (U+0130 is none: in lower case it ends in a mark).
+AFTER = rb"(?:(?<=[a-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].)|(?<=\xc4[\x80-\xaf\xb1-\xbf].)|(?<=[\xc5-\xc8][\x80-\xbf].)|(?<=\xc9[\x80-\x8f].))"
+LAST_SIGNS = re.compile(rb"[" + re.escape(SIGNS) + rb"]" + AFTER + rb"[" + re.escape(SIGNS) + rb"]*(?=[\x20\x09-\x0D]|\Z)")
 #: Rows of one length are numbered in so many parts.
 PARTS = 64
 #: Bound on the combinations that the solver sees, and its steps.
@@ -36,7 +42,7 @@ STEPS = 400
 
 
 class WordIds(dict[bytes, bytes]):
-    """Token ids of words and texts as little-endian 32-bit numbers; ids of words, and of words without the signs at their end, are remembered.
+    """Token ids of words and texts as little-endian 32-bit numbers; ids of words without the signs at their end, and of these signs, are remembered.
 
     Right for byte-level BPE that lower-cases, whose pieces never cross ASCII white space or go from a letter or digit to an ASCII sign, that takes
     digits one by one, and whose normalisation does not look beyond these.
@@ -57,7 +63,7 @@ class WordIds(dict[bytes, bytes]):
         if word.isalpha():
             return word.lower().decode()
         text = unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()
-        return text.encode().decode("latin-1").translate(BYTE_SIGNS) if text.isalpha() and max(text) < "\u0250" else None
+        return codecs.charmap_decode(text.encode(), "strict", SIGN_TABLE)[0] if text.isalpha() and max(text) < "\u0250" else None
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.before.get(word)
@@ -87,7 +93,7 @@ class WordIds(dict[bytes, bytes]):
         find = self.__getitem__
         for t in texts:
             # special tokens are told by their case
-            yield b"".join(map(find, t.split() if b"<|" in t else t.translate(LOWER).split()))
+            yield b"".join(map(find, t.split() if b"<|" in t else LAST_SIGNS.sub(rb" \g<0>", t.translate(LOWER)).split()))
 
 
 def document_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

@@ -180,6 +180,14 @@ def test_words_are_encoded_as_texts_are():
     assert [np.array(e.ids, dtype="<u4").tobytes() for e in want] == list(got)
 
 
+def test_words_are_remembered_without_the_signs_at_their_end():
+    words = packing.WordIds(WORD_BPE)
+    text = "abc, abc. (abc) é, é. É; ×, x\u0301! 12. a,b. İ, 中, abc"
+    (ids,) = words.encode([text.encode()])
+    assert np.frombuffer(ids, dtype="<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {b"abc", b",", b".", b"12", "é".encode()} <= set(words) and not {b"abc,", b"abc.", b"12.", "é,".encode(), "é.".encode()} & set(words)
+
+
 def test_words_that_a_task_remembers_are_bounded_inside_of_a_text(monkeypatch):
     monkeypatch.setattr(packing, "CACHED", 50)
     ends = ["", ".", "$$$", ",###", "!?\"'s", "...***", "'", "é.", "é$$", "×.", "e\u0301.&", "ß,%%%", "İ.", "42;", "ǽ~"]
