@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from tablework.llm.common import field, free_names, join_checked, per_row, row_key, stage, text_bytes
+from tablework.llm.common import field, free_names, join_checked, passing, per_row, row_key, stage, text_bytes
 from tablework.llm.hashing import Rolling, shingles, word_hashes
 from tablework.llm.minhash import WORD_SEED, Circulant, band_keys, link_sets, set_id
 
@@ -67,7 +67,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     Texts without words (null, empty) are no duplicates of each other, only of rows with the same id; ties go to the least id, a null id comes last; an
     empty table gives no rows; other columns pass through, whatever their names."""
-    judged = stage(near_duplicates(docs, id_col, text_col, width, percent))
+    with passing() as kept:
+        judged = kept(near_duplicates(docs, id_col, text_col, width, percent))
     (key,) = free_names(docs, 1)
     gone = stage(judged.where(~F.col("_chosen")).select(F.col("_key").alias(key)).distinct())
     again = stage(judged.where("_chosen").groupBy("_key").count().where("count > 1").select(F.col("_key").alias(key)))

@@ -5,6 +5,8 @@ lines, runs of words that stand elsewhere too. Windows of MIN_WORDS words whose
 of such runs: a shared passage of MIN_WORDS + REACH - 1 words has one wherever it stands, and another within REACH - 1 places as long as it goes
 on. From the ends of a chain of shared anchors the words of both texts are aligned outwards: the run goes on over equal words, and over up to GAP
 changed, missing or added words if BRIDGE equal ones follow. Lines are linked by similarity, anchors by equality. Of every component the first unit stays.
+
+Whole texts meet lists of places by a shuffle at every size, as they have to at scale, so what is moved grows as the input does.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tablework.llm.common import BROADCAST_ROWS, field, free_names, join_checked, map_arrow, per_row, row_key, stage, text_bytes
+from tablework.llm.common import BROADCAST_ROWS, field, free_names, join_checked, map_arrow, passing, per_row, row_key, stage, text_bytes
 from tablework.llm.hashing import LOWER, Rolling, mix, word_bounds
 from tablework.llm.minhash import WORD_SEED, Circulant, band_keys, link_sets, set_id
 
@@ -43,13 +45,26 @@ UNIT = StructType([
 ])
 
 
-def grams(words: np.ndarray, width: int, factor: int = 0xD6E8FEB86659FD93) -> np.ndarray:
-    """Hash of each run of so many words."""
-    n = len(words) - width + 1
-    out = np.full(n, U64(width), dtype=U64)
-    for k in range(width):
-        out = out * U64(factor) + words[k : k + n]
-    return mix(out)
+class Grams:
+    """Hashes of the runs of so many words, as polynomials in a factor, from one running sum."""
+
+    def __init__(self, factor: int) -> None:
+        self.factor, self.inverse = factor, pow(factor, -1, 1 << 64)
+        self.up = self.down = np.ones(1, dtype=U64)
+
+    def __call__(self, words: np.ndarray, width: int, first: int, at: np.ndarray | None = None) -> np.ndarray:
+        """Of all runs, or of those at some places; ``first`` is the coefficient of the highest power."""
+        if len(self.up) < len(words) + 1:
+            powers = np.full((2, max(len(words) + 1, 1 << 14)), [[self.factor], [self.inverse]], dtype=U64)
+            powers[:, 0] = 1
+            self.up, self.down = np.multiply.accumulate(powers, axis=1)
+        sums = np.zeros(len(words) + 1, dtype=U64)
+        np.cumsum(words * self.down[: len(words)], out=sums[1:])
+        n = len(words) - width + 1
+        lead, last = U64(first * pow(self.factor, width, 1 << 64) & (1 << 64) - 1), U64(pow(self.factor, width - 1, 1 << 64))
+        if at is None:
+            return mix((sums[width:] - sums[:n]) * self.up[:n] * last + lead)
+        return mix((sums[at + width] - sums[at]) * self.up[at] * last + lead)
 
 
 class Cutter:
@@ -57,6 +72,7 @@ class Cutter:
 
     def __init__(self) -> None:
         self.rolling, self.circulant = Rolling(WORD_SEED), Circulant(ROWS * BANDS)
+        self.grams, self.others = Grams(0xD6E8FEB86659FD93), Grams(0xA24BAED4963EE407)
 
     def units(self, text: bytes) -> tuple[list[tuple], list[np.ndarray]]:
         """Lines (lo, hi, n, id, bands) and anchors (lo, hi, number of the first word, h1, h2); lo and hi are bytes."""
@@ -74,30 +90,29 @@ class Cutter:
         first, size = first[size >= MIN_WORDS], size[size >= MIN_WORDS]
         if not len(first):
             return []
-        hashes = grams(words, SHINGLE)
         n = size - SHINGLE + 1
         at = np.concatenate([[0], np.cumsum(n)])
-        taken = hashes[np.repeat(first - at[:-1], n) + np.arange(at[-1])]
+        taken = self.grams(words, SHINGLE, SHINGLE)[np.repeat(first - at[:-1], n) + np.arange(at[-1])]
         # the value in the permutation, then the shingle itself, so that a coordinate names the shingle it comes from
-        least = np.empty((len(first), ROWS * BANDS), dtype=U64)
-        values, low = self.circulant.rows[self.circulant.places(taken)], taken & U64(0xFFFFFFFF)
-        for k in range(ROWS * BANDS):
-            least[:, k] = np.minimum.reduceat(values[:, k].astype(U64) << U64(32) | low, at[:-1])
-        bands = band_keys(least, ROWS)
-        out = []
-        for i, (f, s) in enumerate(zip(first.tolist(), size.tolist(), strict=True)):
-            found = np.unique(taken[at[i] : at[i + 1]])
-            out.append((int(start[f]), int(end[f + s - 1]), len(found), set_id(found), bands[i]))
-        return out
+        pairs = self.circulant.rows[self.circulant.places(taken)].T.astype(U64)
+        pairs <<= U64(32)
+        pairs |= taken & U64(0xFFFFFFFF)
+        bands = band_keys(np.minimum.reduceat(pairs, at[:-1], axis=1).T, ROWS)
+        for lo, hi in zip(at.tolist(), at[1:].tolist(), strict=False):
+            taken[lo:hi].sort()
+        new = np.concatenate([[True], taken[1:] != taken[:-1]])
+        new[at[:-1]] = True
+        found, edges = taken[new], np.concatenate([[0], np.cumsum(new)])[at].tolist()
+        bounds = zip(start[first].tolist(), end[first + size - 1].tolist(), edges, edges[1:], bands, strict=False)
+        return [(lo, hi, b - a, set_id(found[a:b]), keys) for lo, hi, a, b, keys in bounds]
 
     def _anchors(self, start: np.ndarray, end: np.ndarray, words: np.ndarray) -> list[np.ndarray]:
-        one = grams(words, MIN_WORDS)
-        view = np.lib.stride_tricks.sliding_window_view(one, min(REACH, len(one)))
-        at = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-        other = np.full(len(at), U64(7), dtype=U64)
-        for k in range(MIN_WORDS):
-            other = other * U64(0xA24BAED4963EE407) + words[at + k]
-        return [start[at], end[at + MIN_WORDS - 1], at, one[at].view(np.int64), mix(other).view(np.int64)]
+        one = self.grams(words, MIN_WORDS, MIN_WORDS)
+        reach = min(REACH, len(one))
+        view = np.lib.stride_tricks.as_strided(one, (len(one) - reach + 1, reach), (8, 8), writeable=False)
+        least = view.argmin(axis=1) + np.arange(len(view))  # never goes back
+        at = least[np.concatenate([[True], least[1:] != least[:-1]])]
+        return [start[at], end[at + MIN_WORDS - 1], at, one[at].view(np.int64), self.others(words, MIN_WORDS, 7, at).view(np.int64)]
 
 
 def context(rolling: Rolling, text: bytes, places: list[tuple[int, int]]) -> Iterator[bytes]:
@@ -208,7 +223,7 @@ def extensions(source: DataFrame, found: DataFrame) -> DataFrame:
     same = F.struct("lo", "side", "f_key", "f_lo", "f_id")
     none = [F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("f_key", "f_lo", "f_id")]
     lists = stage(asked.select("key", same.alias("e")).unionByName(firsts.select("key", F.struct("lo", "side", *none).alias("e"))).groupBy("key").agg(F.collect_set("e").alias("asked")))
-    held = join_checked(source, lists, ["key"], counted=8 * asked.count()).select("key", "text", "asked").dropDuplicates(["key"])
+    held = source.join(lists, "key").select("key", "text", "asked").dropDuplicates(["key"])
     entry = lists.schema["asked"].dataType.elementType
     schema = StructType([StructField("key", BinaryType()), *entry.fields, StructField("words", BinaryType())])
 
@@ -233,7 +248,7 @@ def extensions(source: DataFrame, found: DataFrame) -> DataFrame:
         for batch in batches:
             made: list[list] = [[] for _ in range(7)]
             for key, lo, side, f_key, f_lo, f_id, words, f_words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                i, j = aligned(np.frombuffer(f_words, dtype=np.uint32).tolist(), np.frombuffer(words, dtype=np.uint32).tolist())
+                i, j = (len(words) // 4,) * 2 if words == f_words else aligned(memoryview(f_words).cast("I").tolist(), memoryview(words).cast("I").tolist())
                 for n, at, kept in ((j, lo, False), (i if key == f_key else 0, f_lo, True)):
                     if n:
                         for c, x in zip(made, (key, at, n, side, kept, key == f_key, f_id), strict=True):
@@ -247,32 +262,34 @@ def extensions(source: DataFrame, found: DataFrame) -> DataFrame:
 def linked_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key, lo, hi, side (null, or where an extension lies of the anchor at lo; hi is its number of words then), window (a run of anchors, else a line), kept (the first of its component), own (the first is in the same row) and first_id
     (the id of the document that has that one) of every unit that has a copy."""
-    units = stage(unit_tables(docs, id_col, text_col))
-    lines, windows = units.where("id IS NOT NULL"), units.where("h1 IS NOT NULL").select("key", "lo", "hi", "n", "h1", "h2")
     source = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("text"))
-
-    classes = stage(lines.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("key", "lo", "hi")).alias("one")))
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = classes.select("id", "one").join(ids, "id").groupBy("one.key").agg(F.collect_list(F.struct("id", "one.lo", "one.hi")).alias("parts"))
-        wanted = stage(wanted)
-        total = wanted.agg(F.sum(F.size("parts"))).first()[0] or 0
-        held = join_checked(source.select("key", "text"), wanted, ["key"], counted=total).select("text", F.explode("parts").alias("p"))
-        return held.select("p.id", F.substring("text", F.col("p.lo") + 1, F.col("p.hi") - F.col("p.lo")).alias("text")).dropDuplicates(["id"])
-
-    roots = link_sets(classes.select("id", "n", "copies", "bands"), texts_of, SHINGLE, PERCENT)
-    groups = stage(classes.where("copies > 1").select("id").join(roots, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
+    ids = stage(source.select("_id", "key").distinct())
+    with passing() as kept:
+        units = stage(unit_tables(docs, id_col, text_col))
+        lines = kept(linked_lines(units.where("id IS NOT NULL"), source, ids))
+        windows = units.where("h1 IS NOT NULL").select("key", "lo", "hi", "n", "h1", "h2")
+        often = stage(windows.groupBy("h1").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h1"))
+        repeated = stage(join_checked(windows, often, ["h1"], rows=4 * BROADCAST_ROWS).join(ids, "key"))  # a row is one number
+        found = kept(with_first(repeated, "h1", "h2"))
+    return lines.unionByName(shared_runs(found)).unionByName(extensions(source.select("key", "text"), found))
+
+
+def linked_lines(lines: DataFrame, source: DataFrame, ids: DataFrame) -> DataFrame:
+    """The lines that have a copy: columns as of linked_units. ``source``: key, text; ``ids``: _id, key."""
+    with passing() as kept:
+        classes = stage(lines.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("key", "lo", "hi")).alias("one")))
+
+        def texts_of(wanted: DataFrame) -> DataFrame:
+            parts = stage(classes.select("id", "one").join(wanted, "id").groupBy("one.key").agg(F.collect_list(F.struct("id", "one.lo", "one.hi")).alias("parts")))
+            total = parts.agg(F.sum(F.size("parts"))).first()[0] or 0
+            held = join_checked(source.select("key", "text"), parts, ["key"], counted=total).select("text", F.explode("parts").alias("p"))
+            return held.select("p.id", F.substring("text", F.col("p.lo") + 1, F.col("p.hi") - F.col("p.lo")).alias("text")).dropDuplicates(["id"])
+
+        roots = link_sets(classes.select("id", "n", "copies", "bands"), texts_of, SHINGLE, PERCENT)
+        groups = kept(classes.where("copies > 1").select("id").join(roots, "id", "full").select("id", F.coalesce("root", "id").alias("root")))
     similar = join_checked(lines.select("key", "lo", "hi", "id"), groups, ["id"]).select("key", "lo", "hi", "root")
-
-    often = stage(windows.groupBy("h1").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select("h1"))
-    ids = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key")).distinct()
-    repeated = stage(join_checked(windows, often, ["h1"], rows=4 * BROADCAST_ROWS).join(ids, "key"))  # a row is one number
-    found = stage(with_first(repeated, "h1", "h2"))
-    runs = shared_runs(found).unionByName(extensions(source.select("key", "text"), found))
-
     own = F.col("key") == F.col("first.key")
-    lines = with_first(stage(similar.join(ids, "key")), "root").select("key", "lo", "hi", F.lit(None).cast("int").alias("side"), F.lit(False).alias("window"), (own & (F.col("lo") == F.col("first.lo"))).alias("kept"), own.alias("own"), F.col("first._id").alias("first_id"))
-    return lines.unionByName(runs)
+    return with_first(stage(similar.join(ids, "key")), "root").select("key", "lo", "hi", F.lit(None).cast("int").alias("side"), F.lit(False).alias("window"), (own & (F.col("lo") == F.col("first.lo"))).alias("kept"), own.alias("own"), F.col("first._id").alias("first_id"))
 
 
 def cut(text: bytes, units: list[dict] | None) -> tuple[bytes, int]:
@@ -302,12 +319,13 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words stay as they are; rows that repeat are the same document and judged alike; a null id comes last; an empty table gives no rows;
     other columns are ignored.
     """
-    units = stage(linked_units(docs, id_col, text_col))
+    with passing() as kept:
+        units = kept(linked_units(docs, id_col, text_col))
     listed = F.collect_set(F.struct("lo", "hi", "side", "window", "kept", "own"))
     sources = F.collect_set(F.when(~F.col("kept"), F.col("first_id")))
     lists = stage(units.groupBy("key").agg(listed.alias("units"), F.array_sort(sources).alias("first_ids")))
     source = docs.select(F.col(id_col).alias("_id"), row_key(id_col, text_col).alias("key"), text_bytes(text_col).alias("_text"))
-    joined = join_checked(source, lists, ["key"], "left", counted=units.count())
+    joined = source.join(lists, "key", "left")
     copied = F.coalesce(F.filter("first_ids", lambda x: ~x.eqNullSafe(F.col("_id"))), F.array().cast(ArrayType(docs.schema[id_col].dataType)))
     ready = joined.select("_id", "key", copied.alias("copied_from"), "_text", "units")
     schema = StructType([
@@ -327,11 +345,12 @@ def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A text without repeated passages stays as it is, a null one too; rows that repeat are judged alike; an empty table gives no rows; other columns
     pass through, whatever their names."""
-    units = stage(linked_units(docs, id_col, text_col))
+    with passing() as kept:
+        units = kept(linked_units(docs, id_col, text_col))
     listed = F.collect_set(F.struct("lo", "hi", "side", "window", "kept", "own"))
     key, spans, new, gone = free_names(docs, 4)
     lists = stage(units.where("NOT kept OR window").groupBy("key").agg(listed.alias(spans)).withColumnRenamed("key", key))
-    hit = join_checked(docs.withColumn(key, row_key(id_col, text_col)), lists, [key], "left", counted=units.count())
+    hit = docs.withColumn(key, row_key(id_col, text_col)).join(lists, key, "left")
     place = docs.columns.index(text_col)
     others = [c for c in docs.columns if c != text_col]
     ready = hit.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text_col}`").cast("string"), spans)

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from tablework.llm import decontamination, lm, minhash, neardup, packing, passages, quality, substrings, toxicity
 from tablework.llm.common import join_checked, most_frequent, stage, text_bytes
+from tablework.llm.hashing import mix
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key string, n long, n_words string, kept string, root int"
@@ -394,6 +395,29 @@ def test_passages(docs, texts, nothing):
     assert passages.drop_passages(nothing).columns == nothing.columns
 
 
+def test_runs_from_one_sum_hash_as_polynomials():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 70).astype(np.uint64)
+    factor, whole = 0xD6E8FEB86659FD93, passages.Grams(0xD6E8FEB86659FD93)(words, 20, 20)
+    plain = []
+    for i in range(51):
+        h = 20
+        for w in words[i : i + 20].tolist():
+            h = (h * factor + w) & (1 << 64) - 1
+        plain.append(h)
+    assert (whole == mix(np.array(plain, dtype=np.uint64))).all()
+    assert (passages.Grams(factor)(words, 20, 20, np.array([3, 50])) == whole[[3, 50]]).all()
+
+
+def test_staged_tables_of_passages_go(spark, tmp_path, monkeypatch):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = spark.createDataFrame([(1, f"{text}\nbefore {text}"), (2, f"{text} after"), (3, "alone")], "doc_id long, text string")
+    monkeypatch.setattr("tablework.session.shared_dir", lambda spark: str(tmp_path))
+    found = passages.dedup_passages(rows)
+    left = [spark.read.parquet(str(x)).columns for x in tmp_path.iterdir()]
+    assert found.count() == 3 and max(r["n_removed"] for r in found.collect()) > 300
+    assert sorted(map(len, left)) == [3, 8]  # the units with a copy, and their lists by row
+
+
 def test_whole_passages_go(spark):
     """Passages of 60 to 400 words between other words, also where their ends stand elsewhere too, leave nothing; text without copies stays."""
     rng = random.Random(11)
