@@ -36,7 +36,7 @@ STEPS = 260
 #: in some window; longer ones are put together.
 WINDOW, STRIDE, AROUND = 128, 64, 32
 #: Windows that are tagged at once.
-ROWS = 256
+ROWS = 512
 
 LABEL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -246,23 +246,25 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ta
 
 
 # ------------------------------------------------------------------ tagging and reconciling
-def tagged(params: tagger.Params, ids: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Best tags of windows, and by how much each beats the tag of other text."""
-    tags: list = [None] * len(ids)
-    gains: list = [None] * len(ids)
+def tagged(reader: tagger.Reader, ids: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number, best tags, and by how much each beats the tag of other text, of the windows that have any other tag; every window is read."""
     order = sorted(range(len(ids)), key=lambda k: len(ids[k]))
     for at in range(0, len(order), ROWS):
         rows = order[at : at + ROWS]
-        width = len(ids[rows[-1]])
-        block, mask = np.zeros((len(rows), width), dtype=np.uint8), np.zeros((len(rows), width), dtype=bool)
+        sizes = np.array([len(ids[k]) for k in rows])
+        block = np.zeros((len(rows), sizes[-1]), dtype=np.uint8)
         for row, k in enumerate(rows):
-            block[row, : len(ids[k])], mask[row, : len(ids[k])] = ids[k], True
-        scores = tagger.emissions(params, block, mask)
-        best = tagger.best_paths(params, scores, mask)
+            block[row, : sizes[row]] = ids[k]
+        scores = reader.scores(block, sizes)
+        some = np.flatnonzero(~reader.plain(scores, sizes))
+        if not len(some):
+            continue
+        scores, sizes = scores[:, some], sizes[some]
+        best = tagger.best_paths(reader.params, scores, np.arange(block.shape[1]) < sizes[:, None])
         over = np.take_along_axis(scores.transpose(1, 0, 2), best[:, :, None], axis=2)[:, :, 0] - scores[:, :, 0].T
-        for row, k in enumerate(rows):
-            tags[k], gains[k] = best[row, : len(ids[k])], over[row, : len(ids[k])]
-    return tags, gains
+        for row, n in enumerate(sizes.tolist()):
+            if best[row, :n].any():
+                yield rows[some[row]], best[row, :n], over[row, :n]
 
 
 def spans_of(tags: np.ndarray, gains: np.ndarray, lo: int, inner: tuple[bool, bool]) -> list[tuple]:
@@ -342,11 +344,12 @@ def trimmed(span: Span, text: str) -> Span:
 def added_spans(params: tagger.Params, texts: list[str], base: list[list[Span]], parts: list[list[tuple[int, int]]], table: np.ndarray) -> list[list[Span]]:
     """What the tagger adds to the plain spans of each text in the given parts (``find`` hands in whole texts); only spans are kept of windows that were tagged."""
     found: list[list[tuple]] = [[] for _ in texts]
-    every = ((n, lo, hi, a, b) for n, p in enumerate(parts) for lo, hi in p for a, b in windows(lo, hi))
+    reader = tagger.Reader(params)
+    every = ((n, lo, hi, part[a - lo : b - lo], a, b) for n, p in enumerate(parts) for lo, hi in p for part in [classes_of(texts[n][lo:hi], table)] for a, b in windows(lo, hi))
     while some := list(islice(every, 16 * ROWS)):
-        for (n, lo, hi, a, b), tags, gains in zip(some, *tagged(params, [classes_of(texts[n][a:b], table) for n, _, _, a, b in some]), strict=True):
-            if tags.any():
-                found[n] += spans_of(tags, gains, a, (a > lo, b < hi))
+        for k, tags, gains in tagged(reader, [part for _, _, _, part, _, _ in some]):
+            n, lo, hi, _, a, b = some[k]
+            found[n] += spans_of(tags, gains, a, (a > lo, b < hi))
     out = []
     for text, plain, spans in zip(texts, base, found, strict=True):
         taken = sorted((lo, hi) for _, lo, hi in plain)

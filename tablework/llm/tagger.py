@@ -88,6 +88,65 @@ def emissions(params: Params, ids: np.ndarray, mask: np.ndarray, keep: list | No
     return both @ params["emit"] + params["emit_bias"]
 
 
+class Reader:
+    """Scores of many windows as ``emissions`` gives them, without gradients.
+
+    Both directions take a step at once, each from the place where its text begins, so that padding comes last and no step needs a mask. All gates
+    are sigmoids (tanh x is 2 sigmoid(2 x) - 1), and the product that moves the states on gives the last step's scores too."""
+
+    def __init__(self, params: Params) -> None:
+        self.params, self.hidden, self.tags = params, len(params["ahead_own"]), len(params["first"])
+        # minus what stands in the exponent; cells and states are kept halved
+        scale = np.repeat(np.float32([-1, -2]), [3 * self.hidden, self.hidden])
+        into = [(params["embed"] @ params[f"{s}_in"] + params[f"{s}_bias"]) * scale for s in ("ahead", "back")]
+        own = [np.concatenate([params[f"{s}_own"] * scale, part], axis=1) for s, part in zip(("ahead", "back"), np.split(params["emit"], 2), strict=True)]
+        self.into, self.own = np.concatenate(into).astype(np.float32), np.stack(own).astype(np.float32) * 2
+        # the most that a tag other than 0 can add to a path by what leads to it and away from it
+        move, first, last = params["move"] - params["move"][0, 0], params["first"] - params["first"][0], params["last"] - params["last"][0]
+        self.most = np.maximum(move.max(axis=0), first) + np.maximum(0, np.maximum(move[:, 0], last))
+
+    @np.errstate(over="ignore")
+    def scores(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores (length, rows, tags) of windows (rows, length) with so many characters; what stands behind them has no meaning."""
+        rows, length = ids.shape
+        hidden, gated, full = self.hidden, 4 * self.hidden, bool((sizes == length).all())
+        there = None if full else np.maximum(sizes[:, None] - 1 - np.arange(length), 0)
+        both = np.stack([ids, ids[:, ::-1] if full else np.take_along_axis(ids, there, axis=1)]).astype(np.intp)
+        both[1] += len(self.params["embed"])
+        steps = np.ascontiguousarray(both.transpose(2, 0, 1))
+        state, cell, flat = (np.zeros((2, rows, hidden), np.float32) for _ in range(3))
+        sums, gates = np.empty((2, rows, gated + self.tags), np.float32), np.empty((2, rows, gated), np.float32)
+        found = np.empty((length, 2, rows, self.tags), np.float32)
+        i, f, o, g = (gates[:, :, k * hidden : (k + 1) * hidden] for k in range(4))
+        for t in range(length):
+            np.take(self.into, steps[t], axis=0, out=gates, mode="clip")
+            if t:
+                np.matmul(state, self.own, out=sums)
+                found[t - 1] = sums[:, :, gated:]
+                gates += sums[:, :, :gated]
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            g -= 0.5
+            i *= g
+            cell *= f
+            cell += i
+            np.multiply(cell, -4, out=flat)
+            np.exp(flat, out=flat)
+            flat += 1
+            np.reciprocal(flat, out=flat)
+            flat -= 0.5
+            np.multiply(o, flat, out=state)
+        np.matmul(state, self.own[:, :, gated:], out=found[-1])
+        ahead, back = found[:, 0], found[:, 1]
+        return ahead + (back[::-1] if full else np.take_along_axis(back, there.T[:, :, None], axis=0)) + self.params["emit_bias"]
+
+    def plain(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which windows' best paths are surely 0 everywhere: where no place's other tags could win back what they cost there, whatever stands beside them."""
+        over = (scores[:, :, 1:] + self.most[1:]).max(axis=2) - scores[:, :, 0]
+        return (over < -0.001).all(axis=0) if (sizes == len(scores)).all() else ((over < -0.001) | (np.arange(len(scores))[:, None] >= sizes)).all(axis=0)
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)

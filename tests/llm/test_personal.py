@@ -60,6 +60,29 @@ def test_sums_and_best_paths_equal_all_paths():
         assert tuple(best[row, :n]) == max(paths, key=paths.get)
 
 
+def test_reader_reads_every_place_as_emissions_do():
+    """Windows of all sizes at once; a window is called plain only if no path beats 0 everywhere, and tagged ones are all others."""
+    rng = np.random.default_rng(4)
+    sizes = np.concatenate([np.full(30, 40), rng.integers(1, 41, 70)])
+    mask = np.arange(40) < sizes[:, None]
+    plain = []
+    for seed, bias in itertools.product(range(4), (-1, 2, 6)):
+        params, *_ = small(seed, personal.TAGS, personal.CLASSES)
+        params["emit_bias"][0] += bias
+        ids = rng.integers(0, personal.CLASSES, mask.shape).astype(np.uint8)
+        reader, want = tagger.Reader(params), tagger.emissions(params, ids, mask)
+        for rows in (slice(None), slice(0, 30)):
+            scores = reader.scores(ids[rows], sizes[rows])
+            assert np.allclose(np.where(mask.T[:, rows, None], scores - want[:, rows], 0), 0, atol=1e-4)
+        best = tagger.best_paths(params, want, mask)
+        plain.append(reader.plain(want, sizes))
+        assert not best[plain[-1]].any()
+        found = {k: tags for k, tags, _ in personal.tagged(reader, [x[:n] for x, n in zip(ids, sizes)])}
+        assert sorted(found) == np.flatnonzero(best.any(axis=1)).tolist()
+        assert all((tags == best[k, : sizes[k]]).all() for k, tags in found.items())
+    assert 0 < np.mean(plain) < 1
+
+
 def test_gradients(monkeypatch):
     """Against differences of the loss, in double precision."""
     monkeypatch.setattr(np, "float32", np.float64)
