@@ -161,7 +161,7 @@ def _scored(candidates: DataFrame, held: Broadcast, digits: int, k: int, percent
                     row, column = _best(np.where(able, keys, LEAST), k)
                     for c, x in zip(out, (a_ids[column], np.full(len(row), j, dtype=np.int32), ids[row], scores[row, column]), strict=True):
                         c.append(x)
-                yield [pa.array(np.concatenate(x)) for x in out]
+                yield [np.concatenate(x) for x in out]
 
     return map_arrow(candidates, FOUND, rows)
 

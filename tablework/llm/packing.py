@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tablework.llm.common import field, map_arrow, row_key, stage, text_bytes
+from tablework.llm.common import arrow_column, field, map_arrow, row_key, stage, text_bytes
 
 SEQUENCE = 4096
 END_ID = 2
@@ -118,7 +118,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
                     for c, x in zip(out, (start, len(piece) // 4, zlib.crc32(piece), n, piece), strict=False):
                         c.append(x)
             if index:
-                at = pa.array(index)
+                at = arrow_column(index, pa.int64())
                 yield [batch.column(0).take(at), batch.column(1).take(at), *out]
 
     return map_arrow(docs.select(id_col, row_key(id_col, text_col), text_bytes(text_col)), schema, rows)
@@ -258,7 +258,7 @@ def assign(pieces: DataFrame, window: int = SEQUENCE) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         before, slots = shared.value
         for batch in batches:
-            length, part, rank = (batch.column(k).to_numpy() for k in (where, len(names), len(names) + 1))
+            length, part, rank = (np.from_dlpack(batch.column(k)) for k in (where, len(names), len(names) + 1))
             sequence, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
             order = np.lexsort((part, length))
             edges = np.flatnonzero(np.diff(length[order]) | np.diff(part[order])) + 1

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
-from tablework.llm.common import BROADCAST_ROWS, field, free_names, join_checked, map_arrow, passing, per_row, row_key, stage, text_bytes
+from tablework.llm.common import BROADCAST_ROWS, field, free_names, join_checked, map_arrow, passing, per_row, row_key, rows_at, stage, text_bytes
 from tablework.llm.hashing import LOWER, Rolling, mix, word_bounds
 from tablework.llm.minhash import WORD_SEED, Circulant, band_keys, link_sets, set_id
 
@@ -156,7 +156,7 @@ def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         lo, hi, n, h1, h2 = (np.concatenate(x) for x in zip(*parts, strict=True))
         where = np.repeat(index, [len(p[0]) for p in parts])
         none = [pa.nulls(len(lo), arrow.field(c).type) for c in ("id", "bands")]
-        return [keys.take(pa.array(where)), lo.astype(np.int32), hi.astype(np.int32), n, *none, h1, h2]
+        return [rows_at(keys, where), lo.astype(np.int32), hi.astype(np.int32), n, *none, h1, h2]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         cutter = Cutter()
@@ -183,7 +183,7 @@ def unit_tables(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield anchors_of(keys, index, found)
             if at:
                 none = pa.nulls(len(at), pa.int64())
-                yield [keys.take(pa.array(at)), *out, none, none]
+                yield [rows_at(keys, at), *out, none, none]
 
     return map_arrow(docs.select(row_key(id_col, text_col), text_bytes(text_col)), UNIT, rows)
 
@@ -234,7 +234,7 @@ def extensions(source: DataFrame, found: DataFrame) -> DataFrame:
                 entries = batch.column(2)[i].values
                 columns = entries.flatten()
                 places = list(zip(columns[0].to_pylist(), columns[1].to_pylist(), strict=True))
-                yield [pa.array([batch.column(0)[i].as_py()] * len(places), type=pa.binary()), *columns, list(context(rolling, batch.column(1)[i].as_py(), places))]
+                yield [[batch.column(0)[i].as_py()] * len(places), *columns, list(context(rolling, batch.column(1)[i].as_py(), places))]
 
     cut_out = stage(map_arrow(held, schema, contexts))
     first = cut_out.where("f_key IS NULL").select(F.col("key").alias("f_key"), F.col("lo").alias("f_lo"), "side", F.col("words").alias("f_words"))

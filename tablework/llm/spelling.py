@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tablework.llm.common import join_checked, map_arrow, stage, text_bytes
+from tablework.llm.common import arrow_column, join_checked, map_arrow, stage, text_bytes
 from tablework.llm.hashing import LOWER
 
 #: Partitions of the letters.
@@ -110,7 +110,7 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         def counted(texts: list[bytes], names: list[bytes]) -> list:
             found, shorter = words_of(texts, names, letters, every, table)
             short = [w.decode() for w in shorter if len(w.decode()) >= letters]
-            tally = pa.chunked_array([found, pa.array(short, type=pa.string())]).value_counts()
+            tally = pa.chunked_array([found, arrow_column(short, pa.string())]).value_counts()
             return [tally.field("values"), tally.field("counts")]
 
         for batch in batches:
