@@ -105,7 +105,6 @@ class Reader:
         move, first, last = params["move"] - params["move"][0, 0], params["first"] - params["first"][0], params["last"] - params["last"][0]
         self.most = np.maximum(move.max(axis=0), first) + np.maximum(0, np.maximum(move[:, 0], last))
 
-    @np.errstate(over="ignore")
     def scores(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Scores (length, rows, tags) of windows (rows, length) with so many characters; what stands behind them has no meaning."""
         rows, length = ids.shape
@@ -124,7 +123,8 @@ class Reader:
                 np.matmul(state, self.own, out=sums)
                 found[t - 1] = sums[:, :, gated:]
                 gates += sums[:, :, :gated]
-            np.exp(gates, out=gates)
+            with np.errstate(over="ignore"):
+                np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
             g -= 0.5
@@ -132,7 +132,8 @@ class Reader:
             cell *= f
             cell += i
             np.multiply(cell, -4, out=flat)
-            np.exp(flat, out=flat)
+            with np.errstate(over="ignore"):
+                np.exp(flat, out=flat)
             flat += 1
             np.reciprocal(flat, out=flat)
             flat -= 0.5

@@ -28,3 +28,9 @@ def test_workers_need_no_copy_of_the_package(sf, tmp_path):
     assert done.returncode == 0, done.stderr[-3000:]
     found = dict(line.split() for line in done.stdout.splitlines() if line.startswith("op"))
     assert list(found) == names and int(found["op5_lm_scoring"]) == int(found["op1_toxicity"]) > 0
+
+
+def test_the_tagger_travels_by_value():
+    code = "import __spark_entry__; from pyspark import cloudpickle; from tablework.llm import personal; print(len(cloudpickle.dumps(personal.added_spans)))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
