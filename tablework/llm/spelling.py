@@ -160,12 +160,14 @@ def _signatures(words: DataFrame) -> DataFrame:
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """(a, a_n, b, b_n): all pairs of words one inserted, deleted or replaced code point apart, each once. ``words``: distinct words and n, written."""
+    """(a, a_n, b, b_n): all pairs of words one inserted, deleted or replaced code point apart, each once. ``words``: distinct words and n, written.
+
+    Spark sizes the signatures like the words they are made of, as if each had one instead of 42; the hint keeps them from being broadcast."""
     signs = _signatures(words)
     first = signs.where("kind < 2").select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("kind").alias("a_kind"), "key")
     second = signs.where("kind != 1").select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.col("kind").alias("b_kind"), "key")
     fits = ((F.col("a_kind") == 1) & (F.col("b_kind") == 2)) | ((F.col("a_kind") == 0) & (F.col("b_kind") == 0) & (F.col("a") < F.col("b")))
-    met = first.join(second, "key").where(fits).where(F.levenshtein("a", "b", 1) == 1)
+    met = first.hint("merge").join(second, "key").where(fits).where(F.levenshtein("a", "b", 1) == 1)
     return met.groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n")).select("a", "a_n", "b", "b_n")
 
 

@@ -88,6 +88,13 @@ def test_forms_follow_to_the_last(spark):
     assert {r[4] for r in got.values()} == {"aaaaaa" + "b" * 8} and got["aaaaaab"][2] == "aaaaaabb"
 
 
+def test_signatures_are_not_broadcast(spark):
+    """Spark's own limit lets the words be broadcast, and takes the 42 signatures of each for one."""
+    words = spark.createDataFrame([(f"wordly{k:03}", k) for k in range(50)], "word string, n long")
+    plan = spelling.near_pairs(spelling.stage(words))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_spelling_variants_of_documents(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("etaoinshrdlé") for _ in range(rng.randrange(4, 10))) for _ in range(60)]
