@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablework.functions.columns import WS_CLASS
+from tablework.session import give_back
 
 DIM = 384
-#: Characters whose grams are worked on at once.
-PIECE = 1 << 20
+#: Characters whose grams are worked on at once, and vectors that are scaled at once.
+PIECE, ROWS = 1 << 20, 512
 EMBED_VERSION = 2
 
 
@@ -103,9 +104,11 @@ def _slot_counts(owners: np.ndarray, slots: np.ndarray, count: int) -> np.ndarra
 
 
 def _unit(counts: np.ndarray) -> np.ndarray:
-    vec = np.log1p(counts)
-    norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
-    return vec / np.where(norm == 0, 1.0, norm)
+    for at in range(0, len(counts), ROWS):  # in place, as copies of all rows are large
+        vec = np.log1p(counts[at : at + ROWS])
+        norm = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
+        counts[at : at + ROWS] = vec / np.where(norm == 0, 1.0, norm)
+    return counts
 
 
 def pieces(texts: Iterable[str | None], size: int) -> Iterator[tuple[list[int], list[str], list[bool]]]:
@@ -142,4 +145,6 @@ def embed_texts(texts: Sequence[str | None], size: int = PIECE) -> np.ndarray:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def hash_embed(text: pd.Series) -> pd.Series:
     """384 slots of hashed 2- and 3-grams, as a unit vector (zeros for empty text)."""
-    return pd.Series(list(embed_texts(text.tolist())))
+    vectors = embed_texts(text.tolist())
+    give_back()
+    return pd.Series(list(vectors))

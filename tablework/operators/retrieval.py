@@ -15,6 +15,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from tablework import scale
 from tablework.functions.columns import trim_ws
 from tablework.functions.text import DIM, EMBED_VERSION, clean, embed_batch, embed_counted, hash_embed, packed_grams
+from tablework.session import batches_within, give_back
 
 CHUNK_SIZE = 900
 CHUNK_OVERLAP = 120
@@ -22,6 +23,8 @@ CHUNK_OVERLAP = 120
 BLOCK, QUERY_BLOCK, BUCKETS = 128, 256, 1024
 #: Chunks that a task packs at once, and documents that it cuts at once.
 PACKED, CUT = 2048, 500
+#: Rows of an index (about 0.6 MB each) in a row group, and bytes of an Arrow batch: what a task holds of an index at once.
+INDEX_ROWS, BATCH_BYTES = 16, 16 << 20
 VECTOR_WEIGHT = 0.6
 LEXICAL_WEIGHT = 0.4
 
@@ -66,6 +69,7 @@ def chunk_text(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: i
             owner = pa.array([i for i, c in enumerate(cut) for _ in c], type=pa.int64())
             columns = [batch.column(0).take(owner), pa.array([i for c in cut for i in range(len(c))], type=pa.int32()), pa.array([t for c in cut for t in c], type=pa.string())]
             yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -91,13 +95,22 @@ def upsert_documents(current: DataFrame, incoming: DataFrame, name: str = "name"
 
 
 # ------------------------------------------------------------------ search
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix."""
+    sizes, values = np.diff(column.offsets.to_numpy()), column.flatten()
+    if pa.types.is_float64(values.type) and not column.null_count and not values.null_count and (sizes == sizes[:1]).all():
+        return values.to_numpy().reshape(len(column), -1)  # without an object for every number
+    return np.array(column.to_pylist(), dtype=float).reshape(len(column), -1)
+
+
 def search_index(chunks: DataFrame, with_text: bool = True) -> DataFrame:
     """Chunks packed for search: one row per block of at most BLOCK chunks of like vectors.
 
     A block has its chunks' places (``doc_ids``, ``indexes``, ordered), vectors, its distinct grams, a bit for each chunk and gram, and the largest
     value of every slot, from which no chunk of the block can escape. Vectors stored with the chunks (``embed_chunks``, kept current by
-    ``reembed_on_version``) are used as they are; chunks without the column are embedded. Write it once (``checkpointed`` or a table of your
-    own) to search it again and again. Nothing is shuffled: every task packs the chunks that it reads."""
+    ``reembed_on_version``) are used as they are; chunks without the column are embedded. Write it once (``checkpointed`` with INDEX_ROWS, or a
+    table of your own with row groups as small) to search it again and again. Nothing is shuffled: every task packs the chunks that it reads."""
+    batches_within(chunks.sparkSession, BATCH_BYTES)
     stored = "embedding" in chunks.columns
     kind = chunks.schema["doc_id"].dataType.simpleString()
     schema = f"doc_ids array<{kind}>, indexes array<int>, texts array<string>, vectors binary, grams binary, bits binary, peak binary"
@@ -112,7 +125,7 @@ def search_index(chunks: DataFrame, with_text: bool = True) -> DataFrame:
             distinct, where = np.unique(grams, return_inverse=True)
             if len(slots) > 1_000_000:
                 slots.clear()
-            given = np.array(batch.column(3).to_pylist(), dtype=float).reshape(len(raw), -1) if stored else embed_counted(owners, distinct, where, len(raw), slots)
+            given = _matrix(batch.column(3)) if stored else embed_counted(owners, distinct, where, len(raw), slots)
             # chunks whose vectors lie on the same sides of eight planes come together; inside of a block the order is that of the places
             side = ((given @ turn[: given.shape[1]]) > 0) @ (1 << np.arange(8)) if given.shape[1] <= DIM else np.zeros(len(raw))
             order = np.argsort(side, kind="stable")
@@ -133,6 +146,7 @@ def search_index(chunks: DataFrame, with_text: bool = True) -> DataFrame:
                     vectors.tobytes(), distinct[found].tobytes(), np.packbits(there, axis=1).tobytes(), vectors.max(axis=0).tobytes(),
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, arrow.types, strict=True)], schema=arrow)
+        give_back()
 
     columns = ["doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", *(["embedding"] if stored else [])]
     return chunks.select(*columns).mapInArrow(run, schema)
@@ -172,6 +186,7 @@ def hybrid_search(chunks: DataFrame, queries: Sequence[str] | str | DataFrame, k
     k = int(k)
     if k < 1:
         raise ValueError("k must be at least 1")
+    batches_within(chunks.sparkSession, BATCH_BYTES)
     if not isinstance(queries, DataFrame):
         given = [queries] if isinstance(queries, str) else list(queries)
         if not given or any(not str(q or "").strip() for q in given):
@@ -209,6 +224,7 @@ def _search(index: DataFrame, asked: DataFrame, k: int, with_text: bool, doc_ids
                     take = pa.array(chunk)
                     columns = [block[7].values.take(pa.array(query)), block[0].values.take(take), block[1].values.take(take), pa.array(score)]
                     yield pa.RecordBatch.from_arrays(columns + ([block[2].values.take(take)] if with_text else []), schema=arrow)
+        give_back()
 
     # packed queries against packed chunks: the stated query set, in blocks, against all rows
     met = index.crossJoin(asked.withColumn("number", F.monotonically_increasing_id()))

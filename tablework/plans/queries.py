@@ -1218,7 +1218,7 @@ def hybrid_search(spark, sf):
 def hybrid_search_stored(spark, sf):
     """The same search over an index that was written before, of chunks that carry their vectors."""
     q = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("query"))
-    index = checkpointed(T.search_index(T.embed_chunks(T.chunk_text(table(spark, sf, "documents"))), with_text=False))
+    index = checkpointed(T.search_index(T.embed_chunks(T.chunk_text(table(spark, sf, "documents"))), with_text=False), T.INDEX_ROWS)
     return T.hybrid_search(index, q, 5, with_text=False)
 
 

@@ -7,9 +7,11 @@ import math
 import random
 import time
 import zlib
+from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tablework.functions import urls as U
 from tablework.functions.registry import FunctionRegistry
 from tablework.operators import retrieval as T
 from tablework.operators import windows as W
+from tablework.plans.queries import QUERIES
 from tablework.sources import feeds as FD
 from tablework.sources import grids as G
 from tablework.sources import html as HT
@@ -353,6 +356,38 @@ def test_search_in_blocks(spark, block, asked, monkeypatch):
     assert T.hybrid_search(df, asked_for.where("false")).count() == 0 and T.hybrid_search(df.where("false"), asked_for).count() == 0
 
 
+def test_index_is_held_in_small_parts(spark, tmp_path, monkeypatch):
+    """Rows of an index are large: a task reads a row group and is sent an Arrow batch at a time, so both are bounded."""
+    monkeypatch.setattr(T, "BLOCK", 2)
+    texts = [f"text {i} of {'refund' if i % 3 else 'invoice'}" for i in range(400)]
+    table(spark, doc_id=list(range(400)), text=texts).write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, item_id=[1, 2], text=["text 7 of refund", "invoice"]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(limit, str(64 << 20))
+    found = QUERIES["hybrid_search_stored"](spark, str(tmp_path))
+    assert int(spark.conf.get(limit)) == T.BATCH_BYTES
+    want = brute_search([(i, 0, t) for i, t in enumerate(texts)], [("1", "text 7 of refund"), ("2", "invoice")], 5)
+    assert sorted(map(tuple, found.select("query_id", "doc_id", "chunk_index", "position", "score").collect())) == want
+    groups = []
+    for file in (urlparse(f).path for f in found.inputFiles() if "/stage-" in f):
+        meta = pq.ParquetFile(file).metadata
+        groups.append([meta.row_group(i).num_rows for i in range(meta.num_row_groups)])
+    assert sum(map(sum, groups)) >= 200 and max(map(max, groups)) <= T.INDEX_ROWS < max(map(sum, groups))
+    spark.conf.set(limit, "1000000")
+    T.hybrid_search(T.chunk_text(table(spark, doc_id=[1], text=["a"])), "a")
+    assert int(spark.conf.get(limit)) == 1_000_000  # a lower one stays
+    spark.conf.unset(limit)
+
+
+def test_stored_vectors_as_a_matrix():
+    """Whatever the Arrow array looks like, the same as from lists of numbers."""
+    for values, kind in [([[1.5, 2], [3, 4]], pa.float64()), ([[1.5, 2], [3, 4]], pa.float32()), ([[1.5, None], [3, 4]], pa.float64()), ([[], []], pa.float64()), ([None, None], pa.float64())]:
+        column = pa.array([[9.0], *values, [9.0]], type=pa.list_(kind)).slice(1, 2)
+        np.testing.assert_array_equal(T._matrix(column), np.array(values, dtype=float).reshape(2, -1))
+    with pytest.raises(ValueError):
+        T._matrix(pa.array([[1.0], [2.0, 3.0]], type=pa.list_(pa.float64())))
+
+
 def test_upsert(spark):
     cur = table(spark, name=["a", "b"], text=["1", "2"])
     new = table(spark, name=["a", "a", "c", "d"], text=["x", "y", "z", " "], saved_at=[1, 2, 1, 1])
